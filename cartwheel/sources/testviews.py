@@ -9,6 +9,8 @@ same views is in ``cartwheel.plans.oracle``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,41 @@ from cartwheel.functions.semantics import money
 from cartwheel.sources.shop import normalise_dimensions
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """``spark.read.parquet`` of a test table, defined once per session (the inputs are
+    read-only, so the file listing and schema inference need not be repeated)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
+
+
+class LazyTables(Mapping):
+    """Table name -> DataFrame, each defined on first use and then reused.
+
+    Defining a DataFrame costs a file listing and an analysis on the driver; a report that
+    reads two tables should not pay for seven.
+    """
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,17 +160,17 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shop_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All web-shop tables, lazily defined; nothing is read until a report runs."""
-    return {
-        "website_sessions": website_sessions(spark, sf_dir),
-        "website_pageviews": website_pageviews(spark, sf_dir),
-        "orders": web_orders(spark, sf_dir),
-        "products": products(spark, sf_dir),
-        "order_items": order_items(spark, sf_dir),
-        "order_item_refunds": order_item_refunds(spark, sf_dir),
-        "shop_orders": shop_orders(spark, sf_dir),
-    }
+def shop_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    """All web-shop tables, each defined when a report first asks for it."""
+    return LazyTables({
+        "website_sessions": lambda: website_sessions(spark, sf_dir),
+        "website_pageviews": lambda: website_pageviews(spark, sf_dir),
+        "orders": lambda: web_orders(spark, sf_dir),
+        "products": lambda: products(spark, sf_dir),
+        "order_items": lambda: order_items(spark, sf_dir),
+        "order_item_refunds": lambda: order_item_refunds(spark, sf_dir),
+        "shop_orders": lambda: shop_orders(spark, sf_dir),
+    })
 
 
 # ---------------------------------------------------------------- cleaning inputs
