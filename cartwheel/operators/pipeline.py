@@ -17,12 +17,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pyspark.sql import functions as F
+
+from cartwheel.functions.semantics import half_even_pct
 from cartwheel.operators.impute import (
-    _fill, impute_group_mean_datetime, imputable_columns, missing_pct_map, parse_datetime,
-    sparse_columns,
+    _fill, impute_group_mean_datetime, imputable_columns, parse_datetime, sparse_columns,
 )
 from cartwheel.operators.profile import NUMERIC
-from cartwheel.operators.quantiles import exact_median
+from cartwheel.operators.quantiles import exact_quantiles_multi, present
 from cartwheel.session import scratch_path
 
 
@@ -52,25 +54,39 @@ def clean_pipeline(df: DataFrame, rules: CleanRules, *, materialize: bool = Fals
         path = scratch_path(spark, "clean-input")
         df.write.parquet(path)
         df = spark.read.parquet(path)
-    pct = missing_pct_map(df, rules.decimals)
+    # One aggregation gives every number the rules need except the medians: missing %,
+    # the mean of each numeric column, and count/min/max of the median columns.
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numeric = [c for c in df.columns if isinstance(types[c], NUMERIC)]
+    medians = [c for c in rules.median_columns if c in types]
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs += [F.count_if(~present(df, c)).alias(f"z{i}") for i, c in enumerate(df.columns)]
+    aggs += [F.avg(F.when(present(df, c), F.col(c))).alias(f"m{i}") for i, c in enumerate(numeric)]
+    for i, c in enumerate(medians):
+        v = F.when(present(df, c), F.col(c))
+        aggs += [F.count(v).alias(f"mn{i}"), F.min(v).alias(f"mlo{i}"), F.max(v).alias(f"mhi{i}")]
+    one = df.agg(*aggs)
+    row = one.select("*", *[half_even_pct(F.col(f"z{i}"), F.col("_rows"), rules.decimals).alias(f"p{i}")
+                            for i in range(len(df.columns))]).first()
+    pct = {c: row[f"p{i}"] for i, c in enumerate(df.columns)}
+    means = {c: row[f"m{i}"] for i, c in enumerate(numeric)}
+    median_stats = {c: (row[f"mn{i}"], row[f"mlo{i}"], row[f"mhi{i}"]) for i, c in enumerate(medians)}
+
     df = df.drop(*sparse_columns(pct, rules.drop_above))
     lo, hi = rules.impute_between
     todo = [c for c in imputable_columns(pct, lo, hi) if c in df.columns]
-    types = {f.name: f.dataType for f in df.schema.fields}
     fills: dict[str, object] = {}
-    means = []
+    median_todo = [c for c in todo if c in medians]
+    if median_todo:
+        q = exact_quantiles_multi(df, median_todo, [0.5], stats={c: median_stats[c] for c in median_todo})
+        fills.update({c: q[c][0] for c in median_todo})
     for c in todo:
-        if c in rules.median_columns:
-            fills[c] = exact_median(df, c)
-        elif isinstance(types[c], NUMERIC):
-            means.append(c)
+        if c in fills:
+            continue
+        if isinstance(types[c], NUMERIC):
+            fills[c] = means[c]
         elif isinstance(types[c], T.StringType):
             fills[c] = rules.text_fill
-    if means:
-        from pyspark.sql import functions as F
-        from cartwheel.operators.quantiles import present
-        row = df.agg(*[F.avg(F.when(present(df, c), F.col(c))).alias(c) for c in means]).first()
-        fills.update({c: row[c] for c in means})
     out = _fill(df, fills)
     for c in todo:
         if isinstance(types[c], (T.TimestampNTZType, T.TimestampType)) and c in rules.group_mean_keys:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.functions.semantics import half_even_pct
-from cartwheel.operators.quantiles import exact_quantiles, present
+from cartwheel.operators.quantiles import exact_quantiles_multi, present
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -85,11 +85,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, *, local_limit
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     moments = df.agg(*aggs)
     first = moments.first()
-    quartiles = {}
-    for i, c in enumerate(cols):
-        stats = (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"])
-        typed = df.select(F.col(c).cast("double").alias(c))
-        quartiles[c] = exact_quantiles(typed, c, [0.25, 0.5, 0.75], local_limit=local_limit, stats=stats)
+    stats = {c: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(cols)}
+    quartiles = exact_quantiles_multi(df, cols, [0.25, 0.5, 0.75], local_limit=local_limit, stats=stats)
     with_q = moments.select("*", *[
         F.lit(q).cast("double").alias(f"q{j}_{i}")
         for i, c in enumerate(cols) for j, q in enumerate(quartiles[c])])

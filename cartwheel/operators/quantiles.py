@@ -2,19 +2,21 @@
 
 ``percentile`` in Spark merges one value -> count map per group in a single task, which is
 unbounded for a high-cardinality column at scale. Here the k-th smallest value is found by
-narrowing: each pass is a distributed ``GROUP BY width_bucket(v, lo, hi, B)`` returning at
-most B + 1 (count, min, max) rows per open window; the bucket holding rank k becomes the next
-window. A window is finished when it holds one distinct value, or - once it has at most
-``local_limit`` rows - by sorting that bounded slice inside one task and returning only the
-wanted elements. Several ranks are refined together, one pass per round.
+narrowing: each pass is one distributed ``GROUP BY window, width_bucket(v, lo, hi, B)``
+returning at most B + 2 (count, min, max) rows per open window; the bucket holding rank k
+becomes the next window. A window is finished when it holds one distinct value, or - once it
+has at most ``local_limit`` rows - by sorting that bounded slice inside one task and returning
+only the wanted elements. All ranks of all requested columns are refined together, so a
+round is one scan whatever the number of columns.
 
 Interpolation follows the linear rule shared by numpy ``percentile`` and DuckDB
-``quantile_cont``: h = (n - 1) p, value = x[floor h] + (x[ceil h] - x[floor h]) (h - floor h).
+``quantile_cont``: h = (n - 1) p, value = x[floor h] + (h - floor h) (x[ceil h] - x[floor h]).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,9 +28,10 @@ MAX_ROUNDS = 64
 
 @dataclass
 class _Window:
+    g: int                # which column
     lo: object
     hi: object
-    offset: int           # number of values below ``lo``
+    offset: int           # number of values of the column below ``lo``
     count: int            # number of values in [lo, hi]
     ranks: list[int] = field(default_factory=list)
 
@@ -41,105 +44,145 @@ def present(df: DataFrame, column: str) -> Column:
     return c.isNotNull()
 
 
-def _window_id(windows: list[_Window], v: Column) -> Column:
+def _window_id(windows: list[_Window]) -> Column:
+    g, v = F.col("g"), F.col("v")
     wid = None
     for i, w in enumerate(windows):
-        cond = (v >= F.lit(w.lo)) & (v <= F.lit(w.hi))
+        cond = (g == w.g) & (v >= F.lit(w.lo)) & (v <= F.lit(w.hi))
         wid = F.when(cond, F.lit(i)) if wid is None else wid.when(cond, F.lit(i))
     return wid
 
 
-def order_statistics(values: DataFrame, ranks: list[int], n: int, lo, hi, *,
-                     buckets: int = 1024, local_limit: int = 100_000) -> dict[int, object]:
-    """Values at 0-based ``ranks`` of the single column ``v`` of ``values`` (no missing values).
+def _choose(windows: list[_Window], per_window) -> Column:
+    out = None
+    for i, w in enumerate(windows):
+        e = per_window(w)
+        out = F.when(F.col("w") == i, e) if out is None else out.when(F.col("w") == i, e)
+    return out
+
+
+def order_statistics(values: DataFrame, requests: dict[int, tuple[int, object, object, Sequence[int]]], *,
+                     buckets: int = 1024, local_limit: int = 100_000) -> dict[tuple[int, int], object]:
+    """Values at 0-based ranks, for several columns at once.
 
-    ``n``, ``lo`` and ``hi`` are its count, minimum and maximum.
+    ``values`` has columns ``g`` (column number) and ``v`` (non-missing values only);
+    ``requests[g] = (count, min, max, ranks)`` of column ``g``. Returns {(g, rank): value}.
     """
-    v = F.col("v")
-    result: dict[int, object] = {}
-    open_windows = [_Window(lo, hi, 0, n, sorted(set(ranks)))]
+    result: dict[tuple[int, int], object] = {}
+    windows = [_Window(g, lo, hi, 0, n, sorted(set(ranks)))
+               for g, (n, lo, hi, ranks) in requests.items() if n]
     for _ in range(MAX_ROUNDS):
-        for w in open_windows:
+        for w in windows:
             if w.lo == w.hi:
-                for r in w.ranks:
-                    result[r] = w.lo
-        open_windows = [w for w in open_windows if w.lo != w.hi]
-        if not open_windows:
+                result.update({(w.g, r): w.lo for r in w.ranks})
+        windows = [w for w in windows if w.lo != w.hi]
+        if not windows:
             return result
-        small = [w for w in open_windows if w.count <= local_limit]
-        large = [w for w in open_windows if w.count > local_limit]
+        small = [w for w in windows if w.count <= local_limit]
+        large = [w for w in windows if w.count > local_limit]
         if small:
             _resolve_small(values, small, result)
-        next_windows: list[_Window] = []
-        if large:
-            wid = _window_id(large, v)
-            bucket = None
-            for i, w in enumerate(large):
-                b = F.width_bucket(v.cast("double"), F.lit(float(w.lo)), F.lit(float(w.hi)), F.lit(buckets))
-                bucket = F.when(wid == i, b) if bucket is None else bucket.when(wid == i, b)
-            rows = (values.select(wid.alias("w"), bucket.alias("b"), v).where(F.col("w").isNotNull())
-                    .groupBy("w", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                           F.max("v").alias("hi"))
-                    .collect())  # at most len(large) * (buckets + 2) rows
-            per_window: dict[int, list] = {}
-            for row in rows:
-                per_window.setdefault(row["w"], []).append(row)
-            for i, w in enumerate(large):
-                cum = w.offset
-                pending = list(w.ranks)
-                for row in sorted(per_window.get(i, []), key=lambda r: (r["b"] is None, r["b"])):
-                    inside = [r for r in pending if cum <= r < cum + row["n"]]
-                    if inside:
-                        if (row["lo"], row["hi"], row["n"]) == (w.lo, w.hi, w.count):
-                            raise ArithmeticError("quantile narrowing made no progress "
-                                                  "(values indistinguishable as doubles)")
-                        next_windows.append(_Window(row["lo"], row["hi"], cum, row["n"], inside))
-                        pending = [r for r in pending if r not in inside]
-                    cum += row["n"]
-        open_windows = next_windows
+        windows = _narrow(values, large, buckets) if large else []
     raise ArithmeticError("quantile narrowing did not finish")
 
 
-def _resolve_small(values: DataFrame, windows: list[_Window], result: dict) -> None:
-    """Sort each bounded window inside one task and return only the wanted elements."""
+def _narrow(values: DataFrame, windows: list[_Window], buckets: int) -> list[_Window]:
     v = F.col("v")
-    wid = _window_id(windows, v)
-    picked = None
+    bucket = _choose(windows, lambda w: F.width_bucket(
+        v.cast("double"), F.lit(float(w.lo)), F.lit(float(w.hi)), F.lit(buckets)))
+    rows = (values.select(_window_id(windows).alias("w"), v).where(F.col("w").isNotNull())
+            .select("w", bucket.alias("b"), "v")
+            .groupBy("w", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                   F.max("v").alias("hi"))
+            .collect())  # at most len(windows) * (buckets + 2) rows
+    per_window: dict[int, list] = {}
+    for row in rows:
+        per_window.setdefault(row["w"], []).append(row)
+    out = []
     for i, w in enumerate(windows):
-        arr = F.array(*[F.element_at(F.col("s"), r - w.offset + 1) for r in w.ranks])
-        picked = F.when(F.col("w") == i, arr) if picked is None else picked.when(F.col("w") == i, arr)
-    rows = (values.select(wid.alias("w"), v).where(F.col("w").isNotNull())
+        cum, pending = w.offset, list(w.ranks)
+        for row in sorted(per_window.get(i, []), key=lambda r: (r["b"] is None, r["b"])):
+            inside = [r for r in pending if cum <= r < cum + row["n"]]
+            if inside:
+                if (row["lo"], row["hi"], row["n"]) == (w.lo, w.hi, w.count):
+                    raise ArithmeticError("quantile narrowing made no progress "
+                                          "(values indistinguishable as doubles)")
+                out.append(_Window(w.g, row["lo"], row["hi"], cum, row["n"], inside))
+                pending = [r for r in pending if r not in inside]
+            cum += row["n"]
+    return out
+
+
+def _resolve_small(values: DataFrame, windows: list[_Window], result: dict) -> None:
+    """Sort each bounded window inside one task and return only the wanted elements."""
+    picked = _choose(windows, lambda w: F.array(
+        *[F.element_at(F.col("s"), r - w.offset + 1) for r in w.ranks]))
+    rows = (values.select(_window_id(windows).alias("w"), "v").where(F.col("w").isNotNull())
             .groupBy("w").agg(F.sort_array(F.collect_list("v")).alias("s"))
             .select("w", picked.alias("picked")).collect())
     for row in rows:
         w = windows[row["w"]]
         for r, val in zip(w.ranks, row["picked"]):
-            result[r] = val
-
+            result[(w.g, r)] = val
 
-def exact_quantiles(df: DataFrame, column: str, probs, *, buckets: int = 1024,
-                    local_limit: int = 100_000, stats: tuple | None = None) -> list[float | None]:
-    """Exact linear-interpolated quantiles of ``column`` (missing values ignored).
 
-    ``stats`` may pass a known (count, min, max) of the non-missing values to save a pass.
-    """
-    values = df.select(F.col(column).alias("v")).where(present(df, column))
-    if stats is None:
-        s = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        stats = (s["n"], s["lo"], s["hi"])
-    n, lo, hi = stats
+def _interpolate(n: int, probs, at) -> list[float | None]:
     if not n:
         return [None for _ in probs]
-    positions = [(n - 1) * float(p) for p in probs]
-    ranks = sorted({int(math.floor(h)) for h in positions} | {int(math.ceil(h)) for h in positions})
-    at = order_statistics(values, ranks, n, lo, hi, buckets=buckets, local_limit=local_limit)
     out = []
-    for h in positions:
-        a, b = float(at[int(math.floor(h))]), float(at[int(math.ceil(h))])
+    for p in probs:
+        h = (n - 1) * float(p)
+        a, b = float(at(int(math.floor(h)))), float(at(int(math.ceil(h))))
         d = h - math.floor(h)
         out.append(a if d == 0 else a + d * (b - a))
     return out
 
 
+def _ranks(n: int, probs) -> list[int]:
+    hs = [(n - 1) * float(p) for p in probs]
+    return sorted({int(math.floor(h)) for h in hs} | {int(math.ceil(h)) for h in hs})
+
+
+def value_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, object, object]]:
+    """{column: (count, min, max)} of the non-missing values, in one aggregation."""
+    aggs = []
+    for i, c in enumerate(columns):
+        v = F.when(present(df, c), F.col(c))
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+
+
+def exact_quantiles_multi(df: DataFrame, columns: Sequence[str], probs, *, buckets: int = 1024,
+                          local_limit: int = 100_000,
+                          stats: dict[str, tuple] | None = None) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns; each round of narrowing is one scan for all of
+    them. With more than one column the values are compared as DOUBLE."""
+    columns = list(columns)
+    if len(columns) == 1:
+        values = df.select(F.lit(0).alias("g"), F.col(columns[0]).alias("v")).where(present(df, columns[0]))
+    else:
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("g"), F.when(present(df, c), F.col(c).cast("double")).alias("v"))
+            for i, c in enumerate(columns)]))
+        values = df.select(pairs.alias("p")).select("p.g", "p.v").where(F.col("v").isNotNull())
+    if stats is None:
+        stats = value_stats(df, columns)
+    if len(columns) > 1:
+        stats = {c: (n, None if lo is None else float(lo), None if hi is None else float(hi))
+                 for c, (n, lo, hi) in stats.items()}
+    requests = {i: (*stats[c], _ranks(stats[c][0], probs)) for i, c in enumerate(columns) if stats[c][0]}
+    at = order_statistics(values, requests, buckets=buckets, local_limit=local_limit)
+    return {c: _interpolate(stats[c][0], probs, lambda r, i=i: at[(i, r)]) for i, c in enumerate(columns)}
+
+
+def exact_quantiles(df: DataFrame, column: str, probs, *, buckets: int = 1024,
+                    local_limit: int = 100_000, stats: tuple | None = None) -> list[float | None]:
+    """Exact linear-interpolated quantiles of one column (missing values ignored), compared in
+    the column's own type. ``stats`` may pass a known (count, min, max) to save a pass."""
+    return exact_quantiles_multi(df, [column], probs, buckets=buckets, local_limit=local_limit,
+                                 stats=None if stats is None else {column: stats})[column]
+
+
 def exact_median(df: DataFrame, column: str, **kw) -> float | None:
     return exact_quantiles(df, column, [0.5], **kw)[0]

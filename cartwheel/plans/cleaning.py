@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartwheel.operators import impute, outliers, profile
 from cartwheel.operators.pipeline import CleanRules, clean_pipeline
+from cartwheel.session import scratch_path
 from cartwheel.sources import testviews as tv
+from cartwheel.sources.csv import load_csv, load_csv_inferred, write_csv
 
 # Which register columns play which role in the cleaning run.
 REGISTER_KEY = "o_orderkey"
@@ -30,7 +32,26 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return tv.event_values(spark, d)
 
 
+def register_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Write the register as CSV (header, no index) below spark.checkpoint.dir and load it
+    back into its declared schema (positional binding)."""
+    df = _reg(spark, d)
+    path = scratch_path(spark, "register-csv")
+    write_csv(df, path)
+    return load_csv(spark, path, df.schema)
+
+
+def register_csv_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """The same CSV read pandas-style: NA tokens are missing, column types inferred."""
+    df = _reg(spark, d)
+    path = scratch_path(spark, "register-csv")
+    write_csv(df, path)
+    return load_csv_inferred(spark, path)
+
+
 CLEANING_QUERIES = {
+    "csv_roundtrip": register_csv_roundtrip,
+    "csv_inferred": register_csv_inferred,
     "table_info": lambda s, d: profile.table_info(_reg(s, d)),
     "table_shape": lambda s, d: profile.table_shape(_reg(s, d)),
     "head_rows": lambda s, d: profile.head(_reg(s, d), REGISTER_KEY, 5),

@@ -86,6 +86,12 @@ parsed AS (
 """
 
 CLEANING_SQL: dict[str, str] = {
+    "csv_roundtrip": _w("SELECT * FROM register"),
+    "csv_inferred": _w("""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS o_orderdate, o_orderpriority, c_mktsegment,
+       c_acctbal, CAST(label_quality AS BIGINT) AS label_quality, NULLIF(reg_date, 'n/a') AS reg_date
+FROM register"""),
     "table_info": _w(_union([
         f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS dtype, COUNT({c}) AS non_null FROM register"""
         for i, (c, t) in enumerate(REGISTER_COLUMNS)])),

@@ -7,11 +7,16 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every cartwheel job relies on. AQE re-plans joins from measured stage sizes
-# (sort-merge -> broadcast only when the materialised side is small), splits skewed join
-# partitions and coalesces small shuffle partitions.
+# Settings every cartwheel job relies on. AQE re-plans joins from measured stage sizes,
+# splits skewed join partitions and coalesces small shuffle partitions. Broadcasts are
+# decided only on *measured* sizes: the planner's estimate-based broadcast is off, AQE's
+# runtime one (after the small side's shuffle stage has materialised) is on. Operators add
+# an explicit broadcast hint only for sides whose size is fixed by construction (a global
+# aggregate's single row, one row per column).
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
