@@ -87,3 +87,21 @@ def conversion_measures(facts: DataFrame, orders: DataFrame, dims: Sequence[Dim]
         F.sum(order_count).cast("bigint").alias("total_orders"),
         F.sum(revenue).cast("double").alias("total_revenue"),
     )
+
+
+def conversion_report(facts: DataFrame, orders: DataFrame, dims: Sequence[Dim], *,
+                      key: str = SESSION_KEY, where: Column | None = None,
+                      facts_unique_per_key: bool = True, distinct_orders: bool = False,
+                      dedupe_revenue: bool = False, ratio_scale: float = 1.0,
+                      on_zero: float | None = 0.0, order_by: Sequence[Column] = ()) -> DataFrame:
+    """``conversion_measures`` plus ``conversion_rate`` (orders / sessions x ``ratio_scale``)
+    and ``average_order_value`` (revenue / orders); a zero denominator gives ``on_zero``
+    (0 for the guarded reports, None for the unguarded ones)."""
+    from cartwheel.functions.semantics import ratio
+    m = conversion_measures(facts, orders, dims, key=key, where=where,
+                            facts_unique_per_key=facts_unique_per_key,
+                            distinct_orders=distinct_orders, dedupe_revenue=dedupe_revenue)
+    rate = ratio("total_orders", "total_sessions", on_zero)
+    out = m.select("*", (rate * F.lit(float(ratio_scale)) if ratio_scale != 1 else rate).alias("conversion_rate"),
+                   ratio("total_revenue", "total_orders", on_zero).alias("average_order_value"))
+    return out.orderBy(*order_by) if order_by else out

@@ -60,3 +60,9 @@ def sessions_and_orders_trend(sessions: DataFrame, orders: DataFrame, fmt: str =
     keys = [period_name, *dims]
     return (s.join(o, keys, "left")
             .select(*keys, session_name, F.coalesce(F.col(order_name), F.lit(0)).alias(order_name)))
+
+
+def filter_sessions(sessions: DataFrame, column: str, value: str) -> DataFrame:
+    """Sessions whose ``column`` equals ``value`` (case-insensitive: the stored dimension
+    columns are lower-case, so the literal is lowered and the filter reaches the scan)."""
+    return sessions.where(F.col(column) == F.lit(value.lower()))

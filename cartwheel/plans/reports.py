@@ -15,7 +15,7 @@ from cartwheel.operators.conversion import conversion_measures
 from cartwheel.operators.pages import count_report
 from cartwheel.operators.sales import product_refunds, product_sales, product_success, sales_by_day_hour
 from cartwheel.operators.trends import (
-    orders_with_session_dims, period_trend, sessions_and_orders_trend, ts_literal,
+    filter_sessions, orders_with_session_dims, period_trend, sessions_and_orders_trend, ts_literal,
 )
 from cartwheel.plans import params as P
 
@@ -203,7 +203,7 @@ def monthly_conversion_window(t: Tables) -> DataFrame:
 
 
 def sessions_by_referer(t: Tables) -> DataFrame:
-    return t["website_sessions"].where(F.col("http_referer") == P.REFERER.lower())
+    return filter_sessions(t["website_sessions"], "http_referer", P.REFERER)
 
 # ------------------------------------------------------------------ funnel (R-25 .. R-28)
 

@@ -46,3 +46,9 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     when the session id is unique in ``website_sessions``; this is the check for it.
     """
     return df.groupBy(key).count().where(F.col("count") > 1)
+
+
+def register_views(spark: SparkSession, tables) -> None:
+    """Expose the tables to ``spark.sql`` under their names (session-scoped temp views)."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)

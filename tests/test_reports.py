@@ -127,3 +127,34 @@ def test_most_and_least_viewed_same_multiset(spark):
 def test_session_key_unique_in_views(spark):
     from cartwheel.sources.testviews import website_sessions
     assert duplicate_keys(website_sessions(spark, "/root/testdata/sf0.001"), "website_session_id").count() == 0
+
+
+def test_conversion_report_wrapper(spark):
+    from cartwheel.operators.conversion import conversion_report
+    s = sessions(spark, [(1, "g", "a", None), (2, "g", "a", None)])
+    o = orders(spark, [(10, 2, "5.00")])
+    r = conversion_report(s, o, ["utm_campaign"], ratio_scale=100, on_zero=None).first()
+    assert (r["total_sessions"], r["total_orders"], r["conversion_rate"], r["average_order_value"]) == (2, 1, 50.0, 5.0)
+
+
+def test_funnel_properties_on_views(spark):
+    from cartwheel.sources.testviews import shop_tables
+    t = shop_tables(spark, "/root/testdata/sf0.01")
+    flags = reports.funnel_sessions(t)
+    counts = reports.funnel_counts(t).collect()
+    assert sum(r["sessions"] for r in counts) == flags.count()
+    for r in counts:
+        for step in ("to_products", "to_mrfuzzy", "to_cart", "to_shipping", "to_billing", "to_thankyou"):
+            assert r[step] <= r["sessions"]
+    persisted_counts, rates = reports.funnel_report(t)
+    assert sorted(map(tuple, persisted_counts.collect())) == sorted(map(tuple, counts))
+    assert rates.count() == len(counts)
+
+
+def test_sql_over_registered_views(spark):
+    from cartwheel.sources.shop import register_views
+    from cartwheel.sources.testviews import shop_tables
+    t = shop_tables(spark, "/root/testdata/sf0.001")
+    register_views(spark, {"website_pageviews": t["website_pageviews"]})
+    n = spark.sql("SELECT COUNT(*) FROM website_pageviews").first()[0]
+    assert n == t["website_pageviews"].count()
