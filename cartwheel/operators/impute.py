@@ -49,7 +49,7 @@ def _is_float(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
 
 
-def _fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
+def fill_missing(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Replace missing cells (NULL, and NaN in floating columns) by per-column values."""
     out = []
     for c in df.columns:
@@ -63,7 +63,7 @@ def _fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 def impute_median(df: DataFrame, column: str) -> DataFrame:
     """Fill ``column`` with its exact median."""
-    return _fill(df, {column: exact_median(df, column)})
+    return fill_missing(df, {column: exact_median(df, column)})
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -72,12 +72,12 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not cols:
         return df
     row = df.agg(*[F.avg(F.when(present(df, c), F.col(c))).alias(c) for c in cols]).first()
-    return _fill(df, {c: row[c] for c in cols})
+    return fill_missing(df, {c: row[c] for c in cols})
 
 
 def impute_constant(df: DataFrame, columns: Sequence[str], value: str = "nodata") -> DataFrame:
     """Fill text columns with a constant."""
-    return _fill(df, {c: value for c in columns})
+    return fill_missing(df, {c: value for c in columns})
 
 
 def smallest_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
@@ -97,7 +97,7 @@ def smallest_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill text columns with their (smallest) mode: the rule the reference describes."""
-    return _fill(df, smallest_modes(df, columns))
+    return fill_missing(df, smallest_modes(df, columns))
 
 
 def parse_datetime(df: DataFrame, column: str, fmt: str) -> DataFrame:

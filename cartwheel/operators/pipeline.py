@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.semantics import half_even_pct
 from cartwheel.operators.impute import (
-    _fill, impute_group_mean_datetime, imputable_columns, parse_datetime, sparse_columns,
+    fill_missing, impute_group_mean_datetime, imputable_columns, parse_datetime, sparse_columns,
 )
 from cartwheel.operators.profile import NUMERIC
 from cartwheel.operators.quantiles import exact_quantiles_multi, present
@@ -87,7 +87,7 @@ def clean_pipeline(df: DataFrame, rules: CleanRules, *, materialize: bool = Fals
             fills[c] = means[c]
         elif isinstance(types[c], T.StringType):
             fills[c] = rules.text_fill
-    out = _fill(df, fills)
+    out = fill_missing(df, fills)
     for c in todo:
         if isinstance(types[c], (T.TimestampNTZType, T.TimestampType)) and c in rules.group_mean_keys:
             out = impute_group_mean_datetime(out, c, rules.group_mean_keys[c])

@@ -8,6 +8,7 @@ index does not exist in Spark, so order-dependent operators take an explicit ``o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -95,6 +96,47 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, *, local_limit
     return _stack(with_q, entries, ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def datetime_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))]
+
+
+def describe_datetime(df: DataFrame, columns: Sequence[str] | None = None, *,
+                      local_limit: int = 100_000) -> DataFrame:
+    """``describe()`` of datetime columns (pandas 2): count, mean, min, 25 %, 50 %, 75 %, max as
+    zone-less timestamps. Statistics are taken on microseconds since 1970; the mean is exact
+    (decimal sum) and truncated, interpolated quartiles are truncated to the microsecond."""
+    cols = list(columns) if columns is not None else datetime_columns(df)
+    micros = df.select(*[F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {_q(c)})").alias(c) for c in cols])
+    aggs = []
+    for i, c in enumerate(cols):
+        m = F.col(c)
+        aggs += [F.count(m).alias(f"n{i}"), F.sum(m.cast("decimal(38,0)")).alias(f"s{i}"),
+                 F.min(m).alias(f"lo{i}"), F.max(m).alias(f"hi{i}")]
+    first = micros.agg(*aggs).first()
+    stats = {c: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(cols)}
+    quartiles = exact_quantiles_multi(micros, cols, [0.25, 0.5, 0.75], local_limit=local_limit, stats=stats)
+
+    def ts(us):
+        return F.expr(f"timestampadd(MICROSECOND, CAST({'NULL' if us is None else int(us)} AS BIGINT), {EPOCH})")
+
+    def floor_div(s, n):
+        return None if not n else (s - (s % n)) // n
+
+    rows = []
+    for i, c in enumerate(cols):
+        n, lo, hi = stats[c]
+        mean = floor_div(int(first[f"s{i}"]), n) if n else None
+        qs = [None if q is None else math.floor(q) for q in quartiles[c]]
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(n).cast("bigint").alias("count"),
+                             ts(mean).alias("mean"), ts(lo).alias("min"), ts(qs[0]).alias("p25"),
+                             ts(qs[1]).alias("p50"), ts(qs[2]).alias("p75"), ts(hi).alias("max")))
+    one = micros.agg(F.count(F.lit(1)).alias("_rows"))
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def nunique(df: DataFrame, *, rsd: float | None = None) -> DataFrame:
     """Distinct non-missing values per column; ``rsd`` switches to HyperLogLog++ estimates."""
     def distinct(i, c):

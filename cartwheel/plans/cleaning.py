@@ -57,6 +57,7 @@ CLEANING_QUERIES = {
     "head_rows": lambda s, d: profile.head(_reg(s, d), REGISTER_KEY, 5),
     "tail_rows": lambda s, d: profile.tail(_reg(s, d), REGISTER_KEY, 5),
     "describe": lambda s, d: profile.describe(_reg(s, d)),
+    "describe_datetime": lambda s, d: profile.describe_datetime(_reg(s, d)),
     "nunique": lambda s, d: profile.nunique(_reg(s, d)),
     "value_counts": lambda s, d: profile.value_counts(_reg(s, d), "o_orderpriority", 10),
     "modes": lambda s, d: profile.modes(_reg(s, d), "c_mktsegment"),

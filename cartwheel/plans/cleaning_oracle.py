@@ -99,6 +99,15 @@ FROM register"""),
     "head_rows": _w("SELECT * FROM register ORDER BY o_orderkey LIMIT 5"),
     "tail_rows": _w("SELECT * FROM (SELECT * FROM register ORDER BY o_orderkey DESC LIMIT 5) ORDER BY o_orderkey"),
     "describe": _describe(),
+    "describe_datetime": _w("""
+SELECT 'o_orderdate' AS "column", COUNT(us) AS count,
+       make_timestamp(CAST((SUM(CAST(us AS HUGEINT)) - SUM(CAST(us AS HUGEINT)) % COUNT(us)) // COUNT(us) AS BIGINT)) AS mean,
+       make_timestamp(MIN(us)) AS min,
+       make_timestamp(CAST(floor(quantile_cont(us, 0.25)) AS BIGINT)) AS p25,
+       make_timestamp(CAST(floor(quantile_cont(us, 0.5)) AS BIGINT)) AS p50,
+       make_timestamp(CAST(floor(quantile_cont(us, 0.75)) AS BIGINT)) AS p75,
+       make_timestamp(MAX(us)) AS max
+FROM (SELECT epoch_us(o_orderdate) AS us FROM register)"""),
     "nunique": _per_column("COUNT(DISTINCT {c})", "nunique"),
     "value_counts": _w("""
 SELECT o_orderpriority, COUNT(*) AS count FROM register WHERE o_orderpriority IS NOT NULL

@@ -46,3 +46,17 @@ def test_write_round_trip(spark):
     write_csv(df, out)
     back = load_csv(spark, out, SCHEMA).collect()
     assert [tuple(r) for r in back] == [(1, "a,b", None)]
+
+
+def test_ingest_normalises_and_partitions(spark):
+    from cartwheel.sources.shop import ingest_csv
+    path = _write("website_pageview_id,created_at,website_session_id,pageview_url\n"
+                  "1,2012-03-19 10:00:00,7,/Home\n2,2012-04-02 11:30:00,7,/CART\n")
+    out = os.path.join(tempfile.mkdtemp(prefix="cartwheel-ingest-"), "pv")
+    ingest_csv(spark, "website_pageviews", path, out, partition_by_month=True)
+    back = spark.read.parquet(out)
+    rows = sorted((r["pageview_url"], r["created_month"]) for r in back.collect())
+    assert rows == [("/cart", "2012-04"), ("/home", "2012-03")]
+    pruned = back.where("created_month = '2012-03'")
+    assert "PartitionFilters: [isnotnull(created_month" in pruned._jdf.queryExecution().executedPlan().toString()
+    assert pruned.count() == 1
