@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.semantics import ratio
 from cartwheel.operators.conversion import SESSION_KEY, session_order_stats
-from cartwheel.operators.trends import ts_literal
+from cartwheel.operators.trends import time_range
 
 # The billing-page test of the reference.
 BILLING_URLS = ("/billing", "/billing-2")
@@ -17,9 +17,7 @@ BILLING_URLS = ("/billing", "/billing-2")
 
 def _variant_views(pageviews: DataFrame, urls: Sequence[str], start: str, end: str) -> DataFrame:
     """Views of the variant URLs strictly between ``start`` and ``end``."""
-    ts = F.col("created_at")
-    return pageviews.where(F.col("pageview_url").isin(list(urls))
-                           & (ts > ts_literal(start)) & (ts < ts_literal(end)))
+    return pageviews.where(F.col("pageview_url").isin(list(urls)) & time_range(pageviews, start, end))
 
 
 def page_variant_views(pageviews: DataFrame, orders: DataFrame, urls: Sequence[str],

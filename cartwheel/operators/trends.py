@@ -16,6 +16,25 @@ def ts_literal(value: str) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
+PARTITION_MONTH = "created_month"
+
+
+def time_range(df: DataFrame, start: str, end: str, *, column: str = "created_at",
+               closed: bool = False) -> Column:
+    """``start < column < end`` (``closed``: ``BETWEEN start AND end``) on zone-less times.
+
+    When ``df`` is a table written by ``ingest_csv(partition_by_month=True)`` the same range is
+    also stated on its ``created_month`` folders, so Spark skips the folders outside it.
+    """
+    ts = F.col(column)
+    lo, hi = ts_literal(start), ts_literal(end)
+    cond = ts.between(lo, hi) if closed else (ts > lo) & (ts < hi)
+    if column == "created_at" and PARTITION_MONTH in df.columns:
+        month = F.col(PARTITION_MONTH)
+        cond = cond & (month >= F.lit(start[:7])) & (month <= F.lit(end[:7]))
+    return cond
+
+
 def period_trend(df: DataFrame, ts: str, fmt: str = MONTH, *, dims: Sequence[Dim] = (),
                  where: Column | None = None, count_col: str | None = None,
                  name: str = "total", period_name: str = "month") -> DataFrame:

@@ -15,7 +15,7 @@ from cartwheel.operators.conversion import conversion_measures
 from cartwheel.operators.pages import count_report
 from cartwheel.operators.sales import product_refunds, product_sales, product_success, sales_by_day_hour
 from cartwheel.operators.trends import (
-    filter_sessions, orders_with_session_dims, period_trend, sessions_and_orders_trend, ts_literal,
+    filter_sessions, orders_with_session_dims, period_trend, sessions_and_orders_trend, time_range,
 )
 from cartwheel.plans import params as P
 
@@ -198,7 +198,7 @@ def channel_monthly_conversion(t: Tables) -> DataFrame:
 def monthly_conversion_window(t: Tables) -> DataFrame:
     start, end = P.CONVERSION_WINDOW
     m = _monthly_conversion(t, [("month", period_key("created_at", MONTH_START))],
-                            F.col("created_at").between(ts_literal(start), ts_literal(end)))
+                            time_range(t["website_sessions"], start, end, closed=True))
     return m.orderBy("month")
 
 
@@ -208,19 +208,17 @@ def sessions_by_referer(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ funnel (R-25 .. R-28)
 
 
-def _funnel_where():
-    start, end = P.FUNNEL_WINDOW
-    ts = F.col("created_at")
+def _funnel_where(sessions: DataFrame):
     return (_src(P.GSEARCH) & (F.col("utm_campaign") == P.NONBRAND)
-            & (ts < ts_literal(end)) & (ts > ts_literal(start)))
+            & time_range(sessions, *P.FUNNEL_WINDOW))
 
 
 def funnel_pageviews(t: Tables) -> DataFrame:
-    return funnel.funnel_pageviews(t["website_sessions"], t["website_pageviews"], _funnel_where())
+    return funnel.funnel_pageviews(t["website_sessions"], t["website_pageviews"], _funnel_where(t["website_sessions"]))
 
 
 def funnel_sessions(t: Tables) -> DataFrame:
-    return funnel.funnel_sessions(t["website_sessions"], t["website_pageviews"], _funnel_where())
+    return funnel.funnel_sessions(t["website_sessions"], t["website_pageviews"], _funnel_where(t["website_sessions"]))
 
 
 def funnel_counts(t: Tables) -> DataFrame:

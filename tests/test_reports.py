@@ -158,3 +158,16 @@ def test_sql_over_registered_views(spark):
     register_views(spark, {"website_pageviews": t["website_pageviews"]})
     n = spark.sql("SELECT COUNT(*) FROM website_pageviews").first()[0]
     assert n == t["website_pageviews"].count()
+
+
+def test_time_range_prunes_month_folders(spark, tmp_path):
+    from cartwheel.operators.trends import time_range
+    pv = pageviews(spark, [(1, "/billing"), (2, "/billing")])
+    pv = pv.withColumn("created_month", F.date_format("created_at", "yyyy-MM"))
+    out = str(tmp_path / "pv")
+    pv.write.partitionBy("created_month").parquet(out)
+    back = spark.read.parquet(out)
+    q = back.where(time_range(back, "2024-06-19", "2024-07-28"))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_month" in plan and "2024-06" in plan
+    assert q.count() == 2
