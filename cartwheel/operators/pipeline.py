@@ -92,3 +92,13 @@ def clean_pipeline(df: DataFrame, rules: CleanRules, *, materialize: bool = Fals
         if isinstance(types[c], (T.TimestampNTZType, T.TimestampType)) and c in rules.group_mean_keys:
             out = impute_group_mean_datetime(out, c, rules.group_mean_keys[c])
     return out
+
+
+def clean_csv(spark, source: str, target: str, rules: CleanRules) -> DataFrame:
+    """The notebook end to end: pandas-style CSV read -> ``clean_pipeline`` -> CSV without an
+    index. The parsed input is written once as Parquet below ``spark.checkpoint.dir`` so the
+    statistics passes read columns instead of re-parsing the CSV. Returns the written table."""
+    from cartwheel.sources.csv import load_csv_inferred, write_csv
+    cleaned = clean_pipeline(load_csv_inferred(spark, source), rules, materialize=True)
+    write_csv(cleaned, target)
+    return cleaned

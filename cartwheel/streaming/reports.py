@@ -74,8 +74,13 @@ def windowed_counts(stream: DataFrame, ts: str, window: str, *, dims: Sequence[s
     """Counts per (event-time window, dims); with the watermark, finished windows can be
     emitted once in ``append`` mode and their state dropped."""
     measure = F.count(F.lit(1)) if count_col is None else F.count(F.col(count_col))
-    return (stream.withWatermark(ts, watermark)
-            .groupBy(F.window(F.col(ts), window).alias("window"), *dims)
+    zone_less = isinstance(stream.schema[ts].dataType, T.TimestampNTZType)
+    # Watermarks need TIMESTAMP; zone-less times are read in the session time zone and the
+    # window bounds converted back, so the output keeps the input's type.
+    event = F.col(ts).cast("timestamp") if zone_less else F.col(ts)
+    back = (lambda c: c.cast("timestamp_ntz")) if zone_less else (lambda c: c)
+    return (stream.withColumn("_event_time", event).withWatermark("_event_time", watermark)
+            .groupBy(F.window(F.col("_event_time"), window).alias("window"), *dims)
             .agg(measure.alias(name))
-            .select(F.col("window.start").alias("period_start"),
-                    F.col("window.end").alias("period_end"), *dims, name))
+            .select(back(F.col("window.start")).alias("period_start"),
+                    back(F.col("window.end")).alias("period_end"), *dims, name))

@@ -98,3 +98,26 @@ def test_clean_pipeline_fills_imputed_columns(spark):
     counts = {r["column"]: r["n_missing"] for r in profile.null_counts(out).collect()}
     assert counts == {"k": 0, "cat": 0, "num": 0, "txt": 0, "d": 0}
     assert out.where("txt = 'nodata'").count() == 5
+
+
+def test_clean_csv_end_to_end(spark, tmp_path):
+    from cartwheel.operators.pipeline import clean_csv
+    from cartwheel.sources.csv import load_csv_inferred
+    lines = ["ID,CATEGORY,CAP,EMAIL,REG_DATE,SPARSE"]
+    for i in range(30):
+        lines.append(",".join([
+            str(i), "shares" if i % 3 else "guarantee",
+            "" if i % 6 == 0 else str(1000 * i),
+            "NA" if i % 5 == 0 else f"a{i}@x.in",
+            "nodata" if i % 7 == 0 else f"2001-02-{(i % 27) + 1:02d}",
+            "" if i % 2 else "1.5"]))
+    src = tmp_path / "in.csv"
+    src.write_text("\n".join(lines) + "\n")
+    rules = CleanRules(median_columns=("CAP",), date_formats={"REG_DATE": "yyyy-MM-dd"},
+                       group_mean_keys={"REG_DATE": "CATEGORY"})
+    clean_csv(spark, str(src), str(tmp_path / "out"), rules)
+    back = load_csv_inferred(spark, str(tmp_path / "out"))
+    assert back.count() == 30 and "SPARSE" not in back.columns
+    counts = {r["column"]: r["n_missing"] for r in profile.null_counts(back).collect()}
+    assert all(v == 0 for v in counts.values()), counts
+    assert back.where("EMAIL = 'nodata'").count() == 6

@@ -29,3 +29,25 @@ def test_streamed_reports_equal_batch(spark):
     finally:
         views.query.stop()
         monthly.query.stop()
+
+
+def test_windowed_counts_equal_batch(spark):
+    from pyspark.sql import functions as F
+
+    from cartwheel.streaming import windowed_counts
+    pv = website_pageviews(spark, SF)
+    src = tempfile.mkdtemp(prefix="cartwheel-stream-win-")
+    pv.write.mode("overwrite").parquet(src)
+    stream = read_stream(spark, src, pv.schema)
+    report = start_report(stream, lambda s: windowed_counts(s, "created_at", "7 days", dims=["pageview_url"]),
+                          "pv_windows_test")
+    try:
+        report.query.processAllAvailable()
+        got = sorted(tuple(r) for r in spark.table("pv_windows_test").collect())
+    finally:
+        report.query.stop()
+    want = sorted(tuple(r) for r in (
+        pv.groupBy(F.window(F.col("created_at").cast("timestamp"), "7 days").alias("w"), "pageview_url").count()
+        .select(F.col("w.start").cast("timestamp_ntz"), F.col("w.end").cast("timestamp_ntz"),
+                "pageview_url", "count").collect()))
+    assert got == want
