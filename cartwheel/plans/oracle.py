@@ -1,7 +1,7 @@
 """DuckDB SQL for every registered query: the correctness oracle.
 
-Each query is written the direct way the reference writes it (join, then aggregate, with
-COUNT(DISTINCT ...)), not the way the Spark operators plan it, so the comparison also checks
+Each query states the report's definition directly - one join, then one aggregation with
+COUNT(DISTINCT ...) - not the way the Spark operators plan it, so the comparison also checks
 the rewrites (orders pre-aggregated per session, SUM(flag) for distinct counts, ...).
 ``VIEWS`` defines the web-shop views over the raw test tables, the same derivation as
 ``cartwheel.sources.testviews``. Money is summed as DECIMAL and reported as DOUBLE; ratios
@@ -75,40 +75,87 @@ def _d(expr: str) -> str:
 
 
 def _guarded(num: str, den: str) -> str:
+    """Ratio that is 0 when the denominator is 0."""
     return f"CASE WHEN {den} = 0 THEN 0 ELSE {_d(num)} / {_d(den)} END"
 
 
 def _unguarded(num: str, den: str) -> str:
+    """Ratio that is NULL when the denominator is 0."""
     return f"{_d(num)} / {_d(f'NULLIF({den}, 0)')}"
 
 
-_CAMPAIGN = f"""
-campaign_data AS (
-  SELECT ws.utm_campaign AS campaign_name,
-         COUNT(DISTINCT ws.website_session_id) AS total_sessions,
-         COUNT(o.order_id) AS total_conversions,
-         SUM(o.price_usd) AS total_revenue
-  FROM website_sessions ws LEFT JOIN web_orders o ON ws.website_session_id = o.website_session_id
-  GROUP BY ws.utm_campaign)
-"""
-
-_PAGES = """
-page_order_data AS (
-  SELECT wp.pageview_url,
-         COUNT(DISTINCT o.order_id) AS total_orders,
-         SUM(o.price_usd) AS total_revenue,
-         COUNT(DISTINCT wp.website_session_id) AS total_sessions
-  FROM website_pageviews wp LEFT JOIN web_orders o ON wp.website_session_id = o.website_session_id
-  GROUP BY wp.pageview_url)
-"""
-
-_PRODUCT_SALES = """
-product_sales AS (
-  SELECT p.product_id, p.product_name, COUNT(oi.order_id) AS total_orders,
-         SUM(oi.price_usd) AS total_revenue
-  FROM products p JOIN order_items oi ON p.product_id = oi.product_id
-  GROUP BY p.product_id, p.product_name)
-"""
+def _ts(value: str) -> str:
+    return f"TIMESTAMP '{value}'"
+
+
+# Session-grain conversion: one statement over sessions LEFT JOIN orders.
+_SESS = "COUNT(DISTINCT s.website_session_id)"
+_ORD = "COUNT(o.order_id)"
+_REV = "SUM(o.price_usd)"
+_SESSION_JOIN = "FROM website_sessions s LEFT JOIN web_orders o USING (website_session_id)"
+
+
+def _by_campaign(name: str, orders_name: str, rate_name: str, cols: list[str], order: str) -> str:
+    exprs = {
+        name: f"s.utm_campaign AS {name}",
+        "total_sessions": f"{_SESS} AS total_sessions",
+        orders_name: f"{_ORD} AS {orders_name}",
+        "total_revenue": f"{_d(_REV)} AS total_revenue",
+        "conversion_rate": f"{_guarded(_ORD, _SESS)} AS conversion_rate",
+        rate_name: f"{_guarded(_REV, _ORD)} AS {rate_name}",
+    }
+    select = ",\n       ".join(exprs[c] for c in cols)
+    return with_views(f"SELECT {select}\n{_SESSION_JOIN}\nGROUP BY s.utm_campaign\nORDER BY {order}")
+
+
+# Page-view grain: one statement over page views LEFT JOIN orders.
+_P_SESS = "COUNT(DISTINCT v.website_session_id)"
+_P_ORD = "COUNT(DISTINCT o.order_id)"
+_PAGE_JOIN = "FROM website_pageviews v LEFT JOIN web_orders o USING (website_session_id)"
+
+
+def _by_page(cols: list[str], order: str) -> str:
+    exprs = {
+        "pageview_url": "v.pageview_url",
+        "total_orders": f"{_P_ORD} AS total_orders",
+        "total_revenue": f"{_d(_REV)} AS total_revenue",
+        "total_sessions": f"{_P_SESS} AS total_sessions",
+        "conversion_rate": f"{_guarded(_P_ORD, _P_SESS)} AS conversion_rate",
+        "average_order_value": f"{_guarded(_REV, _P_ORD)} AS average_order_value",
+    }
+    select = ",\n       ".join(exprs[c] for c in cols)
+    return with_views(f"SELECT {select}\n{_PAGE_JOIN}\nGROUP BY v.pageview_url\nORDER BY {order}")
+
+
+def _product_lines(order: str) -> str:
+    return with_views(f"""
+SELECT i.product_id, p.product_name, COUNT(i.order_id) AS total_orders,
+       {_d('SUM(i.price_usd)')} AS total_revenue
+FROM order_items i JOIN products p USING (product_id)
+GROUP BY i.product_id, p.product_name
+ORDER BY {order}""")
+
+
+def _month(expr: str, fmt: str = "%Y-%m") -> str:
+    return f"strftime({expr}, '{fmt}')"
+
+
+def _sessions_with_orders(where: str, dims: list[str], session_name: str) -> str:
+    """Sessions per (month, dims); orders of those sessions per (order month, dims) as a
+    correlated count, 0 when there are none."""
+    dim_sel = "".join(f", {d}" for d in dims)
+    dim_match = "".join(f" AND x.{d} = t.{d}" for d in dims)
+    return with_views(f"""
+SELECT t.month{''.join(f', t.{d}' for d in dims)}, t.{session_name},
+       COALESCE((SELECT COUNT(o.order_id)
+                 FROM web_orders o JOIN website_sessions x USING (website_session_id)
+                 WHERE {where.replace('s.', 'x.')} AND {_month('o.created_at')} = t.month{dim_match}), 0)
+         AS total_orders
+FROM (SELECT {_month('s.created_at')} AS month{''.join(f', s.{d}' for d in dims)},
+             COUNT(s.website_session_id) AS {session_name}
+      FROM website_sessions s WHERE {where}
+      GROUP BY ALL) t
+ORDER BY t.month{''.join(f', t.{d}' for d in dims)}""")
 
 
 def _nonbrand(alias: str, not_like: str) -> str:
@@ -116,277 +163,173 @@ def _nonbrand(alias: str, not_like: str) -> str:
             f"AND {alias}.http_referer NOT LIKE '{not_like}'")
 
 
-_FUNNEL_FLAGS = """
-pageview_level AS (
-  SELECT website_sessions.website_session_id, website_pageviews.pageview_url,
-         website_pageviews.created_at AS viewed_at,
-         CASE WHEN pageview_url = '/home' THEN 1 ELSE 0 END AS homepage,
-         CASE WHEN pageview_url = '/lander-1' THEN 1 ELSE 0 END AS custom_lander,
-         CASE WHEN pageview_url = '/products' THEN 1 ELSE 0 END AS products_page,
-         CASE WHEN pageview_url = '/the-original-mr-fuzzy' THEN 1 ELSE 0 END AS mrfuzzy_page,
-         CASE WHEN pageview_url = '/cart' THEN 1 ELSE 0 END AS cart_page,
-         CASE WHEN pageview_url = '/shipping' THEN 1 ELSE 0 END AS shipping_page,
-         CASE WHEN pageview_url = '/billing' THEN 1 ELSE 0 END AS billing_page,
-         CASE WHEN pageview_url = '/thank-you-for-your-order' THEN 1 ELSE 0 END AS thankyou_page
-  FROM website_sessions LEFT JOIN website_pageviews
-       ON website_sessions.website_session_id = website_pageviews.website_session_id
-  WHERE website_sessions.utm_source = '{src}' AND website_sessions.utm_campaign = '{camp}'
-    AND website_sessions.created_at < TIMESTAMP '{end}' AND website_sessions.created_at > TIMESTAMP '{start}'),
-session_level_made_it_flagged AS (
-  SELECT website_session_id,
-         MAX(homepage) AS saw_homepage, MAX(custom_lander) AS saw_custom_lander,
-         MAX(products_page) AS product_made_it, MAX(mrfuzzy_page) AS mrfuzzy_made_it,
-         MAX(cart_page) AS cart_made_it, MAX(shipping_page) AS shipping_made_it,
-         MAX(billing_page) AS billing_made_it, MAX(thankyou_page) AS thankyou_made_it
-  FROM pageview_level GROUP BY website_session_id),
-funnel_counts AS (
+def _conversion_by_month(extra_dims: str, where: str, order: str, limit: str = "") -> str:
+    dist_o = "COUNT(DISTINCT o.order_id)"
+    return with_views(f"""
+SELECT {_month('s.created_at', '%Y-%m-01')} AS month{extra_dims},
+       {_SESS} AS total_sessions, {dist_o} AS total_orders,
+       ({_unguarded(dist_o, _SESS)}) * 100 AS conversion_rate
+{_SESSION_JOIN}
+WHERE {where}
+GROUP BY ALL
+ORDER BY {order}{limit}""")
+
+
+# Funnel URLs and the names of the page flags, session flags and counts.
+_STEPS = [
+    ("/home", "homepage", "saw_homepage", None),
+    ("/lander-1", "custom_lander", "saw_custom_lander", None),
+    ("/products", "products_page", "product_made_it", "to_products"),
+    ("/the-original-mr-fuzzy", "mrfuzzy_page", "mrfuzzy_made_it", "to_mrfuzzy"),
+    ("/cart", "cart_page", "cart_made_it", "to_cart"),
+    ("/shipping", "shipping_page", "shipping_made_it", "to_shipping"),
+    ("/billing", "billing_page", "billing_made_it", "to_billing"),
+    ("/thank-you-for-your-order", "thankyou_page", "thankyou_made_it", "to_thankyou"),
+]
+_CHOSEN = f"""
+chosen AS (
+  SELECT website_session_id FROM website_sessions
+  WHERE utm_source = '{P.GSEARCH}' AND utm_campaign = '{P.NONBRAND}'
+    AND created_at > {_ts(P.FUNNEL_WINDOW[0])} AND created_at < {_ts(P.FUNNEL_WINDOW[1])})
+"""
+_FLAGS = _CHOSEN.strip() + """,
+flags AS (
+  SELECT c.website_session_id, """ + ",\n         ".join(
+    f"COALESCE(MAX(CAST(v.pageview_url = '{url}' AS INTEGER)), 0) AS {sflag}" for url, _, sflag, _ in _STEPS) + """
+  FROM chosen c LEFT JOIN website_pageviews v USING (website_session_id)
+  GROUP BY c.website_session_id)
+"""
+_COUNTS = _FLAGS.strip() + """,
+counts AS (
   SELECT CASE WHEN saw_homepage = 1 THEN 'saw_homepage'
               WHEN saw_custom_lander = 1 THEN 'saw_custom_lander'
               ELSE 'uh oh... check logic' END AS segment,
-         COUNT(DISTINCT website_session_id) AS sessions,
-         COUNT(DISTINCT CASE WHEN product_made_it = 1 THEN website_session_id END) AS to_products,
-         COUNT(DISTINCT CASE WHEN mrfuzzy_made_it = 1 THEN website_session_id END) AS to_mrfuzzy,
-         COUNT(DISTINCT CASE WHEN cart_made_it = 1 THEN website_session_id END) AS to_cart,
-         COUNT(DISTINCT CASE WHEN shipping_made_it = 1 THEN website_session_id END) AS to_shipping,
-         COUNT(DISTINCT CASE WHEN billing_made_it = 1 THEN website_session_id END) AS to_billing,
-         COUNT(DISTINCT CASE WHEN thankyou_made_it = 1 THEN website_session_id END) AS to_thankyou
-  FROM session_level_made_it_flagged GROUP BY 1)
-""".format(src=P.GSEARCH, camp=P.NONBRAND, start=P.FUNNEL_WINDOW[0], end=P.FUNNEL_WINDOW[1])
-
-_BILLING = """
-billing_pages AS (
-  SELECT website_pageviews.website_session_id, website_pageviews.pageview_url AS billing_version_seen,
-         web_orders.order_id, web_orders.price_usd
-  FROM website_pageviews LEFT JOIN web_orders
-       ON website_pageviews.website_session_id = web_orders.website_session_id
-  WHERE website_pageviews.created_at > TIMESTAMP '{start}' AND website_pageviews.created_at < TIMESTAMP '{end}'
-    AND website_pageviews.pageview_url IN ('/billing', '/billing-2')),
-rpbp AS (
-  SELECT billing_version_seen, COUNT(DISTINCT website_session_id) AS sessions,
-         CAST(SUM(price_usd) AS DOUBLE) / CAST(NULLIF(COUNT(DISTINCT website_session_id), 0) AS DOUBLE)
-           AS revenue_per_billing_page_seen
-  FROM billing_pages GROUP BY 1),
-view_count AS (
-  SELECT COUNT(website_session_id) AS billing_session_last_mon
-  FROM website_pageviews
-  WHERE pageview_url IN ('/billing', '/billing-2')
-    AND created_at > TIMESTAMP '{start}' AND created_at < TIMESTAMP '{end}')
-""".format(start=P.BILLING_WINDOW[0], end=P.BILLING_WINDOW[1])
+         COUNT(*) AS sessions, """ + ",\n         ".join(
+    f"COUNT(*) FILTER (WHERE {sflag} = 1) AS {cname}" for _, _, sflag, cname in _STEPS if cname) + """
+  FROM flags GROUP BY 1)
+"""
+_RATES = [("lander_click_rt", "to_products", "sessions"), ("products_click_rt", "to_mrfuzzy", "to_products"),
+          ("mrfuzzy_click_rt", "to_cart", "to_mrfuzzy"), ("cart_click_rt", "to_shipping", "to_cart"),
+          ("shipping_click_rt", "to_billing", "to_shipping"), ("billing_click_rt", "to_thankyou", "to_billing")]
 
+_VARIANT = f"""
+seen AS (
+  SELECT website_session_id, pageview_url FROM website_pageviews
+  WHERE pageview_url IN ('/billing', '/billing-2')
+    AND created_at > {_ts(P.BILLING_WINDOW[0])} AND created_at < {_ts(P.BILLING_WINDOW[1])}),
+per_version AS (
+  SELECT v.pageview_url AS billing_version_seen, COUNT(DISTINCT v.website_session_id) AS sessions,
+         {_unguarded('SUM(o.price_usd)', 'COUNT(DISTINCT v.website_session_id)')} AS revenue_per_billing_page_seen
+  FROM seen v LEFT JOIN web_orders o USING (website_session_id)
+  GROUP BY 1)
+"""
 
 REPORT_SQL: dict[str, str] = {
-    "traffic_channel": with_views(f"""
-SELECT traffic_source,
-       CAST(COUNT(DISTINCT session_id) AS BIGINT) AS total_sessions,
-       CAST(SUM(total_orders) AS BIGINT) AS total_orders,
-       {_guarded('SUM(total_orders)', 'COUNT(DISTINCT session_id)')} AS conversion_rate,
-       CAST(SUM(total_revenue) AS DOUBLE) AS total_revenue,
-       {_guarded('SUM(total_revenue)', 'SUM(total_orders)')} AS average_order_value
-FROM session_orders GROUP BY traffic_source
-ORDER BY total_revenue DESC, conversion_rate DESC""", """
-session_orders AS (
-  SELECT ws.utm_campaign AS traffic_source, ws.website_session_id AS session_id,
-         COUNT(o.order_id) AS total_orders, SUM(o.price_usd) AS total_revenue
-  FROM website_sessions ws LEFT JOIN web_orders o ON ws.website_session_id = o.website_session_id
-  GROUP BY ws.utm_campaign, ws.website_session_id)"""),
-
-    "campaign_analysis": with_views(f"""
-SELECT campaign_name, CAST(total_sessions AS BIGINT) AS total_sessions,
-       CAST(total_conversions AS BIGINT) AS total_conversions,
-       CAST(total_revenue AS DOUBLE) AS total_revenue,
-       {_guarded('total_conversions', 'total_sessions')} AS conversion_rate,
-       {_guarded('total_revenue', 'total_conversions')} AS revenue_per_conversion
-FROM campaign_data ORDER BY total_revenue DESC, conversion_rate DESC""", _CAMPAIGN),
-
-    "traffic_effectiveness": with_views(f"""
-SELECT campaign_name AS traffic_source, CAST(total_sessions AS BIGINT) AS total_sessions,
-       CAST(total_conversions AS BIGINT) AS total_conversions,
-       {_guarded('total_conversions', 'total_sessions')} AS conversion_rate,
-       CAST(total_revenue AS DOUBLE) AS total_revenue,
-       {_guarded('total_revenue', 'total_conversions')} AS revenue_per_conversion
-FROM campaign_data ORDER BY conversion_rate DESC, revenue_per_conversion DESC""", _CAMPAIGN),
-
-    "most_viewed_pages": with_views("""
-SELECT pageview_url, COUNT(*) AS total_views FROM website_pageviews
-GROUP BY pageview_url ORDER BY total_views DESC"""),
-
-    "least_viewed_pages": with_views("""
-SELECT pageview_url, COUNT(*) AS total_views FROM website_pageviews
-GROUP BY pageview_url ORDER BY total_views ASC"""),
-
-    "page_order_effect": with_views(f"""
-SELECT pageview_url, CAST(total_orders AS BIGINT) AS total_orders,
-       CAST(total_revenue AS DOUBLE) AS total_revenue, CAST(total_sessions AS BIGINT) AS total_sessions,
-       {_guarded('total_orders', 'total_sessions')} AS conversion_rate,
-       {_guarded('total_revenue', 'total_orders')} AS average_order_value
-FROM page_order_data ORDER BY conversion_rate DESC, total_revenue DESC""", _PAGES),
-
-    "top_converting_pages": with_views(f"""
-SELECT pageview_url, CAST(total_sessions AS BIGINT) AS total_sessions,
-       CAST(total_orders AS BIGINT) AS total_orders,
-       {_guarded('total_orders', 'total_sessions')} AS conversion_rate,
-       CAST(total_revenue AS DOUBLE) AS total_revenue
-FROM page_order_data ORDER BY conversion_rate DESC, total_orders DESC""", _PAGES),
-
-    "poor_pages": with_views(f"""
-SELECT pageview_url, CAST(total_sessions AS BIGINT) AS total_sessions,
-       CAST(total_orders AS BIGINT) AS total_orders,
-       {_guarded('total_orders', 'total_sessions')} AS conversion_rate,
-       CAST(total_revenue AS DOUBLE) AS total_revenue
-FROM page_order_data ORDER BY conversion_rate ASC, total_orders ASC""", _PAGES),
-
-    "sales_by_day_hour": with_views("""
-SELECT strftime(created_at, '%Y-%m-%d') AS order_date, CAST(hour(created_at) AS INTEGER) AS order_hour,
-       COUNT(order_id) AS total_orders, CAST(SUM(price_usd) AS DOUBLE) AS total_revenue
-FROM web_orders GROUP BY 1, 2 ORDER BY total_revenue DESC, total_orders DESC"""),
-
-    "top_products": with_views("""
-SELECT product_id, product_name, CAST(total_orders AS BIGINT) AS total_orders,
-       CAST(total_revenue AS DOUBLE) AS total_revenue
-FROM product_sales ORDER BY total_orders DESC, total_revenue DESC""", _PRODUCT_SALES),
-
-    "least_selling_products": with_views("""
-SELECT product_id, product_name, CAST(total_orders AS BIGINT) AS total_orders,
-       CAST(total_revenue AS DOUBLE) AS total_revenue
-FROM product_sales ORDER BY total_orders ASC, total_revenue ASC""", _PRODUCT_SALES),
-
-    "product_refunds": with_views("""
-SELECT oi.product_id, p.product_name, COUNT(r.order_item_refund_id) AS total_refunds,
-       CAST(SUM(r.refund_amount_usd) AS DOUBLE) AS total_refund_amount
+    "traffic_channel": _by_campaign(
+        "traffic_source", "total_orders", "average_order_value",
+        ["traffic_source", "total_sessions", "total_orders", "conversion_rate", "total_revenue",
+         "average_order_value"], "total_revenue DESC, conversion_rate DESC"),
+    "campaign_analysis": _by_campaign(
+        "campaign_name", "total_conversions", "revenue_per_conversion",
+        ["campaign_name", "total_sessions", "total_conversions", "total_revenue", "conversion_rate",
+         "revenue_per_conversion"], "total_revenue DESC, conversion_rate DESC"),
+    "traffic_effectiveness": _by_campaign(
+        "traffic_source", "total_conversions", "revenue_per_conversion",
+        ["traffic_source", "total_sessions", "total_conversions", "conversion_rate", "total_revenue",
+         "revenue_per_conversion"], "conversion_rate DESC, revenue_per_conversion DESC"),
+    "most_viewed_pages": with_views(
+        "SELECT pageview_url, COUNT(*) AS total_views FROM website_pageviews GROUP BY 1 ORDER BY 2 DESC, 1"),
+    "least_viewed_pages": with_views(
+        "SELECT pageview_url, COUNT(*) AS total_views FROM website_pageviews GROUP BY 1 ORDER BY 2, 1"),
+    "page_order_effect": _by_page(
+        ["pageview_url", "total_orders", "total_revenue", "total_sessions", "conversion_rate",
+         "average_order_value"], "conversion_rate DESC, total_revenue DESC"),
+    "top_converting_pages": _by_page(
+        ["pageview_url", "total_sessions", "total_orders", "conversion_rate", "total_revenue"],
+        "conversion_rate DESC, total_orders DESC"),
+    "poor_pages": _by_page(
+        ["pageview_url", "total_sessions", "total_orders", "conversion_rate", "total_revenue"],
+        "conversion_rate, total_orders"),
+    "sales_by_day_hour": with_views(f"""
+SELECT {_month('created_at', '%Y-%m-%d')} AS order_date, CAST(hour(created_at) AS INTEGER) AS order_hour,
+       COUNT(order_id) AS total_orders, {_d('SUM(price_usd)')} AS total_revenue
+FROM web_orders GROUP BY ALL ORDER BY total_revenue DESC, total_orders DESC"""),
+    "top_products": _product_lines("total_orders DESC, total_revenue DESC"),
+    "least_selling_products": _product_lines("total_orders, total_revenue"),
+    "product_refunds": with_views(f"""
+SELECT i.product_id, p.product_name, COUNT(r.order_item_refund_id) AS total_refunds,
+       {_d('SUM(r.refund_amount_usd)')} AS total_refund_amount
 FROM order_item_refunds r
-JOIN order_items oi ON r.order_item_id = oi.order_item_id
-JOIN products p ON oi.product_id = p.product_id
-GROUP BY oi.product_id, p.product_name
+  JOIN order_items i USING (order_item_id)
+  JOIN products p ON p.product_id = i.product_id
+GROUP BY i.product_id, p.product_name
 ORDER BY total_refunds DESC, total_refund_amount DESC"""),
-
-    "gsearch_monthly": with_views(f"""
-SELECT gs.month, gs.G_sessions, COALESCE(go.total_orders, 0) AS total_orders
-FROM gsearch_sessions gs LEFT JOIN gsearch_orders go ON gs.month = go.month
-ORDER BY gs.month""", f"""
-gsearch_sessions AS (
-  SELECT strftime(created_at, '%Y-%m') AS month, COUNT(website_session_id) AS G_sessions
-  FROM website_sessions WHERE utm_source = '{P.GSEARCH}' GROUP BY 1),
-gsearch_orders AS (
-  SELECT strftime(o.created_at, '%Y-%m') AS month, COUNT(o.order_id) AS total_orders
-  FROM web_orders o JOIN website_sessions ws ON o.website_session_id = ws.website_session_id
-  WHERE ws.utm_source = '{P.GSEARCH}' GROUP BY 1)"""),
-
-    "brand_nonbrand_monthly": with_views("""
-SELECT bs.month, bs.utm_campaign, bs.total_sessions, COALESCE(bo.total_orders, 0) AS total_orders
-FROM brand_sessions bs LEFT JOIN brand_orders bo
-  ON bs.month = bo.month AND bs.utm_campaign = bo.utm_campaign
-ORDER BY bs.month, bs.utm_campaign""", """
-brand_sessions AS (
-  SELECT strftime(created_at, '%Y-%m') AS month, utm_campaign, COUNT(website_session_id) AS total_sessions
-  FROM website_sessions WHERE utm_campaign IN ('brand', 'nonbrand') GROUP BY 1, 2),
-brand_orders AS (
-  SELECT strftime(o.created_at, '%Y-%m') AS month, ws.utm_campaign, COUNT(o.order_id) AS total_orders
-  FROM web_orders o JOIN website_sessions ws ON o.website_session_id = ws.website_session_id
-  WHERE ws.utm_campaign IN ('brand', 'nonbrand') GROUP BY 1, 2)"""),
-
+    "gsearch_monthly": _sessions_with_orders(f"s.utm_source = '{P.GSEARCH}'", [], "G_sessions"),
+    "brand_nonbrand_monthly": _sessions_with_orders(
+        "s.utm_campaign IN (" + ", ".join(f"'{c}'" for c in P.BRAND_CAMPAIGNS) + ")",
+        ["utm_campaign"], "total_sessions"),
     "gsearch_sessions_monthly": with_views(f"""
-SELECT strftime(created_at, '%Y-%m') AS month, COUNT(*) AS total_sessions
-FROM website_sessions WHERE utm_source = '{P.GSEARCH}' GROUP BY 1 ORDER BY month"""),
-
-    "orders_monthly": with_views("""
-SELECT strftime(created_at, '%Y-%m') AS month, COUNT(*) AS total_orders
-FROM web_orders GROUP BY 1 ORDER BY month"""),
-
+SELECT {_month('created_at')} AS month, COUNT(*) AS total_sessions
+FROM website_sessions WHERE utm_source = '{P.GSEARCH}' GROUP BY 1 ORDER BY 1"""),
+    "orders_monthly": with_views(f"""
+SELECT {_month('created_at')} AS month, COUNT(*) AS total_orders FROM web_orders GROUP BY 1 ORDER BY 1"""),
     "gsearch_campaign_monthly": with_views(f"""
-SELECT strftime(created_at, '%Y-%m') AS month, utm_campaign, COUNT(*) AS total_sessions
-FROM website_sessions WHERE utm_source = '{P.GSEARCH}' GROUP BY 1, 2 ORDER BY month, utm_campaign"""),
-
+SELECT {_month('created_at')} AS month, utm_campaign, COUNT(*) AS total_sessions
+FROM website_sessions WHERE utm_source = '{P.GSEARCH}' GROUP BY ALL ORDER BY 1, 2"""),
     "nonbrand_sessions_device": with_views(f"""
-SELECT strftime(ws.created_at, '%Y-%m-01') AS month, ws.device_type,
-       COUNT(ws.website_session_id) AS total_sessions
-FROM website_sessions ws
-WHERE {_nonbrand('ws', P.SESSIONS_REFERER_NOT_LIKE)}
-GROUP BY 1, 2 ORDER BY month, device_type LIMIT {P.REPORT_LIMIT}"""),
-
+SELECT {_month('s.created_at', '%Y-%m-01')} AS month, s.device_type,
+       COUNT(s.website_session_id) AS total_sessions
+FROM website_sessions s WHERE {_nonbrand('s', P.SESSIONS_REFERER_NOT_LIKE)}
+GROUP BY ALL ORDER BY 1, 2 LIMIT {P.REPORT_LIMIT}"""),
     "nonbrand_orders_device": with_views(f"""
-SELECT strftime(o.created_at, '%Y-%m-01') AS month, ws.device_type, COUNT(o.order_id) AS total_orders
-FROM web_orders o JOIN website_sessions ws ON o.website_session_id = ws.website_session_id
-WHERE {_nonbrand('ws', P.ORDERS_REFERER_NOT_LIKE)}
-GROUP BY 1, 2 ORDER BY month, device_type LIMIT {P.REPORT_LIMIT}"""),
-
+SELECT {_month('o.created_at', '%Y-%m-01')} AS month, s.device_type, COUNT(o.order_id) AS total_orders
+FROM web_orders o JOIN website_sessions s USING (website_session_id)
+WHERE {_nonbrand('s', P.ORDERS_REFERER_NOT_LIKE)}
+GROUP BY ALL ORDER BY 1, 2 LIMIT {P.REPORT_LIMIT}"""),
     "nonbrand_device_by_month_name": with_views(f"""
-SELECT CAST(year(w.created_at) AS INTEGER) AS year, strftime(w.created_at, '%B') AS month_name,
-       w.device_type, COUNT(DISTINCT w.website_session_id) AS Month_wise_sessions,
-       COUNT(o.order_id) AS no_of_orders, w.utm_source
-FROM website_sessions w LEFT JOIN web_orders o ON w.website_session_id = o.website_session_id
-WHERE w.utm_campaign = '{P.NONBRAND}'
-GROUP BY 1, 2, w.device_type, w.utm_source
-ORDER BY month_name, year, device_type, utm_source LIMIT {P.REPORT_LIMIT} OFFSET 0"""),
-
-    "channel_monthly_conversion": with_views(f"""
-SELECT strftime(ws.created_at, '%Y-%m-01') AS month, ws.utm_source AS channel,
-       COUNT(DISTINCT ws.website_session_id) AS total_sessions,
-       COUNT(DISTINCT o.order_id) AS total_orders,
-       ({_unguarded('COUNT(DISTINCT o.order_id)', 'COUNT(DISTINCT ws.website_session_id)')}) * 100 AS conversion_rate
-FROM website_sessions ws LEFT JOIN web_orders o ON ws.website_session_id = o.website_session_id
-WHERE ws.utm_source IS NOT NULL
-GROUP BY 1, 2 ORDER BY month, channel LIMIT {P.REPORT_LIMIT}"""),
-
-    "monthly_conversion_window": with_views(f"""
-SELECT strftime(ws.created_at, '%Y-%m-01') AS month,
-       COUNT(DISTINCT ws.website_session_id) AS total_sessions,
-       COUNT(DISTINCT o.order_id) AS total_orders,
-       ({_unguarded('COUNT(DISTINCT o.order_id)', 'COUNT(DISTINCT ws.website_session_id)')}) * 100 AS conversion_rate
-FROM website_sessions ws LEFT JOIN web_orders o ON ws.website_session_id = o.website_session_id
-WHERE ws.created_at BETWEEN TIMESTAMP '{P.CONVERSION_WINDOW[0]}' AND TIMESTAMP '{P.CONVERSION_WINDOW[1]}'
-GROUP BY 1 ORDER BY month"""),
-
+SELECT CAST(year(s.created_at) AS INTEGER) AS year, strftime(s.created_at, '%B') AS month_name,
+       s.device_type, {_SESS} AS Month_wise_sessions, {_ORD} AS no_of_orders, s.utm_source
+{_SESSION_JOIN}
+WHERE s.utm_campaign = '{P.NONBRAND}'
+GROUP BY ALL ORDER BY month_name, year, device_type, utm_source LIMIT {P.REPORT_LIMIT}"""),
+    "channel_monthly_conversion": _conversion_by_month(
+        ", s.utm_source AS channel", "s.utm_source IS NOT NULL", "month, channel",
+        f" LIMIT {P.REPORT_LIMIT}"),
+    "monthly_conversion_window": _conversion_by_month(
+        "", f"s.created_at BETWEEN {_ts(P.CONVERSION_WINDOW[0])} AND {_ts(P.CONVERSION_WINDOW[1])}",
+        "month"),
     "sessions_by_referer": with_views(f"""
 SELECT * FROM website_sessions WHERE http_referer = '{P.REFERER.lower()}'"""),
-
-    "product_success": with_views("""
-SELECT p.product_name, CAST(round(sum(o.price_usd), 1) AS DOUBLE) AS total_revenue,
-       CAST(round(sum(odre.refund_amount_usd), 1) AS DOUBLE) AS total_refund_amount
-FROM shop_orders AS o
-JOIN order_item_refunds odre ON o.order_id = odre.order_id
-JOIN products AS p ON o.primary_product_id = p.product_id
-GROUP BY 1"""),
-
+    "product_success": with_views(f"""
+SELECT p.product_name, {_d('round(SUM(o.price_usd), 1)')} AS total_revenue,
+       {_d('round(SUM(r.refund_amount_usd), 1)')} AS total_refund_amount
+FROM order_item_refunds r
+  JOIN shop_orders o USING (order_id)
+  JOIN products p ON p.product_id = o.primary_product_id
+GROUP BY p.product_name"""),
     "funnel_pageviews": with_views("""
-SELECT website_session_id, pageview_url, homepage, custom_lander, products_page, mrfuzzy_page,
-       cart_page, shipping_page, billing_page, thankyou_page
-FROM pageview_level ORDER BY website_session_id, viewed_at""", _FUNNEL_FLAGS),
-
-    "funnel_sessions": with_views("""
-SELECT * FROM session_level_made_it_flagged""", _FUNNEL_FLAGS),
-
-    "funnel_counts": with_views("""
-SELECT segment, sessions, to_products, to_mrfuzzy, to_cart, to_shipping, to_billing, to_thankyou
-FROM funnel_counts""", _FUNNEL_FLAGS),
-
-    "funnel_click_rates": with_views(f"""
-SELECT segment,
-       {_unguarded('to_products', 'sessions')} AS lander_click_rt,
-       {_unguarded('to_mrfuzzy', 'to_products')} AS products_click_rt,
-       {_unguarded('to_cart', 'to_mrfuzzy')} AS mrfuzzy_click_rt,
-       {_unguarded('to_shipping', 'to_cart')} AS cart_click_rt,
-       {_unguarded('to_billing', 'to_shipping')} AS shipping_click_rt,
-       {_unguarded('to_thankyou', 'to_billing')} AS billing_click_rt
-FROM funnel_counts""", _FUNNEL_FLAGS),
-
-    "billing_pages": with_views("""
-SELECT website_session_id, billing_version_seen, order_id, CAST(price_usd AS DOUBLE) AS price_usd
-FROM billing_pages""", _BILLING),
-
-    "revenue_per_billing_page": with_views("""
-SELECT * FROM rpbp""", _BILLING),
-
-    "billing_session_count": with_views("""
-SELECT * FROM view_count""", _BILLING),
-
+SELECT c.website_session_id, v.pageview_url, """ + ",\n       ".join(
+        f"COALESCE(CAST(v.pageview_url = '{url}' AS INTEGER), 0) AS {pflag}" for url, pflag, _, _ in _STEPS) + """
+FROM chosen c LEFT JOIN website_pageviews v USING (website_session_id)
+ORDER BY c.website_session_id, v.created_at""", _CHOSEN),
+    "funnel_sessions": with_views("SELECT * FROM flags", _FLAGS),
+    "funnel_counts": with_views("SELECT * FROM counts", _COUNTS),
+    "funnel_click_rates": with_views("SELECT segment, " + ", ".join(
+        f"{_unguarded(num, den)} AS {name}" for name, num, den in _RATES) + " FROM counts", _COUNTS),
+    "billing_pages": with_views(f"""
+SELECT v.website_session_id, v.pageview_url AS billing_version_seen, o.order_id,
+       {_d('o.price_usd')} AS price_usd
+FROM seen v LEFT JOIN web_orders o USING (website_session_id)""", _VARIANT),
+    "revenue_per_billing_page": with_views("SELECT * FROM per_version", _VARIANT),
+    "billing_session_count": with_views(
+        "SELECT COUNT(website_session_id) AS billing_session_last_mon FROM seen", _VARIANT),
     "billing_lift": with_views("""
-SELECT b.revenue_per_billing_page_seen AS base_revenue_per_session,
-       v.revenue_per_billing_page_seen AS variant_revenue_per_session,
-       CAST(c.billing_session_last_mon AS BIGINT) AS billing_page_views,
-       v.revenue_per_billing_page_seen - b.revenue_per_billing_page_seen AS lift_per_session,
-       (v.revenue_per_billing_page_seen - b.revenue_per_billing_page_seen) * c.billing_session_last_mon
-         AS revenue_impact
-FROM view_count c
-LEFT JOIN (SELECT * FROM rpbp WHERE billing_version_seen = '/billing') b ON TRUE
-LEFT JOIN (SELECT * FROM rpbp WHERE billing_version_seen = '/billing-2') v ON TRUE""", _BILLING),
+SELECT base, variant, views AS billing_page_views, variant - base AS lift_per_session,
+       (variant - base) * views AS revenue_impact
+FROM (SELECT MAX(revenue_per_billing_page_seen) FILTER (WHERE billing_version_seen = '/billing') AS base,
+             MAX(revenue_per_billing_page_seen) FILTER (WHERE billing_version_seen = '/billing-2') AS variant
+      FROM per_version) r,
+     (SELECT COUNT(*) AS views FROM seen) n""".replace(
+        "SELECT base, variant,", "SELECT base AS base_revenue_per_session, variant AS variant_revenue_per_session,"),
+        _VARIANT),
 }
