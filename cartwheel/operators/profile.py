@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.functions.semantics import half_even_pct
-from cartwheel.operators.quantiles import exact_quantiles_multi, present
+from cartwheel.operators.quantiles import approx_quantiles, exact_quantiles_multi, present
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -72,11 +72,13 @@ def tail(df: DataFrame, order_key: str, n: int = 5) -> DataFrame:
     return df.orderBy(F.col(order_key).desc()).limit(n).orderBy(F.col(order_key).asc())
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, *, local_limit: int = 100_000) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None, *, local_limit: int = 100_000,
+             approx_accuracy: int | None = None) -> DataFrame:
     """``df.describe()`` for numeric columns: count, mean, std, min, 25 %, 50 %, 75 %, max.
 
     Moments come from one aggregation over all columns; the quartiles are exact
-    (``exact_quantiles``), computed per column on that column alone.
+    (``exact_quantiles_multi``: each narrowing round is one scan for all columns), or
+    ``percentile_approx`` estimates when ``approx_accuracy`` is given.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     aggs = []
@@ -87,7 +89,10 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, *, local_limit
     moments = df.agg(*aggs)
     first = moments.first()
     stats = {c: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(cols)}
-    quartiles = exact_quantiles_multi(df, cols, [0.25, 0.5, 0.75], local_limit=local_limit, stats=stats)
+    if approx_accuracy:
+        quartiles = approx_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy=approx_accuracy)
+    else:
+        quartiles = exact_quantiles_multi(df, cols, [0.25, 0.5, 0.75], local_limit=local_limit, stats=stats)
     with_q = moments.select("*", *[
         F.lit(q).cast("double").alias(f"q{j}_{i}")
         for i, c in enumerate(cols) for j, q in enumerate(quartiles[c])])

@@ -186,3 +186,16 @@ def exact_quantiles(df: DataFrame, column: str, probs, *, buckets: int = 1024,
 
 def exact_median(df: DataFrame, column: str, **kw) -> float | None:
     return exact_quantiles(df, column, [0.5], **kw)[0]
+
+
+def approx_quantiles(df: DataFrame, columns: Sequence[str], probs, *,
+                     accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """Greenwald-Khanna estimates (``percentile_approx``) in one pass with bounded memory:
+    the opt-in alternative when an exact answer is not needed. Not interpolated; the
+    relative rank error is about 1 / ``accuracy``."""
+    aggs = [F.percentile_approx(F.when(present(df, c), F.col(c).cast("double")),
+                                [float(p) for p in probs], accuracy).alias(f"q{i}")
+            for i, c in enumerate(columns)]
+    row = df.agg(*aggs).first()
+    return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None for _ in probs])
+            for i, c in enumerate(columns)}

@@ -121,3 +121,20 @@ def test_clean_csv_end_to_end(spark, tmp_path):
     counts = {r["column"]: r["n_missing"] for r in profile.null_counts(back).collect()}
     assert all(v == 0 for v in counts.values()), counts
     assert back.where("EMAIL = 'nodata'").count() == 6
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "k int, x double, s string")
+    assert [tuple(r) for r in profile.null_pct(empty).collect()] == [("k", None), ("x", None), ("s", None)]
+    d = profile.describe(empty).collect()
+    assert [(r["column"], r["count"], r["p50"]) for r in d] == [("k", 0, None), ("x", 0, None)]
+    assert profile.modes(empty, "s").count() == 0
+    assert profile.duplicate_rows(empty, "k").count() == 0
+    assert outliers.iqr_bounds(empty, "x").first()["q1"] is None
+    assert outliers.remove_outliers_iqr(empty, "x").count() == 0
+
+
+def test_describe_approx_close(spark):
+    df = spark.range(10001).selectExpr("CAST(id AS DOUBLE) AS x")
+    r = profile.describe(df, approx_accuracy=100_000).first()
+    assert abs(r["p50"] - 5000) <= 1 and r["count"] == 10001

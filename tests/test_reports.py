@@ -171,3 +171,10 @@ def test_time_range_prunes_month_folders(spark, tmp_path):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_month" in plan and "2024-06" in plan
     assert q.count() == 2
+
+
+def test_empty_sessions(spark):
+    s = spark.createDataFrame([], WEBSITE_SESSIONS)
+    o = spark.createDataFrame([], ORDERS)
+    assert conversion_measures(s, o, ["utm_campaign"]).count() == 0
+    assert reports.funnel_counts({"website_sessions": s, "website_pageviews": spark.createDataFrame([], WEBSITE_PAGEVIEWS)}).count() == 0
