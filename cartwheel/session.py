@@ -74,3 +74,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for a written intermediate table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
+
+
+def cluster_conf(shuffle_bytes: float, *, cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Suggested settings for a job whose largest shuffle moves about ``shuffle_bytes``.
+
+    Start with enough shuffle partitions that each holds ~``target_partition_bytes`` (and at
+    least 3 per core); AQE then coalesces the small ones and splits skewed ones, so erring
+    high is cheap. Example: 20 TB shuffled on 1000 executors x 8 cores -> 160 000 partitions.
+    """
+    partitions = max(int(shuffle_bytes // target_partition_bytes) + 1, 3 * cores)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    }

@@ -43,3 +43,10 @@ def test_between_date_string_upper_bound_is_midnight(spark):
                                "ts timestamp_ntz")
     kept = df.where(F.col("ts").between(ts_literal("2012-01-01"), ts_literal("2012-08-31"))).count()
     assert kept == 1
+
+
+def test_cluster_conf_scales_partitions():
+    from cartwheel.session import cluster_conf
+    conf = cluster_conf(20 * 2**40, cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 163841
+    assert int(cluster_conf(1 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 24
