@@ -49,15 +49,26 @@ def _is_float(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
 
 
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def fill_missing(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    """Replace missing cells (NULL, and NaN in floating columns) by per-column values."""
+    """Replace missing cells (NULL, and NaN in floating columns) by per-column values.
+
+    An integer column filled with a fractional value (a mean, an interpolated median) becomes
+    DOUBLE, as it already is in pandas once it holds a missing value; the value is not cut.
+    """
     out = []
     for c in df.columns:
-        if c in values and values[c] is not None:
-            out.append(F.when(present(df, c), F.col(c))
-                       .otherwise(F.lit(values[c]).cast(df.schema[c].dataType)).alias(c))
-        else:
+        value = values.get(c)
+        if value is None:
             out.append(F.col(c))
+            continue
+        dtype = df.schema[c].dataType
+        if isinstance(dtype, INTEGRAL) and isinstance(value, float) and not value.is_integer():
+            dtype = T.DoubleType()
+        out.append(F.when(present(df, c), F.col(c).cast(dtype))
+                   .otherwise(F.lit(value).cast(dtype)).alias(c))
     return df.select(*out)
 
 

@@ -138,3 +138,12 @@ def test_describe_approx_close(spark):
     df = spark.range(10001).selectExpr("CAST(id AS DOUBLE) AS x")
     r = profile.describe(df, approx_accuracy=100_000).first()
     assert abs(r["p50"] - 5000) <= 1 and r["count"] == 10001
+
+
+def test_integer_column_takes_fractional_fill(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "x long")
+    out = impute.impute_median(df, "x")
+    assert out.schema["x"].dataType.simpleString() == "double"
+    assert sorted(r[0] for r in out.collect()) == [1.0, 1.5, 2.0]
+    same = impute.impute_median(spark.createDataFrame([(1,), (3,), (None,)], "x long"), "x")
+    assert same.schema["x"].dataType.simpleString() == "bigint"
