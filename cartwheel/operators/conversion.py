@@ -85,7 +85,7 @@ def conversion_measures(facts: DataFrame, orders: DataFrame, dims: Sequence[Dim]
     else:
         revenue = F.col("revenue") * F.col("n_rows")
     return joined.groupBy(*dim_names).agg(
-        F.count(F.lit(1)).alias("total_sessions"),
+        F.count(F.col(key)).alias("total_sessions"),  # COUNT(DISTINCT key): NULL ids excluded
         F.sum(order_count).cast("bigint").alias("total_orders"),
         F.sum(revenue).cast("double").alias("total_revenue"),
     )

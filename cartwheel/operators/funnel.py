@@ -97,15 +97,19 @@ def segment_column(spec: FunnelSpec = LANDING_FUNNEL) -> Column:
     return seg.otherwise(F.lit(spec.default_segment))
 
 
-def funnel_counts(flags: DataFrame, spec: FunnelSpec = LANDING_FUNNEL) -> DataFrame:
+def funnel_counts(flags: DataFrame, spec: FunnelSpec = LANDING_FUNNEL, *,
+                  key: str = SESSION_KEY) -> DataFrame:
     """Sessions per segment and how many reached each step.
 
     ``flags`` has one row per session, so ``COUNT(DISTINCT CASE WHEN f = 1 THEN id END)``
-    equals ``SUM(f)``: one aggregation without an ``Expand`` per distinct count.
+    equals ``SUM(f)`` over rows with an id: one aggregation without an ``Expand`` per
+    distinct count.
     """
+    has_id = F.col(key).isNotNull()
     return flags.groupBy(segment_column(spec).alias("segment")).agg(
-        F.count(F.lit(1)).alias("sessions"),
-        *[F.sum(F.col(session_flag)).cast("bigint").alias(name) for session_flag, name in spec.counts])
+        F.count(F.col(key)).alias("sessions"),
+        *[F.coalesce(F.sum(F.when(has_id, F.col(session_flag))), F.lit(0)).cast("bigint").alias(name)
+          for session_flag, name in spec.counts])
 
 
 def funnel_rates(counts: DataFrame, spec: FunnelSpec = LANDING_FUNNEL) -> DataFrame:

@@ -178,3 +178,16 @@ def test_empty_sessions(spark):
     o = spark.createDataFrame([], ORDERS)
     assert conversion_measures(s, o, ["utm_campaign"]).count() == 0
     assert reports.funnel_counts({"website_sessions": s, "website_pageviews": spark.createDataFrame([], WEBSITE_PAGEVIEWS)}).count() == 0
+
+
+def test_null_session_ids_are_not_sessions(spark):
+    pv = spark.createDataFrame([(1, T0, None, "/home"), (2, T0, 5, "/home")], WEBSITE_PAGEVIEWS)
+    o = orders(spark, [(10, 5, "3.00")])
+    r = conversion_measures(pv, o, ["pageview_url"], facts_unique_per_key=False, distinct_orders=True).first()
+    assert (r["total_sessions"], r["total_orders"], r["total_revenue"]) == (1, 1, 3.0)
+    flags = spark.createDataFrame([(None, 1, 0, 1, 0, 0, 0, 0, 0), (7, 1, 0, 1, 0, 0, 0, 0, 0)],
+                                  "website_session_id long, saw_homepage int, saw_custom_lander int, "
+                                  "product_made_it int, mrfuzzy_made_it int, cart_made_it int, "
+                                  "shipping_made_it int, billing_made_it int, thankyou_made_it int")
+    c = funnel.funnel_counts(flags).first()
+    assert (c["sessions"], c["to_products"], c["to_cart"]) == (1, 1, 0)
