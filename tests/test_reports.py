@@ -191,3 +191,12 @@ def test_null_session_ids_are_not_sessions(spark):
                                   "shipping_made_it int, billing_made_it int, thankyou_made_it int")
     c = funnel.funnel_counts(flags).first()
     assert (c["sessions"], c["to_products"], c["to_cart"]) == (1, 1, 0)
+
+
+def test_variant_views_null_session(spark):
+    pv = spark.createDataFrame([(1, datetime(2024, 9, 20), None, "/billing"),
+                                (2, datetime(2024, 9, 20), 1, "/billing")], WEBSITE_PAGEVIEWS)
+    o = orders(spark, [(10, 1, "4.00")])
+    r = abtest.revenue_per_view(pv, o, abtest.BILLING_URLS, "2024-09-10", "2024-11-10").first()
+    assert (r["sessions"], r["revenue_per_billing_page_seen"]) == (1, 4.0)
+    assert abtest.variant_view_count(pv, abtest.BILLING_URLS, "2024-09-10", "2024-11-10").first()[0] == 1
