@@ -59,6 +59,24 @@ def orders_with_session_dims(orders: DataFrame, sessions: DataFrame, dim_cols: S
     return o.join(s, key, "inner")
 
 
+def order_counts_by_session_dims(orders: DataFrame, sessions: DataFrame, fmt: str = MONTH, *,
+                                 dims: Sequence[str] = (), where: Column | None = None,
+                                 name: str = "total_orders", key: str = SESSION_KEY,
+                                 period_name: str = "month") -> DataFrame:
+    """``COUNT(order_id)`` per (order period, session dims) over ``orders JOIN sessions``.
+
+    Orders are first reduced to one row per (session, order period) with a partial
+    aggregation, so the join sees at most one row per session and period however many
+    orders a session has; the filtered sessions contribute only the key and the dimensions.
+    """
+    per = (orders.select(key, period_key("created_at", fmt).alias(period_name), "order_id")
+           .groupBy(key, period_name).agg(F.count("order_id").alias("_n")))
+    s = sessions if where is None else sessions.where(where)
+    s = s.select(F.col(key), *[F.col(c) for c in dims if c != key])
+    return (per.join(s, key, "inner").groupBy(period_name, *dims)
+            .agg(F.sum("_n").cast("bigint").alias(name)))
+
+
 def sessions_and_orders_trend(sessions: DataFrame, orders: DataFrame, fmt: str = MONTH, *,
                               dims: Sequence[str] = (), where: Column | None = None,
                               session_name: str = "total_sessions",
@@ -73,9 +91,8 @@ def sessions_and_orders_trend(sessions: DataFrame, orders: DataFrame, fmt: str =
     """
     s = period_trend(sessions, "created_at", fmt, dims=dims, where=where, count_col=key,
                      name=session_name, period_name=period_name)
-    o_rows = orders_with_session_dims(orders, sessions, dims, where=where, key=key)
-    o = period_trend(o_rows, "order_created_at", fmt, dims=dims, count_col="order_id",
-                     name=order_name, period_name=period_name)
+    o = order_counts_by_session_dims(orders, sessions, fmt, dims=dims, where=where, name=order_name,
+                                     key=key, period_name=period_name)
     keys = [period_name, *dims]
     return (s.join(o, keys, "left")
             .select(*keys, session_name, F.coalesce(F.col(order_name), F.lit(0)).alias(order_name)))

@@ -15,7 +15,7 @@ from cartwheel.operators.conversion import conversion_measures
 from cartwheel.operators.pages import count_report
 from cartwheel.operators.sales import product_refunds, product_sales, product_success, sales_by_day_hour
 from cartwheel.operators.trends import (
-    filter_sessions, orders_with_session_dims, period_trend, sessions_and_orders_trend, time_range,
+    filter_sessions, order_counts_by_session_dims, period_trend, sessions_and_orders_trend, time_range,
 )
 from cartwheel.plans import params as P
 
@@ -162,10 +162,8 @@ def nonbrand_sessions_device(t: Tables) -> DataFrame:
 
 
 def nonbrand_orders_device(t: Tables) -> DataFrame:
-    rows = orders_with_session_dims(t["orders"], t["website_sessions"], ["device_type"],
-                                    where=_nonbrand_filter(P.ORDERS_REFERER_NOT_LIKE))
-    return (period_trend(rows, "order_created_at", MONTH_START, dims=["device_type"],
-                         count_col="order_id", name="total_orders")
+    return (order_counts_by_session_dims(t["orders"], t["website_sessions"], MONTH_START, dims=["device_type"],
+                                         where=_nonbrand_filter(P.ORDERS_REFERER_NOT_LIKE))
             .orderBy("month", "device_type").limit(P.REPORT_LIMIT))
 
 
