@@ -202,14 +202,44 @@ def first_keys(df: DataFrame, subset: Sequence[str], order_key: str) -> DataFram
     return df.groupBy(*subset).agg(F.min(order_key).alias(order_key)).select(order_key)
 
 
+def _row_hashes(subset: Sequence[str]) -> list[Column]:
+    """Two independent hashes of the compared values (64 + 32 bits)."""
+    cols = [F.col(c) for c in subset]
+    return [F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2")]
+
+
+# Largest number of multi-member hash groups shipped to every task (~24 bytes each).
+MAX_BROADCAST_HASH_GROUPS = 2_000_000
+
+
+def _duplicate_candidates(df: DataFrame, subset: Sequence[str], order_key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a copy, their hash groups).
+
+    Only the hashes are shuffled to find hash groups with more than one member; rows in
+    single-member groups are certainly unique. The groups are counted first (one job over
+    12-byte rows); when there are at most ``MAX_BROADCAST_HASH_GROUPS`` they are broadcast,
+    so cutting out the candidates moves no full rows (long texts) at all. Beyond that bound
+    the cut is a shuffle join on the hashes.
+    """
+    hashed = df.select("*", *_row_hashes(subset))
+    multi = (hashed.select("_h1", "_h2").groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > 1).select("_h1", "_h2"))
+    if multi.count() <= MAX_BROADCAST_HASH_GROUPS:
+        multi = F.broadcast(multi)
+    return hashed.join(multi, ["_h1", "_h2"], "left_semi"), multi
+
+
 def duplicate_rows(df: DataFrame, order_key: str, subset: Sequence[str] | None = None) -> DataFrame:
     """``df[df.duplicated()]``: rows whose ``subset`` values (default: all but the key) already
     occurred at a smaller ``order_key``. ``order_key`` must be unique.
 
-    Joins on the unique key, never on the (possibly hot) duplicated values.
+    Exact: hashes only choose the candidates; among them the values themselves are grouped,
+    and the result is a join on the unique key, never on the (possibly hot) values.
     """
     subset = list(subset) if subset is not None else [c for c in df.columns if c != order_key]
-    return df.join(first_keys(df, subset, order_key), order_key, "left_anti")
+    cand, _ = _duplicate_candidates(df, subset, order_key)
+    return (cand.join(first_keys(cand, subset, order_key), order_key, "left_anti")
+            .select(*df.columns))
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
@@ -217,13 +247,16 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
     """``df.drop_duplicates()``: one row per distinct ``subset``; with ``order_key`` the first.
 
     Without a key all columns are compared and any copy is as good as another
-    (``dropDuplicates``); with a key the kept row is the one with the smallest key, found by
-    a partial aggregation and a join on the unique key.
+    (``dropDuplicates``). With a key: rows without a possible copy (by hash) are kept as
+    they are; among the candidates the row with the smallest key per value is kept.
     """
     if order_key is None:
         return df.dropDuplicates(list(subset) if subset else None)
     subset = list(subset) if subset is not None else [c for c in df.columns if c != order_key]
-    return df.join(first_keys(df, subset, order_key), order_key, "left_semi")
+    cand, multi = _duplicate_candidates(df, subset, order_key)
+    unique = df.select("*", *_row_hashes(subset)).join(multi, ["_h1", "_h2"], "left_anti")
+    firsts = cand.join(first_keys(cand, subset, order_key), order_key, "left_semi")
+    return unique.select(*df.columns).unionByName(firsts.select(*df.columns))
 
 
 def categorical_value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -147,3 +147,15 @@ def test_integer_column_takes_fractional_fill(spark):
     assert sorted(r[0] for r in out.collect()) == [1.0, 1.5, 2.0]
     same = impute.impute_median(spark.createDataFrame([(1,), (3,), (None,)], "x long"), "x")
     assert same.schema["x"].dataType.simpleString() == "bigint"
+
+
+def test_duplicates_exact_under_hash_collisions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rows = [(1, "a", None), (2, "a", None), (3, "b", "x"), (4, "b", "y"), (5, "a", None), (6, "c", "x")]
+    df = spark.createDataFrame(rows, "k int, t string, u string")
+    want_dup = sorted(r["k"] for r in profile.duplicate_rows(df, "k").collect())
+    want_keep = sorted(r["k"] for r in profile.drop_duplicates(df, order_key="k").collect())
+    monkeypatch.setattr(profile, "_row_hashes",
+                        lambda subset: [F.lit(0).cast("bigint").alias("_h1"), F.lit(0).alias("_h2")])
+    assert sorted(r["k"] for r in profile.duplicate_rows(df, "k").collect()) == want_dup == [2, 5]
+    assert sorted(r["k"] for r in profile.drop_duplicates(df, order_key="k").collect()) == want_keep == [1, 3, 4, 6]
