@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.semantics import flag, ratio
 from cartwheel.operators.conversion import SESSION_KEY
+from cartwheel.operators.joins import bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -76,11 +77,13 @@ def funnel_sessions(sessions: DataFrame, pageviews: DataFrame, where: Column,
                     spec: FunnelSpec = LANDING_FUNNEL, *, key: str = SESSION_KEY) -> DataFrame:
     """One row per chosen session: 1 when the session ever reached each step.
 
-    Page views are first cut to the chosen sessions (semi join), then reduced to one row per
-    session with a partial aggregation, then attached to the sessions.
+    Page views are first cut to the chosen sessions (semi join; the chosen ids are broadcast
+    when counted under ``MAX_BROADCAST_ROWS``, so page views are not shuffled for the cut),
+    then reduced to one row per session with a partial aggregation, then attached to the
+    sessions.
     """
     s = sessions.where(where).select(key)
-    pv = pageviews.select(key, "pageview_url").join(s, key, "left_semi")
+    pv = pageviews.select(key, "pageview_url").join(bounded_broadcast(s), key, "left_semi")
     per_session = pv.groupBy(key).agg(*[
         F.max(flag(F.col("pageview_url") == url)).alias(session_flag)
         for url, _, session_flag in spec.steps])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartwheel.operators.joins import bounded_broadcast
 from cartwheel.operators.profile import NUMERIC, null_pct
 from cartwheel.operators.quantiles import exact_median, present
 
@@ -137,10 +138,11 @@ def impute_group_mean_datetime(df: DataFrame, column: str, key: str) -> DataFram
     """``groupby(key)[column].transform(lambda x: x.fillna(x.mean()))``.
 
     Group means are a grouped aggregation (partial, so a hot group is cheap) joined back on
-    the key; AQE turns the join into a broadcast when the means are small, and splits a hot
-    key's partition otherwise. Rows with a NULL key and all-missing groups stay NULL.
+    the key: broadcast when there are at most ``MAX_BROADCAST_ROWS`` groups (counted), so the
+    table is not shuffled at all; otherwise a shuffle join in which AQE splits a hot key's
+    partition. Rows with a NULL key and all-missing groups stay NULL.
     """
-    means = group_mean_datetime(df, column, key)
+    means = bounded_broadcast(group_mean_datetime(df, column, key))
     cols = [F.coalesce(F.col(column), F.col("_mean")).alias(column) if c == column else F.col(c)
             for c in df.columns]
     return df.join(means, key, "left").select(*cols)

@@ -200,3 +200,13 @@ def test_variant_views_null_session(spark):
     r = abtest.revenue_per_view(pv, o, abtest.BILLING_URLS, "2024-09-10", "2024-11-10").first()
     assert (r["sessions"], r["revenue_per_billing_page_seen"]) == (1, 4.0)
     assert abtest.variant_view_count(pv, abtest.BILLING_URLS, "2024-09-10", "2024-11-10").first()[0] == 1
+
+
+def test_bounded_broadcast(spark):
+    from cartwheel.operators.joins import bounded_broadcast
+    small = spark.range(10)
+    hinted = bounded_broadcast(small, max_rows=10)
+    plan = spark.range(100).join(hinted, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    big = bounded_broadcast(spark.range(11), max_rows=10)
+    assert not big.is_cached
