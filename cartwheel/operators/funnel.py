@@ -66,8 +66,9 @@ def funnel_pageviews(sessions: DataFrame, pageviews: DataFrame, where: Column,
                      spec: FunnelSpec = LANDING_FUNNEL, *, key: str = SESSION_KEY) -> DataFrame:
     """One row per page view of the chosen sessions with a 0/1 flag per funnel step,
     ordered by session and view time. A session without views gives one all-zero row."""
-    s = sessions.where(where).select(key)
-    pv = pageviews.select(key, "pageview_url", F.col("created_at").alias("viewed_at"))
+    s = bounded_broadcast(sessions.where(where).select(key))
+    pv = (pageviews.select(key, "pageview_url", F.col("created_at").alias("viewed_at"))
+          .join(s, key, "left_semi"))  # cut the page views without shuffling them
     rows = s.join(pv, key, "left")
     return (rows.orderBy(F.col(key), F.col("viewed_at"))
             .select(key, "pageview_url", *_page_flags(spec)))

@@ -46,19 +46,6 @@ def period_trend(df: DataFrame, ts: str, fmt: str = MONTH, *, dims: Sequence[Dim
     return f.select(*cols, *extra).groupBy(*names).agg(measure.alias(name))
 
 
-def orders_with_session_dims(orders: DataFrame, sessions: DataFrame, dim_cols: Sequence[str], *,
-                             where: Column | None = None, key: str = SESSION_KEY) -> DataFrame:
-    """``orders JOIN sessions USING (key)`` keeping the order columns and session ``dim_cols``.
-
-    Session filters are applied before the join; the session side is projected to the key
-    and the dimensions, so only those columns are read and shuffled.
-    """
-    s = sessions if where is None else sessions.where(where)
-    s = s.select(F.col(key), *[F.col(c) for c in dim_cols if c != key])
-    o = orders.select(key, "order_id", F.col("created_at").alias("order_created_at"), "price_usd")
-    return o.join(s, key, "inner")
-
-
 def order_counts_by_session_dims(orders: DataFrame, sessions: DataFrame, fmt: str = MONTH, *,
                                  dims: Sequence[str] = (), where: Column | None = None,
                                  name: str = "total_orders", key: str = SESSION_KEY,
