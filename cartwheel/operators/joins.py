@@ -9,22 +9,21 @@ ordinary shuffle join (with AQE's skew splitting) stays in place.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwheel.session import checkpoint_dir
+
 # Default row bound for broadcasting a computed side (a few tens of MB as a hashed relation).
 MAX_BROADCAST_ROWS = 2_000_000
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(small)`` if it has at most ``max_rows`` rows, else ``small`` unchanged.
+    """``broadcast(small)`` if it has at most ``max_rows`` rows, else the materialised frame.
 
-    The frame is persisted (memory and disk) so the count and the join read it once; lost
-    blocks are recomputed from lineage. A frame above the bound is unpersisted again.
+    The frame is checkpointed into ``spark.checkpoint.dir`` (the shared folder; it is computed
+    once, holds no executor memory afterwards and survives executor loss), then counted.
     """
-    cached = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if cached.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return small
+    checkpoint_dir(small.sparkSession)
+    done = small.checkpoint(eager=True)
+    return F.broadcast(done) if done.limit(max_rows + 1).count() <= max_rows else done

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.functions.semantics import half_even_pct
+from cartwheel.operators.joins import bounded_broadcast
 from cartwheel.operators.quantiles import approx_quantiles, exact_quantiles_multi, present
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -216,16 +217,16 @@ def _duplicate_candidates(df: DataFrame, subset: Sequence[str], order_key: str)
     """(rows that may have a copy, their hash groups).
 
     Only the hashes are shuffled to find hash groups with more than one member; rows in
-    single-member groups are certainly unique. The groups are counted first (one job over
-    12-byte rows); when there are at most ``MAX_BROADCAST_HASH_GROUPS`` they are broadcast,
+    single-member groups are certainly unique. The groups are checkpointed and counted first
+    (one job over 12-byte rows); when there are at most ``MAX_BROADCAST_HASH_GROUPS`` they are
+    broadcast,
     so cutting out the candidates moves no full rows (long texts) at all. Beyond that bound
     the cut is a shuffle join on the hashes.
     """
     hashed = df.select("*", *_row_hashes(subset))
     multi = (hashed.select("_h1", "_h2").groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") > 1).select("_h1", "_h2"))
-    if multi.count() <= MAX_BROADCAST_HASH_GROUPS:
-        multi = F.broadcast(multi)
+    multi = bounded_broadcast(multi, MAX_BROADCAST_HASH_GROUPS)
     return hashed.join(multi, ["_h1", "_h2"], "left_semi"), multi
 
 

@@ -209,4 +209,5 @@ def test_bounded_broadcast(spark):
     plan = spark.range(100).join(hinted, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     big = bounded_broadcast(spark.range(11), max_rows=10)
-    assert not big.is_cached
+    plan = spark.range(100).join(big, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower() and big.count() == 11
