@@ -3,9 +3,9 @@
 Joins to ``products`` come last: the fact side (items, refunds) is first aggregated to one
 row per product id, so the join and the final grouping by (id, name) work on product-sized
 data. Grouping again after the join keeps the reference's results when a product id occurs
-twice in ``products`` (each copy repeats the product's totals). Refund lines (or refunds per
-order) meet the big item / order tables through ``bounded_broadcast``: when they are few
-enough, the big table is not shuffled for that join.
+twice in ``products`` (each copy repeats the product's totals). Refund lines are a sizeable
+share of item lines at scale, so those joins stay shuffle joins (AQE broadcasts them at
+runtime when a measured side is small).
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.functions.semantics import DAY, period_key
-from cartwheel.operators.joins import bounded_broadcast
 
 
 def sales_by_day_hour(orders: DataFrame) -> DataFrame:
@@ -39,7 +38,7 @@ def product_sales(products: DataFrame, items: DataFrame) -> DataFrame:
 
 def product_refunds(refunds: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """``refunds JOIN order_items JOIN products``: refund count and amount per product."""
-    r = bounded_broadcast(refunds.select("order_item_id", "order_item_refund_id", "refund_amount_usd"))
+    r = refunds.select("order_item_id", "order_item_refund_id", "refund_amount_usd")
     per_product = (items.select("order_item_id", "product_id").join(r, "order_item_id")
                    .groupBy("product_id")
                    .agg(F.count("order_item_refund_id").alias("n"),
@@ -59,8 +58,8 @@ def product_success(orders: DataFrame, refunds: DataFrame, products: DataFrame,
     other products in the order are charged to the primary product. Refunds are reduced to
     one row per order first, so the price repetition is a multiplication, not a fan-out.
     """
-    per_order = bounded_broadcast(refunds.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n_refund_rows"), F.sum("refund_amount_usd").alias("refund")))
+    per_order = refunds.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("n_refund_rows"), F.sum("refund_amount_usd").alias("refund"))
     per_product = (orders.select("order_id", "primary_product_id", "price_usd")
                    .join(per_order, "order_id")
                    .groupBy("primary_product_id")
