@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.semantics import flag, ratio
 from cartwheel.operators.conversion import SESSION_KEY
-from cartwheel.operators.joins import bounded_broadcast
+from cartwheel.operators.joins import materialize_bounded
 
 
 @dataclass(frozen=True)
@@ -66,9 +66,9 @@ def funnel_pageviews(sessions: DataFrame, pageviews: DataFrame, where: Column,
                      spec: FunnelSpec = LANDING_FUNNEL, *, key: str = SESSION_KEY) -> DataFrame:
     """One row per page view of the chosen sessions with a 0/1 flag per funnel step,
     ordered by session and view time. A session without views gives one all-zero row."""
-    s = bounded_broadcast(sessions.where(where).select(key))
+    s, fits = materialize_bounded(sessions.where(where).select(key))
     pv = (pageviews.select(key, "pageview_url", F.col("created_at").alias("viewed_at"))
-          .join(s, key, "left_semi"))  # cut the page views without shuffling them
+          .join(F.broadcast(s) if fits else s, key, "left_semi"))  # cut without shuffling them
     rows = s.join(pv, key, "left")
     return (rows.orderBy(F.col(key), F.col("viewed_at"))
             .select(key, "pageview_url", *_page_flags(spec)))
@@ -83,8 +83,8 @@ def funnel_sessions(sessions: DataFrame, pageviews: DataFrame, where: Column,
     then reduced to one row per session with a partial aggregation, then attached to the
     sessions.
     """
-    s = sessions.where(where).select(key)
-    pv = pageviews.select(key, "pageview_url").join(bounded_broadcast(s), key, "left_semi")
+    s, fits = materialize_bounded(sessions.where(where).select(key))
+    pv = pageviews.select(key, "pageview_url").join(F.broadcast(s) if fits else s, key, "left_semi")
     per_session = pv.groupBy(key).agg(*[
         F.max(flag(F.col("pageview_url") == url)).alias(session_flag)
         for url, _, session_flag in spec.steps])

@@ -18,12 +18,18 @@ from cartwheel.session import checkpoint_dir
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(small)`` if it has at most ``max_rows`` rows, else the materialised frame.
+def materialize_bounded(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """(materialised frame, whether it has at most ``max_rows`` rows).
 
     The frame is checkpointed into ``spark.checkpoint.dir`` (the shared folder; it is computed
     once, holds no executor memory afterwards and survives executor loss), then counted.
     """
     checkpoint_dir(small.sparkSession)
     done = small.checkpoint(eager=True)
-    return F.broadcast(done) if done.limit(max_rows + 1).count() <= max_rows else done
+    return done, done.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(small)`` if it has at most ``max_rows`` rows, else the materialised frame."""
+    done, fits = materialize_bounded(small, max_rows)
+    return F.broadcast(done) if fits else done
