@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.semantics import ratio
 from cartwheel.operators.conversion import SESSION_KEY, session_order_stats
-from cartwheel.operators.joins import bounded_broadcast
+from cartwheel.operators.joins import materialize_bounded
 from cartwheel.operators.trends import time_range
 
 # The billing-page test of the reference.
@@ -21,19 +21,24 @@ def _variant_views(pageviews: DataFrame, urls: Sequence[str], start: str, end: s
     return pageviews.where(F.col("pageview_url").isin(list(urls)) & time_range(pageviews, start, end))
 
 
-def _orders_of(orders: DataFrame, views: DataFrame, key: str) -> DataFrame:
-    """Orders of the sessions that saw a variant: the session ids of a short test window are
-    few, so they are counted and broadcast and the order table is cut without a shuffle."""
-    ids = views.where(F.col(key).isNotNull()).select(key).distinct()
-    return orders.join(bounded_broadcast(ids), key, "left_semi")
+def _with_orders_of_views(views: DataFrame, orders: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(materialised views, orders of the sessions in them).
+
+    The views of a test window are few: they are checkpointed once and, when counted under
+    the bound, their session ids are broadcast, so the order table is cut to those sessions
+    without being shuffled.
+    """
+    v, fits = materialize_bounded(views)
+    ids = v.where(F.col(key).isNotNull()).select(key)
+    return v, orders.join(F.broadcast(ids) if fits else ids, key, "left_semi")
 
 
 def page_variant_views(pageviews: DataFrame, orders: DataFrame, urls: Sequence[str],
                        start: str, end: str, *, key: str = SESSION_KEY) -> DataFrame:
     """One row per variant view and order of its session (views without orders kept)."""
-    v = _variant_views(pageviews, urls, start, end).select(
-        key, F.col("pageview_url").alias("billing_version_seen"))
-    o = _orders_of(orders, v, key)
+    v, o = _with_orders_of_views(
+        _variant_views(pageviews, urls, start, end).select(
+            key, F.col("pageview_url").alias("billing_version_seen")), orders, key)
     return (v.join(o.select(key, "order_id", "price_usd"), key, "left")
             .select(key, "billing_version_seen", "order_id",
                     F.col("price_usd").cast("double").alias("price_usd")))
@@ -42,10 +47,10 @@ def page_variant_views(pageviews: DataFrame, orders: DataFrame, urls: Sequence[s
 def _variant_sessions(pageviews: DataFrame, orders: DataFrame, urls: Sequence[str], start: str,
                       end: str, key: str) -> DataFrame:
     """(variant, session, views, session revenue): views pre-aggregated before the join."""
-    v = (_variant_views(pageviews, urls, start, end)
-         .groupBy(F.col("pageview_url").alias("billing_version_seen"), key)
-         .agg(F.count(F.col(key)).alias("n_views")))
-    o = _orders_of(orders, v, key)
+    v, o = _with_orders_of_views(
+        _variant_views(pageviews, urls, start, end)
+        .groupBy(F.col("pageview_url").alias("billing_version_seen"), key)
+        .agg(F.count(F.col(key)).alias("n_views")), orders, key)
     return v.join(session_order_stats(o, key=key).select(key, "revenue"), key, "left")
 
 
