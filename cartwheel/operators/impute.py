@@ -46,10 +46,6 @@ def imputable_report(df: DataFrame, lo: float = 0.0, hi: float = 30.0, decimals:
     return pct.where((F.col("missing_pct") > lo) & (F.col("missing_pct") < hi))
 
 
-def _is_float(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-
-
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
