@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Checkpoint files (bounded_broadcast) are removed once their frame is garbage collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Call-site capture for error messages costs a JVM round trip per Column function.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
