@@ -33,3 +33,10 @@ def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> D
     """``broadcast(small)`` if it has at most ``max_rows`` rows, else the materialised frame."""
     done, fits = materialize_bounded(small, max_rows)
     return F.broadcast(done) if fits else done
+
+
+def materialize_row(aggregate: DataFrame) -> DataFrame:
+    """Checkpoint a one-row aggregate so its values can be read on the driver *and* feed the
+    output plan without computing the aggregation (a full pass) a second time."""
+    checkpoint_dir(aggregate.sparkSession)
+    return aggregate.checkpoint(eager=True)

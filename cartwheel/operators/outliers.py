@@ -11,12 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwheel.operators.joins import materialize_row
 from cartwheel.operators.quantiles import exact_quantiles, present
 
 
-def iqr_values(df: DataFrame, column: str, k: float = 1.5) -> dict[str, float | None]:
+def iqr_values(df: DataFrame, column: str, k: float = 1.5, *,
+               stats: tuple | None = None) -> dict[str, float | None]:
     """Q1, Q3, IQR and the bounds Q1 - k IQR, Q3 + k IQR as driver values."""
-    q1, q3 = exact_quantiles(df, column, [0.25, 0.75])
+    q1, q3 = exact_quantiles(df, column, [0.25, 0.75], stats=stats)
     if q1 is None:
         return {"q1": None, "q3": None, "iqr": None, "lower_bound": None, "upper_bound": None}
     iqr = q3 - q1
@@ -24,9 +26,15 @@ def iqr_values(df: DataFrame, column: str, k: float = 1.5) -> dict[str, float |
 
 
 def iqr_bounds(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
-    """One row: n_values, q1, q3, iqr, lower_bound, upper_bound."""
-    vals = iqr_values(df, column, k)
-    return df.agg(F.count_if(present(df, column)).alias("n_values")).select(
+    """One row: n_values, q1, q3, iqr, lower_bound, upper_bound.
+
+    The count/min/max pass is materialised once and feeds both the quantile search and the
+    output row, so the column is not aggregated twice."""
+    v = F.when(present(df, column), F.col(column))
+    one = materialize_row(df.agg(F.count(v).alias("n_values"), F.min(v).alias("lo"), F.max(v).alias("hi")))
+    row = one.first()
+    vals = iqr_values(df, column, k, stats=(row["n_values"], row["lo"], row["hi"]))
+    return one.select(
         "n_values", *[F.lit(vals[name]).cast("double").alias(name)
                       for name in ("q1", "q3", "iqr", "lower_bound", "upper_bound")])
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.functions.semantics import half_even_pct
-from cartwheel.operators.joins import bounded_broadcast
+from cartwheel.operators.joins import bounded_broadcast, materialize_row
 from cartwheel.operators.quantiles import approx_quantiles, exact_quantiles_multi, present
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -87,7 +87,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, *, local_limit
         v = F.when(present(df, c), F.col(c).cast("double"))
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    moments = df.agg(*aggs)
+    moments = materialize_row(df.agg(*aggs))
     first = moments.first()
     stats = {c: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(cols)}
     if approx_accuracy:
@@ -121,7 +121,8 @@ def describe_datetime(df: DataFrame, columns: Sequence[str] | None = None, *,
         m = F.col(c)
         aggs += [F.count(m).alias(f"n{i}"), F.sum(m.cast("decimal(38,0)")).alias(f"s{i}"),
                  F.min(m).alias(f"lo{i}"), F.max(m).alias(f"hi{i}")]
-    first = micros.agg(*aggs).first()
+    one = materialize_row(micros.agg(*aggs))
+    first = one.first()
     stats = {c: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(cols)}
     quartiles = exact_quantiles_multi(micros, cols, [0.25, 0.5, 0.75], local_limit=local_limit, stats=stats)
 
@@ -139,7 +140,6 @@ def describe_datetime(df: DataFrame, columns: Sequence[str] | None = None, *,
         rows.append(F.struct(F.lit(c).alias("column"), F.lit(n).cast("bigint").alias("count"),
                              ts(mean).alias("mean"), ts(lo).alias("min"), ts(qs[0]).alias("p25"),
                              ts(qs[1]).alias("p50"), ts(qs[2]).alias("p75"), ts(hi).alias("max")))
-    one = micros.agg(F.count(F.lit(1)).alias("_rows"))
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
