@@ -51,3 +51,18 @@ def test_windowed_counts_equal_batch(spark):
         .select(F.col("w.start").cast("timestamp_ntz"), F.col("w.end").cast("timestamp_ntz"),
                 "pageview_url", "count").collect()))
     assert got == want
+
+
+def test_streamed_report_to_parquet(spark, tmp_path):
+    pv = website_pageviews(spark, SF)
+    src = str(tmp_path / "src")
+    pv.write.parquet(src)
+    out = str(tmp_path / "report")
+    rep = start_report(read_stream(spark, src, pv.schema), lambda s: count_report(s, ["pageview_url"]),
+                       "pv_counts_parquet", output_path=out, checkpoint=str(tmp_path / "ckpt"))
+    try:
+        rep.query.processAllAvailable()
+    finally:
+        rep.query.stop()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert got == sorted(tuple(r) for r in count_report(pv, ["pageview_url"]).collect())
