@@ -118,27 +118,44 @@ def _micros(c: str):
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, `{c}`)")
 
 
+def group_means_datetime(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """(key, _mean0, _mean1, ...): per group, the average timestamp of each column, truncated
+    to the microsecond, in one aggregation. Sums of microseconds are exact (decimal); a
+    group with no value in a column gets NULL for it."""
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.sum(_micros(c).cast("decimal(38,0)")).alias(f"_s{i}"), F.count(F.col(c)).alias(f"_n{i}")]
+    agg = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
+    means = []
+    for i in range(len(columns)):
+        n = F.when(F.col(f"_n{i}") > 0, F.col(f"_n{i}").cast("decimal(38,0)"))
+        q = ((F.col(f"_s{i}") - F.pmod(F.col(f"_s{i}"), n)) / n).cast("bigint")  # floor, exact
+        means.append(F.timestamp_add("MICROSECOND", q, F.expr(EPOCH)).alias(f"_mean{i}"))
+    return agg.select(key, *means)
+
+
 def group_mean_datetime(df: DataFrame, column: str, key: str) -> DataFrame:
-    """(key, mean) where mean is the average timestamp of the group, truncated to the
-    microsecond. The sum of microseconds is exact (decimal); groups with no value get NULL."""
-    m = _micros(column).cast("decimal(38,0)")
-    agg = df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.sum(m).alias("_s"), F.count(F.col(column)).alias("_n"))
-    n = F.when(F.col("_n") > 0, F.col("_n").cast("decimal(38,0)"))
-    q = ((F.col("_s") - F.pmod(F.col("_s"), n)) / n).cast("bigint")  # floor, exact
-    mean = F.expr(f"timestampadd(MICROSECOND, _q, {EPOCH})")
-    return agg.select(key, q.alias("_q")).select(key, mean.alias("_mean"))
+    """(key, _mean) for one column (see ``group_means_datetime``)."""
+    return group_means_datetime(df, [column], key).withColumnRenamed("_mean0", "_mean")
 
 
-def impute_group_mean_datetime(df: DataFrame, column: str, key: str) -> DataFrame:
-    """``groupby(key)[column].transform(lambda x: x.fillna(x.mean()))``.
+def impute_group_means_datetime(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """``groupby(key)[c].transform(lambda x: x.fillna(x.mean()))`` for several datetime columns
+    sharing one key: one aggregation and one join for all of them.
 
     Group means are a grouped aggregation (partial, so a hot group is cheap) joined back on
     the key: broadcast when there are at most ``MAX_BROADCAST_ROWS`` groups (counted), so the
     table is not shuffled at all; otherwise a shuffle join in which AQE splits a hot key's
     partition. Rows with a NULL key and all-missing groups stay NULL.
     """
-    means = bounded_broadcast(group_mean_datetime(df, column, key))
-    cols = [F.coalesce(F.col(column), F.col("_mean")).alias(column) if c == column else F.col(c)
+    columns = list(columns)
+    means = bounded_broadcast(group_means_datetime(df, columns, key))
+    pos = {c: i for i, c in enumerate(columns)}
+    cols = [F.coalesce(F.col(c), F.col(f"_mean{pos[c]}")).alias(c) if c in pos else F.col(c)
             for c in df.columns]
     return df.join(means, key, "left").select(*cols)
+
+
+def impute_group_mean_datetime(df: DataFrame, column: str, key: str) -> DataFrame:
+    """One datetime column filled with its group mean (see ``impute_group_means_datetime``)."""
+    return impute_group_means_datetime(df, [column], key)

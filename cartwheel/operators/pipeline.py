@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.semantics import half_even_pct
 from cartwheel.operators.impute import (
-    fill_missing, impute_group_mean_datetime, imputable_columns, parse_datetime, sparse_columns,
+    fill_missing, impute_group_means_datetime, imputable_columns, parse_datetime, sparse_columns,
 )
 from cartwheel.operators.profile import NUMERIC
 from cartwheel.operators.quantiles import exact_quantiles_multi, present
@@ -88,9 +88,12 @@ def clean_pipeline(df: DataFrame, rules: CleanRules, *, materialize: bool = Fals
         elif isinstance(types[c], T.StringType):
             fills[c] = rules.text_fill
     out = fill_missing(df, fills)
+    by_key: dict[str, list[str]] = {}
     for c in todo:
         if isinstance(types[c], (T.TimestampNTZType, T.TimestampType)) and c in rules.group_mean_keys:
-            out = impute_group_mean_datetime(out, c, rules.group_mean_keys[c])
+            by_key.setdefault(rules.group_mean_keys[c], []).append(c)
+    for key, cols in by_key.items():  # one aggregation and one join per group key
+        out = impute_group_means_datetime(out, cols, key)
     return out
 
 
