@@ -18,6 +18,7 @@ from cartwheel.operators.trends import (
     filter_sessions, order_counts_by_session_dims, period_trend, sessions_and_orders_trend, time_range,
 )
 from cartwheel.plans import params as P
+from cartwheel.session import checkpoint_dir
 
 Tables = dict[str, DataFrame]
 
@@ -229,8 +230,10 @@ def funnel_click_rates(t: Tables) -> DataFrame:
 
 def funnel_report(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Counts and click rates from one materialisation of the session flags (the temp table
-    read twice by the reference). The caller unpersists ``flags`` when done."""
-    flags = funnel_sessions(t).persist()
+    read twice by the reference), checkpointed into ``spark.checkpoint.dir``."""
+    flags = funnel_sessions(t)
+    checkpoint_dir(flags.sparkSession)
+    flags = flags.checkpoint(eager=True)
     counts = funnel.funnel_counts(flags)
     return counts, funnel.funnel_rates(counts)
 
