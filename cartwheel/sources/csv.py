@@ -56,7 +56,10 @@ def load_csv_inferred(spark: SparkSession, path: str, *,
 
     A column becomes ``bigint`` if every non-missing value parses as an integer, else
     ``double`` if every one parses as a number, else it stays ``string``. The test for all
-    columns is one aggregation job; only its one-row result reaches the driver.
+    columns is one aggregation job; only its one-row result reaches the driver. Unlike
+    pandas, an integer column with missing values stays an integer column (NULLs instead of
+    NaN forcing float64); ``impute.fill_missing`` widens it to DOUBLE only when a fractional
+    value is filled in.
     """
     raw = (spark.read.option("header", True).option("multiLine", multi_line)
            .option("quote", '"').option("escape", '"').option("inferSchema", False)
