@@ -4,6 +4,7 @@
   python -m cartwheel reports --testdata /root/testdata/sf0.01 --only traffic_channel
   python -m cartwheel clean IN.csv OUT_DIR --median AUTHORIZED_CAP \
       --date DATE_OF_REGISTRATION=dd-MM-yyyy:COMPANY_CATEGORY
+  python -m cartwheel ingest CSV_DIR OUT_DIR [--by-month] [--empty-as mysql|null]
   python -m cartwheel list
 
 ``--shop`` is a folder of normalised Parquet tables written by ``sources.shop.ingest_csv``.
@@ -44,6 +45,28 @@ def _reports(args) -> int:
     return 0
 
 
+def _ingest(args) -> int:
+    import os
+
+    from cartwheel.session import build_session
+    from cartwheel.sources.schemas import SHOP_SCHEMAS
+    from cartwheel.sources.shop import ingest_csv
+    spark = build_session()
+    done = 0
+    for name in SHOP_SCHEMAS:
+        src = os.path.join(args.csv_dir, f"{name}.csv")
+        if not os.path.exists(src):
+            continue
+        ingest_csv(spark, name, src, f"{args.out.rstrip('/')}/{name}", empty_as=args.empty_as,
+                   partition_by_month=args.by_month and name != "orders")
+        print(f"{name}: {src} -> {args.out.rstrip('/')}/{name}")
+        done += 1
+    if not done:
+        print(f"no <table>.csv found in {args.csv_dir}", file=sys.stderr)
+        return 2
+    return 0
+
+
 def _clean(args) -> int:
     from cartwheel.operators.pipeline import CleanRules, clean_csv
     from cartwheel.session import build_session
@@ -78,12 +101,19 @@ def main(argv=None) -> int:
     c.add_argument("--date", action="append", help="COLUMN=PATTERN[:GROUP_KEY]")
     c.add_argument("--fill", default="nodata", help="constant for text columns")
     c.add_argument("--drop-above", type=float, default=30.0, help="drop columns missing more (%%)")
+    g = sub.add_parser("ingest", help="CSV exports of the shop tables -> normalised Parquet")
+    g.add_argument("csv_dir", help="folder holding <table>.csv files (or folders)")
+    g.add_argument("out")
+    g.add_argument("--by-month", action="store_true", help="partition event tables by month")
+    g.add_argument("--empty-as", choices=("mysql", "null"), default="mysql")
     sub.add_parser("list", help="list report names")
     args = p.parse_args(argv)
     if args.cmd == "list":
         from cartwheel.plans.reports import REPORTS
         print("\n".join(REPORTS))
         return 0
+    if args.cmd == "ingest":
+        return _ingest(args)
     return _reports(args) if args.cmd == "reports" else _clean(args)
 
 

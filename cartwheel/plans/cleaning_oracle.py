@@ -89,7 +89,7 @@ CLEANING_SQL: dict[str, str] = {
     "csv_roundtrip": _w("SELECT * FROM register"),
     "csv_inferred": _w("""
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS o_orderdate, o_orderpriority, c_mktsegment,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, o_orderpriority, c_mktsegment,
        c_acctbal, CAST(label_quality AS BIGINT) AS label_quality, NULLIF(reg_date, 'n/a') AS reg_date
 FROM register"""),
     "table_info": _w(_union([

@@ -85,7 +85,14 @@ def load_csv_inferred(spark: SparkSession, path: str, *,
     return cleaned.select(*out)
 
 
+# Timestamp text written by ``write_csv`` (full microseconds; Spark's default
+# keeps milliseconds only and would cut the rest).
+TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Write with a header and no row index (``to_csv(index=False)``)."""
+    """Write with a header and no row index (``to_csv(index=False)``); timestamps keep their
+    microseconds."""
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("timestampFormat", TIMESTAMP_TEXT).option("timestampNTZFormat", TIMESTAMP_TEXT)
      .csv(path))

@@ -60,3 +60,12 @@ def test_ingest_normalises_and_partitions(spark):
     pruned = back.where("created_month = '2012-03'")
     assert "PartitionFilters: [isnotnull(created_month" in pruned._jdf.queryExecution().executedPlan().toString()
     assert pruned.count() == 1
+
+
+def test_timestamps_keep_microseconds(spark):
+    from datetime import datetime
+    sch = T.StructType([T.StructField("ts", T.TimestampNTZType())])
+    df = spark.createDataFrame([(datetime(2012, 3, 19, 10, 0, 0, 123456),)], sch)
+    out = os.path.join(tempfile.mkdtemp(prefix="cartwheel-ts-"), "o")
+    write_csv(df, out)
+    assert load_csv(spark, out, sch).first()["ts"] == datetime(2012, 3, 19, 10, 0, 0, 123456)
