@@ -24,7 +24,9 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType, *,
     """Read CSV into a declared schema (positional binding, ``,`` and ``"``).
 
     ``empty_as='mysql'`` reproduces ``LOAD DATA``: an empty field is the empty string in text
-    columns and an unquoted ``NULL`` is NULL. ``'null'`` keeps Spark's default (empty -> NULL).
+    columns and an unquoted ``NULL`` is NULL. In number and time columns both are NULL (only
+    that field; MySQL's non-strict mode would store 0). ``'null'`` keeps Spark's default
+    (empty -> NULL).
     Lines ending in ``\\r\\n`` lose the ``\\r`` (Spark's default line separator handling).
     """
     if empty_as not in ("null", "mysql"):

@@ -69,3 +69,11 @@ def test_timestamps_keep_microseconds(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="cartwheel-ts-"), "o")
     write_csv(df, out)
     assert load_csv(spark, out, sch).first()["ts"] == datetime(2012, 3, 19, 10, 0, 0, 123456)
+
+
+def test_mysql_null_word_in_number_column(spark):
+    sch = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.IntegerType()),
+                        T.StructField("s", T.StringType())])
+    path = _write("id,n,s\n1,NULL,a\n2,,b\n3,7,NULL\n")
+    rows = sorted(tuple(r) for r in load_csv(spark, path, sch, empty_as="mysql").collect())
+    assert rows == [(1, None, "a"), (2, None, "b"), (3, 7, None)]
