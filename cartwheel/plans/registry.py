@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartwheel.plans.cleaning import CLEANING_QUERIES
+from cartwheel.plans.cleaning_oracle import CLEANING_SQL
 from cartwheel.plans.oracle import REPORT_SQL
 from cartwheel.plans.reports import REPORTS
 from cartwheel.sources.testviews import shop_tables
@@ -23,19 +25,9 @@ def _report(fn) -> Query:
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _report(fn) for name, fn in REPORTS.items()}
-    try:
-        from cartwheel.plans.cleaning import CLEANING_QUERIES
-        out.update(CLEANING_QUERIES)
-    except ImportError:
-        pass
+    out.update(CLEANING_QUERIES)
     return out
 
 
 def all_oracle_sql() -> dict[str, str]:
-    out = dict(REPORT_SQL)
-    try:
-        from cartwheel.plans.cleaning_oracle import CLEANING_SQL
-        out.update(CLEANING_SQL)
-    except ImportError:
-        pass
-    return out
+    return {**REPORT_SQL, **CLEANING_SQL}
