@@ -68,7 +68,7 @@ def _ingest(args) -> int:
 
 
 def _clean(args) -> int:
-    from cartwheel.operators.pipeline import CleanRules, clean_csv
+    from cartwheel.operators.clean import CleanRules, clean_csv
     from cartwheel.session import build_session
     formats, keys = {}, {}
     for spec in args.date or []:

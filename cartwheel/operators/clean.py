@@ -39,7 +39,7 @@ class CleanRules:
     decimals: int = 1
 
 
-def clean_pipeline(df: DataFrame, rules: CleanRules, *, materialize: bool = False) -> DataFrame:
+def clean_table(df: DataFrame, rules: CleanRules, *, materialize: bool = False) -> DataFrame:
     """Apply ``rules``; returns the cleaned frame (write it with ``sources.write_csv``).
 
     ``materialize`` writes the parsed input once as Parquet below ``spark.checkpoint.dir``
@@ -98,10 +98,10 @@ def clean_pipeline(df: DataFrame, rules: CleanRules, *, materialize: bool = Fals
 
 
 def clean_csv(spark, source: str, target: str, rules: CleanRules) -> DataFrame:
-    """The notebook end to end: pandas-style CSV read -> ``clean_pipeline`` -> CSV without an
+    """The notebook end to end: pandas-style CSV read -> ``clean_table`` -> CSV without an
     index. The parsed input is written once as Parquet below ``spark.checkpoint.dir`` so the
     statistics passes read columns instead of re-parsing the CSV. Returns the written table."""
     from cartwheel.sources.csv import load_csv_inferred, write_csv
-    cleaned = clean_pipeline(load_csv_inferred(spark, source), rules, materialize=True)
+    cleaned = clean_table(load_csv_inferred(spark, source), rules, materialize=True)
     write_csv(cleaned, target)
     return cleaned

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwheel.operators import impute, outliers, profile
-from cartwheel.operators.pipeline import CleanRules, clean_pipeline
+from cartwheel.operators.clean import CleanRules, clean_table
 from cartwheel.session import scratch_path
 from cartwheel.sources import testviews as tv
 from cartwheel.sources.csv import load_csv, load_csv_inferred, write_csv
@@ -81,5 +81,5 @@ CLEANING_QUERIES = {
     "parse_datetime": lambda s, d: impute.parse_datetime(_reg(s, d), "reg_date", "yyyy-MM-dd"),
     "impute_group_mean_datetime": lambda s, d: impute.impute_group_mean_datetime(
         _reg(s, d), "o_orderdate", "o_orderstatus"),
-    "clean_pipeline": lambda s, d: clean_pipeline(_reg(s, d), REGISTER_RULES),
+    "clean_table": lambda s, d: clean_table(_reg(s, d), REGISTER_RULES),
 }

@@ -173,7 +173,7 @@ FROM register"""),
 SELECT r.* REPLACE (COALESCE(r.o_orderdate, g.mean) AS o_orderdate)
 FROM register r LEFT JOIN g ON r.o_orderstatus = g.o_orderstatus""",
         _group_mean("o_orderdate", "o_orderstatus", "register", "g")),
-    "clean_pipeline": _w("""
+    "clean_table": _w("""
 SELECT p.o_orderkey, p.o_custkey, p.o_orderstatus, p.o_totalprice,
        COALESCE(p.o_orderdate, g1.mean) AS o_orderdate,
        COALESCE(p.o_orderpriority, 'nodata') AS o_orderpriority,

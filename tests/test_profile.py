@@ -3,7 +3,7 @@
 from datetime import datetime
 
 from cartwheel.operators import impute, outliers, profile
-from cartwheel.operators.pipeline import CleanRules, clean_pipeline
+from cartwheel.operators.clean import CleanRules, clean_table
 
 
 def test_modes_tie(spark):
@@ -82,7 +82,7 @@ def test_iqr_filter_and_boxplot(spark):
     assert (b["lower_whisker"], b["upper_whisker"]) == (1.0, 4.0)
 
 
-def test_clean_pipeline_fills_imputed_columns(spark):
+def test_clean_table_fills_imputed_columns(spark):
     rows = []
     for i in range(40):
         rows.append((i, "A" if i % 2 else "B",
@@ -93,7 +93,7 @@ def test_clean_pipeline_fills_imputed_columns(spark):
     df = spark.createDataFrame(rows, "k int, cat string, num double, txt string, d string, sparse double")
     rules = CleanRules(median_columns=("num",), date_formats={"d": "yyyy-MM-dd"},
                        group_mean_keys={"d": "cat"})
-    out = clean_pipeline(df, rules)
+    out = clean_table(df, rules)
     assert "sparse" not in out.columns
     counts = {r["column"]: r["n_missing"] for r in profile.null_counts(out).collect()}
     assert counts == {"k": 0, "cat": 0, "num": 0, "txt": 0, "d": 0}
@@ -101,7 +101,7 @@ def test_clean_pipeline_fills_imputed_columns(spark):
 
 
 def test_clean_csv_end_to_end(spark, tmp_path):
-    from cartwheel.operators.pipeline import clean_csv
+    from cartwheel.operators.clean import clean_csv
     from cartwheel.sources.csv import load_csv_inferred
     lines = ["ID,CATEGORY,CAP,EMAIL,REG_DATE,SPARSE"]
     for i in range(30):
