@@ -91,3 +91,21 @@ def test_session_grain_matches_direct_sql(spark, campaigns, os_, distinct_orders
     assert [g[:3] for g in got] == [w[:3] for w in exp]
     for g, w in zip(got, exp):
         assert (g[3] is None and w[3] is None) or abs(g[3] - w[3]) < 1e-9
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 10**6)), min_size=1, max_size=40),
+       st.integers(0, 3))
+def test_half_even_pct_is_exact(spark, pairs, scale):
+    from fractions import Fraction
+
+    from cartwheel.functions.semantics import half_even_pct
+    rows = [(min(a, b), max(a, b)) for a, b in pairs]
+    df = spark.createDataFrame(rows, "part long, whole long")
+    got = [r[0] for r in df.select(half_even_pct("part", "whole", scale)).collect()]
+    for (part, whole), g in zip(rows, got):
+        if whole == 0:
+            assert g is None
+            continue
+        exact = Fraction(part * 100, whole) * 10 ** scale
+        assert g == round(exact) / 10 ** scale  # Python rounds a Fraction half to even
