@@ -54,8 +54,9 @@ def build_session(master: str | None = None, app: str = "cartwheel",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
-    Taken from the running context or ``spark.checkpoint.dir``; only when neither is set
-    (a local test session) a private scratch folder is created.
+    Taken from the running context or ``spark.checkpoint.dir``. Where neither is set, a local
+    master (tests) gets a private folder; any other master is refused, as its executors
+    would each write to a disk of their own.
     """
     try:
         sc = spark.sparkContext
@@ -65,6 +66,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cartwheel-ckpt-")
     if sc is None:
         return configured
