@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cartwheel.llm import quality_rules, url_filter
+from cartwheel.llm import byte_bpe, quality_rules, url_filter
 from cartwheel.llm.common import workers_import_package
 
-MODULES = (url_filter, quality_rules)
+MODULES = (url_filter, quality_rules, byte_bpe)
 
 
 def _with_package(query):
