@@ -45,3 +45,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def write_files(df: DataFrame, column: str, path: str) -> None:
+    """Write each row's binary value as a file of its own below ``path``.
+
+    Spark's text writer puts the bytes of a string out as they are, to any Hadoop file system
+    and under its commit protocol, so a lost executor leaves no half file. It ends each file
+    with one newline, which the formats written here allow for.
+    """
+    (df.select(F.col(column).cast("string").alias("value"))
+     .write.option("maxRecordsPerFile", 1).text(path))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, content of the files that write_files left."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
