@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cartwheel.llm import byte_bpe, jaccard_join, quality_rules, token_files, url_filter
+from cartwheel.llm import byte_bpe, decontaminate, jaccard_join, quality_rules, token_files, url_filter
 from cartwheel.llm.common import workers_import_package
 
-MODULES = (url_filter, quality_rules, byte_bpe, token_files, jaccard_join)
+MODULES = (url_filter, quality_rules, byte_bpe, token_files, jaccard_join, decontaminate)
 
 
 def _with_package(query):
