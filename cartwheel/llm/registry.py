@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cartwheel.llm import byte_bpe, decontaminate, jaccard_join, language_id, quality_rules, token_files, url_filter
+from cartwheel.llm import byte_bpe, decontaminate, jaccard_join, language_id, line_dedup, quality_rules, token_files, url_filter
 from cartwheel.llm.common import workers_import_package
 
-MODULES = (url_filter, quality_rules, byte_bpe, token_files, jaccard_join, decontaminate, language_id)
+MODULES = (url_filter, quality_rules, byte_bpe, token_files, jaccard_join, decontaminate, language_id, line_dedup)
 
 
 def _with_package(query):
