@@ -23,9 +23,9 @@ from cartwheel.functions.semantics import half_even_pct
 from cartwheel.operators.impute import (
     fill_missing, impute_group_means_datetime, imputable_columns, parse_datetime, sparse_columns,
 )
+from cartwheel.operators.joins import materialize_table
 from cartwheel.operators.profile import NUMERIC
-from cartwheel.operators.quantiles import exact_quantiles_multi, present
-from cartwheel.session import scratch_path
+from cartwheel.operators.quantiles import _q, exact_quantiles_multi, present
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,9 @@ class CleanRules:
     drop_above: float = 30.0
     impute_between: tuple[float, float] = (0.0, 30.0)
     decimals: int = 1
+    #: Columns filled, whatever their own share, as soon as any text column is: text with
+    #: ``text_fill``, datetimes with their group mean.
+    with_text: tuple[str, ...] = ()
 
 
 def clean_table(df: DataFrame, rules: CleanRules, *, materialize: bool = False) -> DataFrame:
@@ -50,10 +53,7 @@ def clean_table(df: DataFrame, rules: CleanRules, *, materialize: bool = False)
     for column, fmt in rules.date_formats.items():
         df = parse_datetime(df, column, fmt)
     if materialize:
-        spark = df.sparkSession
-        path = scratch_path(spark, "clean-input")
-        df.write.parquet(path)
-        df = spark.read.parquet(path)
+        df = materialize_table(df, "clean-input")
     # One aggregation gives every number the rules need except the medians: missing %,
     # the mean of each numeric column, and count/min/max of the median columns.
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -61,9 +61,9 @@ def clean_table(df: DataFrame, rules: CleanRules, *, materialize: bool = False)
     medians = [c for c in rules.median_columns if c in types]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     aggs += [F.count_if(~present(df, c)).alias(f"z{i}") for i, c in enumerate(df.columns)]
-    aggs += [F.avg(F.when(present(df, c), F.col(c))).alias(f"m{i}") for i, c in enumerate(numeric)]
+    aggs += [F.avg(F.when(present(df, c), F.col(_q(c)))).alias(f"m{i}") for i, c in enumerate(numeric)]
     for i, c in enumerate(medians):
-        v = F.when(present(df, c), F.col(c))
+        v = F.when(present(df, c), F.col(_q(c)))
         aggs += [F.count(v).alias(f"mn{i}"), F.min(v).alias(f"mlo{i}"), F.max(v).alias(f"mhi{i}")]
     one = df.agg(*aggs)
     row = one.select("*", *[half_even_pct(F.col(f"z{i}"), F.col("_rows"), rules.decimals).alias(f"p{i}")
@@ -75,6 +75,8 @@ def clean_table(df: DataFrame, rules: CleanRules, *, materialize: bool = False)
     df = df.drop(*sparse_columns(pct, rules.drop_above))
     lo, hi = rules.impute_between
     todo = [c for c in imputable_columns(pct, lo, hi) if c in df.columns]
+    if any(isinstance(types[c], T.StringType) for c in todo):
+        todo += [c for c in rules.with_text if c in df.columns and c not in todo]
     fills: dict[str, object] = {}
     median_todo = [c for c in todo if c in medians]
     if median_todo:
@@ -99,9 +101,8 @@ def clean_table(df: DataFrame, rules: CleanRules, *, materialize: bool = False)
 
 def clean_csv(spark, source: str, target: str, rules: CleanRules) -> DataFrame:
     """The notebook end to end: pandas-style CSV read -> ``clean_table`` -> CSV without an
-    index. The parsed input is written once as Parquet below ``spark.checkpoint.dir`` so the
-    statistics passes read columns instead of re-parsing the CSV. Returns the written table."""
-    from cartwheel.sources.csv import load_csv_inferred, write_csv
-    cleaned = clean_table(load_csv_inferred(spark, source), rules, materialize=True)
+    index. Returns the written table, read back in its types."""
+    from cartwheel.sources.csv import load_csv, load_csv_inferred, write_csv
+    cleaned = clean_table(load_csv_inferred(spark, source), rules)
     write_csv(cleaned, target)
-    return cleaned
+    return load_csv(spark, target, cleaned.schema)

@@ -79,7 +79,7 @@ def funnel_sessions(sessions: DataFrame, pageviews: DataFrame, where: Column,
     """One row per chosen session: 1 when the session ever reached each step.
 
     Page views are first cut to the chosen sessions (semi join; the chosen ids are broadcast
-    when counted under ``MAX_BROADCAST_ROWS``, so page views are not shuffled for the cut),
+    when measured under ``MAX_BROADCAST_BYTES``, so page views are not shuffled for the cut),
     then reduced to one row per session with a partial aggregation, then attached to the
     sessions.
     """

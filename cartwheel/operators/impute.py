@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from cartwheel.operators.joins import bounded_broadcast
 from cartwheel.operators.profile import NUMERIC, null_pct
-from cartwheel.operators.quantiles import exact_median, present
+from cartwheel.operators.quantiles import INTEGRAL, _q, exact_median, present
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -46,9 +46,6 @@ def imputable_report(df: DataFrame, lo: float = 0.0, hi: float = 30.0, decimals:
     return pct.where((F.col("missing_pct") > lo) & (F.col("missing_pct") < hi))
 
 
-INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-
-
 def fill_missing(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Replace missing cells (NULL, and NaN in floating columns) by per-column values.
 
@@ -59,12 +56,12 @@ def fill_missing(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     for c in df.columns:
         value = values.get(c)
         if value is None:
-            out.append(F.col(c))
+            out.append(F.col(_q(c)))
             continue
         dtype = df.schema[c].dataType
         if isinstance(dtype, INTEGRAL) and isinstance(value, float) and not value.is_integer():
             dtype = T.DoubleType()
-        out.append(F.when(present(df, c), F.col(c).cast(dtype))
+        out.append(F.when(present(df, c), F.col(_q(c)).cast(dtype))
                    .otherwise(F.lit(value).cast(dtype)).alias(c))
     return df.select(*out)
 
@@ -79,7 +76,7 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cols = [c for c in columns if isinstance(df.schema[c].dataType, NUMERIC)]
     if not cols:
         return df
-    row = df.agg(*[F.avg(F.when(present(df, c), F.col(c))).alias(c) for c in cols]).first()
+    row = df.agg(*[F.avg(F.when(present(df, c), F.col(_q(c)))).alias(c) for c in cols]).first()
     return fill_missing(df, {c: row[c] for c in cols})
 
 
@@ -94,13 +91,12 @@ def smallest_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     if not columns:
         return {}
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+        F.struct(F.lit(c).alias("column"), F.col(_q(c)).cast("string").alias("value")) for c in columns]))
     vc = (df.select(pairs.alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
           .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    top = vc.groupBy("column").agg(F.max("n").alias("n"))  # one row per column: proven small
-    best = (vc.join(F.broadcast(top), ["column", "n"]).groupBy("column")
-            .agg(F.min("value").alias("value")))
-    return {r["column"]: r["value"] for r in best.collect()}
+    # The most frequent value, the smallest of several: the least of (-count, value).
+    best = vc.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best"))
+    return {r["column"]: r["best"]["value"] for r in best.collect()}
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -110,12 +106,12 @@ def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def parse_datetime(df: DataFrame, column: str, fmt: str) -> DataFrame:
     """Text -> zone-less timestamp with an explicit pattern; unparsable text becomes NULL."""
-    parsed = F.try_to_timestamp(F.col(column), F.lit(fmt)).cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(F.col(_q(column)), F.lit(fmt)).cast("timestamp_ntz")
     return df.withColumn(column, parsed)
 
 
 def _micros(c: str):
-    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, `{c}`)")
+    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {_q(c)})")
 
 
 def group_means_datetime(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
@@ -124,14 +120,14 @@ def group_means_datetime(df: DataFrame, columns: Sequence[str], key: str) -> Dat
     group with no value in a column gets NULL for it."""
     aggs = []
     for i, c in enumerate(columns):
-        aggs += [F.sum(_micros(c).cast("decimal(38,0)")).alias(f"_s{i}"), F.count(F.col(c)).alias(f"_n{i}")]
-    agg = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
+        aggs += [F.sum(_micros(c).cast("decimal(38,0)")).alias(f"_s{i}"), F.count(F.col(_q(c))).alias(f"_n{i}")]
+    agg = df.where(F.col(_q(key)).isNotNull()).groupBy(_q(key)).agg(*aggs)
     means = []
     for i in range(len(columns)):
         n = F.when(F.col(f"_n{i}") > 0, F.col(f"_n{i}").cast("decimal(38,0)"))
         q = ((F.col(f"_s{i}") - F.pmod(F.col(f"_s{i}"), n)) / n).cast("bigint")  # floor, exact
         means.append(F.timestamp_add("MICROSECOND", q, F.expr(EPOCH)).alias(f"_mean{i}"))
-    return agg.select(key, *means)
+    return agg.select(_q(key), *means)
 
 
 def group_mean_datetime(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -140,18 +136,18 @@ def group_mean_datetime(df: DataFrame, column: str, key: str) -> DataFrame:
 
 
 def impute_group_means_datetime(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """``groupby(key)[c].transform(lambda x: x.fillna(x.mean()))`` for several datetime columns
-    sharing one key: one aggregation and one join for all of them.
+    """Fill missing datetimes with the mean of their group, for several columns that share the
+    grouping key: one aggregation and one join for all of them.
 
     Group means are a grouped aggregation (partial, so a hot group is cheap) joined back on
-    the key: broadcast when there are at most ``MAX_BROADCAST_ROWS`` groups (counted), so the
+    the key: broadcast when the groups take at most ``MAX_BROADCAST_BYTES`` (measured), so the
     table is not shuffled at all; otherwise a shuffle join in which AQE splits a hot key's
     partition. Rows with a NULL key and all-missing groups stay NULL.
     """
     columns = list(columns)
     means = bounded_broadcast(group_means_datetime(df, columns, key))
     pos = {c: i for i, c in enumerate(columns)}
-    cols = [F.coalesce(F.col(c), F.col(f"_mean{pos[c]}")).alias(c) if c in pos else F.col(c)
+    cols = [F.coalesce(F.col(_q(c)), F.col(f"_mean{pos[c]}")).alias(c) if c in pos else F.col(_q(c))
             for c in df.columns]
     return df.join(means, key, "left").select(*cols)
 

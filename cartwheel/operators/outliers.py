@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwheel.operators.joins import materialize_row
-from cartwheel.operators.quantiles import exact_quantiles, present
+from cartwheel.operators.quantiles import INTEGRAL, _q, exact_quantiles, present
 
 
 def iqr_values(df: DataFrame, column: str, k: float = 1.5, *,
@@ -30,7 +31,7 @@ def iqr_bounds(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
 
     The count/min/max pass is materialised once and feeds both the quantile search and the
     output row, so the column is not aggregated twice."""
-    v = F.when(present(df, column), F.col(column))
+    v = F.when(present(df, column), F.col(_q(column)))
     one = materialize_row(df.agg(F.count(v).alias("n_values"), F.min(v).alias("lo"), F.max(v).alias("hi")))
     row = one.first()
     vals = iqr_values(df, column, k, stats=(row["n_values"], row["lo"], row["hi"]))
@@ -44,7 +45,7 @@ def remove_outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame
     vals = iqr_values(df, column, k)
     if vals["q1"] is None:
         return df.where(F.lit(False))
-    c = F.col(column)
+    c = F.col(_q(column))
     return df.where((c >= F.lit(vals["lower_bound"])) & (c <= F.lit(vals["upper_bound"])))
 
 
@@ -58,7 +59,7 @@ def boxplot_stats(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     else:
         iqr = q3 - q1
         lo, hi = q1 - k * iqr, q3 + k * iqr
-    v = F.when(present(df, column), F.col(column).cast("double"))
+    v = F.when(present(df, column), F.col(_q(column)).cast("double"))
     inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
     return df.agg(
         F.lit(q1).cast("double").alias("q1"),
@@ -72,18 +73,27 @@ def boxplot_stats(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
 
 def null_map(df: DataFrame, order_key: str, buckets: int = 20,
              columns: Sequence[str] | None = None) -> DataFrame:
-    """Share of missing cells per column in ``buckets`` equal ranges of an integer
-    ``order_key``: the numbers behind a missing-value heatmap. Columns: bucket, n_rows, and
-    one share per column."""
+    """Share of missing cells per column in ``buckets`` equal ranges of ``order_key`` (an
+    integer, whole decimal, date or timestamp): the numbers behind a missing-value heatmap.
+    Columns: bucket, n_rows, and one share per column; rows without a key have bucket NULL."""
     cols = list(columns) if columns is not None else [c for c in df.columns if c != order_key]
-    bounds = df.agg(F.min(order_key).alias("lo"), F.max(order_key).alias("hi")).first()
+    key, dtype = F.col(_q(order_key)), df.schema[order_key].dataType
+    if isinstance(dtype, T.DateType):
+        key = F.unix_date(key)
+    elif isinstance(dtype, T.TimestampType):
+        key = F.unix_micros(key)
+    elif isinstance(dtype, T.TimestampNTZType):
+        key = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {_q(order_key)})")
+    elif not isinstance(dtype, INTEGRAL) and not (isinstance(dtype, T.DecimalType) and dtype.scale == 0):
+        raise TypeError(f"null_map cannot cut {dtype.simpleString()} into equal ranges")
+    bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     if bounds["lo"] is None:
         return df.select(F.lit(0).cast("bigint").alias("bucket")).where(F.lit(False))
     span = int(bounds["hi"]) - int(bounds["lo"]) + 1
-    key = F.col(order_key).cast("decimal(38,0)")
+    key = key.cast("decimal(38,0)")
     num = (key - F.lit(int(bounds["lo"]))) * F.lit(buckets)
     bucket = ((num - F.pmod(num, F.lit(span))) / F.lit(span)).cast("bigint")
     return (df.select(bucket.alias("bucket"),
                       *[F.when(present(df, c), 0).otherwise(1).alias(c) for c in cols])
             .groupBy("bucket")
-            .agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(c) for c in cols]))
+            .agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(_q(c)).alias(c) for c in cols]))

@@ -16,16 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.functions.semantics import half_even_pct
-from cartwheel.operators.joins import bounded_broadcast, materialize_row
-from cartwheel.operators.quantiles import approx_quantiles, exact_quantiles_multi, present
+from cartwheel.operators.joins import bounded_broadcast, materialize_row, materialize_table
+from cartwheel.operators.quantiles import _q, approx_quantiles, exact_quantiles_multi, present
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _s(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -65,12 +61,12 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 def head(df: DataFrame, order_key: str, n: int = 5) -> DataFrame:
     """First ``n`` rows by ``order_key`` (a top-k: no full sort)."""
-    return df.orderBy(F.col(order_key).asc()).limit(n)
+    return df.orderBy(F.col(_q(order_key)).asc()).limit(n)
 
 
 def tail(df: DataFrame, order_key: str, n: int = 5) -> DataFrame:
     """Last ``n`` rows by ``order_key``, in ascending order."""
-    return df.orderBy(F.col(order_key).desc()).limit(n).orderBy(F.col(order_key).asc())
+    return df.orderBy(F.col(_q(order_key)).desc()).limit(n).orderBy(F.col(_q(order_key)).asc())
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, *, local_limit: int = 100_000,
@@ -82,11 +78,16 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, *, local_limit
     ``percentile_approx`` estimates when ``approx_accuracy`` is given.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
+    names = ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    if not cols:
+        kinds = ["string", "bigint", *["double"] * 7]
+        return df.sparkSession.createDataFrame([], ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
     aggs = []
     for i, c in enumerate(cols):
-        v = F.when(present(df, c), F.col(c).cast("double"))
+        own = F.when(present(df, c), F.col(_q(c)))
+        v = own.cast("double")
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+                 F.min(own).alias(f"lo{i}"), F.max(own).alias(f"hi{i}")]
     moments = materialize_row(df.agg(*aggs))
     first = moments.first()
     stats = {c: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(cols)}
@@ -97,9 +98,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, *, local_limit
     with_q = moments.select("*", *[
         F.lit(q).cast("double").alias(f"q{j}_{i}")
         for i, c in enumerate(cols) for j, q in enumerate(quartiles[c])])
-    entries = [(_s(c), f"n{i}", f"m{i}", f"s{i}", f"lo{i}", f"q0_{i}", f"q1_{i}", f"q2_{i}", f"hi{i}")
-               for i, c in enumerate(cols)]
-    return _stack(with_q, entries, ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    entries = [(_s(c), f"n{i}", f"m{i}", f"s{i}", f"CAST(lo{i} AS DOUBLE)", f"q0_{i}", f"q1_{i}", f"q2_{i}",
+                f"CAST(hi{i} AS DOUBLE)") for i, c in enumerate(cols)]
+    return _stack(with_q, entries, names)
 
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -115,10 +116,13 @@ def describe_datetime(df: DataFrame, columns: Sequence[str] | None = None, *,
     zone-less timestamps. Statistics are taken on microseconds since 1970; the mean is exact
     (decimal sum) and truncated, interpolated quartiles are truncated to the microsecond."""
     cols = list(columns) if columns is not None else datetime_columns(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, count bigint, " + ", ".join(
+            f"{n} timestamp_ntz" for n in ("mean", "min", "p25", "p50", "p75", "max")))
     micros = df.select(*[F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {_q(c)})").alias(c) for c in cols])
     aggs = []
     for i, c in enumerate(cols):
-        m = F.col(c)
+        m = F.col(_q(c))
         aggs += [F.count(m).alias(f"n{i}"), F.sum(m.cast("decimal(38,0)")).alias(f"s{i}"),
                  F.min(m).alias(f"lo{i}"), F.max(m).alias(f"hi{i}")]
     one = materialize_row(micros.agg(*aggs))
@@ -144,26 +148,39 @@ def describe_datetime(df: DataFrame, columns: Sequence[str] | None = None, *,
 
 
 def nunique(df: DataFrame, *, rsd: float | None = None) -> DataFrame:
-    """Distinct non-missing values per column; ``rsd`` switches to HyperLogLog++ estimates."""
-    def distinct(i, c):
-        v = F.when(present(df, c), F.col(c))
-        return (F.count_distinct(v) if rsd is None else F.approx_count_distinct(v, rsd)).alias(f"u{i}")
-    one = df.agg(*[distinct(i, c) for i, c in enumerate(df.columns)])
-    return _stack(one, [(_s(c), f"u{i}") for i, c in enumerate(df.columns)], ["column", "nunique"])
+    """Distinct non-missing values per column; ``rsd`` switches to HyperLogLog++ estimates.
+
+    Exact: the distinct (column, value) pairs, made unique in each task before the shuffle,
+    are counted per column; rows are never copied at their full width.
+    """
+    if rsd is not None:
+        one = df.agg(*[F.approx_count_distinct(F.when(present(df, c), F.col(_q(c))), rsd).alias(f"u{i}")
+                       for i, c in enumerate(df.columns)])
+        return _stack(one, [(_s(c), f"u{i}") for i, c in enumerate(df.columns)], ["column", "nunique"])
+
+    def text(c):
+        v = F.col(_q(c))
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            v = v + F.lit(0.0)  # a negative zero equals zero
+        return F.when(present(df, c), v.cast("string"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(df.columns)]))
+    found = df.select(pairs.alias("p")).select("p.i", "p.v").distinct().groupBy("i").agg(F.count("v").alias("nunique"))
+    every = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "i int, column string")
+    return every.join(found, "i", "left").select("column", F.coalesce("nunique", F.lit(0)).alias("nunique"))
 
 
 def value_counts(df: DataFrame, column: str, n: int | None = 10) -> DataFrame:
     """Count per value, most frequent first (ties by value), missing values excluded."""
-    vc = df.where(present(df, column)).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    ordered = vc.orderBy(F.desc("count"), F.asc(column))
+    vc = df.where(present(df, column)).groupBy(_q(column)).agg(F.count(F.lit(1)).alias("count"))
+    ordered = vc.orderBy(F.desc("count"), F.asc(_q(column)))
     return ordered if n is None else ordered.limit(n)
 
 
 def modes(df: DataFrame, column: str) -> DataFrame:
     """All most frequent values (pandas ``mode``), ascending; missing values excluded."""
-    vc = df.where(present(df, column)).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    top = vc.agg(F.max("count").alias("count"))  # exactly one row: a proven-size broadcast
-    return vc.join(F.broadcast(top), "count").select(column).orderBy(column)
+    vc = df.where(present(df, column)).groupBy(_q(column)).agg(F.count(F.lit(1)).alias("count"))
+    vc = materialize_table(vc, "value-counts")  # counted once, read twice
+    return vc.where(F.col("count") == vc.agg(F.max("count")).scalar()).select(_q(column)).orderBy(_q(column))
 
 
 def null_mask(df: DataFrame) -> DataFrame:
@@ -200,33 +217,27 @@ def first_keys(df: DataFrame, subset: Sequence[str], order_key: str) -> DataFram
     A partial aggregation: a group of copies holding a third of the table costs one row per
     task before the shuffle.
     """
-    return df.groupBy(*subset).agg(F.min(order_key).alias(order_key)).select(order_key)
+    return df.groupBy(*map(_q, subset)).agg(F.min(_q(order_key)).alias(order_key)).select(_q(order_key))
 
 
 def _row_hashes(subset: Sequence[str]) -> list[Column]:
     """Two independent hashes of the compared values (64 + 32 bits)."""
-    cols = [F.col(c) for c in subset]
+    cols = [F.col(_q(c)) for c in subset]
     return [F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2")]
 
 
-# Largest number of multi-member hash groups shipped to every task (~24 bytes each).
-MAX_BROADCAST_HASH_GROUPS = 2_000_000
-
-
 def _duplicate_candidates(df: DataFrame, subset: Sequence[str], order_key: str) -> tuple[DataFrame, DataFrame]:
     """(rows that may have a copy, their hash groups).
 
     Only the hashes are shuffled to find hash groups with more than one member; rows in
-    single-member groups are certainly unique. The groups are checkpointed and counted first
-    (one job over 12-byte rows); when there are at most ``MAX_BROADCAST_HASH_GROUPS`` they are
-    broadcast,
-    so cutting out the candidates moves no full rows (long texts) at all. Beyond that bound
-    the cut is a shuffle join on the hashes.
+    single-member groups are certainly unique. The groups are checkpointed and measured first;
+    small ones are broadcast, so cutting out the candidates moves no full rows (long texts) at
+    all. Beyond ``MAX_BROADCAST_BYTES`` the cut is a shuffle join on the hashes.
     """
     hashed = df.select("*", *_row_hashes(subset))
     multi = (hashed.select("_h1", "_h2").groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") > 1).select("_h1", "_h2"))
-    multi = bounded_broadcast(multi, MAX_BROADCAST_HASH_GROUPS)
+    multi = bounded_broadcast(multi)
     return hashed.join(multi, ["_h1", "_h2"], "left_semi"), multi
 
 
@@ -240,7 +251,7 @@ def duplicate_rows(df: DataFrame, order_key: str, subset: Sequence[str] | None =
     subset = list(subset) if subset is not None else [c for c in df.columns if c != order_key]
     cand, _ = _duplicate_candidates(df, subset, order_key)
     return (cand.join(first_keys(cand, subset, order_key), order_key, "left_anti")
-            .select(*df.columns))
+            .select(*map(_q, df.columns)))
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
@@ -257,14 +268,14 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
     cand, multi = _duplicate_candidates(df, subset, order_key)
     unique = df.select("*", *_row_hashes(subset)).join(multi, ["_h1", "_h2"], "left_anti")
     firsts = cand.join(first_keys(cand, subset, order_key), order_key, "left_semi")
-    return unique.select(*df.columns).unionByName(firsts.select(*df.columns))
+    return unique.select(*df.columns).unionByName(firsts.select(*map(_q, df.columns)))
 
 
 def categorical_value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Value counts of every text column in one pass: (column, value, count), missing excluded."""
     cols = list(columns) if columns is not None else string_columns(df)
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+        F.struct(F.lit(c).alias("column"), F.col(_q(c)).cast("string").alias("value")) for c in cols]))
     return (df.select(pairs.alias("p")).select("p.column", "p.value")
             .where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))

@@ -2,12 +2,20 @@
 
 ``percentile`` in Spark merges one value -> count map per group in a single task, which is
 unbounded for a high-cardinality column at scale. Here the k-th smallest value is found by
-narrowing: each pass is one distributed ``GROUP BY window, width_bucket(v, lo, hi, B)``
-returning at most B + 2 (count, min, max) rows per open window; the bucket holding rank k
-becomes the next window. A window is finished when it holds one distinct value, or - once it
-has at most ``local_limit`` rows - by sorting that bounded slice inside one task and returning
-only the wanted elements. All ranks of all requested columns are refined together, so a
-round is one scan whatever the number of columns.
+narrowing: each pass is one distributed ``GROUP BY window, bucket(v)`` returning a bounded
+number of (count, min, max) rows per open window; the bucket holding rank k becomes the next
+window, until a window holds one distinct value. Values are compared and bucketed in a type
+that holds them exactly: integers as BIGINT, floats as DOUBLE, each decimal type as itself.
+
+Every pass makes progress whatever the values, so no cap on the passes is needed: buckets of
+integers and decimals are exact quotients, so the window shrinks by the number of buckets each
+time (at most 7 passes for 64 bits, 14 for 38 digits at the default); doubles are split by
+infinity, by sign, by binary order of magnitude while a window spans more than two, then
+linearly, where the smallest and largest value always fall into different buckets.
+
+A window of at most ``local_limit`` values is finished in one pass by sorting that bounded
+slice inside one task; the limit changes the number of passes, never a value. All ranks of all
+columns of a type are refined together, so a pass is one scan whatever the number of columns.
 
 Interpolation follows the linear rule shared by numpy ``percentile`` and DuckDB
 ``quantile_cont``: h = (n - 1) p, value = x[floor h] + (h - floor h) (x[ceil h] - x[floor h]).
@@ -18,12 +26,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_ROUNDS = 64
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+FLOATING = (T.FloatType, T.DoubleType)
 
 
 @dataclass
@@ -36,10 +47,25 @@ class _Window:
     ranks: list[int] = field(default_factory=list)
 
 
+def exact_type(dtype: T.DataType) -> T.DataType:
+    """The type in which values of ``dtype`` are compared without loss."""
+    if isinstance(dtype, INTEGRAL):
+        return T.LongType()
+    if isinstance(dtype, FLOATING):
+        return T.DoubleType()
+    if isinstance(dtype, T.DecimalType):
+        return dtype
+    raise TypeError(f"quantiles need a numeric column, not {dtype.simpleString()}")
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def present(df: DataFrame, column: str) -> Column:
     """Non-missing test: NULL, and NaN for floating columns, are missing (pandas' view)."""
-    c = F.col(column)
-    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+    c = F.col(_q(column))
+    if isinstance(df.schema[column].dataType, FLOATING):
         return c.isNotNull() & ~F.isnan(c)
     return c.isNotNull()
 
@@ -63,50 +89,71 @@ def _choose(windows: list[_Window], per_window) -> Column:
 
 def order_statistics(values: DataFrame, requests: dict[int, tuple[int, object, object, Sequence[int]]], *,
                      buckets: int = 1024, local_limit: int = 100_000) -> dict[tuple[int, int], object]:
-    """Values at 0-based ranks, for several columns at once.
+    """Values at 0-based ranks, for several columns of one type at once.
 
-    ``values`` has columns ``g`` (column number) and ``v`` (non-missing values only);
-    ``requests[g] = (count, min, max, ranks)`` of column ``g``. Returns {(g, rank): value}.
+    ``values`` has columns ``g`` (column number) and ``v`` (non-missing values only, in their
+    exact type); ``requests[g] = (count, min, max, ranks)`` of column ``g``. Returns
+    {(g, rank): value}.
     """
     result: dict[tuple[int, int], object] = {}
     windows = [_Window(g, lo, hi, 0, n, sorted(set(ranks)))
                for g, (n, lo, hi, ranks) in requests.items() if n]
-    for _ in range(MAX_ROUNDS):
+    while windows:
         for w in windows:
             if w.lo == w.hi:
                 result.update({(w.g, r): w.lo for r in w.ranks})
         windows = [w for w in windows if w.lo != w.hi]
-        if not windows:
-            return result
         small = [w for w in windows if w.count <= local_limit]
-        large = [w for w in windows if w.count > local_limit]
         if small:
             _resolve_small(values, small, result)
+        large = [w for w in windows if w.count > local_limit]
         windows = _narrow(values, large, buckets) if large else []
-    raise ArithmeticError("quantile narrowing did not finish")
+    return result
+
+
+def _double_bucket(v: Column, lo: float, hi: float, buckets: int) -> Column:
+    """A number that never falls as ``v`` grows and differs between ``lo`` and ``hi``."""
+    if math.isinf(lo) or math.isinf(hi):
+        return F.when(v == F.lit(-math.inf), -1).when(v == F.lit(math.inf), 1).otherwise(0)
+    if lo < 0 < hi or lo == 0 or hi == 0:
+        # Zero on its own; zeros of either sign are equal.
+        return F.when(v < 0, -1).when(v > 0, 1).otherwise(0)
+    small, large = sorted((abs(lo), abs(hi)))
+    if large / small > 4:
+        order = F.floor(F.log2(F.abs(v)))
+        return order if lo > 0 else -order
+    return F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets)))
+
+
+def _bucket(v: Column, lo, hi, buckets: int) -> Column:
+    if isinstance(lo, float):
+        return _double_bucket(v, lo, hi, buckets)
+    if isinstance(lo, Decimal):
+        scale = -min(lo.as_tuple().exponent, hi.as_tuple().exponent, 0)
+        unit = max(1, int((hi - lo).scaleb(scale)) // buckets)
+        step = F.lit(Decimal(unit).scaleb(-scale))
+    else:
+        step = F.lit(max(1, (hi - lo) // buckets)).cast("bigint")
+    # A quotient cut towards zero never falls as v grows; only its bucket 0 is twice as wide.
+    return F.call_function("div", v, step)
 
 
 def _narrow(values: DataFrame, windows: list[_Window], buckets: int) -> list[_Window]:
-    v = F.col("v")
-    bucket = _choose(windows, lambda w: F.width_bucket(
-        v.cast("double"), F.lit(float(w.lo)), F.lit(float(w.hi)), F.lit(buckets)))
-    rows = (values.select(_window_id(windows).alias("w"), v).where(F.col("w").isNotNull())
+    bucket = _choose(windows, lambda w: _bucket(F.col("v"), w.lo, w.hi, buckets).cast("bigint"))
+    rows = (values.select(_window_id(windows).alias("w"), "v").where(F.col("w").isNotNull())
             .select("w", bucket.alias("b"), "v")
             .groupBy("w", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                    F.max("v").alias("hi"))
-            .collect())  # at most len(windows) * (buckets + 2) rows
+            .collect())  # at most a few thousand rows per window
     per_window: dict[int, list] = {}
     for row in rows:
         per_window.setdefault(row["w"], []).append(row)
     out = []
     for i, w in enumerate(windows):
         cum, pending = w.offset, list(w.ranks)
-        for row in sorted(per_window.get(i, []), key=lambda r: (r["b"] is None, r["b"])):
+        for row in sorted(per_window.get(i, []), key=lambda r: r["b"]):
             inside = [r for r in pending if cum <= r < cum + row["n"]]
             if inside:
-                if (row["lo"], row["hi"], row["n"]) == (w.lo, w.hi, w.count):
-                    raise ArithmeticError("quantile narrowing made no progress "
-                                          "(values indistinguishable as doubles)")
                 out.append(_Window(w.g, row["lo"], row["hi"], cum, row["n"], inside))
                 pending = [r for r in pending if r not in inside]
             cum += row["n"]
@@ -132,9 +179,13 @@ def _interpolate(n: int, probs, at) -> list[float | None]:
     out = []
     for p in probs:
         h = (n - 1) * float(p)
-        a, b = float(at(int(math.floor(h)))), float(at(int(math.ceil(h))))
-        d = h - math.floor(h)
-        out.append(a if d == 0 else a + d * (b - a))
+        a, b, d = at(int(math.floor(h))), at(int(math.ceil(h))), h - math.floor(h)
+        if d == 0 or a == b:
+            out.append(float(a))
+        elif isinstance(a, float):
+            out.append(a + d * (b - a))
+        else:  # exact types: one rounding at the end
+            out.append(float(Fraction(a) + Fraction(d) * (Fraction(b) - Fraction(a))))
     return out
 
 
@@ -147,7 +198,7 @@ def value_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, o
     """{column: (count, min, max)} of the non-missing values, in one aggregation."""
     aggs = []
     for i, c in enumerate(columns):
-        v = F.when(present(df, c), F.col(c))
+        v = F.when(present(df, c), F.col(_q(c)))
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
     return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
@@ -156,30 +207,34 @@ def value_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, o
 def exact_quantiles_multi(df: DataFrame, columns: Sequence[str], probs, *, buckets: int = 1024,
                           local_limit: int = 100_000,
                           stats: dict[str, tuple] | None = None) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns; each round of narrowing is one scan for all of
-    them. With more than one column the values are compared as DOUBLE."""
+    """Exact quantiles of several columns, each compared in its own exact type; columns of one
+    type share their passes. ``stats`` may give known (count, min, max) in the columns' types."""
     columns = list(columns)
-    if len(columns) == 1:
-        values = df.select(F.lit(0).alias("g"), F.col(columns[0]).alias("v")).where(present(df, columns[0]))
-    else:
-        pairs = F.explode(F.array(*[
-            F.struct(F.lit(i).alias("g"), F.when(present(df, c), F.col(c).cast("double")).alias("v"))
-            for i, c in enumerate(columns)]))
-        values = df.select(pairs.alias("p")).select("p.g", "p.v").where(F.col("v").isNotNull())
+    if not columns:
+        return {}
     if stats is None:
         stats = value_stats(df, columns)
-    if len(columns) > 1:
-        stats = {c: (n, None if lo is None else float(lo), None if hi is None else float(hi))
-                 for c, (n, lo, hi) in stats.items()}
-    requests = {i: (*stats[c], _ranks(stats[c][0], probs)) for i, c in enumerate(columns) if stats[c][0]}
-    at = order_statistics(values, requests, buckets=buckets, local_limit=local_limit)
-    return {c: _interpolate(stats[c][0], probs, lambda r, i=i: at[(i, r)]) for i, c in enumerate(columns)}
+    groups: dict[str, list[str]] = {}
+    kinds = {c: exact_type(df.schema[c].dataType) for c in columns}
+    for c in columns:
+        groups.setdefault(kinds[c].simpleString(), []).append(c)
+    out: dict[str, list[float | None]] = {}
+    for kind, names in groups.items():
+        entries = [F.struct(F.lit(i).alias("g"), F.when(present(df, c), F.col(_q(c)).cast(kind)).alias("v"))
+                   for i, c in enumerate(names)]
+        pairs = entries[0] if len(entries) == 1 else F.explode(F.array(*entries))
+        values = df.select(pairs.alias("p")).select("p.g", "p.v").where(F.col("v").isNotNull())
+        requests = {i: (*stats[c], _ranks(stats[c][0], probs)) for i, c in enumerate(names) if stats[c][0]}
+        at = order_statistics(values, requests, buckets=buckets, local_limit=local_limit)
+        for i, c in enumerate(names):
+            out[c] = _interpolate(stats[c][0], probs, lambda r, i=i, at=at: at[(i, r)])
+    return out
 
 
 def exact_quantiles(df: DataFrame, column: str, probs, *, buckets: int = 1024,
                     local_limit: int = 100_000, stats: tuple | None = None) -> list[float | None]:
-    """Exact linear-interpolated quantiles of one column (missing values ignored), compared in
-    the column's own type. ``stats`` may pass a known (count, min, max) to save a pass."""
+    """Exact linear-interpolated quantiles of one column (missing values ignored). ``stats``
+    may pass a known (count, min, max) to save a pass."""
     return exact_quantiles_multi(df, [column], probs, buckets=buckets, local_limit=local_limit,
                                  stats=None if stats is None else {column: stats})[column]
 
@@ -193,7 +248,7 @@ def approx_quantiles(df: DataFrame, columns: Sequence[str], probs, *,
     """Greenwald-Khanna estimates (``percentile_approx``) in one pass with bounded memory:
     the opt-in alternative when an exact answer is not needed. Not interpolated; the
     relative rank error is about 1 / ``accuracy``."""
-    aggs = [F.percentile_approx(F.when(present(df, c), F.col(c).cast("double")),
+    aggs = [F.percentile_approx(F.when(present(df, c), F.col(_q(c)).cast("double")),
                                 [float(p) for p in probs], accuracy).alias(f"q{i}")
             for i, c in enumerate(columns)]
     row = df.agg(*aggs).first()

@@ -88,4 +88,5 @@ def sessions_and_orders_trend(sessions: DataFrame, orders: DataFrame, fmt: str =
 def filter_sessions(sessions: DataFrame, column: str, value: str) -> DataFrame:
     """Sessions whose ``column`` equals ``value`` (case-insensitive: the stored dimension
     columns are lower-case, so the literal is lowered and the filter reaches the scan)."""
-    return sessions.where(F.col(column) == F.lit(value.lower()))
+    found = sessions.where(F.col(column) == F.lit(value.lower()))
+    return found.drop(PARTITION_MONTH)  # a folder name, not a column of the table

@@ -316,6 +316,8 @@ ORDER BY c.website_session_id, v.created_at""", _CHOSEN),
     "funnel_counts": with_views("SELECT * FROM counts", _COUNTS),
     "funnel_click_rates": with_views("SELECT segment, " + ", ".join(
         f"{_unguarded(num, den)} AS {name}" for name, num, den in _RATES) + " FROM counts", _COUNTS),
+    "funnel_report": with_views("SELECT *, " + ", ".join(
+        f"{_unguarded(num, den)} AS {name}" for name, num, den in _RATES) + " FROM counts", _COUNTS),
     "billing_pages": with_views(f"""
 SELECT v.website_session_id, v.pageview_url AS billing_version_seen, o.order_id,
        {_d('o.price_usd')} AS price_usd
@@ -324,12 +326,11 @@ FROM seen v LEFT JOIN web_orders o USING (website_session_id)""", _VARIANT),
     "billing_session_count": with_views(
         "SELECT COUNT(website_session_id) AS billing_session_last_mon FROM seen", _VARIANT),
     "billing_lift": with_views("""
-SELECT base, variant, views AS billing_page_views, variant - base AS lift_per_session,
+SELECT base AS base_revenue_per_session, variant AS variant_revenue_per_session,
+       views AS billing_page_views, variant - base AS lift_per_session,
        (variant - base) * views AS revenue_impact
 FROM (SELECT MAX(revenue_per_billing_page_seen) FILTER (WHERE billing_version_seen = '/billing') AS base,
              MAX(revenue_per_billing_page_seen) FILTER (WHERE billing_version_seen = '/billing-2') AS variant
       FROM per_version) r,
-     (SELECT COUNT(*) AS views FROM seen) n""".replace(
-        "SELECT base, variant,", "SELECT base AS base_revenue_per_session, variant AS variant_revenue_per_session,"),
-        _VARIANT),
+     (SELECT COUNT(*) AS views FROM seen) n""", _VARIANT),
 }

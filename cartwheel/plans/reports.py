@@ -265,6 +265,11 @@ def funnel_report(t: Tables) -> tuple[DataFrame, DataFrame]:
     counts = funnel.funnel_counts(flags)
     return counts, funnel.funnel_rates(counts)
 
+def funnel_report_rows(t: Tables) -> DataFrame:
+    """Counts and click rates side by side, from one materialisation (``funnel_report``)."""
+    counts, rates = funnel_report(t)
+    return counts.join(rates, "segment")
+
 # ------------------------------------------------------------------ A/B billing test (R-29 .. R-32)
 
 
@@ -318,6 +323,7 @@ REPORTS = {
     "funnel_sessions": funnel_sessions,
     "funnel_counts": funnel_counts,
     "funnel_click_rates": funnel_click_rates,
+    "funnel_report": funnel_report_rows,
     "billing_pages": billing_pages,
     "revenue_per_billing_page": revenue_per_billing_page,
     "billing_session_count": billing_session_count,

@@ -82,6 +82,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table through the file system that holds it."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def cluster_conf(shuffle_bytes: float, *, cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Suggested settings for a job whose largest shuffle moves about ``shuffle_bytes``.
 

@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cartwheel.operators.quantiles import exact_quantiles
+from cartwheel.operators.quantiles import exact_quantiles, exact_quantiles_multi
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 1.0, 0.1, 0.9]
 
@@ -57,3 +58,28 @@ def test_integer_and_decimal_columns(spark):
 def test_property_matches_numpy(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     _check(exact_quantiles(df, "x", PROBS, buckets=4, local_limit=5), values)
+
+
+def _same_at_every_size(spark, column, kind, values, want=None):
+    """One answer whether a window is sorted or narrowed, alone or beside another column."""
+    df = spark.createDataFrame([(v, 1.5) for v in values], f"x {kind}, other double").selectExpr(column, "other")
+    sorted_ = exact_quantiles(df, "x", PROBS)
+    assert exact_quantiles(df, "x", PROBS, buckets=8, local_limit=0) == sorted_
+    both = exact_quantiles_multi(df, ["x", "other"], PROBS, buckets=8, local_limit=0)
+    assert both == {"x": sorted_, "other": [1.5] * len(PROBS)}
+    return sorted_
+
+
+def test_values_that_doubles_cannot_tell_apart(spark):
+    got = _same_at_every_size(spark, "x", "bigint", [2**60 + i for i in range(101)])
+    assert got[2] == float(2**60 + 50)
+    _same_at_every_size(spark, "x", "bigint", [-2**63, -1, 0, 1, 2**63 - 1, 5, 5])
+    _same_at_every_size(spark, "x", "decimal(38,0)", [Decimal(10**37 + i) for i in range(60)] + [Decimal(-10**37)])
+    _same_at_every_size(spark, "x", "decimal(20,4)", [Decimal(i) / 8 for i in range(-40, 60)])
+
+
+def test_infinities_and_wide_ranges(spark):
+    inf = float("inf")
+    assert _same_at_every_size(spark, "x", "double", [1.0, 2.0, 3.0, inf])[1] == 1.75
+    _same_at_every_size(spark, "x", "double", [-inf, -inf, -3e300, -1e-300, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e308])
+    _same_at_every_size(spark, "x", "double", [math.ldexp(1.0, e) for e in range(-1070, 1020, 37)])

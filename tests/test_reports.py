@@ -205,9 +205,9 @@ def test_variant_views_null_session(spark):
 def test_bounded_broadcast(spark):
     from cartwheel.operators.joins import bounded_broadcast
     small = spark.range(10)
-    hinted = bounded_broadcast(small, max_rows=10)
+    hinted = bounded_broadcast(small, max_bytes=400)
     plan = spark.range(100).join(hinted, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
-    big = bounded_broadcast(spark.range(11), max_rows=10)
+    big = bounded_broadcast(spark.range(11), max_bytes=400)
     plan = spark.range(100).join(big, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan.lower() and big.count() == 11
