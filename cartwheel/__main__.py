@@ -46,7 +46,7 @@ def _reports(args) -> int:
 
 
 def _ingest(args) -> int:
-    import os
+    from pyspark.errors import AnalysisException
 
     from cartwheel.session import build_session
     from cartwheel.sources.schemas import SHOP_SCHEMAS
@@ -54,9 +54,13 @@ def _ingest(args) -> int:
     spark = build_session()
     done = 0
     for name in SHOP_SCHEMAS:
-        src = os.path.join(args.csv_dir, f"{name}.csv")
-        if not os.path.exists(src):
-            continue
+        src = f"{args.csv_dir.rstrip('/')}/{name}.csv"
+        try:  # Spark looks, so that any Hadoop path works
+            spark.read.text(src)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                continue
+            raise
         ingest_csv(spark, name, src, f"{args.out.rstrip('/')}/{name}", empty_as=args.empty_as,
                    partition_by_month=args.by_month and name != "orders")
         print(f"{name}: {src} -> {args.out.rstrip('/')}/{name}")

@@ -14,8 +14,9 @@ Plan shape, whatever the dimensions:
 This reproduces the reference's join-then-aggregate results exactly, including its revenue
 fan-out (a session that viewed a URL twice counts its orders' revenue twice), without the
 ``Expand`` of several ``COUNT(DISTINCT)`` in one group and without shuffling raw order rows
-per fact row. Two assumptions, both checked by tests: an ``order_id`` belongs to one session,
-and with ``facts_unique_per_key`` the session id is unique in the facts.
+per fact row. Two keys are relied on, and ``ingest_csv`` refuses tables that repeat them: an
+``order_id`` belongs to one session, and with ``facts_unique_per_key`` the session id is unique
+in the facts (pass False for facts that were not ingested that way).
 """
 
 from __future__ import annotations

@@ -268,7 +268,7 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
     cand, multi = _duplicate_candidates(df, subset, order_key)
     unique = df.select("*", *_row_hashes(subset)).join(multi, ["_h1", "_h2"], "left_anti")
     firsts = cand.join(first_keys(cand, subset, order_key), order_key, "left_semi")
-    return unique.select(*df.columns).unionByName(firsts.select(*map(_q, df.columns)))
+    return unique.select(*map(_q, df.columns)).unionByName(firsts.select(*map(_q, df.columns)))
 
 
 def categorical_value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

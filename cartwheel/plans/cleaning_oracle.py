@@ -36,14 +36,14 @@ def _union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _half_even_pct(part: str, whole: str) -> str:
-    """round_half_even(part / whole * 100, 1) on the exact rational value."""
-    num = f"(CAST({part} AS HUGEINT) * 1000)"
+def _half_even_pct(part: str, whole: str, decimals: int = 1) -> str:
+    """round_half_even(part / whole * 100, decimals) on the exact rational value."""
+    num = f"(CAST({part} AS HUGEINT) * {100 * 10**decimals})"
     den = f"CAST(NULLIF({whole}, 0) AS HUGEINT)"
     q = f"(({num} - ({num} % {den})) // {den})"
     r = f"({num} % {den})"
     return (f"CAST(CASE WHEN {r} * 2 > {den} THEN {q} + 1 "
-            f"WHEN {r} * 2 = {den} AND {q} % 2 = 1 THEN {q} + 1 ELSE {q} END AS DOUBLE) / 10.0")
+            f"WHEN {r} * 2 = {den} AND {q} % 2 = 1 THEN {q} + 1 ELSE {q} END AS DOUBLE) / {10**decimals}.0")
 
 
 _Q = "quantile_cont"
@@ -85,12 +85,28 @@ parsed AS (
   SELECT * REPLACE (try_strptime(reg_date, '%Y-%m-%d') AS reg_date) FROM register)
 """
 
+def _clean(mktsegment: str) -> str:
+    return _w(f"""
+SELECT p.o_orderkey, p.o_custkey, p.o_orderstatus, p.o_totalprice,
+       COALESCE(p.o_orderdate, g1.mean) AS o_orderdate,
+       COALESCE(p.o_orderpriority, 'nodata') AS o_orderpriority,
+       {mktsegment} AS c_mktsegment,
+       COALESCE(p.c_acctbal, (SELECT quantile_cont(c_acctbal, 0.5) FROM parsed)) AS c_acctbal,
+       COALESCE(p.reg_date, g2.mean) AS reg_date
+FROM parsed p
+LEFT JOIN g1 ON p.o_orderstatus = g1.o_orderstatus
+LEFT JOIN g2 ON p.o_orderstatus = g2.o_orderstatus""",
+        _PARSED, _group_mean("o_orderdate", "o_orderstatus", "parsed", "g1"),
+        _group_mean("reg_date", "o_orderstatus", "parsed", "g2"))
+
+
 CLEANING_SQL: dict[str, str] = {
     "csv_roundtrip": _w("SELECT * FROM register"),
     "csv_inferred": _w("""
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, o_orderpriority, c_mktsegment,
-       c_acctbal, CAST(label_quality AS BIGINT) AS label_quality, NULLIF(reg_date, 'n/a') AS reg_date
+       c_acctbal, CAST(label_quality AS BIGINT) AS label_quality, NULLIF(reg_date, 'n/a') AS reg_date,
+       (o_custkey % 9) || 'D' AS "store.code"
 FROM register"""),
     "table_info": _w(_union([
         f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS dtype, COUNT({c}) AS non_null FROM register"""
@@ -122,9 +138,19 @@ ORDER BY c_mktsegment"""),
     "rows_with_null": _w("SELECT * FROM register WHERE c_acctbal IS NULL"),
     "null_counts": _per_column("COUNT(*) - COUNT({c})", "n_missing"),
     "null_pct": _per_column(_half_even_pct("COUNT(*) - COUNT({c})", "COUNT(*)"), "missing_pct"),
+    "null_pct_whole": _per_column(_half_even_pct("COUNT(*) - COUNT({c})", "COUNT(*)", 0), "missing_pct"),
     "duplicate_rows": """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS rn FROM documents)
-WHERE rn > 1""".replace("SELECT * FROM (", "SELECT doc_id, text, lang, source, n_chars FROM ("),
+SELECT doc_id, text, lang, source, n_chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS rn FROM documents)
+WHERE rn > 1""",
+    "drop_duplicate_texts": "SELECT DISTINCT text, lang FROM documents",
+    "csv_mysql": r"""
+SELECT c_custkey,
+       CASE c_custkey % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'NULL' WHEN 3 THEN NULL
+            WHEN 4 THEN 'a "quoted" word' WHEN 5 THEN 'doubled " quote, comma' WHEN 6 THEN 'back\slash'
+            ELSE c_name END AS note,
+       CASE WHEN c_custkey % 5 > 1 THEN c_acctbal END AS c_acctbal, c_name
+FROM customer""",
     "drop_duplicates": """
 SELECT doc_id, text, lang, source, n_chars FROM (
   SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS rn FROM documents)
@@ -173,16 +199,6 @@ FROM register"""),
 SELECT r.* REPLACE (COALESCE(r.o_orderdate, g.mean) AS o_orderdate)
 FROM register r LEFT JOIN g ON r.o_orderstatus = g.o_orderstatus""",
         _group_mean("o_orderdate", "o_orderstatus", "register", "g")),
-    "clean_table": _w("""
-SELECT p.o_orderkey, p.o_custkey, p.o_orderstatus, p.o_totalprice,
-       COALESCE(p.o_orderdate, g1.mean) AS o_orderdate,
-       COALESCE(p.o_orderpriority, 'nodata') AS o_orderpriority,
-       p.c_mktsegment,
-       COALESCE(p.c_acctbal, (SELECT quantile_cont(c_acctbal, 0.5) FROM parsed)) AS c_acctbal,
-       COALESCE(p.reg_date, g2.mean) AS reg_date
-FROM parsed p
-LEFT JOIN g1 ON p.o_orderstatus = g1.o_orderstatus
-LEFT JOIN g2 ON p.o_orderstatus = g2.o_orderstatus""",
-        _PARSED, _group_mean("o_orderdate", "o_orderstatus", "parsed", "g1"),
-        _group_mean("reg_date", "o_orderstatus", "parsed", "g2")),
+    "clean_table": _clean("p.c_mktsegment"),
+    "clean_csv": _clean("COALESCE(p.c_mktsegment, 'nodata')"),
 }

@@ -8,10 +8,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartwheel.operators.joins import materialize_table
+
 # Strings pandas' read_csv treats as missing by default.
 PANDAS_NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -21,69 +23,121 @@ PANDAS_NA_TOKENS = (
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType, *,
              empty_as: str = "null", header: bool = True) -> DataFrame:
-    """Read CSV into a declared schema (positional binding, ``,`` and ``"``).
+    r"""Read CSV into a declared schema (positional binding, ``,`` and ``"``).
 
-    ``empty_as='mysql'`` reproduces ``LOAD DATA``: an empty field is the empty string in text
-    columns and an unquoted ``NULL`` is NULL. In number and time columns both are NULL (only
-    that field; MySQL's non-strict mode would store 0). ``'null'`` keeps Spark's default
-    (empty -> NULL).
-    Lines ending in ``\\r\\n`` lose the ``\\r`` (Spark's default line separator handling).
+    ``empty_as='mysql'`` follows ``LOAD DATA`` (see ``load_data``); ``'null'`` keeps Spark's
+    rules (empty is NULL, ``""`` inside quotes is a quote) and fails on a value that its
+    column's type cannot hold. Lines ending in ``\r\n`` lose the ``\r``.
     """
-    if empty_as not in ("null", "mysql"):
+    if empty_as == "mysql":
+        return load_data(spark, path, schema, header=header)
+    if empty_as != "null":
         raise ValueError("empty_as must be 'null' or 'mysql'")
-    reader = (spark.read.schema(schema).option("header", header).option("sep", ",")
-              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
-    if empty_as == "null":
-        return reader.csv(path)
-    # Spark turns every unquoted empty field into NULL and cannot tell it from the word
-    # NULL. Read with a sentinel null token so the word survives as text, then map: the
-    # only remaining NULLs in text columns are empty fields (-> ''), the word NULL -> NULL.
-    df = reader.option("nullValue", "\u0001").csv(path)
-    cols = []
-    for f in schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
-            c = F.when(c.isNull(), F.lit("")).when(c == "NULL", F.lit(None)).otherwise(c)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
-
-
-def _null_tokens(c: str, tokens) -> F.Column:
-    return F.when(F.col(c).isin(list(tokens)), F.lit(None).cast("string")).otherwise(F.col(c))
+    return (spark.read.schema(schema).option("header", header).option("sep", ",")
+            .option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path))
+
+
+# A field as it stands in the line, after its comma: quoted (a doubled quote or a backslash
+# pair may stand inside) or plain.
+_FIELD = r',("(?:[^"\\]++|\\.|"")*+"|(?!")(?:[^,\\]++|\\.)*+)'
+_MARK = "\u0001"  # stands for an escaped backslash while the other escapes are replaced
+# Letters after a backslash that do not stand for themselves.
+_ESCAPES = (("0", "\0"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("t", "\t"), ("Z", "\x1a"))
+
+
+def _unescaped(c: Column) -> Column:
+    c = F.replace(c, F.lit("\\\\"), F.lit(_MARK))
+    for letter, char in _ESCAPES:
+        c = F.replace(c, F.lit("\\" + letter), F.lit(char))
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("")), F.lit(_MARK), F.lit("\\"))
+
+
+def _load_data_value(raw: Column) -> Column:
+    quoted = raw.startswith('"') & raw.endswith('"') & (F.length(raw) >= 2)
+    inner = F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))
+    null = raw.isin("NULL", "\\N", '"\\N"')
+    return F.when(~null, _unescaped(F.when(quoted, inner).otherwise(raw)))
+
+
+def load_data(spark: SparkSession, path: str, schema: T.StructType, *, header: bool = True) -> DataFrame:
+    r"""``LOAD DATA ... FIELDS TERMINATED BY ',' ENCLOSED BY '"' LINES TERMINATED BY '\n'``.
+
+    The backslash escapes (the default). An unquoted ``NULL`` and ``\N`` are NULL, a quoted
+    ``"NULL"`` is the word, an empty field is the empty string in text columns and NULL in
+    others (MySQL's non-strict mode would store 0); missing fields at the end are NULL, extra
+    ones are ignored. A value that its column cannot hold, and a line whose quotes do not
+    close (a newline inside a field), fail the query instead of loading something else. Files
+    are split into tasks by line.
+    """
+    # One column without separator or quotes: the line as it is, headers skipped per file.
+    lines = (spark.read.schema("line string").option("header", header).option("sep", _MARK)
+             .option("quote", "").option("enforceSchema", True).option("maxCharsPerColumn", -1).csv(path))
+    line = F.concat(F.lit(","), F.regexp_replace("line", "\r$", ""))
+    rows = lines.select(line.alias("line"), F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1)).alias("f"))
+    # The fields and their commas make up the whole line, or its quotes do not fit.
+    whole = F.aggregate("f", F.lit(0), lambda n, x: n + F.length(x) + 1) == F.length("line")
+    broken = F.raise_error(F.concat(F.lit("LOAD DATA: quotes do not fit in line: "), F.col("line")))
+    rows = rows.select(F.when(whole, F.col("f")).otherwise(broken.cast("array<string>")).alias("f"))
+    out = []
+    for i, field in enumerate(schema.fields):
+        v = _load_data_value(F.get("f", F.lit(i)))
+        if not isinstance(field.dataType, T.StringType):
+            v = F.when(F.trim(v) != "", v)
+            kind = field.dataType.simpleString()
+            bad = F.raise_error(F.concat(F.lit(f"LOAD DATA: column {field.name} cannot hold "), v))
+            typed = v.try_cast(kind)
+            v = F.when(v.isNotNull() & typed.isNull(), bad.cast(kind)).otherwise(typed)
+        out.append(v.alias(field.name))
+    return rows.select(*out)
+
+
+# How pandas' read_csv writes truth values, and what it takes for a number
+# (unlike Spark's cast, no type letters such as 1D or 2F).
+TRUE_WORDS, FALSE_WORDS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 
 def load_csv_inferred(spark: SparkSession, path: str, *,
-                      na_tokens=PANDAS_NA_TOKENS, multi_line: bool = True) -> DataFrame:
+                      na_tokens=PANDAS_NA_TOKENS, multi_line: bool = False) -> DataFrame:
     """pandas-like ``read_csv``: NA tokens become NULL, then each column is typed.
 
-    A column becomes ``bigint`` if every non-missing value parses as an integer, else
-    ``double`` if every one parses as a number, else it stays ``string``. The test for all
-    columns is one aggregation job; only its one-row result reaches the driver. Unlike
-    pandas, an integer column with missing values stays an integer column (NULLs instead of
-    NaN forcing float64); ``impute.fill_missing`` widens it to DOUBLE only when a fractional
-    value is filled in.
+    A column becomes ``bigint`` if every present value is written as an integer, else
+    ``double`` if every one is a number, ``boolean`` if every row holds a truth word, else it
+    stays ``string``. The file is parsed once, into Parquet below ``spark.checkpoint.dir``;
+    one aggregation over that tests all columns, and its one row is all that reaches the
+    driver. Unlike pandas, an integer column with missing values stays an integer column;
+    ``impute.fill_missing`` widens it only when a fractional value is filled in.
+
+    Files are split by line. ``multi_line=True`` allows newlines inside quoted fields; each
+    file is then read by one task.
     """
     raw = (spark.read.option("header", True).option("multiLine", multi_line)
-           .option("quote", '"').option("escape", '"').option("inferSchema", False)
-           .csv(path))
-    cleaned = raw.select(*[_null_tokens(c, na_tokens).alias(c) for c in raw.columns])
-    checks = []
-    for i, c in enumerate(raw.columns):
-        present = F.count(F.col(c))
+           .option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path))
+    names = raw.columns
+    flat = raw.toDF(*(f"c{i}" for i in range(len(names))))
+    cleaned = flat.select(*(F.when(~F.col(c).isin(list(na_tokens)), F.col(c)).alias(c) for c in flat.columns))
+    cleaned = materialize_table(cleaned, "csv-text")
+    checks = [F.count(F.lit(1)).alias("rows")]
+    for c in cleaned.columns:
+        v = F.col(c)
         checks += [
-            (present - F.count(F.expr(f"try_cast(`{c}` AS BIGINT)"))).alias(f"i{i}"),
-            (present - F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)"))).alias(f"d{i}"),
-            present.alias(f"n{i}"),
+            F.count_if(v.isNotNull() & ~(v.rlike(INTEGER) & F.trim(v).try_cast("bigint").isNotNull())).alias(f"i{c}"),
+            F.count_if(v.isNotNull() & ~v.rlike(NUMBER)).alias(f"d{c}"),
+            F.count_if(v.isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"b{c}"),
+            F.count(v).alias(f"n{c}"),
         ]
     stats = cleaned.agg(*checks).first()
     out = []
-    for i, c in enumerate(raw.columns):
-        if stats[f"n{i}"] > 0 and stats[f"i{i}"] == 0:
-            out.append(F.col(c).cast("bigint").alias(c))
-        elif stats[f"n{i}"] > 0 and stats[f"d{i}"] == 0:
-            out.append(F.col(c).cast("double").alias(c))
-        else:
-            out.append(F.col(c))
+    for c, name in zip(cleaned.columns, names):
+        v = F.col(c)
+        if stats[f"n{c}"] > 0 and stats[f"i{c}"] == 0:
+            v = F.trim(v).cast("bigint")
+        elif stats[f"n{c}"] > 0 and stats[f"d{c}"] == 0:
+            v = F.trim(v).cast("double")
+        elif stats["rows"] > 0 and stats[f"b{c}"] == stats["rows"]:
+            v = v.isin(*TRUE_WORDS)
+        out.append(v.alias(name))
     return cleaned.select(*out)
 
 

@@ -64,6 +64,17 @@ SHOP_SCHEMAS = {
     "order_item_refunds": ORDER_ITEM_REFUNDS,
 }
 
+# Keys that the reports rely on: a session id counts once per session row, an order id belongs
+# to one session. ``ingest_csv`` refuses a table that repeats them.
+UNIQUE_KEYS = {
+    "website_sessions": "website_session_id",
+    "website_pageviews": "website_pageview_id",
+    "orders": "order_id",
+    "products": "product_id",
+    "order_items": "order_item_id",
+    "order_item_refunds": "order_item_refund_id",
+}
+
 # Dimension columns compared case-insensitively by the reports (MySQL's default collation).
 # They are stored lower-case, so equality filters on them reach the Parquet scan.
 CASE_INSENSITIVE_COLUMNS = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.sources.csv import load_csv
-from cartwheel.sources.schemas import CASE_INSENSITIVE_COLUMNS, SHOP_SCHEMAS
+from cartwheel.sources.schemas import CASE_INSENSITIVE_COLUMNS, SHOP_SCHEMAS, UNIQUE_KEYS
 
 
 def normalise_dimensions(df: DataFrame, table: str) -> DataFrame:
@@ -24,7 +24,9 @@ def ingest_csv(spark: SparkSession, table: str, csv_path: str, parquet_path: str
     """CSV export -> normalised Parquet table (read the CSV once, query Parquet after).
 
     ``partition_by_month`` writes event tables partitioned by ``yyyy-MM`` of ``created_at``
-    so date-window reports prune whole folders.
+    so date-window reports prune whole folders. A table that repeats its key
+    (``schemas.UNIQUE_KEYS``) is refused with a ValueError: the reports count one row per
+    key, so that ``COUNT(DISTINCT key)`` needs no second shuffle.
     """
     df = normalise_dimensions(load_csv(spark, csv_path, SHOP_SCHEMAS[table], empty_as=empty_as), table)
     if partition_by_month and "created_at" in df.columns:
@@ -32,6 +34,11 @@ def ingest_csv(spark: SparkSession, table: str, csv_path: str, parquet_path: str
          .write.mode("overwrite").partitionBy("created_month").parquet(parquet_path))
     else:
         df.write.mode("overwrite").parquet(parquet_path)
+    key = UNIQUE_KEYS[table]
+    again = duplicate_keys(spark.read.parquet(parquet_path), key).limit(5).collect()
+    if again:
+        shown = ", ".join(str(r[key]) for r in again)
+        raise ValueError(f"{table}: {key} is repeated ({shown}, ...); repair {csv_path} before reports read {parquet_path}")
 
 
 def read_shop_tables(spark: SparkSession, folder: str):
