@@ -66,9 +66,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     doc_id are one document; rows without doc_id are in no group and stay."""
     workers_import_package(spark)
     groups = near_duplicates(docs)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stay")).distinct()
-    kept = docs.join(materialize(stay, "stay"), docs["doc_id"] == F.col("stay"), "left_semi")
-    return kept.unionAll(docs.where("doc_id IS NULL"))
+    least = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(materialize(least, "least"), "doc_id", "left_semi")
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha1(F.col("text").cast("binary"))))
     found = contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     hit = materialize(found.where("contaminated").select(F.col("doc_id").alias("hit")).distinct(), "hit")
-    return docs.join(hit, key == F.col("hit"), "left_anti")
+    return docs.join(hit, key == hit["hit"], "left_anti")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

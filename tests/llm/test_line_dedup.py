@@ -26,12 +26,16 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def _check(make, rows):
-    df = make([(d, t, None, None, None) for d, t in rows]).repartition(5)
+def expected(df, rows):
     named = df.selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS k1", "xxhash64(text, 1, doc_id) AS k2")
     keys = {(r["doc_id"], r["text"]): (r["k1"], r["k2"]) for r in named.collect()}
+    return brute([(d, t, keys[d, t]) for d, t in rows])
+
+
+def _check(make, rows):
+    df = make([(d, t, None, None, None) for d, t in rows]).repartition(5)
     got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in dedup_lines(df).collect()), key=repr)
-    assert got == brute([(d, t, keys[d, t]) for d, t in rows])
+    assert got == expected(df, rows)
     return got
 
 
