@@ -38,3 +38,16 @@ def test_order_filter_pushed(spark):
 
 def test_funnel_cut_is_a_broadcast(spark):
     assert "BroadcastHashJoin" in _plan(spark, "funnel_sessions", executed=True)
+
+
+@pytest.mark.parametrize("name", ["funnel_sessions", "billing_pages", "duplicate_rows", "nunique"])
+def test_no_rows_are_gathered_in_one_task(spark, name):
+    """What goes to a single partition is partial sums, never rows (a limit before a count)."""
+    plan = _plan(spark, name, executed=True)
+    for line, below in zip(plan.splitlines(), plan.splitlines()[1:]):
+        if "SinglePartition" in line:
+            assert "partial_" in below or "Aggregate" in below, plan
+
+
+def test_nunique_copies_no_rows(spark):
+    assert "Expand" not in _plan(spark, "nunique")
