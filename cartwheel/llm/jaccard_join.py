@@ -327,19 +327,30 @@ def row_links(sets: DataFrame, n_blocks: int, *, percent: int = PERCENT) -> Data
         F.greatest("doc_d", "doc_p").alias("a"), F.least("doc_d", "doc_p").alias("b")).distinct()
     tried = materialize(pairs, "pairs")
     links = materialize(_verified(tried, sets, percent), "links")
-    # What may still connect two components: pairs of components that share a column.
+    # What may still connect two components: pairs of components that share a column. With
+    # ``most`` the size up to which a partner may reach the threshold from that column on, a
+    # pair of sizes n <= m needs m <= most of the one and n <= most of the other: its smaller
+    # row has few columns rarer than the shared one, which common passages seldom are.
     groups = components(links)
     named = materialize(postings.join(groups, postings["doc"] == groups["node"], "left").select(
-        "h", "doc", "n", "rank", F.coalesce("component", "doc").alias("c")), "postings")
-    held = named.groupBy("h", "c").agg(F.lit(1).alias("one")).select("h", "c")
-    mixed = held.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-    held = held.join(mixed, "h")
-    across = held.select("h", F.col("c").alias("c_a")).join(held.select("h", F.col("c").alias("c_b")), "h")
-    across = across.where("c_a < c_b")
-    members = named.withColumnRenamed("c", "c_a")
-    rest = across.join(_as(members, "a", "h", "c_a"), ["h", "c_a"])
-    rest = rest.join(_as(members.withColumnRenamed("c_a", "c_b"), "b", "h", "c_b"), ["h", "c_b"])
-    rest = rest.where(_may_link("a", "b", percent)).select(
+        "h", "doc", "n", F.coalesce("component", "doc").alias("c"),
+        (F.floor((100 + percent) * (F.col("n") - F.col("rank")) / percent) - F.col("n")).alias("most")), "postings")
+    bounds = [F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most")]
+    held = named.groupBy("h", "c").agg(*bounds)
+    mixed = held.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h")
+    named = named.join(mixed, "h")
+    small = named.where("most >= n")
+    x, y = small.groupBy("h", "c").agg(*bounds).alias("x"), named.groupBy("h", "c").agg(*bounds).alias("y")
+    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c"))
+                    & (F.col("x.low") <= F.col("y.high")) & (F.col("x.most") >= F.col("y.low"))
+                    & (F.col("y.most") >= F.col("x.low")))
+    across = across.select("x.h", F.col("x.c").alias("c_a"), F.col("y.c").alias("c_b"))
+
+    def members(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("h", *(F.col(k).alias(f"{k}_{side}") for k in ("c", "doc", "n", "most")))
+
+    rest = across.join(members(small, "a"), ["h", "c_a"]).join(members(named, "b"), ["h", "c_b"])
+    rest = rest.where("n_a <= n_b AND n_b <= most_a AND n_a <= most_b").select(
         F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     return links.unionAll(_verified(rest, sets, percent))
