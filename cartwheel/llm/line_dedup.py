@@ -55,10 +55,13 @@ def removable(lines: list[str], first: int, end: int) -> bool:
     return len(full) > 1 or (len(full) == 1 and len(full[0].split()) >= LONG_WORDS)
 
 
+ROW = ("k1", "k2")  # 128 bits that name a row by its doc_id and text
+
+
 def repeated_chunks(rows: DataFrame) -> DataFrame:
-    """doc_id, key, no, digest of the chunks whose digest occurs more than once.
+    """doc_id, k1, k2, no, digest of the chunks whose digest occurs more than once.
 
-    ``rows`` has doc_id, key (of the text), text.
+    ``rows`` has doc_id, k1, k2, text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,13 +74,13 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
                         no.append(k)
                         digest.append(xxhash.xxh3_128_digest("\n".join(lines[a:b]).encode()))
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(at), "key": batch.column("key").take(at),
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(at) for c in ("doc_id", *ROW)} | {
                 "no": pa.array(no, pa.int32()), "digest": pa.array(digest, pa.binary())})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     # Rows that are equal in doc_id and text are one occurrence.
-    found = rows.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key long, no int, digest binary")
+    found = rows.select("doc_id", *ROW, "text").mapInArrow(
+        run, f"doc_id {kind}, k1 long, k2 long, no int, digest binary")
     found = materialize(found, "chunks").distinct()
     often = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     return found.join(often, "digest")
@@ -86,19 +89,22 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated chunks cut out of ``text``, and ``n_removed`` (chunks).
 
-    The first occurrence, by doc_id (null first), text key and place, stays. A digest whose
-    chunks differ in any byte is left alone. A null text stays null; a text whose chunks all
-    stand elsewhere becomes empty; rows equal in doc_id and text are treated alike. Columns
-    are kept; one named ``n_removed`` is replaced.
+    The first occurrence, by doc_id (null first), row and place, stays. A digest whose chunks
+    differ in any byte is left alone. A null text stays null; a text whose chunks all stand
+    elsewhere becomes empty; rows equal in doc_id and text are treated alike. Columns are
+    kept; one named ``n_removed`` is replaced.
+
+    Texts are shuffled once, by row: the join that fetches the bytes to compare and the one
+    that removes chunks read the same exchange.
     """
     own = docs.drop("n_removed")
     names = [c for c in own.columns if c not in ("doc_id", "text")]
     rest = F.struct(*(f"`{c}`" for c in names)) if names else F.lit(None).cast("boolean")
-    rows = own.select("doc_id", F.xxhash64("text").alias("key"), "text", rest.alias("rest"))
-    slim = rows.select("doc_id", "key", "text")
-    found = materialize(repeated_chunks(slim), "repeated")
-    wanted = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("no", "digest")).alias("chunks"))
-    kind = own.schema["doc_id"].dataType.simpleString()
+    rows = own.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("k2"),
+                      "text", rest.alias("rest"))
+    found = materialize(repeated_chunks(rows), "repeated")
+    wanted = found.groupBy(*ROW).agg(F.collect_list(F.struct("no", "digest")).alias("chunks"))
+    placed = rows.repartition(*ROW)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,19 +118,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                     data.append("\n".join(lines[a:b]).encode())
             yield pa.RecordBatch.from_pydict({"digest": pa.array(digest, pa.binary()), "data": pa.array(data, pa.binary())})
 
-    def on(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        other = right.withColumnsRenamed({"doc_id": "doc_id_2", "key": "key_2"})
-        same = left["doc_id"].eqNullSafe(other["doc_id_2"]) & (left["key"] == other["key_2"])
-        return left.join(other, same, how).drop("doc_id_2", "key_2")
-
-    data = on(slim, wanted, "inner").select("text", "chunks").mapInArrow(
-        texts, "digest binary, data binary")
+    # All columns go in, or pruning would make this another exchange than the last join's.
+    data = placed.join(wanted, list(ROW)).mapInArrow(texts, "digest binary, data binary")
     equal = data.groupBy("digest").agg(F.min("data").alias("low"), F.max("data").alias("high"))
     equal = equal.where("low = high").select("digest")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "no")).alias("first"))
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", *ROW, "no")).alias("first"))
     gone = found.join(equal, "digest").join(first, "digest").where(
-        ~F.struct("doc_id", "key", "no").eqNullSafe(F.col("first")))
-    gone = materialize(gone.groupBy("doc_id", "key").agg(F.collect_set("no").alias("gone")), "gone")
+        ~F.struct("doc_id", *ROW, "no").eqNullSafe(F.col("first")))
+    gone = gone.groupBy(*ROW).agg(F.collect_set("no").alias("gone"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +142,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     schema = T.StructType([own.schema["doc_id"], own.schema["text"], rows.schema["rest"],
                            T.StructField("n_removed", T.IntegerType())])
-    out = on(rows, gone, "left").select("doc_id", "text", "rest", "gone").mapInArrow(strip, schema)
+    out = placed.join(gone, list(ROW), "left").mapInArrow(strip, schema)
     return out.select(*(F.col("rest")[c].alias(c) if c in names else c for c in own.columns), "n_removed")
 
 
