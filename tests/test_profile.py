@@ -159,3 +159,20 @@ def test_duplicates_exact_under_hash_collisions(spark, monkeypatch):
                         lambda subset: [F.lit(0).cast("bigint").alias("_h1"), F.lit(0).alias("_h2")])
     assert sorted(r["k"] for r in profile.duplicate_rows(df, "k").collect()) == want_dup == [2, 5]
     assert sorted(r["k"] for r in profile.drop_duplicates(df, order_key="k").collect()) == want_keep == [1, 3, 4, 6]
+
+
+def test_columns_filled_with_any_text(spark):
+    """A share that rounds to 0.0 is not imputed of itself, but goes with the first text column."""
+    from cartwheel.operators.clean import CleanRules, clean_table
+    rows = [(i, None if i % 4 == 0 else "c", None if i == 7 else "mail", None if i < 2 else f"2020-01-{i % 28 + 1:02d}", "k")
+            for i in range(4000)]
+    df = spark.createDataFrame(rows, "i int, city string, mail string, day string, grp string")
+    rules = CleanRules(date_formats={"day": "yyyy-MM-dd"}, group_mean_keys={"day": "grp"})
+    nulls = lambda out, c: out.where(out[c].isNull()).count()
+    plain = clean_table(df, rules)
+    assert (nulls(plain, "city"), nulls(plain, "mail"), nulls(plain, "day")) == (0, 1, 2)
+    full = clean_table(df, CleanRules(date_formats=rules.date_formats, group_mean_keys=rules.group_mean_keys,
+                                      with_text=("mail", "day", "absent")))
+    assert (nulls(full, "city"), nulls(full, "mail"), nulls(full, "day")) == (0, 0, 0)
+    none = clean_table(df.drop("city"), CleanRules(with_text=("mail",)))
+    assert nulls(none, "mail") == 1
