@@ -335,7 +335,7 @@ def row_links(sets: DataFrame, n_blocks: int, *, percent: int = PERCENT) -> Data
     named = materialize(postings.join(groups, postings["doc"] == groups["node"], "left").select(
         "h", "doc", "n", F.coalesce("component", "doc").alias("c"),
         (F.floor((100 + percent) * (F.col("n") - F.col("rank")) / percent) - F.col("n")).alias("most")), "postings")
-    bounds = [F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most")]
+    bounds = [F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most"), F.count("*").alias("rows")]
     held = named.groupBy("h", "c").agg(*bounds)
     mixed = held.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h")
     named = named.join(mixed, "h")
@@ -344,12 +344,16 @@ def row_links(sets: DataFrame, n_blocks: int, *, percent: int = PERCENT) -> Data
     across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c"))
                     & (F.col("x.low") <= F.col("y.high")) & (F.col("x.most") >= F.col("y.low"))
                     & (F.col("y.most") >= F.col("x.low")))
-    across = across.select("x.h", F.col("x.c").alias("c_a"), F.col("y.c").alias("c_b"))
+    across = across.select("x.h", F.col("x.c").alias("c_a"), F.col("y.c").alias("c_b"),
+                           (F.col("x.rows") <= F.col("y.rows")).alias("a_first"))
+    across = materialize(across, "across")
 
     def members(rows: DataFrame, side: str) -> DataFrame:
         return rows.select("h", *(F.col(k).alias(f"{k}_{side}") for k in ("c", "doc", "n", "most")))
 
-    rest = across.join(members(small, "a"), ["h", "c_a"]).join(members(named, "b"), ["h", "c_b"])
+    # The smaller side's rows first: a large component meets them under the bounds only.
+    a, b = (members(small, "a"), ["h", "c_a"]), (members(named, "b"), ["h", "c_b"])
+    rest = across.where("a_first").join(*a).join(*b).unionByName(across.where("NOT a_first").join(*b).join(*a))
     rest = rest.where("n_a <= n_b AND n_b <= most_a AND n_a <= most_b").select(
         F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
