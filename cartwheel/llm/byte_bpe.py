@@ -25,7 +25,7 @@ POS_BITS = 23           # a piece may have up to 2^23 - 1 bytes (its positions s
 MAX_PIECE = (1 << POS_BITS) - 1
 ROWS_AT_ONCE = 4_000_000  # bound on the rows one recursive query gathers
 PIECES_AT_ONCE = 40_000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 500_000  # a task forgets pieces beyond (some 300 bytes each)
 
 # Per step: the best pair of a piece is the least (rank, position) packed into one number. The
 # right token of that pair takes over its start and becomes the merged one, the left token
@@ -64,7 +64,8 @@ _STOPS = frozenset(".,;:!?")
 class Codec:
     """Encoder and decoder of one rank file, in this process."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache_entries: int = CACHE_ENTRIES):
+        self.cache_entries = cache_entries
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.find = regex.compile(pattern).findall
@@ -147,15 +148,15 @@ class Codec:
         cut = [(c, self._match(c, "" if c[:1] == "\n" else lead)) for c in chunks]
         self._learn({p for _, m in cut for p in m})
         for c, m in cut:
-            if (c or lead)[-1:].isspace():
+            if not m or (c or lead)[-1:].isspace():
                 cache[c] = None
             else:
                 cache[c] = self.pieces[m[0]] if len(m) == 1 else self._join([self.pieces[p] for p in m])
 
     @staticmethod
     def _join(found: list[tuple]) -> tuple:
-        return (sum([x[0] for x in found]), b",".join([x[1] for x in found if x[0]]),
-                b"".join([x[2] for x in found]))
+        n, ids, back = zip(*found)
+        return sum(n), b",".join(ids), b"".join(back)
 
     def documents(self, texts: list[str]) -> list[tuple]:
         """(number of ids, ids as decimals joined by commas, decoded bytes) of each text.
@@ -164,33 +165,30 @@ class Codec:
         each blank and newline and equal chunks are looked up once. A chunk that ends with
         white space breaks that rule; such a text is matched as a whole.
         """
-        if max(len(self.pieces), len(self.chunks)) > CACHE_ENTRIES:
-            for cache in (self.pieces, self.chunks, self.heads):
-                cache.clear()
+        if max(len(self.pieces), len(self.chunks)) > self.cache_entries:
+            self.forget()
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         first = [c.pop(0) for c in cut]
         self._add(self.heads, set(first) - self.heads.keys(), "")
         self._add(self.chunks, set().union(*cut) - self.chunks.keys(), " ")
-        out: list = []
-        for head, c in zip(first, cut, strict=True):
-            found = [self.heads[head], *map(self.chunks.__getitem__, c)]
-            out.append(None if None in found else self._join(found))
-        if slow := [i for i, x in enumerate(out) if x is None]:
-            matched = [self.find(texts[i]) for i in slow]
-            self._learn(set().union(*matched))
-            for i, m in zip(slow, matched, strict=True):
-                out[i] = self._join([self.pieces[p] for p in m])
+        out, whole = [(0, b"", b"")] * len(texts), []
+        for i, (head, c) in enumerate(zip(first, cut, strict=True)):
+            found = [self.heads[head]] if head else []
+            found += map(self.chunks.__getitem__, c)
+            if found:
+                try:
+                    out[i] = self._join(found)
+                except TypeError:  # None among them
+                    whole.append(i)
+        matched = [self.find(texts[i]) for i in whole]
+        self._learn(set().union(*matched))
+        for i, m in zip(whole, matched, strict=True):
+            out[i] = self._join([self.pieces[p] for p in m])
         return out
 
-
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def codec(path: str, pattern: str) -> Codec:
-    """The process's codec of that file (workers are used again, and so is what they know)."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    def forget(self) -> None:
+        for cache in (self.pieces, self.chunks, self.heads):
+            cache.clear()
 
 
 def slices(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -207,13 +205,14 @@ def slices(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, lis
 
 
 def encode_documents(docs: DataFrame, *, path: str, pattern: str = public_tokenizers.PATTERN,
-                     keep_ids: bool = False) -> DataFrame:
+                     keep_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, in one pass without shuffle.
 
     ``ids_sha256``: of the decimal ids joined by commas; ``decoded_sha256``: of the bytes the
     ids decode to. With ``keep_ids`` also ``ids`` (array<int>) and ``decoded`` (binary). A
     null text is an empty one: no ids. Repeated rows give a row each, other columns are
-    ignored. ``path`` must be readable on every worker.
+    ignored. ``path`` must be readable on every worker. ``cache_entries`` trades a worker's memory
+    for CPU: pieces beyond are encoded again.
     """
     schema = "doc_id {}, n_tokens long, ids_sha256 string, decoded_sha256 string".format(
         docs.schema["doc_id"].dataType.simpleString())
@@ -221,7 +220,7 @@ def encode_documents(docs: DataFrame, *, path: str, pattern: str = public_tokeni
         schema += ", ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = Codec(path, pattern, cache_entries)  # of this task: an idle worker holds no memory for it
         for batch in batches:
             for start, texts in slices(batch.column("text")):
                 rows = own.documents(texts)
@@ -234,6 +233,8 @@ def encode_documents(docs: DataFrame, *, path: str, pattern: str = public_tokeni
                     out |= {"ids": pa.array(ids, pa.list_(pa.int32())),
                             "decoded": pa.array([r[2] for r in rows], pa.binary())}
                 yield pa.RecordBatch.from_pydict(out)
+        own.forget()
+        own.db.close()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
