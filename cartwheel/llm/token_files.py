@@ -40,7 +40,7 @@ BLOCK = 1 << 14             # ids of a block
 FILE_IDS = 1 << 21          # ids of a file, about (the last document is not cut)
 BUCKET_BYTES = 16 << 20     # text of a range of doc_id, about
 HEADER = struct.Struct("<4sI7Q")
-CACHE_ENTRIES = 400_000
+KNOWN_WORDS, KNOWN_PARTS = 300_000, 700_000  # a worker forgets beyond (some 200 bytes each)
 
 
 # ---- the codec -------------------------------------------------------------------------
@@ -170,6 +170,9 @@ _PRE_TOKENIZERS = ["Split", "ByteLevel"]
 # No control character, no combining mark: NFC leaves these alone, white space is not among them.
 _PLAIN = re.compile("[!-~¡-ɏ]*").fullmatch
 
+# Ends of a word that the pre-tokenizer's pattern always matches on their own after a letter.
+_STOPS = frozenset(".,;:!?")
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte that byte-level vocabularies are written in."""
@@ -178,6 +181,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memory(dict):
+    """What ``make`` gave for each key; emptied by its owner."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class Words:
     """The library's tokenizer with a bounded memory of words it has encoded in this process.
 
@@ -202,37 +217,33 @@ class Words:
         if self.by_word:
             self.find = regex.compile(pre[0]["pattern"]["Regex"]).findall
             self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known, self.parts = _Memory(self._word), _Memory(self._part)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            letters = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            ids = [t.id for t in self.whole.model.tokenize(letters)]
-            found = self.parts[part] = np.array(ids, self.dtype).tobytes()
-        return found
+        letters = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        return np.array([t.id for t in self.whole.model.tokenize(letters)], self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
         if not _PLAIN(word):
             return self._encode(word)
         low = word.lower()
-        return self._part(low) if low.isalpha() else b"".join(map(self._part, self.find(low)))
+        if low.isalpha():
+            return self.parts[low]
+        if low[-1:] in _STOPS and low[:-1].isalpha():
+            return self.parts[low[:-1]] + self.parts[low[-1]]
+        return b"".join(map(self.parts.__getitem__, self.find(low)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of ``dtype``."""
         if not self.by_word:
             return [self._encode(t) for t in texts]
-        if max(len(self.known), len(self.parts)) > CACHE_ENTRIES:
-            self.known.clear()
-            self.parts.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        for word in set().union(*cut) - self.known.keys():
-            self.known[word] = self._word(word)
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for memory, most in ((self.known, KNOWN_WORDS), (self.parts, KNOWN_PARTS)):
+            if len(memory) > most:
+                memory.clear()
+        return [b"".join(map(self.known.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _WORDS: dict[str, Words] = {}
