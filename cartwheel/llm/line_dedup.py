@@ -1,14 +1,16 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication: passages of lines that stand elsewhere before are cut out.
 
-A rolling hash over the hashes of the last lines decides after which lines a chunk ends, so
-that equal passages are cut alike whatever stands before them; a long line is a chunk of its
-own. Chunks are counted by digest over all documents; the bytes of repeated ones are compared
-before all but their first occurrence are removed.
+A passage is a run of lines that holds several with words, or one of LONG_WORDS words. Every
+line is a chunk, so that a passage is found whatever stands around it. A run repeats where all
+its neighbouring pairs do, so each pair, and each long line, is counted by digest over all
+documents; the bytes of repeated ones are compared before all but their first occurrence are
+removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 import xxhash
@@ -18,92 +20,82 @@ from pyspark.sql import types as T
 
 from cartwheel.llm.common import materialize, table
 
-WINDOW = 2        # lines whose hashes decide on a boundary
-DIVISOR = 2       # a boundary after one of so many lines, on average
-LONG_WORDS = 50   # a line of so many words is a chunk of its own
-_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+LONG_WORDS = 50   # a line of so many words is a passage of its own
 
 
 def cut(lines: list[str]) -> list[tuple[int, int]]:
-    """(first, end) of each chunk of a text's lines."""
-    out, first = [], 0
-    drop = pow(_BASE, WINDOW, 1 << 64)
-    rolling, recent = 0, []
-    for i, line in enumerate(lines):
-        if len(line) >= 2 * LONG_WORDS - 1 and len(line.split()) >= LONG_WORDS:
-            if first < i:
-                out.append((first, i))
-            out.append((i, i + 1))
-            first, rolling, recent = i + 1, 0, []
-            continue
-        h = xxhash.xxh3_64_intdigest(line.encode())
-        recent.append(h)
-        rolling = rolling * _BASE + h & _MASK
-        if len(recent) > WINDOW:
-            rolling = rolling - recent.pop(0) * drop & _MASK
-        if (rolling ^ rolling >> 32) * _BASE % (1 << 64) >> 40 & 0xFFFF < 0x10000 // DIVISOR:
-            out.append((first, i + 1))
-            first = i + 1
-    if first < len(lines):
-        out.append((first, len(lines)))
-    return out
+    """(first, end) of each chunk of a text's lines: every line is one."""
+    return [(i, i + 1) for i in range(len(lines))]
 
 
 def removable(lines: list[str], first: int, end: int) -> bool:
-    """Of several lines with words, or one long line."""
-    full = [x for x in lines[first:end] if x and not x.isspace()]
-    return len(full) > 1 or (len(full) == 1 and len(full[0].split()) >= LONG_WORDS)
+    """Of a line with words; whether it goes is up to the passage it stands in."""
+    return any(x and not x.isspace() for x in lines[first:end])
+
+
+def passages(lines: list[str]) -> list[tuple[int, int]]:
+    """(first, end) of the shortest passages: each line with words to the next one (blank lines
+    between them included), and each long line."""
+    full = [a for a, b in cut(lines) if removable(lines, a, b)]
+    out = []
+    for i, j in zip_longest(full, full[1:]):
+        if len(lines[i]) >= 2 * LONG_WORDS - 1 and len(lines[i].split()) >= LONG_WORDS:
+            out.append((i, i + 1))
+        if j is not None:
+            out.append((i, j + 1))
+    return out
 
 
 ROW = ("k1", "k2")  # 128 bits that name a row by its doc_id and text
 
 
-def repeated_chunks(rows: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, no, digest of the chunks whose digest occurs more than once.
+def repeated_passages(rows: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, no, digest, first of the passages whose digest occurs more than once.
 
-    ``rows`` has doc_id, k1, k2, text.
+    ``rows`` has doc_id, k1, k2, text; ``first`` is the digest's least (doc_id, k1, k2, no).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, no, digest = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 lines = (text or "").split("\n")
-                for k, (a, b) in enumerate(cut(lines)):
-                    if removable(lines, a, b):
-                        at.append(i)
-                        no.append(k)
-                        digest.append(xxhash.xxh3_128_digest("\n".join(lines[a:b]).encode()))
+                for k, (a, b) in enumerate(passages(lines)):
+                    at.append(i)
+                    no.append(k)
+                    digest.append(xxhash.xxh3_128_digest("\n".join(lines[a:b]).encode()))
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_pydict({c: batch.column(c).take(at) for c in ("doc_id", *ROW)} | {
                 "no": pa.array(no, pa.int32()), "digest": pa.array(digest, pa.binary())})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    # Rows that are equal in doc_id and text are one occurrence.
     found = rows.select("doc_id", *ROW, "text").mapInArrow(
         run, f"doc_id {kind}, k1 long, k2 long, no int, digest binary")
-    found = materialize(found, "chunks").distinct()
-    often = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    return found.join(often, "digest")
+    found = materialize(found, "chunks")
+    # Rows that are equal in doc_id and text are one occurrence: their least and last are equal.
+    place = F.struct("doc_id", *ROW, "no")
+    often = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return found.join(often.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "digest")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated chunks cut out of ``text``, and ``n_removed`` (chunks).
+    """``docs`` with the repeated passages cut out of ``text``, and ``n_removed`` (lines with words).
 
-    The first occurrence, by doc_id (null first), row and place, stays. A digest whose chunks
-    differ in any byte is left alone. A null text stays null; a text whose chunks all stand
-    elsewhere becomes empty; rows equal in doc_id and text are treated alike. Columns are
-    kept; one named ``n_removed`` is replaced.
+    A line goes if it stands in a passage that occurs before, by doc_id (null first), row and
+    place; so the first occurrence of every line stays. A digest whose passages differ in any
+    byte is left alone. A null text stays null; a text whose passages all stand elsewhere
+    becomes empty; rows equal in doc_id and text are treated alike. Columns are kept; one named
+    ``n_removed`` is replaced.
 
     Texts are shuffled once, by row: the join that fetches the bytes to compare and the one
-    that removes chunks read the same exchange.
+    that removes lines read the same exchange.
     """
     own = docs.drop("n_removed")
     names = [c for c in own.columns if c not in ("doc_id", "text")]
     rest = F.struct(*(f"`{c}`" for c in names)) if names else F.lit(None).cast("boolean")
     rows = own.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "doc_id").alias("k2"),
                       "text", rest.alias("rest"))
-    found = materialize(repeated_chunks(rows), "repeated")
-    wanted = found.groupBy(*ROW).agg(F.collect_list(F.struct("no", "digest")).alias("chunks"))
+    found = materialize(repeated_passages(rows), "repeated")
+    wanted = found.groupBy(*ROW).agg(F.collect_set(F.struct("no", "digest")).alias("chunks"))
     placed = rows.repartition(*ROW)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +103,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             digest, data = [], []
             for text, chunks in zip(batch.column("text").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
                 lines = (text or "").split("\n")
-                at = cut(lines)
+                at = passages(lines)
                 for c in chunks:
                     a, b = at[c["no"]]
                     digest.append(c["digest"])
@@ -122,9 +114,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     data = placed.join(wanted, list(ROW)).mapInArrow(texts, "digest binary, data binary")
     equal = data.groupBy("digest").agg(F.min("data").alias("low"), F.max("data").alias("high"))
     equal = equal.where("low = high").select("digest")
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", *ROW, "no")).alias("first"))
-    gone = found.join(equal, "digest").join(first, "digest").where(
-        ~F.struct("doc_id", *ROW, "no").eqNullSafe(F.col("first")))
+    gone = found.join(equal, "digest").where(~F.struct("doc_id", *ROW, "no").eqNullSafe(F.col("first")))
     gone = gone.groupBy(*ROW).agg(F.collect_set("no").alias("gone"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +123,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             removed = [0] * len(out)
             for i, no in enumerate(batch.column("gone").to_pylist()):
                 if no:
-                    lines, gone_now = out[i].split("\n"), set(no)
-                    keep = [lines[a:b] for k, (a, b) in enumerate(cut(lines)) if k not in gone_now]
-                    out[i], removed[i] = "\n".join(x for part in keep for x in part), len(gone_now)
+                    lines = out[i].split("\n")
+                    at, gone_now = passages(lines), set()
+                    for k in no:
+                        gone_now.update(range(*at[k]))
+                    out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone_now)
+                    removed[i] = sum(removable(lines, k, k + 1) for k in gone_now)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(out, pa.string()), batch.column("rest"), pa.array(removed, pa.int32())],
                 names=["doc_id", "text", "rest", "n_removed"])
