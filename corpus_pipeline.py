@@ -22,7 +22,7 @@ from cartwheel.llm.line_dedup import dedup_lines
 BPE_ENTRIES = 150_000  # earlier stages have grown the executors' heap; the encoder's tasks stay small
 MIN_SCORE = 0.3   # a language less probable than this is not told
 
-#: SQL can express neither the trained stage nor the chunk boundaries; tests/llm compares
+#: SQL can express neither the trained stage nor the passages' first places; tests/llm compares
 #: every stage with a brute-force version.
 ORACLE_SQL = None
 
@@ -50,7 +50,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that stand elsewhere before; ``n_chars`` follows
+    """Documents without the passages of lines that stand elsewhere before; ``n_chars`` follows
     the text. A document that is left without a word goes, one that had none stays."""
     workers_import_package(spark)
     rows = dedup_lines(_packed(docs))
