@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.llm.common import materialize, table
-from cartwheel.llm.license_texts import known_texts
+from cartwheel.llm.license_texts import FULL_DIGESTS, known_texts
 
 BROADCAST_TEXTS = 100_000   # known digests sent to every task, at most (72 bytes or so each)
 
@@ -45,11 +45,16 @@ def _whole(lines: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts=None) -> DataFrame:
-    """licence, kind, digest, chars of (licence, kind, text) rows; kind is text or notice."""
+    """licence, kind, digest, chars of (licence, kind, text) rows; kind is text or notice.
+
+    Without ``texts``, of the known texts, and the digests of those known by digest only."""
     rows = spark.createDataFrame(texts or known_texts(), "licence string, kind string, text string")
     form = rows.select("licence", "kind", _whole(canonical_lines(F.col("text"))).alias("form"))
     form = form.where("form <> ''").select("licence", "kind", F.sha2(F.col("form").cast("binary"), 256).alias("digest"),
                                            F.length("form").alias("chars"))
+    if texts is None:
+        more = [(k, "text", x, None) for k, digests in FULL_DIGESTS.items() for x in digests]
+        form = form.unionByName(spark.createDataFrame(more, "licence string, kind string, digest string, chars int"))
     return form.groupBy("kind", "digest", "chars").agg(F.min("licence").alias("licence"))
 
 

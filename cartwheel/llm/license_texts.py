@@ -76,6 +76,30 @@ appear in all copies.
     "Zlib": _ZLIB,
 }
 
+# SHA-256 of the canonical form (license_scan) of long licences as published, in the
+# editions of Debian's /usr/share/common-licenses; where a text has an appendix after its terms,
+# of the whole, of the terms with the line that ends them, and of the terms without it.
+FULL_DIGESTS = {
+    "Apache-2.0": (
+        "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543",
+        "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40",
+        "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f",
+    ),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GPL-2.0": (
+        "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
+    ),
+    "GPL-3.0": (
+        "7c43f539c0d6222cb9eaf4eb535dfadd67656f04d06bf12b26d89ab3cc1baa94",
+        "7d75204ed685fd08ff55e7de654cd69da831b4d875c3d2c2e69d04d738cccc3e",
+        "dd35883083089e6d76ba8a178db431b99ae33b3d2e87dc33fa479fe6aa2ce307",
+    ),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-2.0": ("6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",),
+}
+
 # Names under which notices speak of a licence.
 NAMES = {
     "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPLv3"),
@@ -100,10 +124,27 @@ OPENINGS = ("Licensed under", "Released under", "Distributed under", "Available
             "This project is licensed under", "This file is licensed under",
             "Permission is granted under", "SPDX-License-Identifier:")
 
+_GNU_HEADER = ("This program is free software: you can redistribute it and/or modify it under the terms of the "
+               "GNU {} as published by the Free Software Foundation, either version {} of the License, or (at "
+               "your option) any later version.")
+# Lines of the standard headers that name licence and version by themselves.
+HEADERS = {
+    "AGPL-3.0": (_GNU_HEADER.format("Affero General Public License", 3),),
+    "Apache-2.0": ('Licensed under the Apache License, Version 2.0 (the "License");',
+                   'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file '
+                   'except in compliance with the License.'),
+    "GPL-2.0": (_GNU_HEADER.format("General Public License", 2),),
+    "GPL-3.0": (_GNU_HEADER.format("General Public License", 3),),
+    "LGPL-3.0": (_GNU_HEADER.format("Lesser General Public License", 3),),
+    "MPL-2.0": ("License, v. 2.0. If a copy of the MPL was not distributed with this",
+                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+}
+
 
 def known_texts() -> list[tuple[str, str, str]]:
-    """(licence, kind, text): full texts, and notices by rule (opening, article, name)."""
+    """(licence, kind, text): full texts, header lines, and notices by rule (opening, article, name)."""
     out = [(k, "text", v) for k, v in FULL_TEXTS.items()]
+    out += [(k, "notice", x) for k, lines in HEADERS.items() for x in lines]
     for licence, names in NAMES.items():
         for name in (*names, licence):
             for opening in OPENINGS:
