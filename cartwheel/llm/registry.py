@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cartwheel.llm import byte_bpe, decontaminate, jaccard_join, language_id, license_scan, line_dedup, quality_rules, token_files, url_filter, warc_zip
+from cartwheel.llm import (byte_bpe, centroid_clusters, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup,
+                           merkle_manifest, quality_rules, token_files, url_filter, warc_zip)
 from cartwheel.llm.common import workers_import_package
 
 MODULES = (url_filter, quality_rules, byte_bpe, token_files, jaccard_join, decontaminate, language_id, line_dedup,
-           warc_zip, license_scan)
+           warc_zip, license_scan, centroid_clusters, chat_format, merkle_manifest)
 
 
 def _with_package(query):

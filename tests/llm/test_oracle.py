@@ -19,13 +19,13 @@ def _norm(v):
 
 def test_every_operator_is_registered():
     numbers = [int(n[2:].split("_")[0]) for n in llm_queries()]
-    assert sorted(numbers) == list(range(1, 11)) and {*llm_queries(), "pipeline"} <= set(queries())
+    assert sorted(numbers) == list(range(1, 14)) and {*llm_queries(), "pipeline"} <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(llm_oracle_sql()))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries()[name](spark, SF)
     res = con.execute(llm_oracle_sql()[name])
