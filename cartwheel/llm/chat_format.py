@@ -79,7 +79,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Whether each token's span meets one of the sorted, disjoint ``spans``."""
+    """Whether each token's span meets one of the sorted, disjoint ``spans`` (empty ones meet none)."""
+    spans = [(a, b) for a, b in spans if a < b]
     if not spans:
         return np.zeros(len(starts), bool)
     first, last = np.array(spans, np.int64).T
