@@ -1,35 +1,10 @@
 import random
 
-from cartwheel.llm.line_dedup import LONG_WORDS, cut, dedup_lines, removable
+from cartwheel.llm import line_dedup
+from cartwheel.llm.line_dedup import DIVISOR, LONG_WORDS, cut, dedup_lines, passages
 
 from .conftest import ODD, prose
-
-
-def brute(rows):
-    """Texts after removal: chunks compared as strings, the least (doc_id, text, place) stays."""
-    places = {}
-    for doc_id, text, key in rows:
-        lines = (text or "").split("\n")
-        for no, (a, b) in enumerate(cut(lines)):
-            if removable(lines, a, b):
-                places.setdefault("\n".join(lines[a:b]), set()).add((doc_id is not None, doc_id or 0, key, no))
-    out = []
-    for doc_id, text, key in rows:
-        lines, keep, gone = (text or "").split("\n"), [], 0
-        for no, (a, b) in enumerate(cut(lines)):
-            where = places.get("\n".join(lines[a:b]), set())
-            if len(where) > 1 and min(where) != (doc_id is not None, doc_id or 0, key, no):
-                gone += 1
-            else:
-                keep += lines[a:b]
-        out.append((doc_id, "\n".join(keep) if gone else text, gone))
-    return sorted(out, key=repr)
-
-
-def expected(df, rows):
-    named = df.selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS k1", "xxhash64(text, 1, doc_id) AS k2")
-    keys = {(r["doc_id"], r["text"]): (r["k1"], r["k2"]) for r in named.collect()}
-    return brute([(d, t, keys[d, t]) for d, t in rows])
+from .plain_passages import expected
 
 
 def _check(make, rows):
@@ -41,26 +16,61 @@ def _check(make, rows):
 
 def test_shared_passages_go_once(make):
     rnd = random.Random(3)
-    passages = ["\n".join(prose(rnd, rnd.randint(6, 14)) for _ in range(rnd.randint(6, 12))) for _ in range(6)]
+    shared = ["\n".join(prose(rnd, rnd.randint(6, 14)) for _ in range(rnd.randint(2, 12))) for _ in range(6)]
     long_line = prose(rnd, LONG_WORDS + 20)
     rows = []
     for i in range(60):
         parts = [prose(rnd, rnd.randint(3, 30)) for _ in range(rnd.randint(1, 6))]
-        parts.insert(rnd.randint(0, len(parts)), rnd.choice([*passages, long_line, prose(rnd, 9)]))
+        parts.insert(rnd.randint(0, len(parts)), rnd.choice([*shared, long_line, prose(rnd, 9)]))
         rows.append((i, "\n".join(parts)))
     rows += [(100, rows[5][1]), (101, rows[5][1])]
     got = {d: (t, n) for d, t, n in _check(make, rows)}
     assert sum(long_line in t for t, _ in got.values()) == 1
-    assert got[100][1] > 0 and got[5][1] == 0 or got[5][1] > 0
+    assert all(sum(p in t for t, _ in got.values()) == 1 for p in shared) and got[101] == got[100]
 
 
 def test_boundaries_resist_shifts():
+    """Lines put in before and inside a text change the chunks there and no others; cutting every
+    so many lines would change all that follow, and every line on its own is no chunk."""
     rnd = random.Random(6)
     body = [prose(rnd, 8) for _ in range(300)]
     chunks = lambda lines: {tuple(lines[a:b]) for a, b in cut(lines)}
     moved = [prose(rnd, 5), *body[:150], prose(rnd, 7), *body[150:]]
     assert len(chunks(body) & chunks(moved)) >= len(chunks(body)) - 6
+    fixed = lambda lines: {tuple(lines[i:i + DIVISOR]) for i in range(0, len(lines), DIVISOR)}
+    assert len(fixed(body) & fixed(moved)) < 5
     assert [x for a, b in cut(body) for x in body[a:b]] == body
+    assert 300 / DIVISOR * 0.6 < len(cut(body)) < 300 / DIVISOR * 1.6 and max(b - a for a, b in cut(body)) > DIVISOR
+
+
+def test_chunks_hold_most_pairs():
+    rnd = random.Random(7)
+    lines = [prose(rnd, 5) if i % 7 else "" for i in range(400)]
+    found = passages(lines)
+    chunks = [p for p in found if p[2] == -1]
+    pairs = [p for p in found if p[2] != -1]
+    assert found[:len(chunks)] == chunks
+    for a, b, within in pairs:
+        holds = [k for k, (c, d, _) in enumerate(chunks) if c <= a and b <= d]
+        assert holds == ([] if within is None else [within])
+    assert sum(w is not None for *_, w in pairs) > len(pairs) / 2
+
+
+def test_pairs_in_repeated_chunks_are_not_counted_again(make):
+    rnd = random.Random(8)
+    text = "\n".join(prose(rnd, 6) for _ in range(60))
+    rows = make([(i, text, None, None, None) for i in range(6)]).selectExpr("doc_id", "doc_id AS k1", "doc_id AS k2", "text")
+    found = line_dedup.repeated_passages(rows).groupBy("doc_id").count().collect()
+    count = {r["doc_id"]: r["count"] for r in found}
+    chunks = sum(w == -1 for *_, w in passages(text.split("\n")))
+    inside = sum(w not in (-1, None) for *_, w in passages(text.split("\n")))
+    assert inside > 20 and all(count[i] == chunks + 59 - inside for i in range(1, 6))
+
+
+def test_overlapping_repeats_leave_the_first_occurrence(make):
+    rows = [(1, "ha\nha\nha\nha"), (2, "a\nb\na\nb\na\nb\nc"), (3, "\n".join(["x"] * 50)), (4, "\n\n".join(["y", "z"] * 20))]
+    got = {d: t for d, t, _ in _check(make, rows)}
+    assert got[1] == "ha\nha" and got[2] == "a\nb\nc" and got[3] == "x\nx"
 
 
 def test_odd_rows(make):
@@ -71,6 +81,7 @@ def test_odd_rows(make):
 
 
 def test_columns_are_kept(make):
-    df = make([(1, "x", 2, 3, 4, "t")], "doc_id long, text string, key int, no int, digest int, `a.b` string")
+    df = make([(1, "x", 2, 3, 4, "t", 5)], "doc_id long, text string, key int, no int, digest int, `a.b` string, within int")
     out = dedup_lines(df)
-    assert out.columns == [*df.columns, "n_removed"] and tuple(out.first()) == (1, "x", 2, 3, 4, "t", 0)
+    assert out.columns == [*df.columns, "n_removed"] and tuple(out.first()) == (1, "x", 2, 3, 4, "t", 5, 0)
+

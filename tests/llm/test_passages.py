@@ -2,30 +2,10 @@
 
 import random
 
-from cartwheel.llm.line_dedup import LONG_WORDS, dedup_lines
+from cartwheel.llm.line_dedup import dedup_lines
 
 from .conftest import prose
-
-
-def brute(rows, order):
-    """{doc_id: (text, lines removed)}; ``order`` gives a row's place among the rows."""
-    first, found = {}, []
-    for doc_id, text in sorted(rows, key=order):
-        lines = text.split("\n")
-        full = [i for i, x in enumerate(lines) if x.split()]
-        for n, a in enumerate(full):
-            for b in full[n:]:
-                if b > a or len(lines[a].split()) >= LONG_WORDS:
-                    passage = "\n".join(lines[a:b + 1])
-                    if first.setdefault(passage, (doc_id, a)) != (doc_id, a):
-                        found.append((doc_id, a, b))
-    out = {}
-    for doc_id, text in rows:
-        lines = text.split("\n")
-        gone = {i for d, a, b in found if d == doc_id for i in range(a, b + 1)}
-        out[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in gone),
-                       sum(bool(lines[i].split()) for i in gone))
-    return out
+from .plain_passages import brute
 
 
 def _dedup(make, rows):
@@ -53,7 +33,7 @@ def test_against_every_passage(make):
     pool = ["", " ", "a", "b c", "d", "e f g", prose(rnd, 60)]
     rows = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.5 else prose(rnd, 4)
                           for _ in range(rnd.randint(0, 14)))) for i in range(120)]
-    assert _dedup(make, rows) == brute(rows, lambda r: r[0])
+    assert _dedup(make, rows) == {d: (t, n) for d, t, n in brute(rows, lambda r: r[0])}
 
 
 def test_one_short_line_stays(make):

@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from cartwheel.llm.language_id import has_letter
 
-from . import test_decontaminate, test_jaccard_join, test_line_dedup
+from . import plain_passages, test_decontaminate, test_jaccard_join
 from .conftest import DOCS, ODD, prose
 from .test_language_id import _text
 
@@ -56,7 +56,7 @@ def test_each_stage_on_its_input(spark, sf_dir):
         if name == "language_id":  # no clean document goes
             assert kept == [r for r in given if has_letter(r[1])]
         elif name == "line_dedup":
-            texts = test_line_dedup.expected(docs, [(r[0], r[1]) for r in given])
+            texts = plain_passages.expected(docs, [(r[0], r[1]) for r in given])
             words = [(d, t) for d, t, gone in texts if not gone or t.split()]
             assert sorted(((r[0], r[1]) for r in kept), key=repr) == sorted(words, key=repr) and len(words) < len(given)
             assert all(r[4] == len(r[1]) for r in kept if r[1] is not None)
