@@ -60,7 +60,8 @@ def _build(nodes: DataFrame) -> tuple[DataFrame | None, DataFrame, int]:
     """(inner nodes, roots, levels) of the trees over ``nodes`` (grp, idx, n, digest).
 
     An inner node is (grp, level, run, kids): the digests (binary, concatenated) of its children,
-    which are nodes run * FANOUT, ... of that level. Roots are (grp, digest).
+    which are nodes run * FANOUT, ... of that level. Roots are (grp, digest). Digests are binary;
+    what is hashed is their hex text.
     """
     most = nodes.agg(F.max("n")).first()[0] or 0
     built, level = [], 0
@@ -68,10 +69,10 @@ def _build(nodes: DataFrame) -> tuple[DataFrame | None, DataFrame, int]:
     while most > 1:
         runs = (nodes.where("n > 1").groupBy("grp", "n", F.expr(f"idx DIV {FANOUT}").alias("run"))
                 .agg(F.array_sort(F.collect_list(F.struct("idx", "digest"))).alias("kids")))
-        text = F.array_join(F.transform("kids", lambda k: k["digest"]), "")
-        runs = materialize(runs.select("grp", F.lit(level).alias("level"), "run", F.expr(f"(n + {FANOUT - 1}) DIV {FANOUT}").alias("n"),
-                                       text.alias("kids")).select("grp", "level", "run", "n", F.unhex("kids").alias("kids"),
-                                                                  F.sha2(F.col("kids").cast("binary"), 256).alias("digest")), "level")
+        text = F.lower(F.array_join(F.transform("kids", lambda k: F.hex(k["digest"])), ""))
+        runs = runs.select("grp", "run", F.expr(f"(n + {FANOUT - 1}) DIV {FANOUT}").alias("n"), text.alias("text"))
+        runs = materialize(runs.select("grp", F.lit(level).alias("level"), "run", "n", F.unhex("text").alias("kids"),
+                                       F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "level")
         built.append(runs)
         nodes = runs.select("grp", F.col("run").alias("idx"), "n", "digest")
         roots = roots.unionAll(nodes.where("n = 1").select("grp", "digest"))
@@ -84,12 +85,13 @@ def _build(nodes: DataFrame) -> tuple[DataFrame | None, DataFrame, int]:
 
 @dataclass(frozen=True)
 class Manifest:
-    """A built manifest: every table is stored in the shared folder."""
+    """A built manifest; digests are binary. Every table but the few rows joined to the leaves is
+    stored in the shared folder."""
 
-    leaves: DataFrame    # row, leaf, other (the leaf to check), grp, idx, n, the order column
+    leaves: DataFrame    # row, key (the order column), leaf, other (the leaf to check, null if the same), grp, idx, n
     nodes: DataFrame     # grp, level, run, block, kids, up_grp, up_level, up_idx
-    subroots: DataFrame  # grp, group value, digest
-    root: str | None     # None for an empty table
+    subroots: DataFrame  # grp, of (the group's value), digest
+    root: str | None     # in hex; None for an empty table
     order: str
 
 
@@ -102,23 +104,20 @@ def build(docs: DataFrame, *, columns=COLUMNS, group: str = "lang", order: str =
     whose ``other`` leaf differs from the stored one.
     """
     leaf = leaf_hash(docs, columns)
-    other = F.when(tampered[0], leaf_hash(docs, columns, **tampered[1])).otherwise(leaf) if tampered else leaf
+    other = F.when(tampered[0], leaf_hash(docs, columns, **tampered[1])) if tampered else F.lit(None).cast("string")
     leaves = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{order}`").alias("key"),
-                         F.col(f"`{group}`").alias("value"), leaf.alias("leaf"), other.alias("other"))
+                         F.col(f"`{group}`").alias("value"), F.unhex(leaf).alias("leaf"), F.unhex(other).alias("other"))
     leaves = ranked(materialize(leaves, "leaves"), "value", ["key", "leaf", "row"], "ordered")
     groups = ranked(leaves.where("idx = 0").select("value"), None, ["value"], "groups")
     groups = materialize(groups.select(F.col("value").alias("of"), F.col("idx").alias("grp"), F.col("n").alias("groups")), "numbered")
-    leaves = leaves.join(bounded_broadcast(groups.select("of", "grp")), F.col("value").eqNullSafe(F.col("of"))).drop("of")
-    leaves = materialize(leaves, "numbered-leaves")
+    leaves = leaves.join(bounded_broadcast(groups.select("of", "grp")), F.col("value").eqNullSafe(F.col("of"))).drop("of", "value")
 
     inner, subroots, levels = _build(leaves.select("grp", "idx", "n", F.col("leaf").alias("digest")))
     subroots = materialize(groups.join(subroots, "grp"), "subroots")
     tops, roots, top_levels = _build(subroots.select(F.lit(TOP).cast("long").alias("grp"), F.col("grp").alias("idx"),
                                                      F.col("groups").alias("n"), "digest"))
-    found = roots.select("digest").first()
-    manifest = Manifest(leaves, _linked(leaves, inner, levels, tops, top_levels), subroots.select("grp", "of", "digest"),
-                        found and found[0], order)
-    return manifest
+    root = roots.select(F.lower(F.hex("digest"))).first()
+    return Manifest(leaves, _linked(leaves, inner, levels, tops, top_levels), subroots.select("grp", "of", "digest"), root and root[0], order)
 
 
 def _block() -> Column:
@@ -203,7 +202,7 @@ def proofs(manifest: Manifest) -> DataFrame:
     alone = F.col("n") == 1  # its leaf is its group's root
     start = manifest.leaves.select(
         "row", _block().alias("block"), F.when(alone, TOP).otherwise(F.col("grp")).cast("long").alias("grp"), F.lit(0).alias("level"),
-        F.when(alone, F.col("grp")).otherwise(F.col("idx")).alias("idx"), F.unhex("other").alias("folded"))
+        F.when(alone, F.col("grp")).otherwise(F.col("idx")).alias("idx"), F.coalesce("other", "leaf").alias("folded"))
     with _unlimited_recursion(spark):
         steps = spark.sql(CLIMB.format(leaves="{leaves}", nodes="{nodes}"), leaves=start, nodes=manifest.nodes)
         done = steps.groupBy("row").agg(F.max_by("folded", "step").alias("folded"),
@@ -218,8 +217,8 @@ def verify(manifest: Manifest) -> DataFrame:
 
     Empty without rows. A table of one row is its own root, with an empty proof.
     """
-    rows = manifest.leaves.select("row", F.col("key").alias(manifest.order), "leaf", "grp")
-    subroots = bounded_broadcast(manifest.subroots.select("grp", F.col("digest").alias("subroot")))
+    rows = manifest.leaves.select("row", F.col("key").alias(manifest.order), F.lower(F.hex("leaf")).alias("leaf"), "grp")
+    subroots = bounded_broadcast(manifest.subroots.select("grp", F.lower(F.hex("digest")).alias("subroot")))
     root = F.lit(manifest.root).cast("string")
     return (rows.join(proofs(manifest), "row").join(subroots, "grp")
             .select(f"`{manifest.order}`", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root",
