@@ -25,7 +25,10 @@ POS_BITS = 23           # a piece may have up to 2^23 - 1 bytes (its positions s
 MAX_PIECE = (1 << POS_BITS) - 1
 ROWS_AT_ONCE = 4_000_000  # bound on the rows one recursive query gathers
 PIECES_AT_ONCE = 40_000
-CACHE_ENTRIES = 500_000  # a task forgets pieces beyond (some 300 bytes each)
+CACHE_BYTES = 160 << 20  # of the pieces a worker remembers, in each of two generations
+ENTRY_BYTES = 350       # about what an entry takes besides its key, ids and bytes
+LONG = 512              # pieces of more bytes are coded in segments
+STEP, OVERLAP = 256, 64
 
 # Per step: the best pair of a piece is the least (rank, position) packed into one number. The
 # right token of that pair takes over its start and becomes the merged one, the left token
@@ -52,11 +55,12 @@ _OPEN = """
 CREATE OR REPLACE TEMP TABLE open_words AS
 SELECT DISTINCT w FROM reached JOIN merges ON pair = (id::BIGINT << 32) | nid
 """
-# Ordered aggregation of the contracted tokens: the ids, and the bytes they decode to.
+# Ordered aggregation of the contracted tokens: the ids, each with the bytes it decodes to. (One
+# aggregate of both costs a third of two.)
 _ENDED = """
-SELECT w, count(*), string_agg(id::VARCHAR, ',' ORDER BY s), string_agg(hex, '' ORDER BY s)
-FROM reached ANTI JOIN open_words USING (w) JOIN tokens USING (id) GROUP BY w
+SELECT w, string_agg(id || ' ' || hex, ' ' ORDER BY s) FROM {reached} JOIN tokens USING (id) GROUP BY w
 """
+_REST = "(SELECT * FROM reached ANTI JOIN open_words USING (w))"
 # Ends of a chunk that the pattern always matches on their own after a letter.
 _STOPS = frozenset(".,;:!?")
 
@@ -64,8 +68,8 @@ _STOPS = frozenset(".,;:!?")
 class Codec:
     """Encoder and decoder of one rank file, in this process."""
 
-    def __init__(self, path: str, pattern: str, cache_entries: int = CACHE_ENTRIES):
-        self.cache_entries = cache_entries
+    def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
+        self.cache_bytes = cache_bytes
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.find = regex.compile(pattern).findall
@@ -79,9 +83,7 @@ class Codec:
                            "hex": [t.hex() for t in self.ranks]})
         self.db.register("m", merges).execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", tokens).execute("CREATE TABLE tokens AS SELECT * FROM v")
-        self.pieces: dict[str, tuple] = {}
-        self.chunks: dict[str, tuple | None] = {}
-        self.heads: dict[str, tuple | None] = {}
+        self.chunks, self.heads = _Remembered(cache_bytes), _Remembered(cache_bytes)
 
     def _begin(self, pieces: list[bytes]) -> pa.Table:
         """Token-position rows: one per byte, or one where the whole piece is a token."""
@@ -102,22 +104,69 @@ class Codec:
         nid[first + rows - 1] = -1
         return pa.table({"w": w, "s": s, "e": s + 1, "id": ids, "nid": nid})
 
-    def _coded(self, pieces: list[bytes]) -> Iterator[list[tuple]]:
-        """Runs the contraction; yields (w, number of ids, ids, hex of their bytes) rows."""
+    def _coded(self, pieces: list[bytes]) -> Iterator[tuple[int, str]]:
+        """Runs the contraction; (number, ``id hex id hex ...``) of each piece."""
         rows = self._begin(pieces)
         while rows.num_rows:
             longest = int(np.max(rows["s"].to_numpy())) + 1
             steps = max(1, min(longest, ROWS_AT_ONCE // rows.num_rows))
             self.db.register("begin_rows", rows).execute(_CONTRACT, {"steps": steps})
             self.db.execute(_OPEN)  # a long piece goes on from where it got to
-            yield self.db.execute(_ENDED).fetchall()
+            more = self.db.execute("SELECT count(*) FROM open_words").fetchall()[0][0]
+            yield from self.db.execute(_ENDED.format(reached=_REST if more else "reached")).fetchall()
+            if not more:
+                return
             rows = self.db.sql("SELECT w, s, e, id, nid FROM reached SEMI JOIN open_words USING (w)").to_arrow_table()
 
+    def _tokens(self, pieces: list[bytes]) -> list[list[str]]:
+        """[id, hex, id, hex, ...] of each piece, contracted as a whole."""
+        out = [[]] * len(pieces)
+        for i in range(0, len(pieces), PIECES_AT_ONCE):
+            for w, found in self._coded(pieces[i:i + PIECES_AT_ONCE]):
+                out[i + w] = found.split(" ")
+        return out
+
     def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, ids as decimals joined by commas, decoded bytes) of non-empty pieces."""
-        out = {w: (n, ids.encode(), bytes.fromhex(back))
-               for part in (self._coded(pieces) if pieces else ()) for w, n, ids, back in part}
-        return [out[i] for i in range(len(pieces))]
+        whole = [p if len(p) <= LONG else b"" for p in pieces]
+        short = [p for p in whole if p]
+        found = iter(self._tokens(short) if short else ())
+        found = [next(found) if p else None for p in whole]
+        long = [i for i, p in enumerate(whole) if not p]
+        for i, tokens in zip(long, self._in_segments([pieces[i] for i in long]), strict=True):
+            found[i] = tokens
+        return [(len(t) // 2, ",".join(t[::2]).encode(), bytes.fromhex("".join(t[1::2]))) for t in found]
+
+    def _in_segments(self, pieces: list[bytes]) -> list[list[str]]:
+        """The same for long pieces, without a step for each of their merges.
+
+        A sequence of tokens is what a text contracts to if each two neighbours are what the two
+        contract to alone. So overlapping segments are contracted side by side, and two of them
+        are joined at a place inside their overlap where both have a token's end and the tokens
+        there pass that test; a piece without such a place is contracted as a whole.
+        """
+        out = []
+        for piece in pieces:
+            starts = range(0, max(1, len(piece) - OVERLAP), STEP)
+            segments = self._tokens([piece[a:a + STEP + OVERLAP] for a in starts])
+            ends = [a + np.cumsum([len(h) // 2 for h in t[1::2]]) for a, t in zip(starts, segments, strict=True)]
+            seams = [[(int(np.searchsorted(ends[k - 1], p)), j + 1) for j, p in enumerate(ends[k].tolist()[:-1])
+                      if p < a + OVERLAP and p in ends[k - 1][:-1]] for k, a in enumerate(starts) if k]
+            pairs = {(segments[k][2 * i + 1], segments[k + 1][2 * j + 1]): (segments[k][2 * i], segments[k + 1][2 * j])
+                     for k, seam in enumerate(seams) for i, j in seam}
+            both = self._tokens([bytes.fromhex(a + b) for a, b in pairs]) if pairs else []
+            fits = {p for (p, ids), t in zip(pairs.items(), both, strict=True) if t[::2] == list(ids)}
+            tokens, first = [], 0
+            for k, t in enumerate(segments):
+                seam = seams[k] if k < len(seams) else []
+                cut = next(((i, j) for i, j in seam if (t[2 * i + 1], segments[k + 1][2 * j + 1]) in fits and i >= first), None)
+                if cut is None and k < len(seams):
+                    tokens = self._tokens([piece])[0]
+                    break
+                tokens += t[2 * first:2 * cut[0] + 2] if cut else t[2 * first:]
+                first = cut[1] if cut else 0
+            out.append(tokens)
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each id list (an empty list gives no bytes)."""
@@ -129,29 +178,36 @@ class Codec:
             "SELECT w, string_agg(hex, '' ORDER BY s) FROM coded JOIN tokens USING (id) GROUP BY w").fetchall())
         return [bytes.fromhex(found.get(i, "")) for i in range(len(ids))]
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = sorted(pieces - self.pieces.keys(), key=len)  # like lengths end at the same step
-        for i in range(0, len(new), PIECES_AT_ONCE):
-            part = new[i:i + PIECES_AT_ONCE]
-            self.pieces.update(zip(part, self.encode_pieces([p.encode() for p in part]), strict=True))
+    def _learn(self, pieces: set[str]) -> dict[str, tuple]:
+        new = sorted(pieces, key=len)  # like lengths end at the same step
+        return dict(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True)) if new else {}
 
     def _match(self, chunk: str, lead: str) -> list[str]:
-        """The pattern's matches of ``lead + chunk``; words and a stop after them need no regex."""
-        if chunk.isalpha():
-            return [lead + chunk]
+        """The pattern's matches of ``lead + chunk``; a word and a stop after it need no regex."""
         if chunk[-1:] in _STOPS and chunk[:-1].isalpha():
             return [lead + chunk[:-1], chunk[-1]]
         return self.find(lead + chunk)
 
-    def _add(self, cache: dict, chunks: set[str], lead: str) -> None:
+    def _known(self, piece: str) -> tuple | None:
+        """What is remembered of a piece: of a blank and a word, that of the word as a chunk."""
+        if piece[:1] != " ":
+            return self.heads.get(piece)
+        return self.chunks.get(piece[1:]) if piece[1:] and not piece.isspace() else None
+
+    def _add(self, cache: _Remembered, chunks: set[str], lead: str) -> None:
         """Learn chunks; None for one that ends with white space (see documents)."""
-        cut = [(c, self._match(c, "" if c[:1] == "\n" else lead)) for c in chunks]
-        self._learn({p for _, m in cut for p in m})
+        new = cache.missing(chunks)
+        words = [c for c in new if c.isalpha()]
+        cut = [(c, self._match(c, "" if c[:1] == "\n" else lead)) for c in new if not c.isalpha()]
+        pieces = {p: self._known(p) for _, m in cut for p in m}
+        pieces |= self._learn({lead + c for c in words}.union(p for p, known in pieces.items() if known is None))
+        for c in words:
+            cache.add(c, pieces[lead + c])
         for c, m in cut:
             if not m or (c or lead)[-1:].isspace():
-                cache[c] = None
+                cache.add(c, None)
             else:
-                cache[c] = self.pieces[m[0]] if len(m) == 1 else self._join([self.pieces[p] for p in m])
+                cache.add(c, pieces[m[0]] if len(m) == 1 else self._join([pieces[p] for p in m]))
 
     @staticmethod
     def _join(found: list[tuple]) -> tuple:
@@ -165,30 +221,70 @@ class Codec:
         each blank and newline and equal chunks are looked up once. A chunk that ends with
         white space breaks that rule; such a text is matched as a whole.
         """
-        if max(len(self.pieces), len(self.chunks)) > self.cache_entries:
-            self.forget()
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         first = [c.pop(0) for c in cut]
-        self._add(self.heads, set(first) - self.heads.keys(), "")
-        self._add(self.chunks, set().union(*cut) - self.chunks.keys(), " ")
+        self._add(self.heads, set(first), "")
+        self._add(self.chunks, set().union(*cut), " ")
+        heads, chunks = self.heads.now, self.chunks.now
         out, whole = [(0, b"", b"")] * len(texts), []
         for i, (head, c) in enumerate(zip(first, cut, strict=True)):
-            found = [self.heads[head]] if head else []
-            found += map(self.chunks.__getitem__, c)
+            found = [heads[head]] if head else []
+            found += map(chunks.__getitem__, c)
             if found:
                 try:
                     out[i] = self._join(found)
                 except TypeError:  # None among them
                     whole.append(i)
         matched = [self.find(texts[i]) for i in whole]
-        self._learn(set().union(*matched))
+        pieces = self._learn(set().union(*matched))
         for i, m in zip(whole, matched, strict=True):
-            out[i] = self._join([self.pieces[p] for p in m])
+            out[i] = self._join([pieces[p] for p in m])
+        self.heads.turn()
+        self.chunks.turn()
         return out
 
-    def forget(self) -> None:
-        for cache in (self.pieces, self.chunks, self.heads):
-            cache.clear()
+
+class _Remembered:
+    """Entries by key in two generations: when the younger one is full, the older one is forgotten,
+    so that what is in use stays. An entry asked for by ``missing`` is in ``now``."""
+
+    def __init__(self, max_bytes: int):
+        self.max_bytes, self.size = max_bytes, 0
+        self.now: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
+
+    def add(self, key: str, entry: tuple | None) -> None:
+        self.now[key] = entry
+        self.size += ENTRY_BYTES + len(key) + (len(entry[1]) + len(entry[2]) if entry else 0)
+
+    def get(self, key: str) -> tuple | None:
+        return self.now.get(key) or self.before.get(key)
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; the older one's entries become young again."""
+        new = []
+        for k in keys - self.now.keys():
+            if k in self.before:
+                self.add(k, self.before[k])
+            else:
+                new.append(k)
+        return new
+
+    def turn(self) -> None:
+        if self.size > self.max_bytes:
+            self.now, self.before, self.size = {}, self.now, 0
+
+
+_CODECS: dict[tuple, Codec] = {}
+
+
+def _codec(path: str, pattern: str, cache_bytes: int) -> Codec:
+    """This process's codec; a worker that runs many tasks builds one and remembers its pieces."""
+    key = (path, pattern, cache_bytes)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(*key)
+    return _CODECS[key]
 
 
 def slices(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -205,14 +301,14 @@ def slices(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, lis
 
 
 def encode_documents(docs: DataFrame, *, path: str, pattern: str = public_tokenizers.PATTERN,
-                     keep_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+                     keep_ids: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, in one pass without shuffle.
 
     ``ids_sha256``: of the decimal ids joined by commas; ``decoded_sha256``: of the bytes the
     ids decode to. With ``keep_ids`` also ``ids`` (array<int>) and ``decoded`` (binary). A
     null text is an empty one: no ids. Repeated rows give a row each, other columns are
-    ignored. ``path`` must be readable on every worker. ``cache_entries`` trades a worker's memory
-    for CPU: pieces beyond are encoded again.
+    ignored. ``path`` must be readable on every worker. ``cache_bytes`` trades a worker's memory
+    for CPU: rare pieces beyond are encoded again.
     """
     schema = "doc_id {}, n_tokens long, ids_sha256 string, decoded_sha256 string".format(
         docs.schema["doc_id"].dataType.simpleString())
@@ -220,7 +316,7 @@ def encode_documents(docs: DataFrame, *, path: str, pattern: str = public_tokeni
         schema += ", ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Codec(path, pattern, cache_entries)  # of this task: an idle worker holds no memory for it
+        own = _codec(path, pattern, cache_bytes)
         for batch in batches:
             for start, texts in slices(batch.column("text")):
                 rows = own.documents(texts)
@@ -233,8 +329,6 @@ def encode_documents(docs: DataFrame, *, path: str, pattern: str = public_tokeni
                     out |= {"ids": pa.array(ids, pa.list_(pa.int32())),
                             "decoded": pa.array([r[2] for r in rows], pa.binary())}
                 yield pa.RecordBatch.from_pydict(out)
-        own.forget()
-        own.db.close()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import tiktoken
@@ -30,6 +31,7 @@ def test_equals_the_library_on_odd_characters():
 def test_long_pieces_go_on_where_the_step_bound_stops(monkeypatch):
     from cartwheel.llm import byte_bpe
     monkeypatch.setattr(byte_bpe, "ROWS_AT_ONCE", 500)
+    monkeypatch.setattr(byte_bpe, "LONG", 10_000)
     own, library = _library()
     pieces = ["abcdefgh" * 30, "a", "hello", "zq" * 90]
     got = own.encode_pieces([p.encode() for p in pieces])
@@ -50,3 +52,52 @@ def test_query_rows(make):
         assert key(r) == k and list(r["ids"]) == ids and r["n_tokens"] == len(ids) and bytes(r["decoded"]) == text.encode()
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert encode_documents(make([]), path=PATH).count() == 0
+
+
+def test_segments_of_long_pieces_equal_the_library():
+    own, library = _library()
+    rnd = random.Random(9)
+    pieces = ["".join(rnd.choice(letters) for _ in range(rnd.randint(513, 3000))) for letters in
+              ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "éàü中文ñ", "=-_", "01", "aaaab") for _ in range(12)]
+    pieces += ["a" * n for n in (513, 576, 577, 832, 5000)] + ["hello" * 400, "=" * 3000, "ab" * 2000]
+    for piece, (n, ids, back) in zip(pieces, own.encode_pieces([p.encode() for p in pieces]), strict=True):
+        want = library._encode_single_piece(piece)
+        assert (n, ids.decode()) == (len(want), ",".join(map(str, want))) and back == piece.encode()
+
+
+def test_a_long_run_without_space_takes_seconds():
+    own, library = _library()
+    rnd = random.Random(10)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    began = time.process_time()
+    ((n, ids, _),) = own.documents([text])
+    assert time.process_time() - began < 60
+    want = library.encode_ordinary(text)
+    assert (n, ids.decode()) == (len(want), ",".join(map(str, want)))
+
+
+def test_a_piece_without_a_common_seam_is_coded_whole(monkeypatch):
+    from cartwheel.llm import byte_bpe
+    own, library = _library()
+    monkeypatch.setattr(byte_bpe, "OVERLAP", 1)  # hardly ever holds one
+    piece = "internationalisation" * 40
+    ((n, ids, _),) = own.encode_pieces([piece.encode()])
+    assert ids.decode() == ",".join(map(str, library._encode_single_piece(piece))) and n == ids.count(b",") + 1
+
+
+def test_memory_is_bounded_and_keeps_what_is_in_use():
+    own, library = _library()
+    small = Codec(PATH, public_tokenizers.PATTERN, cache_bytes=20_000)
+    rnd = random.Random(11)
+    for k in range(30):
+        texts = ["common words stay " + prose(rnd, 30, 10**6) for _ in range(4)]
+        for text, (_, ids, _) in zip(texts, small.documents(texts), strict=True):
+            assert ids.decode() == ",".join(map(str, library.encode_ordinary(text)))
+        assert small.chunks.size < 20_000 + 200 * 500 and "words" in {**small.chunks.now, **small.chunks.before}
+    assert len(small.chunks.now) + len(small.chunks.before) < 500
+
+
+def test_extra_columns_are_ignored(make):
+    df = make([(1, "a b", 2, "x", 3, "y")], "doc_id long, text string, n_tokens int, ids string, w int, `a.b` string")
+    out = encode_documents(df, path=PATH)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.first()["n_tokens"] == 2
