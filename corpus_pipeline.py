@@ -19,7 +19,7 @@ from cartwheel.llm.jaccard_join import near_duplicates
 from cartwheel.llm.language_id import UNKNOWN, identify, learnable, train
 from cartwheel.llm.line_dedup import dedup_lines
 
-BPE_ENTRIES = 150_000  # earlier stages have grown the executors' heap; the encoder's tasks stay small
+BPE_BYTES = 64 << 20  # earlier stages have grown the executors' heap; the encoder's memory stays small
 MIN_SCORE = 0.3   # a language less probable than this is not told
 
 #: SQL can express neither the trained stage nor the passages' first places; tests/llm compares
@@ -85,7 +85,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     workers_import_package(spark)
-    return encode_documents(docs, path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), cache_entries=BPE_ENTRIES)
+    return encode_documents(docs, path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), cache_bytes=BPE_BYTES)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join),
