@@ -360,6 +360,20 @@ def row_links(sets: DataFrame, n_blocks: int, *, percent: int = PERCENT) -> Data
     return links.unionAll(_verified(rest, sets, percent))
 
 
+def _shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, low of the doc_ids whose rows differ: the least doc_id of each class they are in."""
+    text = F.struct("k1", "k2")
+    several = rows.groupBy("doc_id").agg(F.min(text).alias("one"), F.max(text).alias("other")).where("one <> other")
+    of = rows.where("n > 0").join(materialize(several.select("doc_id"), "several"), "doc_id").select("doc_id", "k1", "k2").distinct()
+    return materialize(of.join(classes.select("k1", "k2", "low"), ["k1", "k2"]).select("doc_id", "low").distinct(), "shared-ids")
+
+
+def _ties(shared: DataFrame) -> DataFrame:
+    """(a, b) links between the classes that one doc_id is in."""
+    least = shared.groupBy("doc_id").agg(F.min("low").alias("b"))
+    return shared.join(least, "doc_id").where("low <> b").select(F.col("low").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
@@ -376,12 +390,17 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     chosen = classes.where("maybe").select(F.col("low").alias("doc_id")).distinct()
     sets = materialize(_packed_sets(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi"), words), "sets")
     size = classes.where("maybe").agg(F.sum("n")).first()[0] or 0
-    groups = components(row_links(sets, 1 + size // (2 * FLUSH), percent=percent))
-    # Rows of one doc_id and classes of one least doc_id meet through the component of the id.
+    shared = _shared_ids(rows, classes)
+    groups = components(row_links(sets, 1 + size // (2 * FLUSH), percent=percent).select("a", "b").unionAll(_ties(shared)))
+    # Classes of one least doc_id meet through the component of the id.
     labels = classes.join(groups, classes["low"] == groups["node"], "left").select(
         "k1", "k2", F.coalesce("component", "low").alias("component_id"))
     full = rows.where("n > 0").join(labels, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    # A row without words is in the component of its doc_id's other rows.
+    own = shared.join(groups, shared["low"] == groups["node"], "left").groupBy("doc_id").agg(
+        F.min(F.coalesce("component", "low")).alias("of_others"))
+    empty = rows.where("n = 0").join(own, "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("of_others", "doc_id").alias("component_id"))
     unnamed = docs.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(
         lambda batches: (pa.RecordBatch.from_pydict({
             "doc_id": pa.nulls(b.num_rows, pa.int64()), "component_id": pa.nulls(b.num_rows, pa.int64()),

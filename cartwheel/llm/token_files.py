@@ -196,15 +196,15 @@ class _Memory(dict):
 class Words:
     """The library's tokenizer with a bounded memory of words it has encoded in this process.
 
-    Special tokens' strings inside a text are ordinary text. Where the file's normalizers and
-    pre-tokenizer treat words between blanks independently, a text is cut at blanks and
-    newlines, and plain words go to the library's model directly; any other word, and any text
-    under another kind of file, goes through the whole tokenizer.
+    Where the file's normalizers and pre-tokenizer treat words between blanks independently, a
+    text is cut at blanks and newlines, and plain words go to the library's model directly; any
+    other word goes through the whole tokenizer. So does, as a whole, any text that holds the
+    string of an added token (in any letter case), and any text under another kind of file.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -243,7 +243,12 @@ class Words:
         for memory, most in ((self.known, KNOWN_WORDS), (self.parts, KNOWN_PARTS)):
             if len(memory) > most:
                 memory.clear()
-        return [b"".join(map(self.known.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+        return [self._encode(t) if self._holds_added(t) else
+                b"".join(map(self.known.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+
+    def _holds_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(a in low for a in self.added)
 
 
 _WORDS: dict[str, Words] = {}
@@ -263,7 +268,8 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     """Encode every row of ``docs`` (doc_id, text) into files in ascending ``doc_id`` order.
 
     ``end_id`` ends each document; a null or empty text has that id alone. A null doc_id comes
-    first; rows of equal doc_id follow each other, ordered by their ids. Quantiles of doc_id
+    first; rows of equal doc_id follow each other, ordered by their ids. Other columns are
+    ignored. Quantiles of doc_id
     cut the table into ranges of about ``bucket_bytes`` of text, so the number of tasks grows
     with the data; ids are compressed before the one shuffle.
     """

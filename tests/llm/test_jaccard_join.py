@@ -84,6 +84,14 @@ def test_odd_rows(make):
     assert {(r["doc_id"], r["component_id"]) for r in twice} == {(1, 1), (2, 1)}
 
 
+def test_a_doc_id_links_all_its_texts(make):
+    """Ids 3 and 4 are linked through id 5, which has the texts of both, and an empty one."""
+    one, two, three = "a b c d e f", "p q r s t u", "v w x y z a b c"
+    rows = [(3, one), (4, two), (5, one), (5, two), (5, None), (6, three), (7, three), (7, ""), (8, "")]
+    got = near_duplicates(make([(d, t, None, None, None) for d, t in rows])).collect()
+    assert sorted(tuple(r) for r in got) == [(3, 2, 3), (4, 2, 3), (5, 0, 3), (5, 2, 3), (5, 2, 3), (6, 4, 6), (7, 0, 6), (7, 4, 6), (8, 0, 8)]
+
+
 def test_extra_columns_do_not_clash(make):
     df = make([(2, "a b c d e f", 1, 2, 3, 4)], "doc_id long, text string, n int, k1 int, component_id int, h int")
     assert [tuple(r) for r in near_duplicates(df).collect()] == [(2, 2, 2)]

@@ -37,15 +37,26 @@ def test_words_are_packed():
 
 def test_equals_the_library_on_odd_characters():
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     own, rnd = Words(PATH), random.Random(3)
     assert own.by_word
-    letters = [*" \n\t  ab'sletx1٣éÉ中ΣσΑİǅ́ \x1c\x85​#😀.,!", "<|endoftext|>", "don't", "I'LL", "ﬁ", "Å", "가"]
+    letters = [*" \n\t  ab'sletx1٣éÉ中ΣσΑİǅ́ \x1c\x85​#😀.,!", "<|endoftext|>", "<|STARTOFTEXT|>", "don't", "I'LL", "ﬁ", "Å", "가"]
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(1500)] + [t or "" for t in ODD]
     for text, got in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(got, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_a_text_are_what_the_library_makes_of_them():
+    assert np.frombuffer(Words(PATH).encode(["a <|endoftext|> b"])[0], "<u2").tolist() == [320, 49407, 321]
+
+
+def test_extra_columns_are_ignored(spark, make):
+    path = scratch_path(spark, "test-tokens")
+    df = make([(1, "a b", 2, "x", 3, 4)], "doc_id long, text string, bucket int, ids string, part int, `a.b` int")
+    write_token_files(df, path, tokenizer=PATH, end_id=2)
+    out = token_index(spark, path)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and tuple(out.first())[:3] == (1, 0, 3)
+
+
 def test_files_and_index(spark, make):
     rnd = random.Random(2)
     ids = list(range(0, 300, 3))
