@@ -9,8 +9,12 @@ an ordered aggregation of the tokens' bytes. Spark reads, splits and schedules t
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import hashlib
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import duckdb
 import numpy as np
@@ -24,7 +28,9 @@ from cartwheel.llm.common import table
 POS_BITS = 23           # a piece may have up to 2^23 - 1 bytes (its positions share a BIGINT)
 MAX_PIECE = (1 << POS_BITS) - 1
 ROWS_AT_ONCE = 4_000_000  # bound on the rows one recursive query gathers
-PIECES_AT_ONCE = 40_000
+PIECES_AT_ONCE = 10_000
+TEXT_AT_ONCE = 2 << 20  # bytes of texts that are cut together
+IDLE_SECONDS = 2.0      # a worker without a task for so long forgets all of it
 CACHE_BYTES = 160 << 20  # of the pieces a worker remembers, in each of two generations
 ENTRY_BYTES = 350       # about what an entry takes besides its key, ids and bytes
 LONG = 512              # pieces of more bytes are coded in segments
@@ -275,16 +281,49 @@ class _Remembered:
             self.now, self.before, self.size = {}, self.now, 0
 
 
-_CODECS: dict[tuple, Codec] = {}
+class _Held:
+    """This process's codec: a worker that runs many tasks builds one and remembers its pieces. A
+    worker that other stages go on using gives the memory back once it has had no task for a while."""
+
+    def __init__(self):
+        self.lock, self.codec, self.key, self.users, self.timer = threading.Lock(), None, None, 0, None
+
+    @contextmanager
+    def use(self, *key) -> Iterator[Codec]:
+        with self.lock:
+            self.users += 1
+            if self.timer:
+                self.timer.cancel()
+            if self.key != key:
+                self.codec, self.key = Codec(*key), key
+            own = self.codec
+        try:
+            yield own
+        finally:
+            with self.lock:
+                self.users -= 1
+                self.timer = threading.Timer(IDLE_SECONDS, self.drop)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def drop(self) -> None:
+        with self.lock:
+            if self.users or self.codec is None:
+                return
+            self.codec.db.close()
+            self.codec = self.key = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+_HELD = _Held()
 
 
-def _codec(path: str, pattern: str, cache_bytes: int) -> Codec:
-    """This process's codec; a worker that runs many tasks builds one and remembers its pieces."""
-    key = (path, pattern, cache_bytes)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(*key)
-    return _CODECS[key]
+def codec(path: str, pattern: str, cache_bytes: int):
+    """A context with this process's codec."""
+    return _HELD.use(path, pattern, cache_bytes)
 
 
 def slices(texts: pa.Array, max_bytes: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -316,19 +355,22 @@ def encode_documents(docs: DataFrame, *, path: str, pattern: str = public_tokeni
         schema += ", ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _codec(path, pattern, cache_bytes)
-        for batch in batches:
-            for start, texts in slices(batch.column("text")):
-                rows = own.documents(texts)
-                out = {"doc_id": batch.column("doc_id").slice(start, len(rows)),
-                       "n_tokens": pa.array([r[0] for r in rows], pa.int64()),
-                       "ids_sha256": pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows]),
-                       "decoded_sha256": pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows])}
-                if keep_ids:
-                    ids = [[int(x) for x in r[1].split(b",") if x] for r in rows]
-                    out |= {"ids": pa.array(ids, pa.list_(pa.int32())),
-                            "decoded": pa.array([r[2] for r in rows], pa.binary())}
-                yield pa.RecordBatch.from_pydict(out)
+        with codec(path, pattern, cache_bytes) as own:
+            for batch in batches:
+                yield from coded(own, batch)
+
+    def coded(own: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start, texts in slices(batch.column("text"), TEXT_AT_ONCE):
+            rows = own.documents(texts)
+            out = {"doc_id": batch.column("doc_id").slice(start, len(rows)),
+                   "n_tokens": pa.array([r[0] for r in rows], pa.int64()),
+                   "ids_sha256": pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows]),
+                   "decoded_sha256": pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows])}
+            if keep_ids:
+                ids = [[int(x) for x in r[1].split(b",") if x] for r in rows]
+                out |= {"ids": pa.array(ids, pa.list_(pa.int32())),
+                        "decoded": pa.array([r[2] for r in rows], pa.binary())}
+            yield pa.RecordBatch.from_pydict(out)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -101,3 +101,20 @@ def test_extra_columns_are_ignored(make):
     df = make([(1, "a b", 2, "x", 3, "y")], "doc_id long, text string, n_tokens int, ids string, w int, `a.b` string")
     out = encode_documents(df, path=PATH)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.first()["n_tokens"] == 2
+
+
+def test_an_idle_process_gives_the_codec_back(monkeypatch):
+    from cartwheel.llm import byte_bpe
+    monkeypatch.setattr(byte_bpe, "IDLE_SECONDS", 0.2)
+    held = byte_bpe._Held()
+    key = (PATH, public_tokenizers.PATTERN, 1000)
+    with held.use(*key) as one:
+        assert one.documents(["a b"])[0][0] == 2
+    with held.use(*key) as again:  # the next task in time
+        assert again is one
+        time.sleep(0.5)
+        assert held.codec is one
+    time.sleep(1)
+    assert held.codec is None
+    with held.use(*key) as other:
+        assert other is not one and other.documents(["a b"])[0][0] == 2
