@@ -19,7 +19,7 @@ from cartwheel.llm.jaccard_join import near_duplicates
 from cartwheel.llm.language_id import UNKNOWN, identify, learnable, train
 from cartwheel.llm.line_dedup import dedup_lines
 
-BPE_BYTES = 64 << 20  # earlier stages have grown the executors' heap; the encoder's memory stays small
+BPE_BYTES = 48 << 20  # earlier stages have grown the executors' heap; the encoder's memory stays small
 MIN_SCORE = 0.3   # a language less probable than this is not told
 
 #: SQL can express neither the trained stage nor the passages' first places; tests/llm compares
