@@ -87,6 +87,40 @@ def customer_load_data(spark: SparkSession, d: str) -> DataFrame:
     return load_csv(spark, path, MYSQL_SCHEMA, empty_as="mysql", header=False)
 
 
+def _text_digests(df: DataFrame) -> DataFrame:
+    """Documents with a digest in place of their texts."""
+    return df.select("doc_id", "source", "lang", "n_chars", F.length("text").cast("bigint").alias("text_chars"),
+                     F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def documents_csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, whose texts hold newlines, commas and quotes, written as CSV and read
+    pandas-style; files are split although records span lines."""
+    path = scratch_path(spark, "documents-csv")
+    write_csv(_docs(spark, d), path)
+    return _text_digests(load_csv_inferred(spark, path))
+
+
+DOCUMENTS_SCHEMA = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
+    T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
+
+
+def documents_load_data(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as a server export, with escapes and raw newlines inside quotes, and read
+    by the LOAD DATA rules."""
+    def field(c: str):
+        v = F.col(c).cast("string")
+        for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\0", "\\0")):
+            v = F.replace(v, F.lit(plain), F.lit(escaped))
+        return F.coalesce(F.concat(F.lit('"'), v, F.lit('"')), F.lit("\\N"))
+
+    path = scratch_path(spark, "documents-export")
+    names = [f.name for f in DOCUMENTS_SCHEMA.fields]
+    _docs(spark, d).select(F.concat_ws(",", *map(field, names)).alias("line")).write.option("lineSep", "\r\n").text(path)
+    return _text_digests(load_csv(spark, path, DOCUMENTS_SCHEMA, empty_as="mysql", header=False))
+
+
 def register_cleaned_csv(spark: SparkSession, d: str) -> DataFrame:
     """The notebook end to end: the register as CSV in, the cleaned CSV out, read back."""
     source = scratch_path(spark, "register-csv")
@@ -98,6 +132,8 @@ CLEANING_QUERIES = {
     "csv_roundtrip": register_csv_roundtrip,
     "csv_inferred": register_csv_inferred,
     "csv_mysql": customer_load_data,
+    "csv_quoted_lines": documents_csv_lines,
+    "csv_mysql_lines": documents_load_data,
     "clean_csv": register_cleaned_csv,
     "table_info": lambda s, d: profile.table_info(_reg(s, d)),
     "table_shape": lambda s, d: profile.table_shape(_reg(s, d)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cartwheel.sources.csv import PANDAS_NA_TOKENS
+
 REGISTER = """
 register AS (
   SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_totalprice,
@@ -32,6 +34,12 @@ def _w(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in (REGISTER, *ctes)) + "\n" + body.strip()
 
 
+def _digests(text: str) -> str:
+    return f"""
+SELECT doc_id, source, lang, n_chars, length(t) AS text_chars, sha256(t) AS text_sha256
+FROM (SELECT *, {text} AS t FROM documents)"""
+
+
 def _union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
@@ -144,6 +152,9 @@ SELECT doc_id, text, lang, source, n_chars FROM (
   SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS rn FROM documents)
 WHERE rn > 1""",
     "drop_duplicate_texts": "SELECT DISTINCT text, lang FROM documents",
+    "csv_quoted_lines": _digests("CASE WHEN text IN ({}) THEN NULL ELSE text END".format(
+        ", ".join(f"'{t}'" for t in PANDAS_NA_TOKENS))),
+    "csv_mysql_lines": _digests("text"),
     "csv_mysql": r"""
 SELECT c_custkey,
        CASE c_custkey % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'NULL' WHEN 3 THEN NULL

@@ -3,16 +3,21 @@
 * ``load_csv``: declared schema, columns by position, header skipped (``LOAD DATA INFILE``).
 * ``load_csv_inferred``: pandas-style read, NA tokens to NULL, then per-column type inference
   in a single distributed aggregation (no driver-side sampling of rows).
+  Records may span lines in both (``sources.records``); files are split all the same.
 * ``write_csv``: header, no row index; a directory of part files written by the executors.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.operators.joins import materialize_table
+from cartwheel.sources.records import BACKSLASH, DOUBLED, CsvLines
 
 # Strings pandas' read_csv treats as missing by default.
 PANDAS_NA_TOKENS = (
@@ -27,29 +32,37 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType, *,
 
     ``empty_as='mysql'`` follows ``LOAD DATA`` (see ``load_data``); ``'null'`` keeps Spark's
     rules (empty is NULL, ``""`` inside quotes is a quote) and fails on a value that its
-    column's type cannot hold. Lines ending in ``\r\n`` lose the ``\r``.
+    column's type cannot hold. Lines ending in ``\r\n`` lose the ``\r``. A quoted field may hold
+    newlines; one that never closes fails.
     """
     if empty_as == "mysql":
         return load_data(spark, path, schema, header=header)
     if empty_as != "null":
         raise ValueError("empty_as must be 'null' or 'mysql'")
+    lines = CsvLines(spark, path, DOUBLED)
+    if lines.spans:
+        return _parsed(lines.records(header=header), schema, mode="FAILFAST")
     return (spark.read.schema(schema).option("header", header).option("sep", ",")
             .option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path))
 
 
-# A field as it stands in the line, after its comma: quoted (a doubled quote or a backslash
-# pair may stand inside) or plain.
-_FIELD = r',("(?:[^"\\]++|\\.|"")*+"|(?!")(?:[^,\\]++|\\.)*+)'
-_MARK = "\u0001"  # stands for an escaped backslash while the other escapes are replaced
+def _parsed(records: DataFrame, schema: T.StructType, **options: str) -> DataFrame:
+    """The fields of each record, by the rules of Spark's CSV reader; blank lines are none."""
+    fields = F.from_csv("record", schema.toDDL(), {"sep": ",", "quote": '"', "escape": '"', "multiLine": "true"} | options)
+    return records.where(F.trim("record") != "").select(fields.alias("r")).select("r.*")
+
+
 # Letters after a backslash that do not stand for themselves.
 _ESCAPES = (("0", "\0"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("t", "\t"), ("Z", "\x1a"))
 
 
 def _unescaped(c: Column) -> Column:
-    c = F.replace(c, F.lit("\\\\"), F.lit(_MARK))
-    for letter, char in _ESCAPES:
-        c = F.replace(c, F.lit("\\" + letter), F.lit(char))
-    return F.replace(F.replace(c, F.lit("\\"), F.lit("")), F.lit(_MARK), F.lit("\\"))
+    def part(x: Column) -> Column:  # holds no escaped backslash
+        for letter, char in _ESCAPES:
+            x = F.replace(x, F.lit("\\" + letter), F.lit(char))
+        return F.replace(x, F.lit("\\"), F.lit(""))
+
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), part), "\\")
 
 
 def _load_data_value(raw: Column) -> Column:
@@ -65,16 +78,15 @@ def load_data(spark: SparkSession, path: str, schema: T.StructType, *, header: b
     The backslash escapes (the default). An unquoted ``NULL`` and ``\N`` are NULL, a quoted
     ``"NULL"`` is the word, an empty field is the empty string in text columns and NULL in
     others (MySQL's non-strict mode would store 0); missing fields at the end are NULL, extra
-    ones are ignored. A value that its column cannot hold, and a line whose quotes do not
-    close (a newline inside a field), fail the query instead of loading something else. Files
-    are split into tasks by line.
+    ones are ignored; a blank line is a row whose first field is empty. A quoted field may hold
+    newlines. A value that its column cannot hold, quotes that do not fit or never close, and a
+    backslash that ends a line outside quotes fail the query instead of loading something else.
+    Files are split into tasks whatever their fields hold.
     """
-    # One column without separator or quotes: the line as it is, headers skipped per file.
-    lines = (spark.read.schema("line string").option("header", header).option("sep", _MARK)
-             .option("quote", "").option("enforceSchema", True).option("maxCharsPerColumn", -1).csv(path))
-    line = F.concat(F.lit(","), F.regexp_replace("line", "\r$", ""))
-    rows = lines.select(line.alias("line"), F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1)).alias("f"))
-    # The fields and their commas make up the whole line, or its quotes do not fit.
+    lines = CsvLines(spark, path, BACKSLASH).records(header=header)
+    found = F.regexp_extract_all("line", F.lit("(?s)" + BACKSLASH.field), F.lit(1))
+    rows = lines.select(F.concat(F.lit(","), "record").alias("line")).select("line", found.alias("f"))
+    # The fields and their commas make up the whole record, or its quotes do not fit.
     whole = F.aggregate("f", F.lit(0), lambda n, x: n + F.length(x) + 1) == F.length("line")
     broken = F.raise_error(F.concat(F.lit("LOAD DATA: quotes do not fit in line: "), F.col("line")))
     rows = rows.select(F.when(whole, F.col("f")).otherwise(broken.cast("array<string>")).alias("f"))
@@ -98,6 +110,13 @@ INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 
+def _names(header: str) -> list[str]:
+    """Column names of a header record; empty and repeated ones as Spark's reader names them."""
+    names = next(csv.reader(io.StringIO(header, newline="")))
+    folded = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if folded.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
 def load_csv_inferred(spark: SparkSession, path: str, *,
                       na_tokens=PANDAS_NA_TOKENS, multi_line: bool = False) -> DataFrame:
     """pandas-like ``read_csv``: NA tokens become NULL, then each column is typed.
@@ -109,13 +128,19 @@ def load_csv_inferred(spark: SparkSession, path: str, *,
     driver. Unlike pandas, an integer column with missing values stays an integer column;
     ``impute.fill_missing`` widens it only when a fractional value is filled in.
 
-    Files are split by line. ``multi_line=True`` allows newlines inside quoted fields; each
-    file is then read by one task.
+    Quoted fields may hold newlines; files are split into tasks all the same, and a quoted field
+    that never closes fails. ``multi_line=True`` leaves such files to Spark's own reader, one task
+    a file.
     """
-    raw = (spark.read.option("header", True).option("multiLine", multi_line)
-           .option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path))
-    names = raw.columns
-    flat = raw.toDF(*(f"c{i}" for i in range(len(names))))
+    lines = None if multi_line else CsvLines(spark, path, DOUBLED)
+    if lines and lines.spans:
+        names = _names(lines.header())
+        flat = _parsed(lines.records(header=True), T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]))
+    else:
+        raw = (spark.read.option("header", True).option("multiLine", multi_line)
+               .option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path))
+        names = raw.columns
+        flat = raw.toDF(*(f"c{i}" for i in range(len(names))))
     cleaned = flat.select(*(F.when(~F.col(c).isin(list(na_tokens)), F.col(c)).alias(c) for c in flat.columns))
     cleaned = materialize_table(cleaned, "csv-text")
     checks = [F.count(F.lit(1)).alias("rows")]
@@ -150,5 +175,6 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Write with a header and no row index (``to_csv(index=False)``); timestamps keep their
     microseconds."""
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("timestampFormat", TIMESTAMP_TEXT).option("timestampNTZFormat", TIMESTAMP_TEXT)
      .csv(path))
