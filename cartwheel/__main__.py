@@ -19,6 +19,7 @@ import sys
 
 def _reports(args) -> int:
     from cartwheel.plans.reports import REPORTS
+    from cartwheel.scratch import scratch_scope
     from cartwheel.session import build_session
     spark = build_session()
     if args.shop:
@@ -32,22 +33,24 @@ def _reports(args) -> int:
     if unknown:
         print(f"unknown reports: {', '.join(unknown)}", file=sys.stderr)
         return 2
-    for name in names:
-        df = REPORTS[name](tables)
-        if args.out:
-            writer = df.write.mode("overwrite")
-            target = f"{args.out.rstrip('/')}/{name}"
-            (writer.option("header", True).csv(target) if args.format == "csv" else writer.parquet(target))
-            print(f"{name}: written to {target}")
-        else:
-            print(f"== {name}")
-            df.show(20, truncate=False)
+    with scratch_scope(spark):  # reports share what they store; nothing of it stays
+        for name in names:
+            df = REPORTS[name](tables)
+            if args.out:
+                writer = df.write.mode("overwrite")
+                target = f"{args.out.rstrip('/')}/{name}"
+                (writer.option("header", True).csv(target) if args.format == "csv" else writer.parquet(target))
+                print(f"{name}: written to {target}")
+            else:
+                print(f"== {name}")
+                df.show(20, truncate=False)
     return 0
 
 
 def _ingest(args) -> int:
     from pyspark.errors import AnalysisException
 
+    from cartwheel.scratch import scratch_scope
     from cartwheel.session import build_session
     from cartwheel.sources.schemas import SHOP_SCHEMAS
     from cartwheel.sources.shop import ingest_csv
@@ -61,8 +64,9 @@ def _ingest(args) -> int:
             if e.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
-        ingest_csv(spark, name, src, f"{args.out.rstrip('/')}/{name}", empty_as=args.empty_as,
-                   partition_by_month=args.by_month and name != "orders")
+        with scratch_scope(spark):
+            ingest_csv(spark, name, src, f"{args.out.rstrip('/')}/{name}", empty_as=args.empty_as,
+                       partition_by_month=args.by_month and name != "orders")
         print(f"{name}: {src} -> {args.out.rstrip('/')}/{name}")
         done += 1
     if not done:
@@ -73,6 +77,7 @@ def _ingest(args) -> int:
 
 def _clean(args) -> int:
     from cartwheel.operators.clean import CleanRules, clean_csv
+    from cartwheel.scratch import scratch_scope
     from cartwheel.session import build_session
     formats, keys = {}, {}
     for spec in args.date or []:
@@ -83,7 +88,9 @@ def _clean(args) -> int:
             keys[column] = key
     rules = CleanRules(median_columns=tuple(args.median or ()), date_formats=formats,
                        group_mean_keys=keys, text_fill=args.fill, drop_above=args.drop_above)
-    clean_csv(build_session(), args.source, args.target, rules)
+    spark = build_session()
+    with scratch_scope(spark):
+        clean_csv(spark, args.source, args.target, rules)
     print(f"cleaned table written to {args.target}")
     return 0
 

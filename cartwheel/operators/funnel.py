@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cartwheel.functions.semantics import flag, ratio
 from cartwheel.operators.conversion import SESSION_KEY
-from cartwheel.operators.joins import materialize_bounded
+from cartwheel.operators.joins import takes_at_most
+from cartwheel.scratch import shared_table
 
 
 @dataclass(frozen=True)
@@ -62,35 +63,56 @@ def _page_flags(spec: FunnelSpec) -> list[Column]:
     return [flag(url == step_url).alias(page_flag) for step_url, page_flag, _ in spec.steps]
 
 
+def views_of(chosen: DataFrame, pageviews: DataFrame, spec: FunnelSpec = LANDING_FUNNEL, *, key: str = SESSION_KEY) -> DataFrame:
+    """The page views of the stored session ids ``chosen``, with flags.
+
+    The ids are broadcast when measured under ``MAX_BROADCAST_BYTES``, so that page views are cut
+    without being shuffled.
+    """
+    views = pageviews.select(key, "pageview_url", F.col("created_at").alias("viewed_at"))
+    views = views.join(F.broadcast(chosen) if takes_at_most(chosen) else chosen, key, "left_semi")
+    return views.select(key, "pageview_url", "viewed_at", *_page_flags(spec))
+
+
+def _chosen(sessions: DataFrame, pageviews: DataFrame, where: Column, spec: FunnelSpec, key: str) -> tuple[DataFrame, DataFrame]:
+    """(ids of the chosen sessions, their page views with flags), each stored once for all
+    statements of the funnel in a scope."""
+    s = shared_table(sessions.where(where).select(key), "funnel-sessions")
+    return s, shared_table(views_of(s, pageviews, spec, key=key), "funnel-views")
+
+
 def funnel_pageviews(sessions: DataFrame, pageviews: DataFrame, where: Column,
-                     spec: FunnelSpec = LANDING_FUNNEL, *, key: str = SESSION_KEY) -> DataFrame:
+                     spec: FunnelSpec = LANDING_FUNNEL, *, key: str = SESSION_KEY,
+                     sessions_unique: bool = True) -> DataFrame:
     """One row per page view of the chosen sessions with a 0/1 flag per funnel step,
-    ordered by session and view time. A session without views gives one all-zero row."""
-    s, fits = materialize_bounded(sessions.where(where).select(key))
-    pv = (pageviews.select(key, "pageview_url", F.col("created_at").alias("viewed_at"))
-          .join(F.broadcast(s) if fits else s, key, "left_semi"))  # cut without shuffling them
-    rows = s.join(pv, key, "left")
+    ordered by session and view time. A session without views gives one all-zero row.
+
+    Where the session id is not unique, a view stands once for each of its session's rows."""
+    s, views = _chosen(sessions, pageviews, where, spec, key)
+    names = [page_flag for _, page_flag, _ in spec.steps]
+    if sessions_unique:  # views need no join: they are those of the chosen sessions already
+        bare = s.join(views.select(key).distinct(), key, "left_anti")
+        rows = views.unionByName(bare, allowMissingColumns=True)
+    else:
+        rows = s.join(views, key, "left")
     return (rows.orderBy(F.col(key), F.col("viewed_at"))
-            .select(key, "pageview_url", *_page_flags(spec)))
+            .select(key, "pageview_url", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names]))
 
 
 def funnel_sessions(sessions: DataFrame, pageviews: DataFrame, where: Column,
-                    spec: FunnelSpec = LANDING_FUNNEL, *, key: str = SESSION_KEY) -> DataFrame:
+                    spec: FunnelSpec = LANDING_FUNNEL, *, key: str = SESSION_KEY,
+                    sessions_unique: bool = True) -> DataFrame:
     """One row per chosen session: 1 when the session ever reached each step.
 
-    Page views are first cut to the chosen sessions (semi join; the chosen ids are broadcast
-    when measured under ``MAX_BROADCAST_BYTES``, so page views are not shuffled for the cut),
-    then reduced to one row per session with a partial aggregation, then attached to the
-    sessions.
+    The views of the chosen sessions are reduced to one row per session with a partial
+    aggregation, then attached to the sessions; stored once for all statements of the funnel.
     """
-    s, fits = materialize_bounded(sessions.where(where).select(key))
-    pv = pageviews.select(key, "pageview_url").join(F.broadcast(s) if fits else s, key, "left_semi")
-    per_session = pv.groupBy(key).agg(*[
-        F.max(flag(F.col("pageview_url") == url)).alias(session_flag)
-        for url, _, session_flag in spec.steps])
+    s, views = _chosen(sessions, pageviews, where, spec, key)
+    per_session = views.groupBy(key).agg(*[
+        F.max(page_flag).alias(session_flag) for _, page_flag, session_flag in spec.steps])
     names = [session_flag for _, _, session_flag in spec.steps]
-    return (s.join(per_session, key, "left")
-            .select(key, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names]))
+    rows = (s if sessions_unique else s.distinct()).join(per_session, key, "left")
+    return shared_table(rows.select(key, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names]), "funnel-flags")
 
 
 def segment_column(spec: FunnelSpec = LANDING_FUNNEL) -> Column:

@@ -38,7 +38,12 @@ def materialize_bounded(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES)
     """
     checkpoint_dir(small.sparkSession)
     done = small.checkpoint(eager=True)
-    return done, (done.agg(F.sum(_row_bytes(done))).first()[0] or 0) <= max_bytes
+    return done, takes_at_most(done, max_bytes)
+
+
+def takes_at_most(stored: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether a stored frame takes at most ``max_bytes`` as a hashed relation."""
+    return (stored.agg(F.sum(_row_bytes(stored))).first()[0] or 0) <= max_bytes
 
 
 def bounded_broadcast(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:

@@ -77,9 +77,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the checkpoint folder for a written intermediate table."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
+    """A fresh path below the checkpoint folder for a written intermediate table; it is removed at
+    the end of the innermost ``scratch.scratch_scope``, else of the session."""
+    from cartwheel import scratch
+    return scratch.scratch_path(spark, name)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -3,6 +3,10 @@
 import pytest
 
 from __spark_entry__ import queries
+from cartwheel.operators import funnel
+from cartwheel.operators.joins import materialize_table
+from cartwheel.plans import reports
+from cartwheel.sources.testviews import shop_tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +41,17 @@ def test_order_filter_pushed(spark):
 
 
 def test_funnel_cut_is_a_broadcast(spark):
-    assert "BroadcastHashJoin" in _plan(spark, "funnel_sessions", executed=True)
+    """What the funnel stores first: page views are cut to the chosen sessions without a shuffle,
+    and its statements read no more than what is stored."""
+    t = shop_tables(spark, SF)
+    sessions = t["website_sessions"]
+    chosen = materialize_table(sessions.where(reports._funnel_where(sessions)).select("website_session_id"), "chosen")
+    views = funnel.views_of(chosen, t["website_pageviews"])
+    views.collect()
+    plan = views._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    for name in ("funnel_sessions", "funnel_counts", "funnel_click_rates", "funnel_pageviews"):
+        assert not any("testdata" in f for f in queries()[name](spark, SF).inputFiles())
 
 
 @pytest.mark.parametrize("name", ["funnel_sessions", "billing_pages", "duplicate_rows", "nunique"])
