@@ -14,9 +14,10 @@ Plan shape, whatever the dimensions:
 This reproduces the reference's join-then-aggregate results exactly, including its revenue
 fan-out (a session that viewed a URL twice counts its orders' revenue twice), without the
 ``Expand`` of several ``COUNT(DISTINCT)`` in one group and without shuffling raw order rows
-per fact row. Two keys are relied on, and ``ingest_csv`` refuses tables that repeat them: an
-``order_id`` belongs to one session, and with ``facts_unique_per_key`` the session id is unique
-in the facts (pass False for facts that were not ingested that way).
+per fact row. Two keys may be relied on where they are proven (``sources.proof``): with
+``orders_unique`` an ``order_id`` belongs to one session, and with ``facts_unique_per_key`` the
+session id is unique in the facts. Without the proofs the plan counts distinct values: step 2 runs,
+and distinct orders are counted over (dimensions, order) pairs.
 """
 
 from __future__ import annotations
@@ -56,8 +57,8 @@ def session_order_stats(orders: DataFrame, *, key: str = SESSION_KEY,
 
 def conversion_measures(facts: DataFrame, orders: DataFrame, dims: Sequence[Dim], *,
                         key: str = SESSION_KEY, where: Column | None = None,
-                        facts_unique_per_key: bool = True, distinct_orders: bool = False,
-                        dedupe_revenue: bool = False) -> DataFrame:
+                        facts_unique_per_key: bool = True, orders_unique: bool = True,
+                        distinct_orders: bool = False, dedupe_revenue: bool = False) -> DataFrame:
     """``facts LEFT JOIN orders USING (key)`` aggregated by ``dims``.
 
     Output: the dimension columns, ``total_sessions`` (distinct sessions), ``total_orders``
@@ -73,18 +74,25 @@ def conversion_measures(facts: DataFrame, orders: DataFrame, dims: Sequence[Dim]
         grain = projected.withColumn("n_rows", F.lit(1).cast("bigint"))
     else:
         grain = projected.groupBy(*dim_names, key).agg(F.count(F.lit(1)).alias("n_rows"))
-    stats = session_order_stats(orders, key=key, distinct_orders=distinct_orders)
+    stats = session_order_stats(orders, key=key, distinct_orders=distinct_orders and orders_unique)
     joined = grain.join(stats, key, "left")
+    if distinct_orders and not orders_unique:
+        measures = _measures(joined, dim_names, key, F.lit(0), _revenue(facts_unique_per_key or dedupe_revenue))
+        return _with_distinct_orders(measures.drop("total_orders"), grain, orders, dim_names, key)
     if distinct_orders:
         order_count = F.coalesce(F.col("n_distinct_orders"), F.lit(0))
     elif facts_unique_per_key:
         order_count = F.coalesce(F.col("n_orders"), F.lit(0))
     else:
         order_count = F.coalesce(F.col("n_orders"), F.lit(0)) * F.col("n_rows")
-    if dedupe_revenue or facts_unique_per_key:
-        revenue = F.col("revenue")
-    else:
-        revenue = F.col("revenue") * F.col("n_rows")
+    return _measures(joined, dim_names, key, order_count, _revenue(facts_unique_per_key or dedupe_revenue))
+
+
+def _revenue(once: bool) -> Column:
+    return F.col("revenue") if once else F.col("revenue") * F.col("n_rows")
+
+
+def _measures(joined: DataFrame, dim_names: Sequence[str], key: str, order_count: Column, revenue: Column) -> DataFrame:
     return joined.groupBy(*dim_names).agg(
         F.count(F.col(key)).alias("total_sessions"),  # COUNT(DISTINCT key): NULL ids excluded
         F.sum(order_count).cast("bigint").alias("total_orders"),
@@ -92,6 +100,18 @@ def conversion_measures(facts: DataFrame, orders: DataFrame, dims: Sequence[Dim]
     )
 
 
+def _with_distinct_orders(measures: DataFrame, grain: DataFrame, orders: DataFrame, dim_names: Sequence[str],
+                          key: str) -> DataFrame:
+    """``total_orders`` as ``COUNT(DISTINCT order_id)`` where one order id may be in many sessions:
+    distinct (dimensions, order) pairs, reduced in the tasks before they are shuffled."""
+    pairs = orders.where(F.col("order_id").isNotNull()).select(key, "order_id").distinct()
+    per = (grain.select(*dim_names, key).join(pairs, key).select(*dim_names, "order_id").distinct()
+           .groupBy(*(F.col(d).alias(f"_{i}") for i, d in enumerate(dim_names))).agg(F.count(F.lit(1)).alias("_orders")))
+    same = [F.col(d).eqNullSafe(F.col(f"_{i}")) for i, d in enumerate(dim_names)]
+    out = measures.join(per, same, "left")
+    return out.select(*dim_names, "total_sessions", F.coalesce("_orders", F.lit(0)).cast("bigint").alias("total_orders"), "total_revenue")
+
+
 def conversion_report(facts: DataFrame, orders: DataFrame, dims: Sequence[Dim], *,
                       key: str = SESSION_KEY, where: Column | None = None,
                       facts_unique_per_key: bool = True, distinct_orders: bool = False,

@@ -18,15 +18,26 @@ from cartwheel.operators.trends import (
     filter_sessions, order_counts_by_session_dims, period_trend, sessions_and_orders_trend, time_range,
 )
 from cartwheel.plans import params as P
-from cartwheel.session import checkpoint_dir
 
 Tables = dict[str, DataFrame]
 
+
+
+def _proven(t: Tables, table: str, key: str) -> bool:
+    """Whether ``key`` is proven unique in a table; without a proof reports count distinct values."""
+    return getattr(t, "unique_key", lambda name: None)(table) == key
+
+
+def _session_measures(t: Tables, dims, **options) -> DataFrame:
+    """conversion_measures of sessions and orders, by what is proven of their keys."""
+    return conversion_measures(t["website_sessions"], t["orders"], dims, orders_unique=_proven(t, "orders", "order_id"),
+                               facts_unique_per_key=_proven(t, "website_sessions", "website_session_id"), **options)
+
 # ------------------------------------------------------------------ traffic (R-01 .. R-03)
 
 
 def _campaign_measures(t: Tables, dim_name: str) -> DataFrame:
-    m = conversion_measures(t["website_sessions"], t["orders"], [(dim_name, F.col("utm_campaign"))])
+    m = _session_measures(t, [(dim_name, F.col("utm_campaign"))])
     return m.select(
         dim_name, "total_sessions", F.col("total_orders").alias("total_conversions"), "total_revenue",
         ratio("total_orders", "total_sessions", 0.0).alias("conversion_rate"),
@@ -35,7 +46,7 @@ def _campaign_measures(t: Tables, dim_name: str) -> DataFrame:
 
 def traffic_channel(t: Tables) -> DataFrame:
     """R-01: per campaign, sessions, orders, conversion, revenue and average order value; by revenue, conversion."""
-    m = conversion_measures(t["website_sessions"], t["orders"], [("traffic_source", F.col("utm_campaign"))])
+    m = _session_measures(t, [("traffic_source", F.col("utm_campaign"))])
     return m.select(
         "traffic_source", "total_sessions", "total_orders",
         ratio("total_orders", "total_sessions", 0.0).alias("conversion_rate"),
@@ -74,7 +85,7 @@ def least_viewed_pages(t: Tables) -> DataFrame:
 
 def _page_measures(t: Tables) -> DataFrame:
     m = conversion_measures(t["website_pageviews"], t["orders"], ["pageview_url"],
-                            facts_unique_per_key=False, distinct_orders=True)
+                            facts_unique_per_key=False, orders_unique=_proven(t, "orders", "order_id"), distinct_orders=True)
     return m.select("*", ratio("total_orders", "total_sessions", 0.0).alias("conversion_rate"))
 
 
@@ -190,9 +201,8 @@ def nonbrand_orders_device(t: Tables) -> DataFrame:
 
 def nonbrand_device_by_month_name(t: Tables) -> DataFrame:
     """R-20: nonbrand sessions and orders per year, month name, device and source."""
-    m = conversion_measures(
-        t["website_sessions"], t["orders"],
-        [("year", F.year("created_at").cast("int")), ("month_name", month_name("created_at")),
+    m = _session_measures(
+        t, [("year", F.year("created_at").cast("int")), ("month_name", month_name("created_at")),
          "device_type", "utm_source"],
         where=F.col("utm_campaign") == P.NONBRAND)
     return (m.select("year", "month_name", "device_type",
@@ -203,7 +213,7 @@ def nonbrand_device_by_month_name(t: Tables) -> DataFrame:
 
 
 def _monthly_conversion(t: Tables, dims, where) -> DataFrame:
-    m = conversion_measures(t["website_sessions"], t["orders"], dims, where=where, distinct_orders=True)
+    m = _session_measures(t, dims, where=where, distinct_orders=True)
     names = [d if isinstance(d, str) else d[0] for d in dims]
     return m.select(*names, "total_sessions", "total_orders",
                     (ratio("total_orders", "total_sessions") * 100).alias("conversion_rate"))
@@ -236,14 +246,19 @@ def _funnel_where(sessions: DataFrame):
             & time_range(sessions, *P.FUNNEL_WINDOW))
 
 
+def _funnel(t: Tables, rows) -> DataFrame:
+    return rows(t["website_sessions"], t["website_pageviews"], _funnel_where(t["website_sessions"]),
+                sessions_unique=_proven(t, "website_sessions", "website_session_id"))
+
+
 def funnel_pageviews(t: Tables) -> DataFrame:
     """R-25: page views of the chosen sessions with one 0/1 flag per funnel step."""
-    return funnel.funnel_pageviews(t["website_sessions"], t["website_pageviews"], _funnel_where(t["website_sessions"]))
+    return _funnel(t, funnel.funnel_pageviews)
 
 
 def funnel_sessions(t: Tables) -> DataFrame:
     """R-26: per chosen session, whether it reached each funnel step."""
-    return funnel.funnel_sessions(t["website_sessions"], t["website_pageviews"], _funnel_where(t["website_sessions"]))
+    return _funnel(t, funnel.funnel_sessions)
 
 
 def funnel_counts(t: Tables) -> DataFrame:
@@ -257,14 +272,12 @@ def funnel_click_rates(t: Tables) -> DataFrame:
 
 
 def funnel_report(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Counts and click rates from one materialisation of the session flags (the temp table
-    read twice by the reference), checkpointed into ``spark.checkpoint.dir``."""
-    flags = funnel_sessions(t)
-    checkpoint_dir(flags.sparkSession)
-    flags = flags.checkpoint(eager=True)
-    counts = funnel.funnel_counts(flags)
+    """Counts and click rates from one stored table of session flags (the temp table read twice by
+    the reference)."""
+    counts = funnel_counts(t)
     return counts, funnel.funnel_rates(counts)
 
+
 def funnel_report_rows(t: Tables) -> DataFrame:
     """Counts and click rates side by side, from one materialisation (``funnel_report``)."""
     counts, rates = funnel_report(t)

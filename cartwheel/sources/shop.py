@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.sources.csv import load_csv
+from cartwheel.sources.proof import duplicate_keys, proven_key, publish  # noqa: F401
 from cartwheel.sources.schemas import CASE_INSENSITIVE_COLUMNS, SHOP_SCHEMAS, UNIQUE_KEYS
 
 
@@ -25,25 +26,22 @@ def ingest_csv(spark: SparkSession, table: str, csv_path: str, parquet_path: str
 
     ``partition_by_month`` writes event tables partitioned by ``yyyy-MM`` of ``created_at``
     so date-window reports prune whole folders. A table that repeats its key
-    (``schemas.UNIQUE_KEYS``) is refused with a ValueError: the reports count one row per
-    key, so that ``COUNT(DISTINCT key)`` needs no second shuffle.
+    (``schemas.UNIQUE_KEYS``) is refused with a ValueError and never becomes readable; what stood
+    at ``parquet_path`` stays. An accepted one carries the proof, by which the reports count one
+    row per key instead of ``COUNT(DISTINCT key)``.
     """
     df = normalise_dimensions(load_csv(spark, csv_path, SHOP_SCHEMAS[table], empty_as=empty_as), table)
+    writer = df.write
     if partition_by_month and "created_at" in df.columns:
-        (df.withColumn("created_month", F.date_format("created_at", "yyyy-MM"))
-         .write.mode("overwrite").partitionBy("created_month").parquet(parquet_path))
-    else:
-        df.write.mode("overwrite").parquet(parquet_path)
-    key = UNIQUE_KEYS[table]
-    again = duplicate_keys(spark.read.parquet(parquet_path), key).limit(5).collect()
-    if again:
-        shown = ", ".join(str(r[key]) for r in again)
-        raise ValueError(f"{table}: {key} is repeated ({shown}, ...); repair {csv_path} before reports read {parquet_path}")
+        writer = df.withColumn("created_month", F.date_format("created_at", "yyyy-MM")).write.partitionBy("created_month")
+    publish(spark, writer, parquet_path, UNIQUE_KEYS[table], name=table, source=csv_path)
 
 
 def read_shop_tables(spark: SparkSession, folder: str):
     """Open the normalised Parquet tables written by ``ingest_csv`` (one folder per table).
 
+    Their ``unique_key(name)`` is what the table's manifest proves; a table that came another way,
+    or whose files have changed since, has none and is counted by distinct values.
     ``shop_orders`` (orders with their primary product, read by the product-success report)
     is the ``orders`` table itself; the test views only split it because they build web
     orders and shop orders from different test tables.
@@ -51,26 +49,18 @@ def read_shop_tables(spark: SparkSession, folder: str):
     from cartwheel.sources.testviews import LazyTables
     base = folder.rstrip("/")
     builders = {name: (lambda n=name: spark.read.parquet(f"{base}/{n}")) for name in SHOP_SCHEMAS}
-    tables = LazyTables(builders)
+    tables = LazyTables(builders, lambda name: proven_key(spark, f"{base}/{name}"))
     builders["shop_orders"] = lambda: tables["orders"]
     return tables
 
 
-def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """Key values that occur more than once (empty when ``key`` is unique).
-
-    The session reports aggregate orders per session before joining, which is exact only
-    when the session id is unique in ``website_sessions``; this is the check for it.
-    """
-    return df.groupBy(key).count().where(F.col("count") > 1)
-
-
 def register_views(spark: SparkSession, tables) -> None:
     """Expose the tables to ``spark.sql`` under their names (session-scoped temp views)."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
 
 
+KEY_PROPERTY = "cartwheel.unique_key"
 # Tables whose joins and pre-aggregations are keyed on the session id.
 SESSION_KEYED = ("website_sessions", "website_pageviews", "orders")
 
@@ -83,8 +73,10 @@ def save_bucketed(tables, buckets: int, *, prefix: str = "", key: str = "website
     pre-aggregations and their session joins read co-partitioned buckets and shuffle nothing;
     only the final, small per-dimension aggregation moves data. The other tables are written
     as plain catalog tables. Tables go to ``spark.sql.warehouse.dir`` (shared storage on a
-    cluster), or below ``location`` as external tables.
+    cluster), or below ``location`` as external tables. A proof of a table's key
+    (``tables.unique_key``) goes with it as a table property.
     """
+    proven = getattr(tables, "unique_key", lambda name: None)
     for name, df in tables.items():
         writer = df.write.mode("overwrite").format("parquet")
         if location:
@@ -92,6 +84,8 @@ def save_bucketed(tables, buckets: int, *, prefix: str = "", key: str = "website
         if name in SESSION_KEYED:
             writer = writer.bucketBy(buckets, key).sortBy(key)
         writer.saveAsTable(f"{prefix}{name}")
+        if proven(name):
+            df.sparkSession.sql(f"ALTER TABLE `{prefix}{name}` SET TBLPROPERTIES ('{KEY_PROPERTY}' = '{proven(name)}')")
 
 
 def read_catalog_tables(spark: SparkSession, *, prefix: str = ""):
@@ -99,6 +93,11 @@ def read_catalog_tables(spark: SparkSession, *, prefix: str = ""):
     from cartwheel.sources.testviews import LazyTables
     names = list(SHOP_SCHEMAS)
     builders = {n: (lambda n=n: spark.table(f"{prefix}{n}")) for n in names}
-    tables = LazyTables(builders)
+
+    def unique_key(name: str) -> str | None:
+        found = spark.sql(f"SHOW TBLPROPERTIES `{prefix}{name}`").where(F.col("key") == KEY_PROPERTY).first()
+        return found and found["value"]
+
+    tables = LazyTables(builders, unique_key)
     builders["shop_orders"] = lambda: tables["orders"]
     return tables

@@ -39,15 +39,23 @@ class LazyTables(Mapping):
     reads two tables should not pay for seven.
     """
 
-    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]], unique_key: Callable[[str], str | None] = lambda name: None):
         self._builders = builders
         self._built: dict[str, DataFrame] = {}
+        self._unique_key = unique_key
+        self._keys: dict[str, str | None] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             self._built[name] = self._builders[name]()
         return self._built[name]
 
+    def unique_key(self, name: str) -> str | None:
+        """The column proven unique in a table, looked up on first use; None without a proof."""
+        if name not in self._keys:
+            self._keys[name] = self._unique_key(name)
+        return self._keys[name]
+
     def __iter__(self) -> Iterator[str]:
         return iter(self._builders)
 
@@ -160,6 +168,10 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Unique by construction: sessions are grouped by their id, an order is one event of one session.
+VIEW_KEYS = {"website_sessions": "website_session_id", "orders": "order_id"}
+
+
 def shop_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     """All web-shop tables, each defined when a report first asks for it."""
     return LazyTables({
@@ -170,7 +182,7 @@ def shop_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
         "order_items": lambda: order_items(spark, sf_dir),
         "order_item_refunds": lambda: order_item_refunds(spark, sf_dir),
         "shop_orders": lambda: shop_orders(spark, sf_dir),
-    })
+    }, VIEW_KEYS.get)
 
 
 # ---------------------------------------------------------------- cleaning inputs
