@@ -83,3 +83,64 @@ def test_infinities_and_wide_ranges(spark):
     assert _same_at_every_size(spark, "x", "double", [1.0, 2.0, 3.0, inf])[1] == 1.75
     _same_at_every_size(spark, "x", "double", [-inf, -inf, -3e300, -1e-300, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e308])
     _same_at_every_size(spark, "x", "double", [math.ldexp(1.0, e) for e in range(-1070, 1020, 37)])
+
+
+def _long_columns(spark, seed, n=6000):
+    """Columns of every exact type, with a value that holds a third of the rows."""
+    rnd = random.Random(seed)
+    rows = [(rnd.lognormvariate(3, 2), rnd.choice([7, rnd.randint(-10**12, 10**12)]), Decimal(rnd.randint(0, 10**6)) / 100,
+             42.0 if i % 3 == 0 else rnd.gauss(0, 1), None if i % 5 else float(i)) for i in range(n)]
+    return spark.createDataFrame(rows, "a double, b long, c decimal(18,2), d float, e double").repartition(5), rows
+
+
+def _columns(rows):
+    return {c: [r[i] for r in rows if r[i] is not None] for i, c in enumerate("abcde")}
+
+
+def test_brackets_need_two_passes(spark, monkeypatch):
+    """The sketch and the count of what is in its brackets; nothing is narrowed or sorted after."""
+    from cartwheel.operators import quantiles
+    df, rows = _long_columns(spark, 1)
+    stats = quantiles.value_stats(df, list("abcd"))
+    monkeypatch.setattr(quantiles, "order_statistics", lambda *a, **k: pytest.fail("a third pass"))
+    got = exact_quantiles_multi(df, list("abcd"), [0.25, 0.5, 0.75], local_limit=1200, stats=stats)
+    for c, values in list(_columns(rows).items())[:4]:
+        want = np.percentile(np.array(values, dtype=np.float32 if c == "d" else float).astype(float), [25, 50, 75])
+        assert got[c] == pytest.approx(want.tolist(), rel=1e-12)
+
+
+@pytest.mark.parametrize("limit", [5000, 1200, 300, 0])
+def test_one_answer_by_brackets_windows_and_sorting(spark, limit):
+    df, rows = _long_columns(spark, 2)
+    got = exact_quantiles_multi(df, list("abcde"), PROBS, local_limit=limit, buckets=64)
+    assert got == exact_quantiles_multi(df, list("abcde"), PROBS)
+    for c in "abce":
+        _check(got[c], _columns(rows)[c])
+
+
+@pytest.mark.parametrize("limit", [1200, 300])
+def test_a_wrong_sketch_costs_a_pass_and_no_value(spark, monkeypatch, limit):
+    from cartwheel.operators import quantiles
+    df, _ = _long_columns(spark, 3)
+    want = exact_quantiles_multi(df, list("abc"), PROBS)
+    brackets = quantiles._brackets
+
+    def moved(df, ranks):
+        return [quantiles._Bracket(b.column, b.hi, b.hi + 1, b.ranks) for b in brackets(df, ranks)]
+
+    monkeypatch.setattr(quantiles, "_brackets", moved)
+    assert exact_quantiles_multi(df, list("abc"), PROBS, local_limit=limit) == want
+
+
+def test_counts_of_a_task_that_ran_twice_are_not_used(spark, monkeypatch):
+    from cartwheel.operators import quantiles
+    df, _ = _long_columns(spark, 4)
+    want = exact_quantiles_multi(df, ["a"], PROBS)
+
+    class Twice(quantiles.Observation):
+        @property
+        def get(self):
+            return {k: 2 * v for k, v in super().get.items()}
+
+    monkeypatch.setattr(quantiles, "Observation", Twice)
+    assert exact_quantiles_multi(df, ["a"], PROBS, local_limit=1200) == want
