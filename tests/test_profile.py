@@ -176,3 +176,37 @@ def test_columns_filled_with_any_text(spark):
     assert (nulls(full, "city"), nulls(full, "mail"), nulls(full, "day")) == (0, 0, 0)
     none = clean_table(df.drop("city"), CleanRules(with_text=("mail",)))
     assert nulls(none, "mail") == 1
+
+
+def test_nunique_of_every_type(spark):
+    from datetime import date, datetime
+    from decimal import Decimal
+    rows = [(i % 7, float(i % 5) * (-1 if i % 2 else 1), f"text {i % 11} " + "long " * (i % 3), Decimal(i % 4) / 3, i % 2 == 0,
+             date(2024, 1, 1 + i % 9), datetime(2024, 1, 1, i % 24), bytes([i % 6]), [i % 3], {"k": i % 4}, Decimal(10) ** 30 + i % 8)
+            for i in range(300)]
+    schema = ("i int, d double, t string, m decimal(18,6), b boolean, y date, ts timestamp_ntz, x binary, l array<int>, "
+              "k map<string,int>, w decimal(38,0)")
+    from cartwheel.operators.profile import nunique
+    got = {r["column"]: r["nunique"] for r in nunique(spark.createDataFrame(rows, schema).repartition(4)).collect()}
+    want = {n: len({repr(r[j]) if n in ("l", "k") else r[j] for r in rows}) for j, n in enumerate(
+        ("i", "d", "t", "m", "b", "y", "ts", "x", "l", "k", "w"))}
+    assert got == want  # 0.0 and -0.0 are one value in Python too
+
+
+def test_nunique_shuffles_no_text(spark):
+    from cartwheel.operators.profile import nunique
+    df = spark.createDataFrame([("a" * 1000, 1)] * 50, "t string, i int")
+    plan = nunique(df)._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "HashAggregate(keys=[i" in line]
+    assert exchanged and all("t#" not in line.split("keys=")[1].split("]")[0] for line in exchanged)
+
+
+def test_nunique_under_forced_collisions(spark, monkeypatch):
+    """A first number that tells nothing apart leaves the count to the second."""
+    from pyspark.sql import functions as F
+
+    from cartwheel.operators import profile
+    real = profile._fingerprint
+    monkeypatch.setattr(profile, "_fingerprint", lambda df, c: [F.lit(0).cast("bigint").alias("a"), real(df, c)[1]])
+    df = spark.createDataFrame([(f"text {i % 13}",) for i in range(100)], "t string")
+    assert profile.nunique(df).first()["nunique"] == 13
