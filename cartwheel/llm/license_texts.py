@@ -85,7 +85,7 @@ FULL_DIGESTS = {
         "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40",
         "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f",
     ),
-    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "CC0-1.0": ("cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",),
     "GPL-2.0": (
         "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
         "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
@@ -97,7 +97,7 @@ FULL_DIGESTS = {
         "dd35883083089e6d76ba8a178db431b99ae33b3d2e87dc33fa479fe6aa2ce307",
     ),
     "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
-    "MPL-2.0": ("6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d",),
+    "MPL-2.0": ("61525901247b1a7c093fc10f73de8260d1d1a1a8b3bc78f417119ee4fcfb0979",),
 }
 
 # Names under which notices speak of a licence.
@@ -140,6 +140,20 @@ HEADERS = {
                 "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 }
 
+# Further names that stand as a title above a licence's text.
+MORE_TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ('BSD 2-Clause "Simplified" License',),
+    "BSD-3-Clause": ('BSD 3-Clause "New" or "Revised" License',),
+    "Zlib": ("zlib License",),
+}
+
+
+def titles() -> list[str]:
+    """Lines that only name a licence, by rule: article, name, short name in brackets."""
+    names = [(k, n) for table in (NAMES, MORE_TITLES) for k, own in table.items() for n in (*own, k)]
+    return [f"{article}{n}{short}" for k, n in names for article in ("", "The ") for short in ("", f" ({k})")]
+
 
 def known_texts() -> list[tuple[str, str, str]]:
     """(licence, kind, text): full texts, header lines, and notices by rule (opening, article, name)."""
