@@ -60,6 +60,25 @@ def register_csv_inferred(spark: SparkSession, d: str) -> DataFrame:
     return load_csv_inferred(spark, path)
 
 
+def _register_without_key(spark: SparkSession, d: str) -> DataFrame:
+    """The register as a CSV without its key, in the key's order, read with pandas' row index."""
+    path = scratch_path(spark, "register-csv")
+    write_csv(_reg(spark, d).orderBy(REGISTER_KEY).drop(REGISTER_KEY), path)
+    return load_csv_inferred(spark, path, index="row_no")
+
+
+def indexed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Head, tail, repeated rows and the missing-value map's ranges of a table whose only order is
+    that of its files: row_no, what each row is to them, and its order status."""
+    df = materialize_table(_register_without_key(spark, d), "indexed")
+    compared = ["o_orderstatus", "o_orderpriority", "c_mktsegment"]
+    parts = [profile.head(df, "row_no", 5).withColumn("part", F.lit("head")),
+             profile.tail(df, "row_no", 5).withColumn("part", F.lit("tail")),
+             profile.duplicate_rows(df.select("row_no", *compared), "row_no").withColumn("part", F.lit("repeated"))]
+    rows = [p.select("part", "row_no", "o_orderstatus") for p in parts]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
 def _reg_once(spark: SparkSession, d: str) -> DataFrame:
     """The register (a three-way join) written once, for operators of several passes."""
     return materialize_table(_reg(spark, d), "register")
@@ -133,6 +152,8 @@ CLEANING_QUERIES = {
     "csv_inferred": register_csv_inferred,
     "csv_mysql": customer_load_data,
     "csv_quoted_lines": documents_csv_lines,
+    "indexed_rows": indexed_rows,
+    "indexed_null_map": lambda s, d: outliers.null_map(_register_without_key(s, d), "row_no", 20),
     "csv_mysql_lines": documents_load_data,
     "clean_csv": register_cleaned_csv,
     "table_info": lambda s, d: profile.table_info(_reg(s, d)),

@@ -18,6 +18,8 @@ register AS (
        LEFT JOIN labels l ON o.o_orderkey = l.doc_id)
 """
 
+INDEXED = "indexed AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no FROM register)"
+
 # The register's columns and their Spark type names.
 REGISTER_COLUMNS = [
     ("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
@@ -152,6 +154,17 @@ SELECT doc_id, text, lang, source, n_chars FROM (
   SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS rn FROM documents)
 WHERE rn > 1""",
     "drop_duplicate_texts": "SELECT DISTINCT text, lang FROM documents",
+    "indexed_rows": _w("""
+SELECT 'head' AS part, row_no, o_orderstatus FROM indexed WHERE row_no < 5
+UNION ALL SELECT 'tail', row_no, o_orderstatus FROM indexed, (SELECT MAX(row_no) AS last FROM indexed) WHERE row_no > last - 5
+UNION ALL SELECT 'repeated', row_no, o_orderstatus FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority, c_mktsegment ORDER BY row_no) AS rn FROM indexed)
+WHERE rn > 1""", INDEXED),
+    "indexed_null_map": _w("""
+SELECT row_no * 20 // n AS bucket, COUNT(*) AS n_rows, """ + ", ".join(
+        f"AVG(CASE WHEN {c} IS NULL{' OR reg_date = ' + chr(39) + 'n/a' + chr(39) if c == 'reg_date' else ''} THEN 1 ELSE 0 END) AS {c}"
+        for c in COLS if c != "o_orderkey") + """
+FROM indexed, (SELECT COUNT(*) AS n FROM indexed) GROUP BY 1""", INDEXED),
     "csv_quoted_lines": _digests("CASE WHEN text IN ({}) THEN NULL ELSE text END".format(
         ", ".join(f"'{t}'" for t in PANDAS_NA_TOKENS))),
     "csv_mysql_lines": _digests("text"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +47,10 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType, *,
             .option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path))
 
 
-def _parsed(records: DataFrame, schema: T.StructType, **options: str) -> DataFrame:
+def _parsed(records: DataFrame, schema: T.StructType, *, keep: Sequence[str] = (), **options: str) -> DataFrame:
     """The fields of each record, by the rules of Spark's CSV reader; blank lines are none."""
     fields = F.from_csv("record", schema.toDDL(), {"sep": ",", "quote": '"', "escape": '"', "multiLine": "true"} | options)
-    return records.where(F.trim("record") != "").select(fields.alias("r")).select("r.*")
+    return records.where(F.trim("record") != "").select(*keep, fields.alias("r")).select(*keep, "r.*")
 
 
 # Letters after a backslash that do not stand for themselves.
@@ -118,7 +119,7 @@ def _names(header: str) -> list[str]:
 
 
 def load_csv_inferred(spark: SparkSession, path: str, *,
-                      na_tokens=PANDAS_NA_TOKENS, multi_line: bool = False) -> DataFrame:
+                      na_tokens=PANDAS_NA_TOKENS, multi_line: bool = False, index: str | None = None) -> DataFrame:
     """pandas-like ``read_csv``: NA tokens become NULL, then each column is typed.
 
     A column becomes ``bigint`` if every present value is written as an integer, else
@@ -130,10 +131,19 @@ def load_csv_inferred(spark: SparkSession, path: str, *,
 
     Quoted fields may hold newlines; files are split into tasks all the same, and a quoted field
     that never closes fails. ``multi_line=True`` leaves such files to Spark's own reader, one task
-    a file.
+    a file. ``index`` names a column for pandas' row index: 0, 1, ... by file path and place in the
+    file, a unique key for the operators that need an order.
     """
     lines = None if multi_line else CsvLines(spark, path, DOUBLED)
-    if lines and lines.spans:
+    if index and multi_line:
+        raise ValueError("an index needs multi_line=False")
+    rows = []
+    if index:
+        names = _names(lines.header())
+        records = lines.numbered(header=True, name=index)
+        flat = _parsed(records, T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]), keep=[index])
+        rows = [index]
+    elif lines and lines.spans:
         names = _names(lines.header())
         flat = _parsed(lines.records(header=True), T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]))
     else:
@@ -141,10 +151,11 @@ def load_csv_inferred(spark: SparkSession, path: str, *,
                .option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path))
         names = raw.columns
         flat = raw.toDF(*(f"c{i}" for i in range(len(names))))
-    cleaned = flat.select(*(F.when(~F.col(c).isin(list(na_tokens)), F.col(c)).alias(c) for c in flat.columns))
+    texts = [f"c{i}" for i in range(len(names))]
+    cleaned = flat.select(*rows, *(F.when(~F.col(c).isin(list(na_tokens)), F.col(c)).alias(c) for c in texts))
     cleaned = materialize_table(cleaned, "csv-text")
     checks = [F.count(F.lit(1)).alias("rows")]
-    for c in cleaned.columns:
+    for c in texts:
         v = F.col(c)
         checks += [
             F.count_if(v.isNotNull() & ~(v.rlike(INTEGER) & F.trim(v).try_cast("bigint").isNotNull())).alias(f"i{c}"),
@@ -153,8 +164,8 @@ def load_csv_inferred(spark: SparkSession, path: str, *,
             F.count(v).alias(f"n{c}"),
         ]
     stats = cleaned.agg(*checks).first()
-    out = []
-    for c, name in zip(cleaned.columns, names):
+    out = list(rows)
+    for c, name in zip(texts, names):
         v = F.col(c)
         if stats[f"n{c}"] > 0 and stats[f"i{c}"] == 0:
             v = F.trim(v).cast("bigint")

@@ -111,25 +111,54 @@ class CsvLines:
     def records(self, *, header: bool) -> DataFrame:
         """``record`` rows: the text of each, without the line end; with ``header``, without the
         first of each file."""
-        if not self.spans:
-            rows = self.lines.join(bounded_broadcast(self._heads()), "id", "left_anti") if header else self.lines
-            return rows.select(_without_cr(F.col("value")).alias("record"))
-        parts = self._shared_lines()
-        whole = self.lines.join(parts, "id", "left_anti").select("id", F.col("value").alias("record"))
-        rows = whole.unionAll(self._joined(parts))
-        if header:
-            rows = rows.join(bounded_broadcast(self._heads()), "id", "left_anti")
-        return rows.select(_without_cr(F.col("record")).alias("record"))
+        return self._placed(header).select(_without_cr(F.col("record")).alias("record"))
+
+    def _placed(self, header: bool) -> DataFrame:
+        """id (of the first line), file, block, record."""
+        rows = self.lines.withColumnRenamed("value", "record")
+        if self.spans:
+            parts = self._shared_lines()
+            whole = rows.join(parts.drop("block"), "id", "left_anti")
+            rows = whole.select("id", *SPLIT, "record").unionByName(self._joined(parts))
+        return rows.join(bounded_broadcast(self._heads()), "id", "left_anti") if header else rows
+
+    def numbered(self, *, header: bool, name: str = "row_no") -> DataFrame:
+        """``record`` and ``name``: the record's number from 0, by file path and place in the file.
+
+        Blank records have no number and are left out. Each split's records are counted and the
+        counts summed up in order, so no task sees more than its own rows and one row per split.
+        Records stay where the scan put them; only where some span lines are they sorted by place,
+        in a shuffle.
+        """
+        rows = self._placed(header).where(F.trim("record") != "")
+        if self.spans:
+            tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            order = ["file", "block", "id"]
+            rows = materialize_table(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+                                     .withColumn("at", F.monotonically_increasing_id()), "csv-records")
+            task = F.shiftright("at", 33)  # tasks are in order
+            counts = rows.groupBy(task.alias("of")).agg(F.min("at").alias("low"), F.count("*").alias("n"))
+            before = F.sum("n").over(Window.orderBy("of")) - F.col("n")
+            starts = counts.select("of", "low", before.alias("before"))
+            rows = rows.join(bounded_broadcast(starts), task == F.col("of"))
+        else:
+            # Counted after the filters; the scan deals out the same rows each time it is read.
+            rows = rows.withColumn("at", F.monotonically_increasing_id())
+            counts = rows.groupBy(*SPLIT).agg(F.min("at").alias("low"), F.count("*").alias("n"))
+            before = F.sum("n").over(Window.orderBy(*SPLIT)) - F.col("n")
+            rows = rows.join(bounded_broadcast(counts.select(*SPLIT, "low", before.alias("before"))), SPLIT)
+        return rows.select(_without_cr(F.col("record")).alias("record"), (F.col("before") + F.col("at") - F.col("low")).alias(name))
 
     def _shared_lines(self) -> DataFrame:
         parts, fits = self._parts
         return F.broadcast(parts) if fits else parts
 
     def _joined(self, parts: DataFrame) -> DataFrame:
-        """id (of the first line), record of the records that span lines."""
-        rows = self.lines.select("id", "value").join(parts, "id").groupBy("record").agg(
-            F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("lines"))
-        return rows.select(F.col("record").alias("id"), F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("record"))
+        """id, file, block (of the first line), record of the records that span lines."""
+        rows = self.lines.join(parts.select("id", "record"), "id").groupBy("record").agg(
+            F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("lines"), F.first("file").alias("file"))
+        return rows.select(F.col("record").alias("id"), "file", F.col("lines")[0]["block"].alias("block"),
+                           F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("record"))
 
     def header(self) -> str | None:
         """The first record of the first file, by path; None without a line."""
@@ -139,7 +168,7 @@ class CsvLines:
         if self.spans:
             parts = self._shared_lines()
             of = parts.join(F.broadcast(first.select(F.col("id").alias("record"))), "record", "left_semi")
-            rows = rows.join(parts, "id", "left_anti").unionAll(self._joined(of))
+            rows = rows.join(parts, "id", "left_anti").unionAll(self._joined(of).select("id", "record"))
         found = rows.join(F.broadcast(first.select("id")), "id", "left_semi").select(_without_cr(F.col("record"))).first()
         return found and found[0]
 

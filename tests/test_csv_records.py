@@ -144,3 +144,22 @@ def test_empty_inputs(spark, tmp_path):
     assert load_data(spark, _file(tmp_path, "", "e.csv"), SCHEMA).count() == 0
     assert load_data(spark, _file(tmp_path, "id,a,b\n", "h.csv"), SCHEMA).count() == 0
     assert load_csv_inferred(spark, _file(tmp_path, "id,a,b\n", "i.csv")).count() == 0
+
+
+@pytest.mark.parametrize("spanning", [True, False])
+@pytest.mark.parametrize("size", [150, 10**6])
+def test_row_numbers_follow_the_files(spark, tmp_path, spanning, size):
+    """From 0, by file and place, blank lines left out, whatever the splits."""
+    rnd, want = random.Random(5), []
+    for k in range(3):
+        lines = ["id,a"]
+        for i in range(rnd.randint(0, 60)):
+            want.append(f"{k}-{i}")
+            lines.append(f'{k}-{i},"x{chr(10) if spanning and i % 3 == 0 else " "}y"')
+            if rnd.random() < 0.2:
+                lines.append("")
+        _file(tmp_path, "\n".join(lines) + "\n", f"part-{k}.csv")
+    with splits_of(spark, size):
+        df = load_csv_inferred(spark, str(tmp_path), index="row_no")
+        got = sorted((r["row_no"], r["id"]) for r in df.collect())
+    assert got == list(enumerate(want)) and df.columns == ["row_no", "id", "a"]
