@@ -3,7 +3,8 @@
 Features are hashed n-grams of 1 to 3 characters, weighted by TF-IDF. Document frequencies
 are counted over every labelled text; the weights are fitted by follow-the-regularised-leader
 with elastic-net penalties on a bounded sample per language, and a temperature fitted on a
-part of the sample left out makes the scores probabilities.
+part of the sample left out makes the scores probabilities. A text most of whose n-grams are
+rare in all the learned texts is in none of their languages, so its score falls towards 0.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ ORDERS = (1, 2, 3)        # characters of an n-gram
 PER_LANGUAGE = 1500       # about so many labelled rows of a language fit the weights
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 EPOCHS = 3
+SMOOTHING = 5e-4          # of the held-out targets, or a model without error would never be unsure
+RARE = 1000               # an n-gram is known if one of so many labelled texts holds it, and two of a hundred or more
+SEEN_NONE, SEEN_ALL = 0.65, 0.8  # shares of known n-grams between which a score rises to its full
+LEAST = 0.01              # of a score that stays below
 UNKNOWN = "und"
 
 _SEEDS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
@@ -64,9 +69,18 @@ class Model:
     idf: np.ndarray           # per feature
     weights: np.ndarray       # languages x (features + 1), the last the intercept
     temperature: float
+    known: np.ndarray | None = None  # per feature; None: all are
+
+    def certainty(self, n: np.ndarray) -> float:
+        """From LEAST to 1: whether a text of these counts can be in a learned language at all."""
+        if self.known is None:
+            return 1.0
+        share = n[self.known].sum() / n.sum()
+        return float(min(1.0, max(LEAST, (share - SEEN_NONE) / (SEEN_ALL - SEEN_NONE))))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and probability of each text; ``und`` with 0 where it has no letter."""
+        """Language and probability of each text, lowered where its n-grams are not known; ``und``
+        with 0 where it has no letter."""
         names, scores = [], []
         for t in texts:
             if not self.languages or not has_letter(t):
@@ -79,7 +93,7 @@ class Model:
             p = np.exp(z - z.max())
             best = int(np.argmax(p))
             names.append(self.languages[best])
-            scores.append(float(p[best] / p.sum()))
+            scores.append(float(p[best] / p.sum()) * self.certainty(n))
         return names, scores
 
 
@@ -109,14 +123,16 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_languages: int) -
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of the logits with the least mean log loss (1 without rows)."""
+    """The divisor of the logits with the least mean log loss against targets that keep SMOOTHING
+    for all languages alike (1 without rows)."""
     if not len(y):
         return 1.0
 
     def loss(t):
         s = logits / t
         s = s - s.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]))
+        target = (1 - SMOOTHING) * s[np.arange(len(y)), y] + SMOOTHING * s.mean(axis=1)
+        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - target))
 
     return float(min(np.exp(np.linspace(-4, 2, 121)), key=loss))
 
@@ -150,6 +166,7 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> Model:
     df = np.zeros(1 << BITS)
     df[list(total)] = list(total.values())
     idf = np.log((1 + n_docs) / (1 + df)) + 1
+    known = df >= max(1.0, min(2.0, n_docs / 50), n_docs / RARE)
     if not languages:
         return Model([], idf, np.zeros((0, (1 << BITS) + 1)), 1.0)
 
@@ -188,7 +205,7 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> Model:
     temperature = 1.0
     for y, temperature, w in fitted:
         weights[y] = np.frombuffer(w, "<f4")
-    return Model(languages if fitted else [], idf.astype(np.float32), weights, temperature)
+    return Model(languages if fitted else [], idf.astype(np.float32), weights, temperature, known)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -206,7 +223,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score; only ``text`` is looked at.
 
     Columns of these names are replaced. A null text, or one without any letter, is ``und``
-    with score 0, as is every text where the model has learned no language.
+    with score 0, as is every text where the model has learned no language. A text in a language
+    that was not learned has a low score, near 0 in another script.
     """
     kept = docs.drop("lang_pred", "score")
     schema = T.StructType([*kept.schema, T.StructField("lang_pred", T.StringType()),

@@ -3,7 +3,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cartwheel.llm.language_id import (Model, counts, fit_temperature, has_letter, held_out, identify,
+from cartwheel.llm import language_id
+from cartwheel.llm.language_id import (Model, counts, fit_ftrl, fit_temperature, has_letter, held_out, identify,
                                        learnable, train)
 
 from .conftest import ODD
@@ -74,3 +75,60 @@ def test_parts():
     assert counts("").sum() == 0 and counts("ab").sum() == 3 and counts("AB")[counts("ab") > 0].all()
     z = np.array([[4.0, 0.0], [4.0, 0.0], [4.0, 0.0], [0.0, 4.0]])
     assert fit_temperature(z, np.array([0, 0, 0, 1])) < 0.5 < 2 < fit_temperature(z, np.array([0, 1, 0, 1]))
+
+
+def plain_ftrl(rows, n_languages, width):
+    """FTRL-proximal with elastic net, one coefficient at a time."""
+    alpha, beta, l1, l2 = language_id.ALPHA, language_id.BETA, language_id.L1, language_id.L2
+    z = [[0.0] * width for _ in range(n_languages)]
+    n = [[0.0] * width for _ in range(n_languages)]
+
+    def weight(k, f):
+        if abs(z[k][f]) <= l1:
+            return 0.0
+        sign = 1 if z[k][f] > 0 else -1
+        return (sign * l1 - z[k][f]) / ((beta + n[k][f] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(language_id.EPOCHS):
+        for i in order.permutation(len(rows)):
+            idx, x, y = rows[i]
+            w = {(k, f): weight(k, f) for k in range(n_languages) for f in idx}
+            logits = [sum(w[k, f] * v for f, v in zip(idx, x, strict=True)) for k in range(n_languages)]
+            total = sum(np.exp(v) for v in logits)
+            for k in range(n_languages):
+                for f, v in zip(idx, x, strict=True):
+                    g = (np.exp(logits[k]) / total - (k == y)) * v
+                    z[k][f] += g - ((n[k][f] + g * g) ** 0.5 - n[k][f] ** 0.5) / alpha * w[k, f]
+                    n[k][f] += g * g
+    return [[weight(k, f) for f in range(width)] for k in range(n_languages)]
+
+
+def test_ftrl_equals_a_plain_version(monkeypatch):
+    monkeypatch.setattr(language_id, "L1", 0.4)  # leaves some weights at zero
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(60):
+        idx = np.sort(rng.choice(40, rng.integers(1, 12), replace=False))
+        rows.append((idx, rng.uniform(0.1, 1, len(idx)), int(rng.integers(0, 3))))
+    got = fit_ftrl(rows, 3)
+    want = np.array(plain_ftrl(rows, 3, 40))
+    assert np.allclose(got[:, :40], want, rtol=1e-9, atol=1e-12) and not got[:, 40:].any()
+    assert (want == 0).any() and (want != 0).any()
+
+
+def test_temperature_is_inside_the_grid(make):
+    model = train(learnable(make(_docs(random.Random(5), 800)).repartition(3)), per_language=150)
+    assert np.exp(-4) * 1.1 < model.temperature < np.exp(2) * 0.9
+
+
+def test_unlearned_languages_have_low_scores(make):
+    rnd = random.Random(6)
+    rows = _docs(rnd, 800)
+    other = ["".join(rnd.choice("αβγδεζηθικλμνξοπρστυφχψω ") for _ in range(200)), "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(100)),
+             "все люди рождаются свободными и равными в своем достоинстве и правах",
+             " ".join("".join(rnd.choice("bcdfjkpqvwxz") for _ in range(6)) for _ in range(30))]
+    model = train(learnable(make(rows).repartition(3)))
+    assert max(model.predict(other)[1]) < 0.3
+    scores = model.predict([t for _, t, *_ in rows if has_letter(t)])[1]
+    assert min(scores) > 0.3 and np.mean(scores) > 0.95
