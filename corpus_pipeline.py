@@ -20,7 +20,7 @@ from cartwheel.llm.language_id import UNKNOWN, identify, learnable, train
 from cartwheel.llm.line_dedup import dedup_lines
 
 BPE_BYTES = 48 << 20  # earlier stages have grown the executors' heap; the encoder's memory stays small
-MIN_SCORE = 0.3   # a language less probable than this is not told
+MIN_SCORE = 0.3   # a language less probable than this is not told (nor one hardly more than by chance)
 
 #: SQL can express neither the trained stage nor the passages' first places; tests/llm compares
 #: every stage with a brute-force version.
@@ -38,14 +38,16 @@ def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter, or of a score below
-    MIN_SCORE, go. Where no row has a language to learn from, nothing is rejected but those
+    """Documents whose language can be told; those without a letter, of a score below MIN_SCORE or,
+    with more than three languages, hardly above that of a guess, go. Texts in languages that were
+    not learned have such scores. Where no row has a language to learn from, nothing is rejected but those
     without a letter."""
     workers_import_package(spark)
     model = train(learnable(docs))
     rows = identify(_packed(docs), model)
     if model.languages:
-        return _unpacked(rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)), docs)
+        least = min(MIN_SCORE, 1.1 / len(model.languages))
+        return _unpacked(rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs)
     return docs.where(F.col("text").rlike(r"\p{L}"))
 
 
