@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cartwheel.llm.beta import posterior_mean, posterior_sd, strength
 from cartwheel.llm.common import materialize, table
+from cartwheel.operators.joins import takes_at_most
 
 SPACE = r"[\x20\x09-\x0D]+"       # what separates words
 SYMBOLS = r"[#*$%&|<>]+"
@@ -104,6 +105,8 @@ def quality_verdicts(docs: DataFrame, *, host: str = "source", min_words: int =
                                   max_repeat_percent=max_repeat_percent), "quality-rules")
     verdicts = host_verdicts(rows, max_fail_rate=max_fail_rate, z=z)
     failed = F.col("base_failed") | F.coalesce("host_failed", F.lit(False))
+    verdicts = materialize(verdicts, "host-verdicts")
+    verdicts = F.broadcast(verdicts) if takes_at_most(verdicts) else verdicts  # a hot host's rows stay where they are
     return (rows.join(verdicts, "host", "left")
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     "n_repeat_words", "base_failed", (~failed).alias("kept"), "host",

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwheel.llm.beta import posterior_mean, posterior_sd, strength
-from cartwheel.llm.common import ascii_lower, table
+from cartwheel.llm.common import ascii_lower, materialize, table
+from cartwheel.operators.joins import takes_at_most
 
 # Suffixes of two labels under which names are registered (a parameter; every
 # other suffix is the last label).
@@ -62,11 +63,13 @@ def host_reputation(outcomes: DataFrame, *, two_label=TWO_LABEL_SUFFIXES) -> Dat
     """(host, good: 0/1) -> one row per host: host, domain, suffix, n, mean, sd.
 
     Rows without host or outcome are ignored; no rows give no hosts. The three levels are
-    counts of counts, so the shuffles carry one row per host and task at most.
+    counts of counts, so the shuffles carry one row per host and task at most; the counts per
+    host are stored, as each level reads them several times.
     """
     domain, suffix = domain_suffix(F.col("host"), two_label)
     counted = (outcomes.where("host IS NOT NULL AND good IS NOT NULL")
                .groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("k")))
+    counted = materialize(counted, "host-outcomes")
     hosts = counted.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -106,6 +109,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, min_good:
                             two_label=two_label)
     hosts = hosts.select("host", F.col("n").alias("host_labels"), F.col("mean").alias("host_good"),
                          (F.col("mean") + z * F.col("sd") < min_good).alias("bad"))
+    hosts = materialize(hosts, "hosts")
+    hosts = F.broadcast(hosts) if takes_at_most(hosts) else hosts  # a hot host's pages stay where they are
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     action = F.lit(None).cast("string")
     for name, verdict in rules:

@@ -49,3 +49,10 @@ def test_empty_one_host_and_clashing_columns(make):
     assert one["kept"] and one["host_docs"] == 1
     df = make([(1, "x", "h", 1, 2)], "doc_id long, text string, source string, host int, n_words int")
     assert quality_verdicts(df).first()["host"] == "h"
+
+
+def test_rows_of_a_host_are_not_shuffled_for_its_verdict(make):
+    from cartwheel.llm.quality_rules import quality_verdicts
+    docs = make([(i, "some words here " * 30, "en", f"h{i % 2}", 0) for i in range(60)])
+    plan = quality_verdicts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

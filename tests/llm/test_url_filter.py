@@ -44,3 +44,9 @@ def test_odd_rows(make):
     assert {a for _, a in RULES} == {"allow", "block"}
     two = host_reputation(make([("x.co.uk", 1), ("u:p@y.x.co.uk:8080", 0)], "host string, good int")).collect()
     assert {(r["domain"], r["suffix"]) for r in two} == {("x.co.uk", "co.uk")}
+
+
+def test_pages_are_not_shuffled_for_their_verdict(make):
+    pages = make([(i, f"http://h{i % 3}.org/{i}") for i in range(60)], PAGES)
+    plan = filter_urls(pages, make([(i, i % 2) for i in range(60)], OUTCOMES))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and plan.count("FileScan") <= 1
