@@ -94,7 +94,7 @@ class CsvLines:
         splits = materialize_table(splits.select(*SPLIT, F.lag(end, 1, False).over(over).alias("start"), end.alias("end")), "csv-splits")
         broken = splits.groupBy("file").agg(F.max_by("end", "block").alias("end")).where("end").limit(3).collect()
         if broken:
-            raise ValueError("a quoted field is never closed in " + ", ".join(r["file"] for r in broken))
+            raise ValueError("quotes do not fit: a quoted field is never closed in " + ", ".join(r["file"] for r in broken))
 
         state = lambda c: F.coalesce(c["fixed"], F.col("start") != F.coalesce(c["flip"], F.lit(False)))
         starts = bounded_broadcast(splits.select(*SPLIT, "start"))
