@@ -104,10 +104,45 @@ def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return fill_missing(df, smallest_modes(df, columns))
 
 
-def parse_datetime(df: DataFrame, column: str, fmt: str) -> DataFrame:
-    """Text -> zone-less timestamp with an explicit pattern; unparsable text becomes NULL."""
-    parsed = F.try_to_timestamp(F.col(_q(column)), F.lit(fmt)).cast("timestamp_ntz")
-    return df.withColumn(column, parsed)
+# Patterns tried where none is given.
+DATE_PATTERNS = (
+    "yyyy-MM-dd", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyyMMdd",
+    "dd-MMM-yyyy", "dd MMM yyyy", "MMM dd, yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss",
+)
+
+
+def _parsed(column: str, fmt: str):
+    return F.try_to_timestamp(F.col(_q(column)), F.lit(fmt)).cast("timestamp_ntz")
+
+
+def found_pattern(df: DataFrame, column: str, patterns: Sequence[str] = DATE_PATTERNS) -> str:
+    """The pattern that reads most of a column's texts, from one aggregation over all of them.
+
+    Where several read as many but not all alike (only days up to 12, say), none is guessed:
+    ValueError names two. So it does where no text fits any; a column without texts takes the first.
+    """
+    counts = df.agg(F.count(_q(column)), *(F.count(_parsed(column, p)) for p in patterns)).first()
+    texts, fits = counts[0], counts[1:]
+    if not texts:
+        return patterns[0]
+    best = [p for p, n in zip(patterns, fits, strict=True) if n == max(fits)]
+    if not max(fits):
+        raise ValueError(f"{column}: no text is a date by {', '.join(patterns)}")
+    if len(best) > 1:
+        first, *others = (_parsed(column, p) for p in best)
+        differ = df.agg(*(F.count_if(~first.eqNullSafe(o)) for o in others)).first()
+        for other, n in zip(best[1:], differ, strict=True):
+            if n:
+                raise ValueError(f"{column}: {best[0]} and {other} read equally many texts ({max(fits)}), {n} of them "
+                                 "differently; give a pattern")
+    return best[0]
+
+
+def parse_datetime(df: DataFrame, column: str, fmt: str | None = None) -> DataFrame:
+    """Text -> zone-less timestamp by a pattern, without one by ``found_pattern``; unparsable text
+    becomes NULL."""
+    return df.withColumn(column, _parsed(column, fmt or found_pattern(df, column)))
 
 
 def _micros(c: str):

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwheel.operators.joins import materialize_row
+from cartwheel.operators.joins import bounded_broadcast, materialize_row, materialize_table
 from cartwheel.operators.quantiles import INTEGRAL, _q, exact_quantiles, present
 
 
@@ -71,28 +71,64 @@ def boxplot_stats(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     )
 
 
+def _integer_key(df: DataFrame, order_key: str) -> Column | None:
+    """A key whose ranges are cut in exact integers; None for other types."""
+    key, dtype = F.col(_q(order_key)), df.schema[order_key].dataType
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(key)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(key)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {_q(order_key)})")
+    return key if isinstance(dtype, INTEGRAL) or (isinstance(dtype, T.DecimalType) and dtype.scale == 0) else None
+
+
+def _rank_bucket(df: DataFrame, order_key: str, buckets: int) -> Column | None:
+    """Ranges of about equally many rows of any orderable key; equal keys share one.
+
+    A key's range follows from the number of rows below it: counts per key, sorted by range over
+    all tasks, summed up within each task and over the tasks. Only the least key of each range, at
+    most ``buckets`` of them, comes to the driver; no row is joined or moved.
+    """
+    key = F.col(_q(order_key))
+    counts = df.where(present(df, order_key)).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = counts.repartitionByRange(tasks, "k").sortWithinPartitions("k").withColumn("task", F.spark_partition_id())
+    placed = materialize_table(placed, "key-counts")
+    in_task = F.sum("n").over(Window.partitionBy("task").orderBy("k")) - F.col("n")
+    sums = placed.groupBy("task").agg(F.sum("n").alias("m"))  # a row per task
+    sums = sums.select("task", (F.sum("m").over(Window.orderBy("task")) - F.col("m")).alias("before"),
+                       F.sum("m").over(Window.partitionBy(F.lit(0))).alias("rows"))
+    ranked = placed.withColumn("below", in_task).join(bounded_broadcast(sums), "task")
+    place = (F.col("before") + F.col("below")) * F.lit(buckets)
+    bucket = ((place - F.pmod(place, F.col("rows"))) / F.col("rows")).cast("bigint")
+    least = ranked.groupBy(bucket.alias("b")).agg(F.min("k").alias("k")).orderBy("b").collect()
+    out = None
+    for r in reversed(least):
+        at = key >= F.lit(r["k"])
+        out = F.when(at, F.lit(r["b"])) if out is None else out.when(at, F.lit(r["b"]))
+    return out if out is None else F.when(present(df, order_key), out)
+
+
 def null_map(df: DataFrame, order_key: str, buckets: int = 20,
              columns: Sequence[str] | None = None) -> DataFrame:
-    """Share of missing cells per column in ``buckets`` equal ranges of ``order_key`` (an
-    integer, whole decimal, date or timestamp): the numbers behind a missing-value heatmap.
+    """Share of missing cells per column in ``buckets`` ranges of ``order_key``: the numbers behind
+    a missing-value heatmap. Ranges of an integer, whole decimal, date or timestamp are equally
+    wide; those of any other key (text, fractions) hold about equally many rows.
     Columns: bucket, n_rows, and one share per column; rows without a key have bucket NULL."""
     cols = list(columns) if columns is not None else [c for c in df.columns if c != order_key]
-    key, dtype = F.col(_q(order_key)), df.schema[order_key].dataType
-    if isinstance(dtype, T.DateType):
-        key = F.unix_date(key)
-    elif isinstance(dtype, T.TimestampType):
-        key = F.unix_micros(key)
-    elif isinstance(dtype, T.TimestampNTZType):
-        key = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {_q(order_key)})")
-    elif not isinstance(dtype, INTEGRAL) and not (isinstance(dtype, T.DecimalType) and dtype.scale == 0):
-        raise TypeError(f"null_map cannot cut {dtype.simpleString()} into equal ranges")
-    bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if bounds["lo"] is None:
-        return df.select(F.lit(0).cast("bigint").alias("bucket")).where(F.lit(False))
-    span = int(bounds["hi"]) - int(bounds["lo"]) + 1
-    key = key.cast("decimal(38,0)")
-    num = (key - F.lit(int(bounds["lo"]))) * F.lit(buckets)
-    bucket = ((num - F.pmod(num, F.lit(span))) / F.lit(span)).cast("bigint")
+    key = _integer_key(df, order_key)
+    if key is None:
+        bucket = _rank_bucket(df, order_key, buckets)
+        if bucket is None:
+            return df.select(F.lit(0).cast("bigint").alias("bucket")).where(F.lit(False))
+    else:
+        bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        if bounds["lo"] is None:
+            return df.select(F.lit(0).cast("bigint").alias("bucket")).where(F.lit(False))
+        span = int(bounds["hi"]) - int(bounds["lo"]) + 1
+        num = (key.cast("decimal(38,0)") - F.lit(int(bounds["lo"]))) * F.lit(buckets)
+        bucket = ((num - F.pmod(num, F.lit(span))) / F.lit(span)).cast("bigint")
     return (df.select(bucket.alias("bucket"),
                       *[F.when(present(df, c), 0).otherwise(1).alias(c) for c in cols])
             .groupBy("bucket")

@@ -178,6 +178,7 @@ CLEANING_QUERIES = {
     "iqr_bounds": lambda s, d: outliers.iqr_bounds(_events(s, d), "value"),
     "remove_outliers_iqr": lambda s, d: outliers.remove_outliers_iqr(_events(s, d), "value"),
     "null_map": lambda s, d: outliers.null_map(_reg(s, d), REGISTER_KEY, 20),
+    "null_map_text": lambda s, d: outliers.null_map(_reg_once(s, d), "reg_date", 20),
     "drop_sparse_columns": lambda s, d: impute.drop_sparse_columns(tv.doc_labels(s, d)),
     "imputable_columns": lambda s, d: impute.imputable_report(_reg(s, d)),
     "impute_median": lambda s, d: impute.impute_median(_reg_once(s, d), "c_acctbal"),
@@ -185,6 +186,7 @@ CLEANING_QUERIES = {
     "impute_constant": lambda s, d: impute.impute_constant(_reg(s, d), ["o_orderpriority"]),
     "impute_mode": lambda s, d: impute.impute_mode(_reg_once(s, d), ["o_orderpriority", "c_mktsegment"]),
     "parse_datetime": lambda s, d: impute.parse_datetime(_reg(s, d), "reg_date", "yyyy-MM-dd"),
+    "parse_datetime_found": lambda s, d: impute.parse_datetime(_reg(s, d), "reg_date"),
     "impute_group_mean_datetime": lambda s, d: impute.impute_group_mean_datetime(
         _reg_once(s, d), "o_orderdate", "o_orderstatus"),
     "clean_table": lambda s, d: clean_table(_reg_once(s, d), REGISTER_RULES),

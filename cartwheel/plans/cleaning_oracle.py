@@ -219,6 +219,13 @@ SELECT * REPLACE (COALESCE(o_orderpriority, (
           GROUP BY 1 ORDER BY COUNT(*) DESC, c_mktsegment LIMIT 1)) AS c_mktsegment)
 FROM register"""),
     "parse_datetime": _w("SELECT * REPLACE (try_strptime(reg_date, '%Y-%m-%d') AS reg_date) FROM register"),
+    "parse_datetime_found": _w("SELECT * REPLACE (try_strptime(reg_date, '%Y-%m-%d') AS reg_date) FROM register"),
+    "null_map_text": _w("""
+SELECT bucket, COUNT(*) AS n_rows, """ + ", ".join(
+        f"AVG(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS {c}" for c in COLS if c != "reg_date") + """
+FROM (SELECT *, CASE WHEN reg_date IS NOT NULL THEN
+        (rank() OVER (ORDER BY reg_date NULLS LAST) - 1) * 20 // COUNT(reg_date) OVER () END AS bucket FROM register)
+GROUP BY 1"""),
     "impute_group_mean_datetime": _w("""
 SELECT r.* REPLACE (COALESCE(r.o_orderdate, g.mean) AS o_orderdate)
 FROM register r LEFT JOIN g ON r.o_orderstatus = g.o_orderstatus""",

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 from cartwheel.operators import impute, outliers, profile
 from cartwheel.operators.clean import CleanRules, clean_table
 
@@ -210,3 +212,50 @@ def test_nunique_under_forced_collisions(spark, monkeypatch):
     monkeypatch.setattr(profile, "_fingerprint", lambda df, c: [F.lit(0).cast("bigint").alias("a"), real(df, c)[1]])
     df = spark.createDataFrame([(f"text {i % 13}",) for i in range(100)], "t string")
     assert profile.nunique(df).first()["nunique"] == 13
+
+
+def test_null_map_of_any_key(spark):
+    """Ranges of about equally many rows, equal keys together, against Python's sort."""
+    import random
+
+    from cartwheel.operators.outliers import null_map
+    rnd = random.Random(3)
+    for kind, keys in (("string", [rnd.choice(["a", "é", "Z", "zz"]) + str(rnd.randint(0, 40)) for _ in range(400)] + ["hot"] * 200),
+                       ("double", [rnd.gauss(0, 1) for _ in range(300)]), ("decimal(9,3)", None), ("string", [None] * 5)):
+        if keys is None:
+            from decimal import Decimal
+            keys = [Decimal(rnd.randint(0, 10**6)) / 1000 for _ in range(300)]
+        rows = [(k, i if i % 3 else None) for i, k in enumerate([*keys, None])]
+        got = {r["bucket"]: (r["n_rows"], r["v"]) for r in null_map(spark.createDataFrame(rows, f"k {kind}, v int").repartition(4), "k", 7).collect()}
+        known = sorted((k for k, _ in rows if k is not None), key=lambda k: k.encode() if isinstance(k, str) else k)
+        below = {}
+        for n, k in enumerate(known):
+            below.setdefault(k, n)
+        want = {}
+        for k, v in rows:
+            want.setdefault(None if k is None else below[k] * 7 // len(known), []).append(v is None)
+        if not known:
+            assert got == {}
+        else:
+            assert got == {b: (len(v), pytest.approx(sum(v) / len(v))) for b, v in want.items()}
+
+
+def test_patterns_are_found_in_the_texts(spark):
+    from datetime import datetime
+
+    from cartwheel.operators.impute import found_pattern, parse_datetime
+
+    def texts(*values):
+        return spark.createDataFrame([(v,) for v in values], "t string")
+
+    assert found_pattern(texts("03-04-2020", "25-12-2020", None, "n/a"), "t") == "dd-MM-yyyy"
+    assert found_pattern(texts("03/04/2020", "12/25/2020"), "t") == "MM/dd/yyyy"
+    assert found_pattern(texts("2020-03-04 10:11:12"), "t") == "yyyy-MM-dd HH:mm:ss"
+    assert found_pattern(texts("04-04-2020", "05-05-2020"), "t") == "dd-MM-yyyy"  # both readings agree
+    assert found_pattern(texts(None), "t") == "yyyy-MM-dd"
+    with pytest.raises(ValueError, match="dd-MM-yyyy and MM-dd-yyyy"):
+        found_pattern(texts("03-04-2020", "05-05-2020"), "t")
+    with pytest.raises(ValueError, match="no text is a date"):
+        found_pattern(texts("soon", "later"), "t")
+    got = parse_datetime(texts("03-Apr-2020", "x"), "t").collect()
+    assert [r["t"] for r in got] == [datetime(2020, 4, 3), None]
