@@ -83,13 +83,21 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the checkpoint folder, removed with the innermost scope."""
-    scope = _innermost(spark)
+    """A fresh path below the checkpoint folder, removed with the innermost scope. (A Spark Connect
+    session has no file system of its own here: its folder's owner removes it.)"""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
-    scope.paths.append(path)
+    if _has_context(spark):
+        _innermost(spark).paths.append(path)
     return path
 
 
+def _has_context(spark: SparkSession) -> bool:
+    try:
+        return spark.sparkContext is not None
+    except Exception:  # noqa: BLE001 - what a Connect session raises differs by version
+        return False
+
+
 def _files_state(df: DataFrame) -> str:
     """A digest of name, length and time of the files beside and among the inputs of ``df``."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
