@@ -28,7 +28,7 @@ from cartwheel.llm.common import table
 POS_BITS = 23           # a piece may have up to 2^23 - 1 bytes (its positions share a BIGINT)
 MAX_PIECE = (1 << POS_BITS) - 1
 ROWS_AT_ONCE = 4_000_000  # bound on the rows one recursive query gathers
-PIECES_AT_ONCE = 10_000
+PIECES_AT_ONCE = 50_000
 TEXT_AT_ONCE = 2 << 20  # bytes of texts that are cut together
 IDLE_SECONDS = 2.0      # a worker without a task for so long forgets all of it
 CACHE_BYTES = 160 << 20  # of the pieces a worker remembers, in each of two generations
@@ -61,16 +61,30 @@ _OPEN = """
 CREATE OR REPLACE TEMP TABLE open_words AS
 SELECT DISTINCT w FROM reached JOIN merges ON pair = (id::BIGINT << 32) | nid
 """
-# Ordered aggregation of the contracted tokens: the ids, each with the bytes it decodes to. (One
-# aggregate of both costs a third of two.)
+# The contracted tokens in order: each id's decimals and the bytes it decodes to.
 _ENDED = """
-SELECT w, string_agg(id || ' ' || hex, ' ' ORDER BY s) FROM {reached} JOIN tokens USING (id) GROUP BY w
+SELECT w, decimals, bytes FROM {reached} JOIN tokens USING (id) ORDER BY w, s
 """
 _REST = "(SELECT * FROM reached ANTI JOIN open_words USING (w))"
 # Ends of a chunk that the pattern always matches on their own after a letter.
 _STOPS = frozenset(".,;:!?")
 
 
+class _Parts:
+    """The values of a text or binary column as one string of bytes."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        joined = pa.concat_arrays(column.cast(pa.large_binary()).chunks)
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset:joined.offset + len(joined) + 1]
+        self.offsets = offsets - offsets[0]
+        self.data = bytes(joined.buffers()[2][int(offsets[0]):int(offsets[-1])])
+
+    def runs(self, at: np.ndarray, spare: int = 0) -> list[bytes]:
+        """The values from each place of ``at`` to the next, without the last ``spare`` bytes."""
+        ends = self.offsets[at]
+        return [self.data[a:b] for a, b in zip(ends[:-1].tolist(), (ends[1:] - spare).tolist(), strict=True)]
+
+
 class Codec:
     """Encoder and decoder of one rank file, in this process."""
 
@@ -86,7 +100,8 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
         merges = pa.table({"pair": [x for x, _ in splits], "rank": [x for _, x in splits]})
         tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int32()),
-                           "hex": [t.hex() for t in self.ranks]})
+                           "decimals": [f"{i}," for i in self.ranks.values()],
+                           "bytes": pa.array(self.ranks, pa.binary()), "hex": [t.hex() for t in self.ranks]})
         self.db.register("m", merges).execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", tokens).execute("CREATE TABLE tokens AS SELECT * FROM v")
         self.chunks, self.heads = _Remembered(cache_bytes), _Remembered(cache_bytes)
@@ -110,38 +125,59 @@ class Codec:
         nid[first + rows - 1] = -1
         return pa.table({"w": w, "s": s, "e": s + 1, "id": ids, "nid": nid})
 
-    def _coded(self, pieces: list[bytes]) -> Iterator[tuple[int, str]]:
-        """Runs the contraction; (number, ``id hex id hex ...``) of each piece."""
+    def _coded(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, _Parts, _Parts]]:
+        """Runs the contraction; of the tokens of some pieces, in order: the piece's number, its id as
+        ``decimals,`` and its bytes."""
         rows = self._begin(pieces)
         while rows.num_rows:
             longest = int(np.max(rows["s"].to_numpy())) + 1
             steps = max(1, min(longest, ROWS_AT_ONCE // rows.num_rows))
             self.db.register("begin_rows", rows).execute(_CONTRACT, {"steps": steps})
-            self.db.execute(_OPEN)  # a long piece goes on from where it got to
-            more = self.db.execute("SELECT count(*) FROM open_words").fetchall()[0][0]
-            yield from self.db.execute(_ENDED.format(reached=_REST if more else "reached")).fetchall()
+            more = False
+            if steps < longest:  # a piece loses a token with each step, so all others have ended
+                self.db.execute(_OPEN)  # a long piece goes on from where it got to
+                more = self.db.execute("SELECT count(*) FROM open_words").fetchall()[0][0] > 0
+            ended = self.db.sql(_ENDED.format(reached=_REST if more else "reached")).to_arrow_table()
+            if ended.num_rows:
+                yield ended["w"].to_numpy(), _Parts(ended["decimals"]), _Parts(ended["bytes"])
             if not more:
                 return
             rows = self.db.sql("SELECT w, s, e, id, nid FROM reached SEMI JOIN open_words USING (w)").to_arrow_table()
 
+    def _contracted(self, pieces: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, _Parts, _Parts]]:
+        """Numbers of pieces, where their tokens start (and the last ones' end), and all of these tokens."""
+        for i in range(0, len(pieces), PIECES_AT_ONCE):
+            for w, decimals, data in self._coded(pieces[i:i + PIECES_AT_ONCE]):
+                first = np.flatnonzero(np.diff(w, prepend=-1))
+                yield (w[first] + i).tolist(), np.append(first, len(w)), decimals, data
+
     def _tokens(self, pieces: list[bytes]) -> list[list[str]]:
         """[id, hex, id, hex, ...] of each piece, contracted as a whole."""
         out = [[]] * len(pieces)
-        for i in range(0, len(pieces), PIECES_AT_ONCE):
-            for w, found in self._coded(pieces[i:i + PIECES_AT_ONCE]):
-                out[i + w] = found.split(" ")
+        for numbers, at, decimals, data in self._contracted(pieces):
+            every = np.arange(at[-1] + 1)
+            both = [x for i, b in zip(decimals.runs(every, 1), data.runs(every), strict=True) for x in (i.decode(), b.hex())]
+            for w, a, b in zip(numbers, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[w] = both[2 * a:2 * b]
         return out
 
     def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, ids as decimals joined by commas, decoded bytes) of non-empty pieces."""
-        whole = [p if len(p) <= LONG else b"" for p in pieces]
-        short = [p for p in whole if p]
-        found = iter(self._tokens(short) if short else ())
-        found = [next(found) if p else None for p in whole]
-        long = [i for i, p in enumerate(whole) if not p]
-        for i, tokens in zip(long, self._in_segments([pieces[i] for i in long]), strict=True):
-            found[i] = tokens
-        return [(len(t) // 2, ",".join(t[::2]).encode(), bytes.fromhex("".join(t[1::2]))) for t in found]
+        short = [p for p in pieces if len(p) <= LONG]
+        found = [None] * len(short)
+        for numbers, at, decimals, data in self._contracted(short):
+            entries = zip(np.diff(at).tolist(), decimals.runs(at, 1), data.runs(at), strict=True)
+            if len(numbers) == len(short):
+                found = list(entries)
+            else:
+                for w, entry in zip(numbers, entries, strict=True):
+                    found[w] = entry
+        if len(short) == len(pieces):
+            return found
+        long = iter([(len(t) // 2, ",".join(t[::2]).encode(), bytes.fromhex("".join(t[1::2])))
+                     for t in self._in_segments([p for p in pieces if len(p) > LONG])])
+        rest = iter(found)
+        return [next(rest if len(p) <= LONG else long) for p in pieces]
 
     def _in_segments(self, pieces: list[bytes]) -> list[list[str]]:
         """The same for long pieces, without a step for each of their merges.
@@ -203,17 +239,22 @@ class Codec:
     def _add(self, cache: _Remembered, chunks: set[str], lead: str) -> None:
         """Learn chunks; None for one that ends with white space (see documents)."""
         new = cache.missing(chunks)
-        words = [c for c in new if c.isalpha()]
-        cut = [(c, self._match(c, "" if c[:1] == "\n" else lead)) for c in new if not c.isalpha()]
-        pieces = {p: self._known(p) for _, m in cut for p in m}
-        pieces |= self._learn({lead + c for c in words}.union(p for p, known in pieces.items() if known is None))
-        for c in words:
-            cache.add(c, pieces[lead + c])
-        for c, m in cut:
-            if not m or (c or lead)[-1:].isspace():
-                cache.add(c, None)
+        words, cut = [], []
+        for c in new:
+            if c.isalpha():
+                words.append(c)
             else:
-                cache.add(c, pieces[m[0]] if len(m) == 1 else self._join([pieces[p] for p in m]))
+                cut.append((c, self._match(c, "" if c[:1] == "\n" else lead)))
+        pieces = {p: self._known(p) for p in set().union(*[m for _, m in cut])}
+        pieces |= self._learn({lead + c for c in words}.union([p for p, known in pieces.items() if known is None]))
+        cache.add_all(words, [pieces[lead + c] for c in words])
+        cache.add_all([c for c, _ in cut], [
+            None if not m or (c or lead)[-1:].isspace() else pieces[m[0]] if len(m) == 1 else
+            self._two(pieces[m[0]], pieces[m[1]]) if len(m) == 2 else self._join([pieces[p] for p in m]) for c, m in cut])
+
+    @staticmethod
+    def _two(a: tuple, b: tuple) -> tuple:
+        return a[0] + b[0], b"%b,%b" % (a[1], b[1]), a[2] + b[2]
 
     @staticmethod
     def _join(found: list[tuple]) -> tuple:
@@ -221,6 +262,16 @@ class Codec:
         return sum(n), b",".join(ids), b"".join(back)
 
     def documents(self, texts: list[str]) -> list[tuple]:
+        """See _documents. Of its many new entries none is in a cycle, so nobody looks for cycles meanwhile."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._documents(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _documents(self, texts: list[str]) -> list[tuple]:
         """(number of ids, ids as decimals joined by commas, decoded bytes) of each text.
 
         No match of the pattern crosses from a non-space to a space, so a text is cut before
@@ -259,22 +310,20 @@ class _Remembered:
         self.now: dict[str, tuple | None] = {}
         self.before: dict[str, tuple | None] = {}
 
-    def add(self, key: str, entry: tuple | None) -> None:
-        self.now[key] = entry
-        self.size += ENTRY_BYTES + len(key) + (len(entry[1]) + len(entry[2]) if entry else 0)
+    def add_all(self, keys: list[str], entries: list[tuple | None]) -> None:
+        self.now.update(zip(keys, entries, strict=True))
+        self.size += ENTRY_BYTES * len(keys) + sum(map(len, keys)) + sum([len(e[1]) + len(e[2]) for e in entries if e])
 
     def get(self, key: str) -> tuple | None:
         return self.now.get(key) or self.before.get(key)
 
     def missing(self, keys: set[str]) -> list[str]:
         """The keys that neither generation has; the older one's entries become young again."""
-        new = []
-        for k in keys - self.now.keys():
-            if k in self.before:
-                self.add(k, self.before[k])
-            else:
-                new.append(k)
-        return new
+        rest = keys.difference(self.now)  # (the difference to a view walks over all of its keys)
+        new = rest.difference(self.before)
+        old = list(rest - new)
+        self.add_all(old, [self.before[k] for k in old])
+        return list(new)
 
     def turn(self) -> None:
         if self.size > self.max_bytes:

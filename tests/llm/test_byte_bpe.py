@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 import time
@@ -118,3 +119,24 @@ def test_an_idle_process_gives_the_codec_back(monkeypatch):
     assert held.codec is None
     with held.use(*key) as other:
         assert other is not one and other.documents(["a b"])[0][0] == 2
+
+
+def test_many_new_words_are_contracted_at_once_without_garbage_collection(monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choices("abcdeorstéñ", k=rnd.randint(3, 14))) + rnd.choice(["", "", ".", "!!", "$$$"])
+                      for _ in range(4000)) for _ in range(6)]
+    own = Codec(PATH, public_tokenizers.PATTERN)
+    begun, collected, begin = [], [], own._begin
+    monkeypatch.setattr(own, "_begin", lambda pieces: begun.append(len(pieces)) or begin(pieces))
+    count = lambda phase, info: collected.append(phase)
+    gc.callbacks.append(count)
+    try:
+        got = own.documents(texts)
+    finally:
+        gc.callbacks.remove(count)
+    assert gc.isenabled()
+    assert sum(begun) > 15_000 and len(begun) <= 2 and len(collected) <= 2
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for text, (n, ids, back) in zip(texts, got, strict=True):
+        want = reference.encode_ordinary(text)
+        assert (n, ids, back) == (len(want), ",".join(map(str, want)).encode(), text.encode())
