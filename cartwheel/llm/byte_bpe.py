@@ -70,14 +70,17 @@ _REST = "(SELECT * FROM reached ANTI JOIN open_words USING (w))"
 _STOPS = frozenset(".,;:!?")
 
 
-class _Parts:
+class Parts:
     """The values of a text or binary column as one string of bytes."""
 
-    def __init__(self, column: pa.ChunkedArray):
-        joined = pa.concat_arrays(column.cast(pa.large_binary()).chunks)
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        joined = column.cast(pa.large_binary())
+        if isinstance(joined, pa.ChunkedArray):
+            joined = pa.concat_arrays(joined.chunks)
         offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset:joined.offset + len(joined) + 1]
         self.offsets = offsets - offsets[0]
-        self.data = bytes(joined.buffers()[2][int(offsets[0]):int(offsets[-1])])
+        data = joined.buffers()[2]  # None where nothing has a byte
+        self.data = bytes(data[int(offsets[0]):int(offsets[-1])]) if data else b""
 
     def runs(self, at: np.ndarray, spare: int = 0) -> list[bytes]:
         """The values from each place of ``at`` to the next, without the last ``spare`` bytes."""
@@ -125,7 +128,7 @@ class Codec:
         nid[first + rows - 1] = -1
         return pa.table({"w": w, "s": s, "e": s + 1, "id": ids, "nid": nid})
 
-    def _coded(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, _Parts, _Parts]]:
+    def _coded(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, Parts, Parts]]:
         """Runs the contraction; of the tokens of some pieces, in order: the piece's number, its id as
         ``decimals,`` and its bytes."""
         rows = self._begin(pieces)
@@ -139,12 +142,12 @@ class Codec:
                 more = self.db.execute("SELECT count(*) FROM open_words").fetchall()[0][0] > 0
             ended = self.db.sql(_ENDED.format(reached=_REST if more else "reached")).to_arrow_table()
             if ended.num_rows:
-                yield ended["w"].to_numpy(), _Parts(ended["decimals"]), _Parts(ended["bytes"])
+                yield ended["w"].to_numpy(), Parts(ended["decimals"]), Parts(ended["bytes"])
             if not more:
                 return
             rows = self.db.sql("SELECT w, s, e, id, nid FROM reached SEMI JOIN open_words USING (w)").to_arrow_table()
 
-    def _contracted(self, pieces: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, _Parts, _Parts]]:
+    def _contracted(self, pieces: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, Parts, Parts]]:
         """Numbers of pieces, where their tokens start (and the last ones' end), and all of these tokens."""
         for i in range(0, len(pieces), PIECES_AT_ONCE):
             for w, decimals, data in self._coded(pieces[i:i + PIECES_AT_ONCE]):

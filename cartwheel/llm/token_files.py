@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import zstandard
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartwheel.llm.byte_bpe import slices
+from cartwheel.llm.byte_bpe import Parts, slices
 from cartwheel.llm.common import materialize, read_files, table, write_files
 from cartwheel.session import scratch_path
 
@@ -40,11 +41,30 @@ BLOCK = 1 << 14             # ids of a block
 FILE_IDS = 1 << 21          # ids of a file, about (the last document is not cut)
 BUCKET_BYTES = 16 << 20     # text of a range of doc_id, about
 HEADER = struct.Struct("<4sI7Q")
-KNOWN_WORDS, KNOWN_PARTS = 300_000, 700_000  # a worker forgets beyond (some 200 bytes each)
+KNOWN_WORDS, KNOWN_PARTS = 300_000, 300_000  # of a worker's two generations (some 200 bytes each)
 
 
 # ---- the codec -------------------------------------------------------------------------
 
+def _fitting(grid: np.ndarray, at: np.ndarray, s: int) -> np.ndarray:
+    """Of the places ``at``, those where a word of selector ``s`` holds the next ids; zeros follow
+    the grid."""
+    count, small = COUNTS[s], grid < (1 << WIDTHS[s])
+    if len(at) == len(grid) and count < 8:
+        fits = small.copy()
+        for k in range(1, count):
+            fits[:-k] &= small[k:]
+        return np.flatnonzero(fits)
+    if len(at) * count < 4 * len(grid):  # few: place by place
+        for k in range(count):
+            at = at[small[np.minimum(at + k, len(grid) - 1)]]
+        return at
+    seen = np.zeros(len(grid) + count, np.int32)
+    np.cumsum(~small, out=seen[1:len(grid) + 1])
+    seen[len(grid) + 1:] = seen[len(grid)]
+    return at[seen[at + count] == seen[at]]
+
+
 def pack(ids: np.ndarray, block: int = BLOCK):
     """uint32 ids -> (words, escapes, first word per block, first escape per block)."""
     n_blocks = -(-len(ids) // block)
@@ -56,29 +76,30 @@ def pack(ids: np.ndarray, block: int = BLOCK):
     grid[:, :block] = flat.reshape(n_blocks, block)
     grid = grid.ravel()
     selector = np.zeros(len(grid), np.int8)
+    at = np.arange(len(grid))
     for s in range(1, len(WIDTHS)):
         # A narrower slot fits only where the wider one does: the selectors nest.
-        seen = np.zeros(len(grid) + COUNTS[s], np.int32)
-        np.cumsum(grid >= (1 << WIDTHS[s]), out=seen[1:len(grid) + 1])
-        seen[len(grid) + 1:] = seen[len(grid)]
-        fits = seen[COUNTS[s]:COUNTS[s] + len(grid)] == seen[:len(grid)]
-        if not fits.any():
+        at = _fitting(grid, at, s)
+        if not len(at):
             break
-        selector[fits] = s
-    step = np.array(COUNTS, np.int64)[selector].tolist()
-    starts, first_word = [], [0]
-    for b in range(n_blocks):
-        at = b * (block + COUNTS[-1])
-        end = at + min(block, len(ids) - b * block)
-        while at < end:
-            starts.append(at)
-            at += step[at]
-        first_word.append(len(starts))
-    starts = np.array(starts, np.int64)
+        selector[at] = s
+    step = np.array(COUNTS, np.int64)[selector]
+    edges = np.arange(n_blocks + 1) * (block + COUNTS[-1])
+    at, end = edges[:-1], edges[:-1] + np.minimum(block, len(ids) - np.arange(n_blocks) * block)
+    begins = np.zeros(len(grid), bool)
+    while len(at):  # the next word of every block
+        begins[at] = True
+        at = at + step[at]
+        if (at >= end).any():
+            at, end = at[at < end], end[at < end]
+    starts = np.flatnonzero(begins)
+    first_word = np.searchsorted(starts, edges)
     words = np.empty(len(starts), np.uint64)
     chosen = selector[starts]
     for s, (width, count) in enumerate(zip(WIDTHS, COUNTS, strict=True)):
         at = np.flatnonzero(chosen == s)
+        if not len(at):
+            continue
         value = np.full(len(at), s << 60, np.uint64)
         # The zeros after a block end are shorter than a word only where the grid ends.
         for k in range(count):
@@ -86,7 +107,7 @@ def pack(ids: np.ndarray, block: int = BLOCK):
         words[at] = value
     escapes = ids[wide].astype(np.uint32)
     first_escape = np.searchsorted(np.flatnonzero(wide), np.arange(n_blocks + 1) * block)
-    return words, escapes, np.array(first_word, np.uint64), first_escape.astype(np.uint64)
+    return words, escapes, first_word.astype(np.uint64), first_escape.astype(np.uint64)
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, first_word: np.ndarray, n_ids: int,
@@ -103,12 +124,17 @@ def unpack(words: np.ndarray, escapes: np.ndarray, first_word: np.ndarray, n_ids
     at = before + shift
     out = np.zeros(n_blocks * block + COUNTS[-1], np.uint32)
     last = np.repeat((np.arange(n_blocks) + 1) * block, np.diff(first_word))
+    chosen[at + count > last] += len(WIDTHS)  # words that reach beyond their block's end
     for s, (width, slots) in enumerate(zip(WIDTHS, COUNTS, strict=True)):
-        own = np.flatnonzero(chosen == s)
         mask = np.uint64((1 << width) - 1)
-        for k in range(slots):
-            use = own[at[own] + k < last[own]]
-            out[at[use] + k] = (words[use] >> np.uint64(k * width)) & mask
+        own = np.flatnonzero(chosen == s)
+        if len(own):
+            first, value = at[own], words[own]
+            for k in range(slots):
+                out[first + k] = (value >> np.uint64(k * width)) & mask
+        for i in np.flatnonzero(chosen == s + len(WIDTHS)).tolist():
+            for k in range(int(last[i] - at[i])):
+                out[at[i] + k] = (words[i] >> np.uint64(k * width)) & mask
     out = out[:n_ids]
     if len(escapes):
         out[np.flatnonzero(out == ESCAPE)] = escapes
@@ -169,6 +195,9 @@ _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PRE_TOKENIZERS = ["Split", "ByteLevel"]
 # No control character, no combining mark: NFC leaves these alone, white space is not among them.
 _PLAIN = re.compile("[!-~¡-ɏ]*").fullmatch
+_PLAIN_TEXT = re.compile("[ \n!-~¡-ɏ]*").fullmatch
+# The pre-tokenizer's pattern by which Arrow cuts plain texts too.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # Ends of a word that the pre-tokenizer's pattern always matches on their own after a letter.
 _STOPS = frozenset(".,;:!?")
@@ -182,23 +211,31 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
-    """What ``make`` gave for each key; emptied by its owner."""
+    """What ``make`` gave for each key. Of the generation before the last ``turn`` it keeps what is
+    asked for again."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 class Words:
     """The library's tokenizer with a bounded memory of words it has encoded in this process.
 
     Where the file's normalizers and pre-tokenizer treat words between blanks independently, a
-    text is cut at blanks and newlines, and plain words go to the library's model directly; any
-    other word goes through the whole tokenizer. So does, as a whole, any text that holds the
+    text is cut at blanks and newlines, and plain words go to the library's model directly (a plain
+    text is first cut into the pattern's matches, and these go there); any other word goes through the whole tokenizer. So does, as a whole, any text that holds the
     string of an added token (in any letter case), and any text under another kind of file.
     """
 
@@ -216,7 +253,10 @@ class Words:
                         and pre[0]["behavior"] == "Removed" and not pre[1]["add_prefix_space"])
         if self.by_word:
             self.find = regex.compile(pre[0]["pattern"]["Regex"]).findall
+            self.by_part = pre[0]["pattern"]["Regex"] == _PATTERN
             self.letters = _byte_letters()
+        self.tokenize = self.whole.model.tokenize
+        self.few = [struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(16)]
         self.known, self.parts = _Memory(self._word), _Memory(self._part)
 
     def _encode(self, text: str) -> bytes:
@@ -224,9 +264,14 @@ class Words:
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        return np.array([t.id for t in self.whole.model.tokenize(letters)], self.dtype).tobytes()
+        ids = [t.id for t in self.tokenize(letters)]
+        if len(ids) < len(self.few):
+            return self.few[len(ids)](*ids)
+        return np.array(ids, self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.parts[word.lower()]
         if not _PLAIN(word):
             return self._encode(word)
         low = word.lower()
@@ -242,9 +287,36 @@ class Words:
             return [self._encode(t) for t in texts]
         for memory, most in ((self.known, KNOWN_WORDS), (self.parts, KNOWN_PARTS)):
             if len(memory) > most:
-                memory.clear()
-        return [self._encode(t) if self._holds_added(t) else
-                b"".join(map(self.known.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+                memory.turn()
+        out, plain, other = [b""] * len(texts), [], []
+        for i, t in enumerate(texts):
+            if self._holds_added(t):
+                out[i] = self._encode(t)
+            else:
+                (plain if self.by_part and _PLAIN_TEXT(t) else other).append(i)
+        for numbers, parts in ((plain, True), (other, False)):
+            if numbers:
+                chosen = [texts[i] for i in numbers]
+                for i, ids in zip(numbers, self._parts_of(chosen) if parts else self._words_of(chosen), strict=True):
+                    out[i] = ids
+        return out
+
+    def _words_of(self, texts: list[str]) -> list[bytes]:
+        return self._looked_up(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), self.known)
+
+    def _parts_of(self, texts: list[str]) -> list[bytes]:
+        """No match of the pattern crosses a blank, so plain texts are cut into its matches at once."""
+        column = pa.array([t.lower() for t in texts], pa.string())
+        column = pc.replace_substring_regex(column, _PATTERN, r"\0 ")
+        return self._looked_up(pc.replace_substring(column, "\n", " "), self.parts)
+
+    @staticmethod
+    def _looked_up(column: pa.Array, memory: _Memory) -> list[bytes]:
+        """What ``memory`` has for what stands between blanks; looked up once for each distinct value."""
+        lists = pc.split_pattern(column, " ")
+        distinct = lists.flatten().dictionary_encode()
+        ids = pa.array([memory[w] for w in distinct.dictionary.to_numpy(zero_copy_only=False).tolist()], pa.large_binary())
+        return Parts(ids.take(distinct.indices)).runs(lists.offsets.to_numpy())
 
     def _holds_added(self, text: str) -> bool:
         low = text.lower()

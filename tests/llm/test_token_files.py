@@ -84,3 +84,27 @@ def test_empty_table(spark, make):
     path = scratch_path(spark, "test-tokens")
     write_token_files(make([]), path, tokenizer=PATH, end_id=2)
     assert token_index(spark, path).count() == 0
+
+
+def test_plain_texts_are_cut_at_once_and_each_part_is_looked_up_once(monkeypatch):
+    library = Tokenizer.from_file(PATH)
+    own, rnd = Words(PATH), random.Random(4)
+    letters = [*"  \n\nabESTsletrvmdxyz0123456789'''.,!$#²½ªºßéÉİǅÆæŒÿ×÷¡ɏ~", "don't", "I'LL", " 'Re", "we've", "$$$", "<|", "|>", "end"]
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 60))) for _ in range(1500)] + ["", "\n", " ", "a" * 3000, "İ" * 50]
+    lookups = []
+    part = own.parts.make
+    monkeypatch.setattr(own.parts, "make", lambda x: lookups.append(x) or part(x))
+    for text, got in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(got, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert len(lookups) == len(set(lookups)) and not own.known
+
+
+def test_words_asked_for_again_outlast_a_full_memory(monkeypatch):
+    from cartwheel.llm import token_files
+    monkeypatch.setattr(token_files, "KNOWN_PARTS", 50)
+    own, asked = Words(PATH), []
+    part = own.parts.make
+    own.parts.make = lambda x: asked.append(x) or part(x)
+    for i in range(40):
+        own.encode([" ".join(["often", *("".join(random.Random(20 * i + k).choices("abcdefgh", k=9)) for k in range(20))])])
+    assert asked.count("often") == 1 and len(own.parts) + len(own.parts.before) < 200
