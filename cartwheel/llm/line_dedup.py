@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwheel.llm.common import materialize, table
+from cartwheel.llm.common import materialize, rows_sent, table
 
 LONG_WORDS = 50   # a line of so many words is a passage of its own
 WINDOW = 2        # lines that a boundary depends on
@@ -31,6 +32,8 @@ DIVISOR = 4       # lines of an average chunk
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _HIGH = np.uint64(33)
 SALTS = 8
+SLICE_BYTES = 2 << 20  # of texts that a task looks at together
+ROWS_SENT = 1000          # to a Python worker at once
 
 
 def cut(lines: list[str]) -> list[tuple[int, int]]:
@@ -74,6 +77,19 @@ def passages(lines: list[str]) -> list[tuple[int, int, int | None]]:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Rows of about SLICE_BYTES of text, or one, at a time, and their texts: what is made of a whole
+    batch (10,000 rows) would be held at once."""
+    for batch in batches:
+        text = batch.column("text")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(text):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(a, b - a), text.slice(a, b - a).to_pylist()
+            a = b
+
+
 ROW = ("k1", "k2")  # 128 bits that name a row by its doc_id and text
 NAMES = "k1 long, k2 long, no int, digest binary"
 
@@ -100,9 +116,9 @@ def repeated_passages(rows: DataFrame) -> DataFrame:
     occurrence is in the chunk's.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in _slices(batches):
             at, no, digest, inside = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(texts):
                 lines = (text or "").split("\n")
                 for k, (a, b, within) in enumerate(passages(lines)):
                     at.append(i)
@@ -115,7 +131,8 @@ def repeated_passages(rows: DataFrame) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.select("doc_id", *ROW, "text").mapInArrow(run, f"doc_id {kind}, {NAMES}, within int")
-    found = materialize(found, "chunks")
+    with rows_sent(rows.sparkSession, ROWS_SENT):
+        found = materialize(found, "chunks")
     chunks = materialize(_repeated(found.where("within = -1").drop("within")), "anchors")
     copies = chunks.where(~_place().eqNullSafe(F.col("first"))).select(*ROW, F.col("no").alias("within")).distinct()
     rest = found.where("within IS NULL").unionAll(found.where("within >= 0").join(copies, [*ROW, "within"], "left_anti").select(*found.columns))
@@ -144,10 +161,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     wanted = found.groupBy(*ROW).agg(F.collect_set(F.struct("no", "digest")).alias("chunks"))
     placed = rows.repartition(*ROW)
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _slices(batches):
             digest, data = [], []
-            for text, chunks in zip(batch.column("text").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+            for text, chunks in zip(texts, batch.column("chunks").to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 at = passages(lines)
                 for c in chunks:
@@ -157,7 +174,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"digest": pa.array(digest, pa.binary()), "data": pa.array(data, pa.binary())})
 
     # All columns go in, or pruning would make this another exchange than the last join's.
-    data = placed.join(wanted, list(ROW)).mapInArrow(texts, "digest binary, data binary")
+    data = placed.join(wanted, list(ROW)).mapInArrow(compared, "digest binary, data binary")
     unlike = data.groupBy("digest").agg(F.min("data").alias("low"), F.max("data").alias("high")).where("low <> high")
     # Hardly any; spread over the rows of a frequent digest.
     unlike = unlike.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -168,8 +185,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = gone.join(unlike, ["digest", "salt"], "left_anti").groupBy(*ROW).agg(F.collect_set("one").alias("gone"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = batch.column("text").to_pylist()
+        for batch, out in _slices(batches):
             removed = [0] * len(out)
             for i, found_here in enumerate(batch.column("gone").to_pylist()):
                 if found_here:

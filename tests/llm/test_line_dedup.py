@@ -85,3 +85,25 @@ def test_columns_are_kept(make):
     out = dedup_lines(df)
     assert out.columns == [*df.columns, "n_removed"] and tuple(out.first()) == (1, "x", 2, 3, 4, "t", 5, 0)
 
+
+
+def test_texts_are_looked_at_in_small_parts(spark, make):
+    import pyarrow as pa
+
+    from cartwheel.llm import line_dedup
+    from cartwheel.llm.common import rows_sent
+
+    texts = ["é" * 700, None, "", "x" * (5 << 20), "a\nb"] * 40 + ["y" * 1000] * 9000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(line_dedup._slices(iter([batch, batch.slice(0, 0)])))
+    assert [x for _, part in parts for x in part] == texts
+    assert [x for b, _ in parts for x in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert all(len(part) == 1 or sum(len((x or "").encode()) for x in part) <= line_dedup.SLICE_BYTES for _, part in parts)
+
+    def rows(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+
+    docs = spark.range(0, 5000, 1, 1)
+    with rows_sent(spark, 1000):
+        assert max(r["n"] for r in docs.mapInArrow(rows, "n long").collect()) <= 1000
+    assert max(r["n"] for r in docs.mapInArrow(rows, "n long").collect()) == 5000
