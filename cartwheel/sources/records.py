@@ -3,15 +3,19 @@
 A file is read by physical line, so Spark splits it. Whether a line starts inside a quoted field
 depends on all lines before it, but as a function of two possible states it can be told from the
 line alone. The functions are composed within each split, the splits' compositions are scanned in
-file order, and so every line learns its state. Only lines of records that span lines are
-shuffled; all others are records as they stand.
+file order, and so every split learns its state. A task then joins the lines of its splits as it
+reads them; only records that span splits are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,48 +69,94 @@ class CsvLines:
         return self.splits.where("block = 0").select(F.col("first").alias("id"))
 
     @cached_property
-    def _parts(self) -> tuple[DataFrame, bool]:
-        """(stored frame, whether it fits a broadcast): id, record, block of every line that shares its record with others; ``record`` is the
-        id of its first line. Fails where a file ends inside quotes."""
+    def _starts(self) -> tuple[DataFrame, bool]:
+        """(stored frame, whether it fits a broadcast): file, block, start (whether the split starts
+        inside quotes). Fails where a file ends inside quotes."""
         def odd(n: Column) -> Column:
             return n % 2 == 1
 
-        here = Window.partitionBy(*SPLIT).orderBy("id")
+        def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each split's state at its end, if it starts outside and if it starts inside quotes."""
+            def row() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict({"file": [split[0]], "block": [split[1]], "o": [bool(both[0])], "k": [bool(both[1])]})
+
+            split, both = None, (False, True)
+            for batch in batches:
+                opens, stays = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("o", "k"))
+                for own, a, b in runs(batch):
+                    if own != split:
+                        if split is not None:
+                            yield row()
+                        split, both = own, (False, True)
+                    both = [after(s, opens[a:b], stays[a:b])[-1] for s in both]
+            if split is not None:
+                yield row()
+
+        runs, after = _line_functions()
         over = Window.partitionBy("file").orderBy("block")
-
-        def scan(rows: DataFrame, fixed: Column, swap: Column, order: Window) -> DataFrame:
-            """``fixed``: the state after each row where it is known whatever came first; else
-            ``flip`` tells whether it differs from the state at the start."""
-            rows = rows.withColumn("_n", F.sum(F.when(fixed.isNull() & swap, 1).otherwise(0)).over(order))
-            rows = rows.withColumn("_at", F.last(F.when(fixed.isNotNull(), F.struct(fixed.alias("s"), F.col("_n").alias("n"))), True).over(order))
-            return (rows.withColumn("fixed", F.col("_at.s") != odd(F.col("_n") - F.col("_at.n")))
-                    .withColumn("flip", odd(F.col("_n"))).drop("_n", "_at"))
-
-        # A line keeps the state, sets it, or (opens & ~stays) swaps it.
-        marks = self.lines.select(*SPLIT, "id", self.opens.alias("o"), self.stays.alias("k"))
-        marks = scan(marks, F.when(F.col("o") == F.col("k"), F.col("o")), F.col("o"), here)
-        before = F.lag(F.struct("fixed", "flip")).over(here)
-        marks = materialize_table(marks.select(*SPLIT, "id", "fixed", "flip", before.alias("before")), "csv-lines")
-
-        last = marks.groupBy(*SPLIT).agg(F.max_by(F.struct("fixed", "flip"), "id").alias("end"))
-        splits = scan(last.select(*SPLIT, F.col("end.fixed").alias("sf"), F.col("end.flip").alias("sw")), F.col("sf"), F.col("sw"), over)
-        end = F.coalesce("fixed", "flip")  # a file starts outside quotes
-        splits = materialize_table(splits.select(*SPLIT, F.lag(end, 1, False).over(over).alias("start"), end.alias("end")), "csv-splits")
+        last = self.lines.select(*SPLIT, self.opens.alias("o"), self.stays.alias("k")).mapInArrow(
+            ends, "file string, block long, o boolean, k boolean")
+        # A split keeps the state, sets it (``fixed``), or (opens & ~stays) swaps it.
+        splits = last.select(*SPLIT, F.when(F.col("o") == F.col("k"), F.col("o")).alias("fixed"), F.col("o").alias("swap"))
+        splits = splits.withColumn("n", F.sum(F.when(F.col("fixed").isNull() & F.col("swap"), 1).otherwise(0)).over(over))
+        splits = splits.withColumn("at", F.last(F.when(F.col("fixed").isNotNull(), F.struct(F.col("fixed").alias("s"), "n")), True).over(over))
+        end = F.coalesce(F.col("at.s") != odd(F.col("n") - F.col("at.n")), odd(F.col("n")))  # a file starts outside quotes
+        splits = splits.select(*SPLIT, end.alias("end"))
+        splits = materialize_table(splits.select(*SPLIT, F.lag("end", 1, False).over(over).alias("start"), "end"), "csv-splits")
         broken = splits.groupBy("file").agg(F.max_by("end", "block").alias("end")).where("end").limit(3).collect()
         if broken:
             raise ValueError("quotes do not fit: a quoted field is never closed in " + ", ".join(r["file"] for r in broken))
-
-        state = lambda c: F.coalesce(c["fixed"], F.col("start") != F.coalesce(c["flip"], F.lit(False)))
-        starts = bounded_broadcast(splits.select(*SPLIT, "start"))
-        parts = marks.join(starts, SPLIT).select(*SPLIT, "id", state(F.col("before")).alias("inside"),
-                                                 state(F.struct("fixed", "flip")).alias("open"))
-        parts = materialize_table(parts.where(F.col("inside") | F.col("open")), "csv-parts")
-        # A record's first line may lie in an earlier split.
-        own = F.when(~F.col("inside"), F.col("id"))
-        came = parts.groupBy(*SPLIT).agg(F.max(own).alias("own"))
-        came = bounded_broadcast(came.select(*SPLIT, F.last("own", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("came")))
-        record = F.coalesce(F.last(own, True).over(here), F.col("came"))
-        return materialize_bounded(parts.join(came, SPLIT).select("id", record.alias("record"), "block"))
+        return materialize_bounded(splits.select(*SPLIT, "start"))
+
+    def _assembled(self, *, pieces: bool) -> DataFrame:
+        """id (of the first line), file, block, record, own of the records that lie in one split; with
+        ``pieces``, of the parts of all others, where ``own`` tells those that start a record.
+
+        Each task joins its own lines as it reads them, so nothing is shuffled."""
+        def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows(ids: list, texts: pa.Array, own: bool) -> pa.RecordBatch:
+                n = len(ids)
+                return pa.RecordBatch.from_pydict({
+                    "id": pa.array(ids, pa.int64()), "file": pa.array([split[0]] * n, pa.string()),
+                    "block": pa.array([split[1]] * n, pa.int64()), "record": texts, "own": pa.array([own] * n, pa.bool_())})
+
+            def ended(closed: bool) -> Iterator[pa.RecordBatch]:
+                if held and pieces != (held[1] and closed):
+                    yield rows([held[0]], pa.array(["\n".join(held[2])], pa.string()), held[1])
+
+            split, state, held = None, False, None  # held: id, whether it starts a record, lines
+            for batch in batches:
+                opens, stays = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("o", "k"))
+                ids = batch.column("id").to_numpy()
+                for this, a, b in runs(batch):
+                    if this != split:
+                        yield from ended(not state)
+                        split, state, held = this, batch.column("start")[a].as_py(), None
+                    then = after(state, opens[a:b], stays[a:b])
+                    starts = np.flatnonzero(~np.append(state, then[:-1])) + a
+                    state = bool(then[-1])
+                    values = batch.column("value")
+                    first = int(starts[0]) if len(starts) else b
+                    if first > a:  # lines of a record that began before
+                        held = held or (int(ids[a]), False, [])
+                        held[2].extend(values.slice(a, first - a).to_pylist())
+                    if len(starts):
+                        yield from ended(True)
+                        if len(starts) > 1 and not pieces:
+                            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values)
+                            yield rows(ids[starts[:-1]].tolist(), pc.binary_join(lists, "\n"), True)
+                        at = int(starts[-1])
+                        held = (int(ids[at]), True, values.slice(at, b - at).to_pylist())
+            yield from ended(not state)
+
+        runs, after = _line_functions()
+        starts, fits = self._starts
+        lines = self.lines.select(*SPLIT, "id", "value", self.opens.alias("o"), self.stays.alias("k"))
+        if fits:
+            lines = lines.join(F.broadcast(starts), SPLIT)
+        else:  # so many splits that the join may shuffle the lines
+            lines = lines.join(starts, SPLIT).repartition(*SPLIT).sortWithinPartitions(*SPLIT, "id")
+        return lines.mapInArrow(assemble, "id long, file string, block long, record string, own boolean")
 
     def records(self, *, header: bool) -> DataFrame:
         """``record`` rows: the text of each, without the line end; with ``header``, without the
@@ -117,9 +167,8 @@ class CsvLines:
         """id (of the first line), file, block, record."""
         rows = self.lines.withColumnRenamed("value", "record")
         if self.spans:
-            parts = self._shared_lines()
-            whole = rows.join(parts.drop("block"), "id", "left_anti")
-            rows = whole.select("id", *SPLIT, "record").unionByName(self._joined(parts))
+            whole = self._assembled(pieces=False).select("id", *SPLIT, "record")
+            rows = whole.unionByName(self._joined(self._pieces))
         return rows.join(bounded_broadcast(self._heads()), "id", "left_anti") if header else rows
 
     def numbered(self, *, header: bool, name: str = "row_no") -> DataFrame:
@@ -149,29 +198,53 @@ class CsvLines:
             rows = rows.join(bounded_broadcast(counts.select(*SPLIT, "low", before.alias("before"))), SPLIT)
         return rows.select(_without_cr(F.col("record")).alias("record"), (F.col("before") + F.col("at") - F.col("low")).alias(name))
 
-    def _shared_lines(self) -> DataFrame:
-        parts, fits = self._parts
-        return F.broadcast(parts) if fits else parts
-
-    def _joined(self, parts: DataFrame) -> DataFrame:
-        """id, file, block (of the first line), record of the records that span lines."""
-        rows = self.lines.join(parts.select("id", "record"), "id").groupBy("record").agg(
-            F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("lines"), F.first("file").alias("file"))
-        return rows.select(F.col("record").alias("id"), "file", F.col("lines")[0]["block"].alias("block"),
-                           F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("record"))
+    @cached_property
+    def _pieces(self) -> DataFrame:
+        """id, file, block, record, own, of the records that span splits, stored."""
+        return materialize_table(self._assembled(pieces=True), "csv-pieces")
+
+    def _joined(self, pieces: DataFrame) -> DataFrame:
+        """id, file, block (of the first line), record of the records that span splits."""
+        over = Window.partitionBy("file").orderBy("block", "id")
+        of = pieces.select("file", "block", "id", F.last(F.when(F.col("own"), F.col("id")), True).over(over).alias("of"))
+        rows = pieces.join(of.select("id", "of"), "id").groupBy("of").agg(
+            F.array_sort(F.collect_list(F.struct("block", "id", "record"))).alias("parts"), F.first("file").alias("file"))
+        return rows.select(F.col("of").alias("id"), "file", F.col("parts")[0]["block"].alias("block"),
+                           F.array_join(F.transform("parts", lambda x: x["record"]), "\n").alias("record"))
 
     def header(self) -> str | None:
         """The first record of the first file, by path; None without a line."""
         heads = self.splits.where("block = 0").select("file", F.col("first").alias("id"))
         first = heads.orderBy("file").limit(1)
-        rows = self.lines.select("id", F.col("value").alias("record"))
-        if self.spans:
-            parts = self._shared_lines()
-            of = parts.join(F.broadcast(first.select(F.col("id").alias("record"))), "record", "left_semi")
-            rows = rows.join(parts, "id", "left_anti").unionAll(self._joined(of).select("id", "record"))
+        rows = self._placed(False)
         found = rows.join(F.broadcast(first.select("id")), "id", "left_semi").select(_without_cr(F.col("record"))).first()
         return found and found[0]
 
 
+def _line_functions() -> tuple:
+    """For the workers, which need not have this package: functions made here go with the job.
+
+    ``runs``: (split, first, end) of each run of a batch's lines that are of one split. ``after``: the
+    state after each line, given the first one's start and what each does if started outside
+    (``opens``) or inside quotes (``stays``)."""
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+        file, block = batch.column("file"), batch.column("block")
+        if not len(file):
+            return
+        new = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(file)]
+        for a, b in zip(edges, edges[1:]):
+            yield (file[a].as_py(), block[a].as_py()), a, b
+
+    def after(start: bool, opens: np.ndarray, stays: np.ndarray) -> np.ndarray:
+        # A line keeps the state, sets it, or (opens & ~stays) swaps it.
+        known = np.maximum.accumulate(np.where(opens == stays, np.arange(len(opens)), -1))
+        swaps = np.cumsum(opens & ~stays)
+        since = np.where(known >= 0, swaps - swaps[known], swaps)
+        return np.where(known >= 0, opens[known], start) ^ (since % 2 == 1)
+
+    return runs, after
+
+
 def _without_cr(c: Column) -> Column:
     return F.when(c.endswith("\r"), F.left(c, F.length(c) - 1)).otherwise(c)

@@ -163,3 +163,18 @@ def test_row_numbers_follow_the_files(spark, tmp_path, spanning, size):
         df = load_csv_inferred(spark, str(tmp_path), index="row_no")
         got = sorted((r["row_no"], r["id"]) for r in df.collect())
     assert got == list(enumerate(want)) and df.columns == ["row_no", "id", "a"]
+
+
+def test_only_records_that_span_splits_are_shuffled(spark, tmp_path):
+    """Many records of several lines in few splits: the texts stay where they are read."""
+    rows = [(i, "p\n" * (i % 5) + f"q{i}", "r,s\n") for i in range(25_000)]
+    rows[20_000] = (20_000, "a\n" * 30_000, "t")  # of more lines than a batch
+    path = _file(tmp_path, _text(rows))
+    with splits_of(spark, 300_000):
+        lines = CsvLines(spark, path, DOUBLED)
+        records = [r[0] for r in lines.records(header=True).collect()]
+        assert lines._pieces.count() <= 2 * lines.splits.count()
+        whole = lines._assembled(pieces=False)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in whole and "SortMergeJoin" not in whole
+    found = sorted((next(csv.reader(io.StringIO(r, newline=""))) for r in records), key=lambda r: int(r[0]))
+    assert found == [[str(i), a, b] for i, a, b in rows]
